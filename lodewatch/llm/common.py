@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,12 +164,28 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def run_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+def running(raw: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any run of bytes follows."""
+    return np.cumsum(_TABLE[raw] * _grown(len(raw))[0][: len(raw)], dtype=np.uint64)
+
+
+def run_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """A hash of the bytes from each s to its e (inclusive)."""
-    power, inverse = _grown(len(raw))
-    run = np.cumsum(_TABLE[raw] * power[: len(raw)], dtype=np.uint64)
-    h = run[e] - np.where(s > 0, run[np.maximum(s, 1) - 1], np.uint64(0))
-    return mix(h * inverse[s])
+    sums = running(raw) if sums is None else sums
+    h = sums[e] - np.where(s > 0, sums[np.maximum(s, 1) - 1], np.uint64(0))
+    return mix(h * _powers[1][s])
+
+
+def word_spans(raw: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of each run of bytes that aren't `breaks`, within rows."""
+    word = ~breaks[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at] = True
+    first = word.copy()
+    first[1:] &= ~word[:-1] | edge[1:-1]
+    last = word.copy()
+    last[:-1] &= ~word[1:] | edge[1:-1]
+    return np.flatnonzero(first), np.flatnonzero(last)
 
 
 def word_hashes(texts: pa.Array, breaks: np.ndarray = SPACES, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -181,14 +198,7 @@ def word_hashes(texts: pa.Array, breaks: np.ndarray = SPACES, lower: bool = True
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     if lower:
         raw = LOWER[raw]
-    word = ~breaks[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[at] = True
-    first = word.copy()
-    first[1:] &= ~word[:-1] | edge[1:-1]
-    last = word.copy()
-    last[:-1] &= ~word[1:] | edge[1:-1]
-    s, e = np.flatnonzero(first), np.flatnonzero(last)
+    s, e = word_spans(raw, at, breaks)
     return run_hashes(raw, s, e), np.searchsorted(s, at)
 
 
