@@ -5,16 +5,19 @@ are folded into a parity bitmap (an odd sketch), and the population count of two
 precisely enough to drop nearly all false candidates; the rest are verified on their full shingle sets.
 
 Documents with equal sets are one class from the start. In a bucket every class is first compared with the bucket's least
-one, so a large group of copies costs one pair each. Links make components; then, in buckets whose members are still in
-several components, those outside the least member's component are compared with all members of other components. So
-every pair that shares a bucket is either compared or already connected.
+one, so a large group of copies costs one pair each. Links make components, and likely pairs make (larger) clusters. Then
+
+* within a cluster that still has several components, all sets are compared exactly, block by block;
+* across clusters, members of a bucket outside the least one's component are compared with those of other components.
+
+So every pair that shares a bucket is compared, or connected already, or told apart by its sketches.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, arrow_map, components, distinct, mix, shingles, sliced, word_hashes
@@ -25,6 +28,8 @@ SAMPLES = BANDS * ROWS
 #: Longs in an odd sketch. At 0.8 about 80 of 512 bits differ, give or take 11; beyond DIFFER (about 0.6) a pair is dropped.
 SKETCH_LONGS, DIFFER = 8, 135
 PART_BYTES = 1 << 20
+#: Documents of a block when a cluster is compared exactly.
+BLOCK_DOCS = 256
 #: Candidate ids are sent to all executors up to this number (12 bytes each), else the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 
@@ -121,22 +126,76 @@ def _similar(percent: int):
     return make
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, stored: Stored) -> DataFrame:
-    """Those pairs (a, b) of classes whose sketches allow it and whose sets are similar enough."""
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("odd").alias(f"odd_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+def _sketches_allow(percent: int) -> Column:
+    """Whether sizes and sketches (n_a, odd_a, n_b, odd_b) leave a similarity of `percent` possible."""
     differ = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
-    ratio = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    likely = stored.put(pairs.join(side("a"), "a").join(side("b"), "b").where(ratio & (differ <= DIFFER)).select("a", "b"), "likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (differ <= DIFFER)
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, k: int, stored: Stored) -> DataFrame:
+    """shingle_sets of the documents with these ids; the ids are broadcast if they are few, else the texts are shuffled."""
     few = ids.count() <= BROADCAST_IDS
-    sets = stored.put(shingle_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k), "sets")
+    return stored.put(shingle_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k), "sets")
+
+
+def verified(likely: DataFrame, docs: DataFrame, k: int, percent: int, stored: Stored) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar enough."""
+    ids = stored.put(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    sets = sets_of(ids, docs, k, stored)
     joined = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = stored.put(arrow_map(joined.select("a", "b", "x", "y"), _similar(percent), f"a {kind}, b {kind}").distinct(), "links")
-    stored.drop(likely, sets)
+    stored.drop(sets, ids)
     return out
 
 
+def _block(percent: int):
+    """Links between a block's documents that are in different components, as a forest."""
+
+    def run(pdf):
+        import pandas as pd
+
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        links = []
+        if len(left) and len(right):
+            p, q = ([np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in (left, right))
+            n_p, n_q = np.array([len(x) for x in p]), np.array([len(x) for x in q])
+            flat, owner = np.concatenate(q), np.repeat(np.arange(len(q)), n_q)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            ids = [*left["rep"], *right["rep"]]
+            part = np.unique(np.array([*left["component"], *right["component"]]), return_inverse=True)[1]
+            for r, x in enumerate(p):
+                lo, hi = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
+                size = hi - lo
+                at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+                both = np.bincount(owner[at], minlength=len(q))
+                for c in np.flatnonzero((100 * both >= percent * (n_p[r] + n_q - both)) & (part[len(p) :] != part[r])):
+                    if part[len(p) + c] != part[r]:
+                        links.append((ids[r], ids[len(p) + c]))
+                        part[part == part[len(p) + c]] = part[r]
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return run
+
+
+def within_clusters(cluster: DataFrame, label: DataFrame, docs: DataFrame, k: int, percent: int, stored: Stored) -> DataFrame:
+    """Links between different components of a cluster; cluster and label: (id, component)."""
+    sizes = cluster.select(F.col("id").alias("rep"), F.col("component").alias("cluster")).join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    sizes = sizes.withColumn("component", F.coalesce("component", "rep"))
+    mixed = sizes.groupBy("cluster").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("n > 2 and c0 <> c1")
+    chosen = stored.put(sizes.join(mixed.select("cluster", F.expr(f"(n + {BLOCK_DOCS - 1}) div {BLOCK_DOCS}").alias("blocks")), "cluster"), "chosen")
+    sets = sets_of(chosen.select(F.col("rep").alias("doc_id")).distinct(), docs, k, stored).dropDuplicates(["doc_id"])
+    full = chosen.join(sets, chosen["rep"] == sets["doc_id"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    each = full.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    # a block pair (i, j) compares block i with block j; within a block, with itself
+    sides = F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).when(F.col("own") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
+    rows = each.select("cluster", i, j, F.explode(sides).alias("side"), "rep", "component", "shingles")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return stored.put(rows.groupBy("cluster", "i", "j").applyInPandas(_block(percent), f"a {kind}, b {kind}"), "links")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each document, links at 100 * shared >= percent * union.
 
@@ -158,21 +217,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     banded = reps.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "least")
     buckets = stored.put(banded.join(shared, "band"), "buckets")
-    sketches = reps.select("rep", "n_shingles", "odd")
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("odd").alias(f"odd_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     star = buckets.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(star, sketches, known, k, percent, stored)
+    likely = stored.put(star.join(side("a"), "a").join(side("b"), "b").where(_sketches_allow(percent)).select("a", "b"), "likely")
+    links = verified(likely, known, k, percent, stored)
     label = stored.put(components(links, stored), "components")
-
-    # members of a bucket that are not in the least one's component, against all members of other components
-    named = buckets.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    cluster = stored.put(components(likely, stored), "clusters")
+    inner = within_clusters(cluster, label, known, k, percent, stored)
+    label = stored.put(components(links.unionByName(inner), stored), "components")
+
+    # members of a bucket outside the least one's component, against members of other components and clusters
+    named = (
+        buckets.join(label.withColumnRenamed("id", "rep"), "rep", "left")
+        .join(cluster.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep", "left")
+        .select("band", "rep", "least", F.coalesce("component", "rep").alias("component"), F.coalesce("cluster", "rep").alias("cluster"))
+    )
     named = stored.put(named, "named")
-    heads = named.where("rep = least").select("band", F.col("component").alias("head"))
-    outside = stored.put(named.join(heads, "band").where("component <> head").select("band", F.col("rep").alias("o"), F.col("component").alias("o_component")).distinct(), "outside")
-    crossed = outside.join(named, "band").where((F.col("o_component") != F.col("component")) & (F.col("rep") != F.col("least")))
-    cross = crossed.select(F.least("o", "rep").alias("a"), F.greatest("o", "rep").alias("b")).distinct()
-    more = verified(cross, sketches, known, k, percent, stored)
-    stored.drop(buckets, named, outside, reps)
-    both = stored.put(components(links.unionByName(more), stored), "components")
+    mixed = named.groupBy("band").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1")).where("c0 <> c1").select("band")
+    several = stored.put(named.join(mixed, "band").join(reps.select("rep", "odd", "n_shingles"), "rep"), "several")
+    heads = several.where("rep = least").select("band", F.col("component").alias("head"))
+    outside = several.join(heads, "band").where("component <> head").select("band", F.col("rep").alias("a"), F.col("component").alias("p"), F.col("cluster").alias("q"), F.col("odd").alias("odd_a"), F.col("n_shingles").alias("n_a"))
+    others = several.where("rep <> least").select("band", F.col("rep").alias("b"), "component", "cluster", F.col("odd").alias("odd_b"), F.col("n_shingles").alias("n_b"))
+    crossed = outside.join(others, (outside["band"] == others["band"]) & (F.col("p") != F.col("component")) & (F.col("q") != F.col("cluster")) & _sketches_allow(percent))
+    cross = stored.put(crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
+    more = verified(cross, known, k, percent, stored)
+    stored.drop(buckets, named, several, reps)
+    both = stored.put(components(links.unionByName(inner).unionByName(more), stored), "components")
 
     found = members.join(both.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = found.unionByName(rest.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
