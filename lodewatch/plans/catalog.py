@@ -1,4 +1,811 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries, each with its SQL twin where SQL can say it. All read the given tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodewatch.functions.columns import is_known_safe, is_valid_ip, is_valid_mac, level_to_severity, tier_of
+from lodewatch.functions.times import last
+from lodewatch.operators import aggregate, detect, enrich, normalize, search, tenants, ueba
+from lodewatch.operators import events as canned
+from lodewatch.sources import ingest, tiers, views
+from lodewatch.sources.views import AS_OF, flat_events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+E = "WITH e AS (" + views.EVENTS_SQL.format(json="json_extract_string(props, '$.k')", source="events") + ")\n"
+T = "tenant-1"
+START, END = datetime(2024, 1, 10), datetime(2024, 1, 20)
+RANGE = "time BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'"
+
+
+def query(sql: str | None = None, events: bool = True):
+    """Registers a function under its name; sql may use the view e of flat events."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = (E if events else "") + sql
+        return f
+
+    return add
+
+
+def own(spark, sf_dir):
+    return search.for_tenant(flat_events(spark, sf_dir), T)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, or a temporary one where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tiers-")
+    return f"{base.rstrip('/')}/tiers-{uuid.uuid4().hex}"
+
+
+# ---------------------------------------------------------------- search
+
+
+@query("SELECT category_name, count(*) AS events, round(avg(bytes_out), 6) AS mean_bytes FROM e WHERE tenant_id='tenant-1' AND time BETWEEN TIMESTAMP '2024-01-24' AND TIMESTAMP '2024-01-31' AND severity >= 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def search_flagship(spark, sf_dir):
+    found = search.search(flat_events(spark, sf_dir), T, "-7d", "now", F.col("severity") >= 3, [("count", "*", "events"), ("avg", "bytes_out", "mean_bytes")], ["category_name"], ["-events", "category_name"], 10, AS_OF)
+    return found.withColumn("mean_bytes", F.round("mean_bytes", 6))
+
+
+@query(f"SELECT uuid, time, severity FROM e WHERE tenant_id='tenant-1' AND {RANGE}")
+def q_time_abs(spark, sf_dir):
+    return search.search(flat_events(spark, sf_dir), T, "2024-01-10 00:00:00", "2024-01-20 00:00:00", as_of=AS_OF).select("uuid", "time", "severity")
+
+
+@query("SELECT uuid, time FROM e WHERE tenant_id='tenant-1' AND time BETWEEN TIMESTAMP '2024-01-28' AND TIMESTAMP '2024-01-31'")
+def q_time_rel(spark, sf_dir):
+    return search.search(flat_events(spark, sf_dir), T, "-72h", "now", as_of=AS_OF).select("uuid", "time")
+
+
+@query("SELECT uuid, time FROM e WHERE tenant_id='tenant-1' AND time BETWEEN TIMESTAMP '2024-01-30' AND TIMESTAMP '2024-01-31'")
+def q_default_24h(spark, sf_dir):
+    return search.search(flat_events(spark, sf_dir), T, as_of=AS_OF).select("uuid", "time")
+
+
+@query("SELECT uuid, time FROM e WHERE tenant_id='tenant-1' AND time BETWEEN TIMESTAMP '2024-01-17' AND TIMESTAMP '2024-01-31'")
+def q_last_n(spark, sf_dir):
+    return search.in_range(own(spark, sf_dir), *last("last 2 w", AS_OF)).select("uuid", "time")
+
+
+@query("SELECT uuid, severity, class_name FROM e WHERE tenant_id='tenant-1' AND severity >= 2 AND class_name <> 'purchase' AND bytes_out < 300000000")
+def q_compare(spark, sf_dir):
+    return own(spark, sf_dir).where(search.all_of(search.compare("severity", ">=", "2"), search.compare("class_name", "!=", "purchase"), search.compare("bytes_out", "<", 300000000))).select("uuid", "severity", "class_name")
+
+
+@query("SELECT uuid, message FROM e WHERE tenant_id='tenant-1' AND contains(message, 'error by')")
+def q_contains(spark, sf_dir):
+    return own(spark, sf_dir).where(search.compare("message", "contains", "error by")).select("uuid", "message")
+
+
+@query("SELECT uuid FROM e WHERE tenant_id='tenant-1' AND (severity = 5 OR (class_name = 'click' AND dst_port > 90))")
+def q_and_or(spark, sf_dir):
+    return own(spark, sf_dir).where(search.any_of(search.compare("severity", "=", 5), search.all_of(search.compare("class_name", "=", "click"), search.compare("dst_port", ">", 90)))).select("uuid")
+
+
+@query("SELECT uuid, actor_user, dst_port AS port, outcome FROM e WHERE tenant_id='tenant-1' AND outcome = 'failure'")
+def q_nested_field(spark, sf_dir):
+    df = search.for_tenant(views.events(spark, sf_dir), T).where(F.col("metadata")["outcome"] == "failure")
+    return df.select("uuid", F.col("actor.user").alias("actor_user"), F.col("dst_endpoint.port").alias("port"), F.col("metadata")["outcome"].alias("outcome"))
+
+
+@query("SELECT e.* FROM e WHERE false OR tenant_id = 'tenant'' OR ''1''=''1'")
+def q_hostile_tenant(spark, sf_dir):
+    return search.for_tenant(flat_events(spark, sf_dir), "tenant' OR '1'='1")
+
+
+# ---------------------------------------------------------------- aggregates
+
+
+@query("SELECT count(*) AS count_all, CAST(sum(bytes_out) AS BIGINT) AS sum_bytes_out, round(avg(severity), 6) AS avg_severity, min(dst_port) AS min_dst_port, max(dst_port) AS max_dst_port FROM e WHERE tenant_id='tenant-1'")
+def a_global_stats(spark, sf_dir):
+    out = search.stats(own(spark, sf_dir), [("count", "*"), ("sum", "bytes_out"), ("avg", "severity"), ("min", "dst_port"), ("max", "dst_port")])
+    return out.withColumn("avg_severity", F.round("avg_severity", 6))
+
+
+@query("SELECT category_name, severity, count(actor_user) AS count_actor_user, CAST(sum(bytes_out) AS BIGINT) AS sum_bytes_out FROM e WHERE tenant_id='tenant-1' GROUP BY 1, 2")
+def a_group_stats(spark, sf_dir):
+    return search.stats(own(spark, sf_dir), [("count", "actor_user"), ("sum", "bytes_out")], ["category_name", "severity"])
+
+
+@query(
+    """, c AS (SELECT class_name, actor_user, count(*) AS n FROM e GROUP BY 1, 2),
+p AS (SELECT class_name, row_number() OVER (ORDER BY sum(n) DESC, class_name) AS r FROM c GROUP BY 1),
+k AS (SELECT c.*, row_number() OVER (PARTITION BY class_name ORDER BY n DESC, actor_user) AS r FROM c)
+SELECT k.class_name, k.actor_user, k.n FROM k JOIN p ON k.class_name = p.class_name WHERE p.r <= 3 AND k.r <= 3"""
+)
+def a_nested_top_terms(spark, sf_dir):
+    return aggregate.nested_top_terms(flat_events(spark, sf_dir), ["class_name", "actor_user"], 3)
+
+
+@query("SELECT dst_port, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, dst_port LIMIT 10")
+def a_top_terms(spark, sf_dir):
+    return aggregate.top_terms(flat_events(spark, sf_dir), "dst_port", 10)
+
+
+@query(f"SELECT actor_user, count(*) AS n FROM e WHERE tenant_id='tenant-1' AND {RANGE} AND actor_user <> '' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10")
+def a_top_users(spark, sf_dir):
+    return aggregate.top_terms(search.in_range(own(spark, sf_dir), START, END), "actor_user", 10, blanks=False)
+
+
+@query(f"SELECT src_ip, count(*) AS n FROM e WHERE tenant_id='tenant-1' AND {RANGE} AND src_ip <> '' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10")
+def a_top_source_ips(spark, sf_dir):
+    return aggregate.top_terms(search.in_range(own(spark, sf_dir), START, END), "src_ip", 10, blanks=False)
+
+
+@query("SELECT category_name, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, 1 LIMIT 100")
+def a_by_category(spark, sf_dir):
+    return aggregate.counts_by(flat_events(spark, sf_dir), "category_name", 100)
+
+
+@query("SELECT severity, count(*) AS n FROM e GROUP BY 1 ORDER BY 1")
+def a_by_severity(spark, sf_dir):
+    return aggregate.counts_by(flat_events(spark, sf_dir), "severity")
+
+
+@query("SELECT date_trunc('hour', time) AS hour, count(*) AS n FROM e WHERE tenant_id='tenant-1' GROUP BY 1")
+def a_hourly(spark, sf_dir):
+    return aggregate.hourly_counts(own(spark, sf_dir))
+
+
+@query(
+    """, h AS (SELECT date_trunc('hour', time) AS bucket, count(*) AS n FROM e WHERE severity = 5 AND tenant_id='tenant-1' GROUP BY 1)
+SELECT b.bucket, coalesce(h.n, 0) AS n FROM (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 HOUR)) AS bucket FROM h) b LEFT JOIN h ON b.bucket = h.bucket"""
+)
+def a_date_histogram(spark, sf_dir):
+    return aggregate.date_histogram(own(spark, sf_dir).where("severity = 5"), "hour")
+
+
+@query("SELECT date_trunc('hour', time) AS event_hour, tenant_id, category_name, severity, count(*) AS event_count, count(DISTINCT actor_user) AS unique_users, count(DISTINCT src_ip) AS unique_src_ips, round(avg(bytes_out / 1000000), 6) AS avg_score FROM e GROUP BY 1, 2, 3, 4")
+def a_hourly_rollup(spark, sf_dir):
+    return aggregate.hourly_rollup(flat_events(spark, sf_dir).withColumn("score", F.col("bytes_out") / 1000000), exact=True).withColumn("avg_score", F.round("avg_score", 6))
+
+
+@query()
+def a_merge_rollup(spark, sf_dir):
+    state = aggregate.rollup_state(flat_events(spark, sf_dir).withColumn("score", F.col("bytes_out") / 1000000))
+    return aggregate.merge_rollup(state, ["tenant_id", "category_name"]).withColumn("avg_score", F.round("avg_score", 6))
+
+
+@query("SELECT severity, count(*) AS n, CAST(sum(bytes_out) AS BIGINT) AS total, min(bytes_out) AS low, max(bytes_out) AS high, round(avg(bytes_out), 6) AS mean FROM e GROUP BY 1")
+def a_merge_aggregates(spark, sf_dir):
+    part = lambda df: df.groupBy("severity").agg(F.count("*").alias("n"), F.sum("bytes_out").alias("total"), F.min("bytes_out").alias("low"), F.max("bytes_out").alias("high"))
+    e = flat_events(spark, sf_dir)
+    old = F.col("time") < F.lit(START).cast("timestamp_ntz")
+    return aggregate.merge_aggregates([part(e.where(old)), part(e.where(~old))], ["severity"]).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT class_name, count(*) AS doc_count, min(dst_port) AS low, max(dst_port) AS high FROM e GROUP BY 1")
+def a_bucket_merge(spark, sf_dir):
+    part = lambda df: df.groupBy("class_name").agg(F.count("*").alias("doc_count"), F.min("dst_port").alias("low"), F.max("dst_port").alias("high"))
+    e = flat_events(spark, sf_dir)
+    return aggregate.merge_buckets([part(e.where("severity >= 3")), part(e.where("severity < 3"))], "class_name")
+
+
+@query("SELECT tenant_id, time_bucket(INTERVAL 12 HOURS, time, TIMESTAMP '1970-01-01') AS window_start, src_ip, count(*) AS n FROM e WHERE outcome = 'failure' GROUP BY 1, 2, 3")
+def a_ip_count_map(spark, sf_dir):
+    maps = aggregate.ip_count_map(flat_events(spark, sf_dir).where("outcome = 'failure'"), "12 hours")
+    return maps.select("tenant_id", "window_start", F.explode("counts").alias("src_ip", "n"))
+
+
+# ---------------------------------------------------------------- sorting, pages, sets
+
+
+@query("SELECT uuid, severity, dst_port FROM e WHERE tenant_id='tenant-1' ORDER BY severity DESC, dst_port, CAST(uuid AS BIGINT) LIMIT 50")
+def l_sort_multi(spark, sf_dir):
+    return search.sort(own(spark, sf_dir).withColumn("n", F.col("uuid").cast("long")), "-severity", "dst_port", "n").limit(50).select("uuid", "severity", "dst_port")
+
+
+@query("SELECT uuid, time FROM e WHERE tenant_id='tenant-1' ORDER BY time DESC, uuid LIMIT 26 OFFSET 50")
+def l_page_offset(spark, sf_dir):
+    return search.page(own(spark, sf_dir), 50, 25, more=True).select("uuid", "time")
+
+
+@query(", l AS (SELECT time AS t, uuid AS i FROM e WHERE tenant_id='tenant-1' AND time <= TIMESTAMP '2024-01-15' ORDER BY time DESC, uuid LIMIT 1)\nSELECT uuid, time FROM e, l WHERE tenant_id='tenant-1' AND (time < t OR (time = t AND uuid > i)) ORDER BY time DESC, uuid LIMIT 25")
+def l_page_keyset(spark, sf_dir):
+    rows = own(spark, sf_dir)
+    first = search.newest_first(rows.where(F.col("time") <= F.lit(datetime(2024, 1, 15)).cast("timestamp_ntz"))).select("time", "uuid").first()
+    return search.page_after(rows, first["time"], first["uuid"], 25).select("uuid", "time") if first else rows.select("uuid", "time").limit(0)
+
+
+@query(f"SELECT uuid, time, CASE WHEN date_diff('day', CAST(time AS DATE), DATE '2024-01-31') < 7 THEN 'hot' WHEN date_diff('day', CAST(time AS DATE), DATE '2024-01-31') < 21 THEN 'warm' ELSE 'cold' END AS tier FROM e WHERE tenant_id='tenant-1' AND time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-28'")
+def l_tier_union(spark, sf_dir):
+    root, e = scratch(spark), flat_events(spark, sf_dir)
+    for tier in ("hot", "warm", "cold"):
+        tiers.write_tier(e.where(tier_of(F.col("time"), AS_OF, 7, 21) == tier), root, tier)
+    found = tiers.read_tiers(spark, root, datetime(2024, 1, 5), datetime(2024, 1, 28), AS_OF, 7, 21)
+    return search.for_tenant(found, T).select("uuid", "time", "tier")
+
+
+# ---------------------------------------------------------------- canned event queries
+
+
+def _events_sql(condition):
+    return f"SELECT uuid, time, message FROM e WHERE tenant_id='tenant-1' AND {condition} ORDER BY time DESC, uuid LIMIT 100"
+
+
+def _events(spark, sf_dir, condition):
+    return canned.events_where(flat_events(spark, sf_dir), T, F.expr(condition)).select("uuid", "time", "message")
+
+
+@query(_events_sql(RANGE))
+def f_by_time(spark, sf_dir):
+    return search.page(search.in_range(own(spark, sf_dir), START, END), 0, 100).select("uuid", "time", "message")
+
+
+@query(_events_sql("category_name = 'network'"))
+def f_by_category(spark, sf_dir):
+    return _events(spark, sf_dir, "category_name = 'network'")
+
+
+@query(_events_sql("actor_user = 'user-5'"))
+def f_by_user(spark, sf_dir):
+    return _events(spark, sf_dir, "actor_user = 'user-5'")
+
+
+@query(_events_sql("src_ip = '10.0.1.5'"))
+def f_by_source_ip(spark, sf_dir):
+    return _events(spark, sf_dir, "src_ip = '10.0.1.5'")
+
+
+@query(
+    """SELECT doc_id, greatest(2.0 * len(list_filter(['license', 'public'], lambda w: len(list_filter(t, lambda x: levenshtein(x, w) <= 2)) > 0)),
+  1.0 * len(list_filter(['license', 'public'], lambda w: len(list_filter(s, lambda x: levenshtein(x, w) <= 2)) > 0))) AS score
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS t, list_filter(regexp_split_to_array(lower(source), '[^a-z0-9_]+'), lambda x: x <> '') AS s FROM documents WHERE lang = 'en') d
+WHERE len(list_filter(t, lambda x: levenshtein(x, 'license') <= 2 OR levenshtein(x, 'public') <= 2)) > 0 OR len(list_filter(s, lambda x: levenshtein(x, 'license') <= 2 OR levenshtein(x, 'public') <= 2)) > 0""",
+    events=False,
+)
+def f_text_search(spark, sf_dir):
+    return canned.text_search(views.table(spark, sf_dir, "documents").where("lang = 'en'"), "license public", {"text": 2.0, "source": 1.0}).select("doc_id", "score")
+
+
+@query(
+    """SELECT doc_id, list_transform(list_filter(list_transform(generate_series(0, greatest(0, len(text) - 1), 150), lambda i: substring(text, CAST(i + 1 AS BIGINT), 150)),
+  lambda x: regexp_matches(x, '(?i)\\b(license)\\b'))[1:3], lambda x: regexp_replace(x, '(?i)\\b(license)\\b', '<em>\\1</em>', 'g')) AS marked
+FROM documents WHERE regexp_matches(text, '(?i)\\blicense\\b')""",
+    events=False,
+)
+def f_highlight(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?i)\blicense\b"))
+    return d.select("doc_id", canned.highlight(F.col("text"), ["license"]).alias("marked"))
+
+
+@query("SELECT token, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(source), '[^a-z0-9_]+'), lambda x: x <> '')) AS token FROM documents) GROUP BY 1, 2", events=False)
+def f_token_index(spark, sf_dir):
+    return canned.token_index(views.table(spark, sf_dir, "documents"), "doc_id", "source")
+
+
+@query("SELECT 'alert-' || uuid AS id, severity, ['open', 'acknowledged', 'in_progress', 'resolved', 'false_positive'][CAST(uuid AS BIGINT) % 5 + 1] AS status, time FROM e WHERE tenant_id='tenant-1' AND severity = 5 AND CAST(uuid AS BIGINT) % 5 = 0 ORDER BY time DESC, id LIMIT 100")
+def f_find_alerts(spark, sf_dir):
+    return canned.find_alerts(views.alerts(spark, sf_dir), T, severity=5, status="open").select("id", "severity", "status", "time")
+
+
+@query("SELECT severity, count(*) AS n FROM e WHERE tenant_id='tenant-1' AND severity >= 4 AND CAST(uuid AS BIGINT) % 5 = 0 GROUP BY 1")
+def f_count_alerts(spark, sf_dir):
+    return search.for_tenant(views.alerts(spark, sf_dir), T).where("status = 'open'").groupBy("severity").agg(F.count("*").alias("n"))
+
+
+ACK_AT = datetime(2024, 1, 31, 12)
+ACKED = ", a AS (SELECT uuid, 'alert-' || uuid AS id, time, ['open', 'acknowledged', 'in_progress', 'resolved', 'false_positive'][CAST(uuid AS BIGINT) % 5 + 1] AS status FROM e WHERE tenant_id='tenant-1' AND severity >= 4),\nw AS (SELECT id FROM a ORDER BY time, id LIMIT 3)\n"
+
+
+@query(ACKED + "SELECT id, CASE WHEN id IN (FROM w) THEN 'acknowledged' ELSE status END AS status, CASE WHEN id IN (FROM w) THEN 'ann' END AS acknowledged_by FROM a")
+def f_ack(spark, sf_dir):
+    mine = search.for_tenant(views.alerts(spark, sf_dir), T)
+    ids = [r["id"] for r in mine.orderBy("time", "id").limit(3).select("id").collect()]
+    return canned.acknowledge(mine, T, ids, "ann", ACK_AT).select("id", "status", "acknowledged_by")
+
+
+@query("SELECT actor_user AS id, max(time) AS time, arg_max(severity, (time, CAST(uuid AS BIGINT))) AS severity FROM e GROUP BY 1")
+def f_upsert(spark, sf_dir):
+    e = flat_events(spark, sf_dir).select(F.col("actor_user").alias("id"), "time", "severity", F.struct("time", F.col("uuid").cast("long").alias("n")).alias("version"))
+    old = F.col("time") < F.lit(START).cast("timestamp_ntz")
+    return canned.upsert(e.where(old), e.where(~old), "id", "version").select("id", "time", "severity")
+
+
+@query("SELECT uuid, actor_user AS user, dst_port AS port, CAST(bytes_out AS STRING) AS bytes, outcome FROM e WHERE tenant_id='tenant-1'")
+def f_event_struct(spark, sf_dir):
+    s = canned.to_event_struct(own(spark, sf_dir))
+    return s.select("event.uuid", F.col("event.actor.user").alias("user"), F.col("event.dst_endpoint.port").alias("port"), F.col("extra")["bytes_out"].alias("bytes"), F.col("extra")["outcome"].alias("outcome"))
+
+
+# ---------------------------------------------------------------- joins
+
+INTEL = "(CAST(split_part(dst_ip, '.', 4) AS INT))"
+
+
+@query(f"SELECT uuid, CASE WHEN {INTEL} % 3 = 0 THEN {INTEL} * 7 % 101 ELSE 0 END AS reputation, CASE WHEN {INTEL} % 3 = 0 THEN ['botnet', 'malware', 'phishing', 'scanner'][{INTEL} % 4 + 1] ELSE 'safe' END AS threat_category, {INTEL} % 3 = 0 AND {INTEL} * 7 % 101 > 50 AS is_threat FROM e")
+def j_threat_ip(spark, sf_dir):
+    return enrich.enrich_threat_intel(flat_events(spark, sf_dir), views.threat_intel(spark, sf_dir), "dst_ip").select("uuid", "reputation", "threat_category", "is_threat")
+
+
+def _by_user(n):
+    who = "CAST(split_part(actor_user, '-', 2) AS INT)"
+    return f"SELECT uuid, CASE WHEN {who} % {n} = 0 THEN {who} * 7 % 101 ELSE 0 END AS reputation, {who} % {n} = 0 AND {who} * 7 % 101 > 50 AS is_threat FROM e"
+
+
+@query(_by_user(5))
+def j_threat_domain(spark, sf_dir):
+    domain = F.concat(F.lit("host-"), F.split_part("actor_user", F.lit("-"), F.lit(2)), F.lit(".example.net"))
+    return enrich.enrich_threat_intel(flat_events(spark, sf_dir), views.threat_intel(spark, sf_dir), domain, "domain").select("uuid", "reputation", "is_threat")
+
+
+@query(_by_user(7))
+def j_threat_hash(spark, sf_dir):
+    file = F.sha2(F.concat(F.lit("file-"), F.split_part("actor_user", F.lit("-"), F.lit(2))), 256)
+    return enrich.enrich_threat_intel(flat_events(spark, sf_dir), views.threat_intel(spark, sf_dir), file, "hash").select("uuid", "reputation", "is_threat")
+
+
+@query("SELECT src_ip AS ip, true AS safe FROM e GROUP BY 1 UNION ALL SELECT dst_ip, false FROM e GROUP BY 1")
+def j_known_safe(spark, sf_dir):
+    e = flat_events(spark, sf_dir)
+    return e.select(F.col("src_ip").alias("ip")).distinct().unionByName(e.select(F.col("dst_ip").alias("ip")).distinct()).withColumn("safe", is_known_safe(F.col("ip")))
+
+
+@query(
+    """, a AS (SELECT 'alert-' || uuid AS alert_id, tenant_id, unnest([uuid, CAST(CAST(uuid AS BIGINT) + 1 AS STRING), 'missing']) AS event_id, unnest([0, 1, 2]) AS position FROM e WHERE severity >= 4)
+SELECT a.alert_id, a.position, a.event_id, e.message, e.severity FROM a LEFT JOIN e ON e.uuid = a.event_id AND e.tenant_id = a.tenant_id"""
+)
+def j_alert_events(spark, sf_dir):
+    return canned.alert_events(views.alerts(spark, sf_dir), flat_events(spark, sf_dir))
+
+
+@query("SELECT uuid, message FROM e WHERE tenant_id='tenant-1' AND CAST(uuid AS BIGINT) % 50 = 1")
+def j_find_by_ids(spark, sf_dir):
+    e = flat_events(spark, sf_dir)
+    return canned.find_by_ids(e, T, e.where(F.col("uuid").cast("long") % 50 == 1).select("uuid")).select("uuid", "message")
+
+
+@query("SELECT e.uuid, e.time FROM e WHERE tenant_id IN ('tenant-0', 'tenant-3')")
+def j_active_tenants(spark, sf_dir):
+    return enrich.of_tenants(flat_events(spark, sf_dir), views.tenants(spark, sf_dir)).select("uuid", "time")
+
+
+@query("SELECT tenant_id, count(*) AS n FROM e WHERE tenant_id <> 'tenant-1' GROUP BY 1")
+def j_violations(spark, sf_dir):
+    return enrich.tenant_violations(flat_events(spark, sf_dir), T).groupBy("tenant_id").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- detection
+
+
+def _windowed(kind):
+    if kind == "tumbling":
+        return "SELECT tenant_id, src_ip, time_bucket(INTERVAL 12 HOURS, time, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n FROM e WHERE outcome = 'failure' GROUP BY 1, 2, 3"
+    return """, x AS (SELECT *, epoch_us(time) u FROM e WHERE outcome = 'failure'), k AS (SELECT tenant_id, src_ip, (u // 21600000000) - unnest(range(0, 5)) b, u FROM x)
+SELECT tenant_id, src_ip, make_timestamp(b * 21600000000) AS window_start, count(*) AS n FROM k WHERE b * 21600000000 <= u AND u < b * 21600000000 + 86400000000 GROUP BY 1, 2, 3"""
+
+
+def _count_windows(spark, sf_dir, window):
+    return flat_events(spark, sf_dir).where("outcome = 'failure'").groupBy("tenant_id", "src_ip", window.alias("w")).agg(F.count("*").alias("n")).select("tenant_id", "src_ip", F.col("w.start").alias("window_start"), "n")
+
+
+@query(_windowed("tumbling"))
+def d_tumbling(spark, sf_dir):
+    return _count_windows(spark, sf_dir, F.window("time", "12 hours"))
+
+
+@query(_windowed("sliding"))
+def d_sliding(spark, sf_dir):
+    return _count_windows(spark, sf_dir, F.window("time", "24 hours", "6 hours"))
+
+
+@query(
+    """, g AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY actor_user ORDER BY time) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END nw FROM e),
+i AS (SELECT *, sum(nw) OVER (PARTITION BY actor_user ORDER BY time ROWS UNBOUNDED PRECEDING) sid FROM g)
+SELECT actor_user, min(time) AS session_start, max(time) + INTERVAL 6 HOURS AS session_end, count(*) AS n FROM i GROUP BY actor_user, sid"""
+)
+def d_session(spark, sf_dir):
+    s = flat_events(spark, sf_dir).groupBy("actor_user", F.session_window("time", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return s.select("actor_user", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def _rule(name):
+    return next(r for r in detect.load_rules() if r.id == name)
+
+
+BRUTE = "SELECT tenant_id, time_bucket(INTERVAL 12 HOURS, time, TIMESTAMP '1970-01-01') AS window_start, src_ip AS key, count(*) AS value FROM e WHERE class_uid = 3002 AND category_uid = 3 AND outcome = 'failure' GROUP BY 1, 2, 3 HAVING count(*) > 5"
+SCAN = """, x AS (SELECT *, epoch_us(time) u FROM e WHERE class_uid = 4001 AND category_uid = 4), k AS (SELECT tenant_id, src_ip, dst_port, (u // 21600000000) - unnest(range(0, 5)) b, u FROM x)
+SELECT tenant_id, make_timestamp(b * 21600000000) AS window_start, src_ip AS key, count(DISTINCT dst_port) AS value FROM k WHERE b * 21600000000 <= u AND u < b * 21600000000 + 86400000000 GROUP BY 1, 2, 3 HAVING count(DISTINCT dst_port) > 20"""
+SENT = "SELECT tenant_id, time_bucket(INTERVAL 5 DAYS, time, TIMESTAMP '1970-01-01') AS window_start, src_ip AS key, CAST(sum(bytes_out) AS BIGINT) AS value FROM e WHERE class_uid = 4001 AND category_uid = 4 GROUP BY 1, 2, 3 HAVING sum(bytes_out) > 1073741824"
+_SHOWN = ["tenant_id", "window_start", "key", "value"]
+
+
+@query(BRUTE)
+def d_brute_force(spark, sf_dir):
+    return detect.run_rules(flat_events(spark, sf_dir), [detect.with_windows(_rule("brute-force"), "12 hours")]).select(_SHOWN)
+
+
+@query(SCAN)
+def d_port_scan(spark, sf_dir):
+    return detect.run_rules(flat_events(spark, sf_dir), [detect.with_windows(_rule("port-scan"), "24 hours", "6 hours")]).select(_SHOWN)
+
+
+@query(SENT)
+def d_exfiltration(spark, sf_dir):
+    return detect.run_rules(flat_events(spark, sf_dir), [detect.with_windows(_rule("exfiltration"), "5 days")]).select(_SHOWN)
+
+
+@query(", b AS (" + BRUTE + "), s AS (" + SENT.replace("5 DAYS", "12 HOURS") + ") SELECT 'brute-force' AS rule_id, * FROM b UNION ALL SELECT 'exfiltration', * FROM s")
+def d_run_rules(spark, sf_dir):
+    rules = [detect.with_windows(r, "12 hours") for r in detect.load_rules() if r.window_type == "tumbling"]
+    return detect.run_rules(flat_events(spark, sf_dir), rules).select("rule_id", *_SHOWN)
+
+
+PATTERNS = (("fast", 10, "24 hours"), ("slow", 5, "12 hours"), ("vertical", 30, "24 hours"), ("horizontal", 20, "24 hours"))
+
+
+@query(
+    """, p AS (SELECT tenant_id, src_ip, h, time_bucket(to_hours(h), time, TIMESTAMP '1970-01-01') AS window_start, count(DISTINCT dst_port) AS ports FROM e, (VALUES (24), (12)) w(h) WHERE class_uid = 4001 GROUP BY ALL)
+SELECT pattern, tenant_id, src_ip, window_start, ports FROM p JOIN (VALUES ('fast', 10, 24), ('slow', 5, 12), ('vertical', 30, 24), ('horizontal', 20, 24)) t(pattern, above, hours) ON h = hours AND ports > above"""
+)
+def d_port_scan_patterns(spark, sf_dir):
+    return detect.scan_patterns(flat_events(spark, sf_dir), PATTERNS)
+
+
+ALERTED = """, c AS (SELECT tenant_id, time_bucket(INTERVAL 12 HOURS, time, TIMESTAMP '1970-01-01') AS w, src_ip, count(*) AS n FROM e WHERE outcome = 'failure' AND class_uid = 3002 AND category_uid = 3 GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, w ORDER BY n DESC, src_ip) AS r FROM c)
+"""
+
+
+@query(ALERTED + "SELECT tenant_id, w + INTERVAL 12 HOURS AS time, 4 AS severity, 'open' AS status, CAST(sum(n) AS BIGINT) AS total, max(CASE WHEN r = 1 THEN src_ip END) AS top_contributor FROM o GROUP BY tenant_id, w HAVING max(n) > 5")
+def d_alerts(spark, sf_dir):
+    rule = detect.with_windows(_rule("brute-force"), "12 hours")
+    return detect.build_alerts(detect.count_by_source_ip(flat_events(spark, sf_dir), rule), rule).select("tenant_id", "time", "severity", "status", "total", "top_contributor")
+
+
+@query(ALERTED + "SELECT tenant_id, w + INTERVAL 12 HOURS AS time, string_agg(CASE WHEN r <= 3 THEN src_ip || ' (' || n || ')' END, ', ' ORDER BY r) AS top_contributors FROM o GROUP BY tenant_id, w HAVING max(n) > 5")
+def d_description(spark, sf_dir):
+    rule = detect.with_windows(_rule("brute-force"), "12 hours")
+    return detect.build_alerts(detect.count_by_source_ip(flat_events(spark, sf_dir), rule), rule).select("tenant_id", "time", "top_contributors")
+
+
+@query("SELECT level, CASE level WHEN 'purchase' THEN 3 ELSE 3 END AS severity, count(*) AS n FROM (SELECT class_name AS level FROM e) GROUP BY 1 UNION ALL SELECT 'high', 4, count(*) FROM e")
+def d_level(spark, sf_dir):
+    e = flat_events(spark, sf_dir)
+    levels = e.select(F.col("class_name").alias("level")).unionByName(e.select(F.lit("high").alias("level")))
+    return levels.groupBy("level").agg(F.count("*").alias("n")).withColumn("severity", level_to_severity(F.col("level")))
+
+
+# ---------------------------------------------------------------- behaviour
+
+RECURSE = """WITH RECURSIVE e AS (""" + E[len("WITH e AS (") : -2] + """),
+o AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, actor_user ORDER BY time, uuid) n, bytes_out / 1000000.0::DOUBLE v, CASE WHEN category_name='authentication' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END g FROM e),
+r AS (SELECT tenant_id, actor_user, 0::BIGINT n, 0.0::DOUBLE m, 1.0::DOUBLE sd, 0.0::DOUBLE lm, 1.0::DOUBLE ls FROM (SELECT DISTINCT tenant_id, actor_user FROM o)
+ UNION ALL SELECT o.tenant_id, o.actor_user, o.n,
+  CASE WHEN v > 0 THEN (2.0::DOUBLE/31)*v + (1-2.0::DOUBLE/31)*m ELSE m END,
+  CASE WHEN v > 0 THEN sqrt((2.0::DOUBLE/31)*pow(v - ((2.0::DOUBLE/31)*v + (1-2.0::DOUBLE/31)*m), 2) + (1-2.0::DOUBLE/31)*pow(sd, 2)) ELSE sd END,
+  CASE WHEN g > 0 THEN (2.0::DOUBLE/31)*g + (1-2.0::DOUBLE/31)*lm ELSE lm END,
+  CASE WHEN g > 0 THEN sqrt((2.0::DOUBLE/31)*pow(g - ((2.0::DOUBLE/31)*g + (1-2.0::DOUBLE/31)*lm), 2) + (1-2.0::DOUBLE/31)*pow(ls, 2)) ELSE ls END
+ FROM r JOIN o ON o.tenant_id = r.tenant_id AND o.actor_user = r.actor_user AND o.n = r.n + 1),
+f AS (SELECT o.*, CASE WHEN sd = 0 THEN 0 ELSE abs((v - m) / sd) END f3, CASE WHEN ls = 0 THEN 0 ELSE abs((1 - lm) / ls) END f4,
+  row_number() OVER (PARTITION BY o.tenant_id, o.actor_user, src_location ORDER BY time, uuid) = 1 f5, row_number() OVER (PARTITION BY o.tenant_id, o.actor_user, device_id ORDER BY time, uuid) = 1 f6,
+  category_name='authentication' AND outcome='failure' f9 FROM o JOIN r ON r.tenant_id = o.tenant_id AND r.actor_user = o.actor_user AND r.n = o.n - 1),
+s AS (SELECT *, least(1.0::DOUBLE, (CASE WHEN f3 > 3 THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN f4 > 3 THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN f5 THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN f6 THEN 0.15::DOUBLE ELSE 0 END)
+  + (CASE WHEN privilege_escalation THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN f9 THEN 0.15::DOUBLE ELSE 0 END)) AS score FROM f)
+"""
+
+
+@query("SELECT uuid, hour(time) AS f0, dayofweek(time) AS f1, round(bytes_out / 1000000.0::DOUBLE, 6) AS f2, privilege_escalation AS f8, category_name='authentication' AND outcome='failure' AS f9 FROM e")
+def u_features(spark, sf_dir):
+    return ueba.features(flat_events(spark, sf_dir)).select("uuid", "f0", "f1", F.round("f2", 6).alias("f2"), "f8", "f9")
+
+
+@query("SELECT uuid, row_number() OVER (PARTITION BY tenant_id, actor_user, src_location ORDER BY time, uuid) = 1 AS new_location, row_number() OVER (PARTITION BY tenant_id, actor_user, device_id ORDER BY time, uuid) = 1 AS new_device FROM e")
+def u_first_seen(spark, sf_dir):
+    return ueba.features(flat_events(spark, sf_dir)).select("uuid", F.col("f5").alias("new_location"), F.col("f6").alias("new_device"))
+
+
+@query(RECURSE + "SELECT r.tenant_id, r.actor_user, round(m, 6) AS avg_volume, round(sd, 6) AS std_volume, round(lm, 6) AS avg_logins, round(ls, 6) AS std_logins FROM r JOIN (SELECT tenant_id, actor_user, max(n) AS n FROM o GROUP BY 1, 2) USING (tenant_id, actor_user, n)", events=False)
+def u_ewma(spark, sf_dir):
+    return ueba.build_profiles(flat_events(spark, sf_dir)).select("tenant_id", "actor_user", *(F.round(c, 6).alias(c) for c in ("avg_volume", "std_volume", "avg_logins", "std_logins")))
+
+
+@query(RECURSE + "SELECT uuid, round(f3, 6) AS f3, round(f4, 6) AS f4, round(score, 6) AS score FROM s", events=False)
+def u_score_history(spark, sf_dir):
+    return ueba.score_history(flat_events(spark, sf_dir)).select("uuid", F.round("f3", 6).alias("f3"), F.round("f4", 6).alias("f4"), F.round("ueba_score", 6).alias("score"))
+
+
+@query(RECURSE + "SELECT tenant_id, actor_user, count(*) AS n, round(max(score), 6) AS highest FROM s GROUP BY 1, 2", events=False)
+def u_rule_score(spark, sf_dir):
+    return ueba.score_history(flat_events(spark, sf_dir)).groupBy("tenant_id", "actor_user").agg(F.count("*").alias("n"), F.round(F.max("ueba_score"), 6).alias("highest"))
+
+
+@query(RECURSE + "SELECT uuid, CASE WHEN round(score, 9) >= 0.9 THEN 5 WHEN round(score, 9) >= 0.8 THEN 4 ELSE 3 END AS severity, round(score, 6) AS ueba_score FROM s WHERE round(score, 9) >= 0.6", events=False)
+def u_alerts(spark, sf_dir):
+    scored = ueba.score_history(flat_events(spark, sf_dir)).withColumn("ueba_score", F.round("ueba_score", 9))
+    return ueba.ueba_alerts(scored, 0.6).select("uuid", "severity", F.round("ueba_score", 6).alias("ueba_score"))
+
+
+@query("SELECT tenant_id, actor_user, count(*) AS event_count, max(time) AS last_seen, list_sort(list(DISTINCT src_location)) AS known_locations, list_sort(list(DISTINCT device_id)) AS known_devices FROM e GROUP BY 1, 2 HAVING max(time) >= TIMESTAMP '2024-01-28'")
+def u_profiles(spark, sf_dir):
+    return ueba.live_profiles(ueba.build_profiles(flat_events(spark, sf_dir)), AS_OF, 3).select("tenant_id", "actor_user", "event_count", "last_seen", "known_locations", "known_devices")
+
+
+@query("SELECT e.uuid, coalesce(p.n, 0) AS known, p.n IS NULL AS fresh FROM e LEFT JOIN (SELECT tenant_id, actor_user, count(*) AS n FROM e WHERE time < TIMESTAMP '2024-01-02' GROUP BY 1, 2) p ON e.tenant_id = p.tenant_id AND e.actor_user = p.actor_user")
+def j_profile(spark, sf_dir):
+    e = flat_events(spark, sf_dir)
+    profiles = ueba.build_profiles(e.where(F.col("time") < F.lit(datetime(2024, 1, 2)).cast("timestamp_ntz")))
+    return enrich.with_profile(e, profiles).select("uuid", F.coalesce("event_count", F.lit(0)).alias("known"), ((F.col("avg_volume") == 0) & F.col("event_count").isNull()).alias("fresh"))
+
+
+@query()
+def u_model_score(spark, sf_dir):
+    model = lambda x: x["f3"] / (1 + x["f3"].abs()) + x["f9"]  # noqa: E731  stands for a model of the user's
+    return ueba.score_with_model(ueba.features(flat_events(spark, sf_dir)), model).select("uuid", F.round("ueba_score", 6).alias("ueba_score"))
+
+
+# ---------------------------------------------------------------- tiers
+
+
+@query("SELECT uuid, CASE WHEN date_diff('day', CAST(time AS DATE), DATE '2024-01-31') < 7 THEN 'hot' WHEN date_diff('day', CAST(time AS DATE), DATE '2024-01-31') < 21 THEN 'warm' ELSE 'cold' END AS tier FROM e")
+def t_tier_of(spark, sf_dir):
+    return flat_events(spark, sf_dir).select("uuid", tier_of(F.col("time"), AS_OF, 7, 21).alias("tier"))
+
+
+def _flat(spark, sf_dir):
+    return normalize.flatten_events(views.events(spark, sf_dir))
+
+
+@query("SELECT time, tenant_id, severity, actor_user AS actor_user_name, strftime(time, '%Y-%m') AS event_month FROM e WHERE CAST(time AS DATE) <= DATE '2024-01-24'")
+def t_hot_to_warm(spark, sf_dir):
+    root = scratch(spark)
+    tiers.write_tier(_flat(spark, sf_dir), root, "hot")
+    return tiers.migrate_hot_to_warm(spark.read.parquet(f"{root}/hot"), root, AS_OF, 7).select("time", "tenant_id", "severity", "actor_user_name", F.col("event_month").cast("string").alias("event_month"))
+
+
+@query("SELECT time, tenant_id, severity, CAST(year(time) AS INT) AS year, CAST(month(time) AS INT) AS month FROM e WHERE CAST(time AS DATE) <= DATE '2024-01-10'")
+def t_warm_to_cold(spark, sf_dir):
+    root = scratch(spark)
+    tiers.write_tier(_flat(spark, sf_dir), root, "warm")
+    return tiers.migrate_warm_to_cold(spark.read.parquet(f"{root}/warm"), root, AS_OF, 21).select("time", "tenant_id", "severity", "year", F.col("month").cast("int").alias("month"))
+
+
+@query("SELECT count(*) AS source_rows, count(*) AS copy_rows, true AS same FROM e")
+def t_verify(spark, sf_dir):
+    root = scratch(spark)
+    rows = _flat(spark, sf_dir)
+    tiers.write_tier(rows, root, "warm")
+    return tiers.verify_migration(rows, spark.read.parquet(f"{root}/warm"), ["time", "tenant_id", "severity", "message"])
+
+
+@query(f"SELECT time, tenant_id, message FROM e WHERE tenant_id='tenant-1' AND {RANGE}")
+def t_rehydrate(spark, sf_dir):
+    root = scratch(spark)
+    tiers.write_tier(_flat(spark, sf_dir), root, "cold")
+    return tiers.rehydrate(spark.read.parquet(f"{root}/cold"), START, END, T).select("time", "tenant_id", "message")
+
+
+@query("SELECT uuid, tenant_id FROM e WHERE CAST(time AS DATE) >= DATE '2024-01-31' - CASE tenant_id WHEN 'tenant-0' THEN 7 WHEN 'tenant-1' THEN 14 WHEN 'tenant-2' THEN 21 ELSE 90 END")
+def t_retention(spark, sf_dir):
+    return tiers.apply_retention(flat_events(spark, sf_dir), views.tenants(spark, sf_dir), AS_OF).select("uuid", "tenant_id")
+
+
+@query("SELECT CAST(CAST(time AS DATE) AS STRING) AS day, count(*) AS n FROM e WHERE CAST(time AS DATE) >= DATE '2024-01-17' GROUP BY 1")
+def t_expire(spark, sf_dir):
+    return tiers.expire_partitions(flat_events(spark, sf_dir), AS_OF, 14).groupBy(F.to_date("time").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'day-' || d AS file, CASE WHEN d % 10 = 0 THEN 'missing' ELSE 'changed' END AS violation FROM (SELECT DISTINCT day(time) AS d FROM e) WHERE d % 5 = 0")
+def t_worm_audit(spark, sf_dir):
+    days = flat_events(spark, sf_dir).groupBy(F.dayofmonth("time").alias("d")).agg(F.count("*").alias("size"))
+    then = days.select(F.concat(F.lit("day-"), F.col("d").cast("string")).alias("file"), "size")
+    now = days.where("d % 10 <> 0").select(F.concat(F.lit("day-"), F.col("d").cast("string")).alias("file"), (F.col("size") + (F.col("d") % 5 == 0).cast("int")).alias("size"))
+    return tiers.worm_audit(then, now)
+
+
+@query("SELECT CASE WHEN date_diff('day', CAST(time AS DATE), DATE '2024-01-31') < 7 THEN 'hot' WHEN date_diff('day', CAST(time AS DATE), DATE '2024-01-31') < 21 THEN 'warm' ELSE 'cold' END AS tier, tenant_id, count(*) AS rows, min(time) AS oldest, max(time) AS newest FROM e GROUP BY 1, 2")
+def t_report(spark, sf_dir):
+    return tiers.tier_report(flat_events(spark, sf_dir).withColumn("tier", tier_of(F.col("time"), AS_OF, 7, 21)))
+
+
+@query("SELECT CAST(CAST(time AS DATE) AS STRING) AS event_date, count(*) AS n FROM e GROUP BY 1")
+def s_write_hot(spark, sf_dir):
+    root = scratch(spark)
+    tiers.write_tier(flat_events(spark, sf_dir), root, "hot")
+    return spark.read.parquet(f"{root}/hot").groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- tenants
+
+TENANTS = ", t AS (SELECT DISTINCT tenant_id AS id FROM e UNION SELECT 'tenant-4'), x AS (SELECT id, ['active', 'suspended', 'provisioning', 'active', 'archived'][CAST(split_part(id, '-', 2) AS INT) + 1] AS status FROM t)\n"
+
+
+@query(TENANTS + "SELECT id, status FROM x WHERE status = 'active'")
+def x_by_status(spark, sf_dir):
+    return tenants.by_status(views.tenants(spark, sf_dir), "active").select("id", "status")
+
+
+@query(TENANTS + "SELECT status, count(*) AS n FROM x GROUP BY 1")
+def x_count_by_status(spark, sf_dir):
+    return tenants.count_by_status(views.tenants(spark, sf_dir))
+
+
+@query(TENANTS + "SELECT id, CASE WHEN id = 'tenant-1' THEN 'active' ELSE status END AS status FROM x")
+def x_upsert(spark, sf_dir):
+    base = views.tenants(spark, sf_dir)
+    update = base.where("id = 'tenant-1'").withColumn("status", F.lit("active")).withColumn("updated_at", F.col("updated_at") + F.expr("interval 1 day"))
+    return canned.upsert(base, update, "id", "updated_at").select("id", "status")
+
+
+@query(TENANTS + "SELECT id, status FROM x WHERE id NOT IN ('tenant-4', 'tenant-2')")
+def x_delete(spark, sf_dir):
+    return tenants.delete_tenants(views.tenants(spark, sf_dir), ["tenant-4", "tenant-2"]).select("id", "status")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'enterprise' ELSE 'standard' END AS tier, CASE WHEN c_custkey % 2 = 0 THEN 100000 ELSE 10000 END AS max_eps, CASE WHEN c_custkey % 2 = 0 THEN 365 ELSE 90 END AS retention_days, CASE WHEN c_custkey % 7 = 0 THEN 'rejected' ELSE 'provisioning' END AS status FROM customer", events=False)
+def x_provision(spark, sf_dir):
+    key = F.col("c_custkey")
+    asked = views.table(spark, sf_dir, "customer").select(
+        key.cast("string").alias("id"), F.when(key % 7 != 0, F.col("c_name")).alias("name"), (key % 2 == 0).alias("dedicated"), F.lit(None).cast("int").alias("max_eps"), F.lit(None).cast("int").alias("retention_days"), key.alias("n")
+    )
+    return tenants.provision_tenants(asked).select(F.col("id").cast("long").alias("id"), "tier", "max_eps", "retention_days", "status")
+
+
+@query(", s AS (SELECT tenant_id, date_trunc('second', time) AS s, count(*) AS n FROM e GROUP BY 1, 2) SELECT tenant_id, max(n) AS peak, 10000 AS max_eps, max(n) > 10000 AS over FROM s GROUP BY 1")
+def x_eps(spark, sf_dir):
+    return tenants.events_per_second(flat_events(spark, sf_dir), views.tenants(spark, sf_dir))
+
+
+@query(
+    "WITH RECURSIVE e AS (" + E[len("WITH e AS (") : -2] + """), h AS (SELECT tenant_id, date_trunc('hour', time) AS slot, count(*) AS n, row_number() OVER (PARTITION BY tenant_id ORDER BY date_trunc('hour', time)) AS k FROM e GROUP BY 1, 2),
+r AS (SELECT tenant_id, slot, n, k, 10.0::DOUBLE AS level, n > 10 AS refused, CASE WHEN n > 10 THEN 10.0::DOUBLE ELSE 10.0::DOUBLE - n END AS saved, slot AS at FROM h WHERE k = 1
+ UNION ALL SELECT q.tenant_id, q.slot, q.n, q.k, q.level, q.level < q.n, CASE WHEN q.level < q.n THEN q.saved ELSE q.level - q.n END, CASE WHEN q.level < q.n THEN q.at ELSE q.slot END
+ FROM (SELECT h.*, r.saved, r.at, least(10.0::DOUBLE, r.saved + date_diff('second', r.at, h.slot) * 0.001::DOUBLE) AS level FROM r JOIN h ON h.tenant_id = r.tenant_id AND h.k = r.k + 1) q)
+SELECT tenant_id, slot, n, round(level, 6) AS level, refused FROM r""",
+    events=False,
+)
+def x_quota_audit(spark, sf_dir):
+    return tenants.quota_audit(flat_events(spark, sf_dir), 10, 0.001, "hour").withColumn("level", F.round("level", 6))
+
+
+# ---------------------------------------------------------------- log lines
+
+VENDORS = "['cef', 'cisco:asa', 'aws:cloudtrail', 'paloalto:firewall', 'syslog:rfc5424', 'syslog:rfc3164', 'windows:eventlog', 'json', 'unknown'][CAST(uuid AS BIGINT) % 9 + 1]"
+SEC = "date_trunc('second', time)"
+
+
+def lines(spark, sf_dir):
+    """The log lines as a stored table, as collectors would leave them."""
+    root = scratch(spark)
+    views.raw_logs(spark, sf_dir).write.parquet(f"{root}/raw")
+    return spark.read.parquet(f"{root}/raw")
+
+
+def _parsed(spark, sf_dir, n):
+    return normalize.normalize(lines(spark, sf_dir).where(f"n % 9 = {n}").drop("n"))
+
+
+@query(f"SELECT uuid AS raw_id, {VENDORS} AS vendor FROM e")
+def n_detect_vendor(spark, sf_dir):
+    return lines(spark, sf_dir).select("raw_id", normalize.detect_vendor(F.col("data")).alias("vendor"))
+
+
+@query("SELECT uuid AS raw_id, date_trunc('millisecond', time) AS time, CASE severity * 2 WHEN 2 THEN 2 WHEN 4 THEN 3 WHEN 6 THEN 4 ELSE 5 END AS severity, class_name AS message, actor_user AS user, src_ip, dst_ip, dst_port, message AS msg FROM e WHERE CAST(uuid AS BIGINT) % 9 = 0")
+def n_cef(spark, sf_dir):
+    p = _parsed(spark, sf_dir, 0)
+    return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", "message", F.col("actor.user").alias("user"), F.col("src_endpoint.ip").alias("src_ip"), F.col("dst_endpoint.ip").alias("dst_ip"), F.col("dst_endpoint.port").alias("dst_port"), F.col("metadata")["cef.msg"].alias("msg"))
+
+
+@query("SELECT uuid AS raw_id, [2, 3, 4, 4, 5][severity] AS severity, dst_ip AS from_ip, dst_port AS from_port, src_ip AS to_ip, 'tcp' AS protocol, 'built' AS action FROM e WHERE CAST(uuid AS BIGINT) % 9 = 1")
+def n_asa(spark, sf_dir):
+    p = _parsed(spark, sf_dir, 1)
+    return p.select("raw_id", "severity", F.col("src_endpoint.ip").alias("from_ip"), F.col("src_endpoint.port").alias("from_port"), F.col("dst_endpoint.ip").alias("to_ip"), F.col("metadata")["protocol"].alias("protocol"), F.col("metadata")["action"].alias("action"))
+
+
+@query(f"SELECT uuid AS raw_id, {SEC} AS time, CASE WHEN severity >= 4 THEN 4 ELSE 1 END AS severity, actor_user AS user, src_ip, upper(class_name[1]) || class_name[2:] || 'Object on s3.amazonaws.com' || CASE WHEN severity >= 4 THEN ' - Error: AccessDenied (no)' ELSE '' END AS message, '2' AS resources FROM e WHERE CAST(uuid AS BIGINT) % 9 = 2")
+def n_cloudtrail(spark, sf_dir):
+    p = _parsed(spark, sf_dir, 2)
+    return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", F.col("actor.user").alias("user"), F.col("src_endpoint.ip").alias("src_ip"), "message", F.col("metadata")["resourceCount"].alias("resources"))
+
+
+@query(f"SELECT uuid AS raw_id, {SEC} AS time, CASE WHEN severity >= 4 THEN 4 ELSE 1 END AS severity, src_ip, dst_ip, dst_port, class_name AS app FROM e WHERE CAST(uuid AS BIGINT) % 9 = 3")
+def n_paloalto(spark, sf_dir):
+    p = _parsed(spark, sf_dir, 3)
+    return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", F.col("src_endpoint.ip").alias("src_ip"), F.col("dst_endpoint.ip").alias("dst_ip"), F.col("dst_endpoint.port").alias("dst_port"), F.col("metadata")["application"].alias("app"))
+
+
+@query(f"SELECT uuid AS raw_id, {SEC} AS time, [2, 3, 4, 4, 5][CASE severity WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 5 END] AS severity, 'host-' || CAST(uuid AS BIGINT) % 10 AS host, message, actor_user AS user, CAST(dst_port AS STRING) AS port FROM e WHERE CAST(uuid AS BIGINT) % 9 = 4")
+def n_syslog5424(spark, sf_dir):
+    p = _parsed(spark, sf_dir, 4)
+    return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", F.col("src_endpoint.hostname").alias("host"), "message", F.col("metadata")["meta@1.user"].alias("user"), F.col("metadata")["meta@1.port"].alias("port"))
+
+
+@query(f"SELECT uuid AS raw_id, {SEC} AS time, [2, 3, 4, 4, 5][severity] AS severity, 'host-' || CAST(uuid AS BIGINT) % 10 AS host, message, 'app' AS process FROM e WHERE CAST(uuid AS BIGINT) % 9 = 5")
+def n_syslog3164(spark, sf_dir):
+    p = _parsed(spark, sf_dir, 5)
+    return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", F.col("src_endpoint.hostname").alias("host"), "message", F.col("actor.process").alias("process"))
+
+
+@query(f"SELECT uuid AS raw_id, {SEC} AS time, [5, 4, 3, 1, 2][severity] AS severity, 'host-' || CAST(uuid AS BIGINT) % 10 AS host, actor_user AS user, class_name AS process, uuid AS session, 'Windows Event ' || (4000 + class_uid % 1000) || ' from Security' AS message FROM e WHERE CAST(uuid AS BIGINT) % 9 = 6")
+def n_windows(spark, sf_dir):
+    p = _parsed(spark, sf_dir, 6)
+    return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", F.col("src_endpoint.hostname").alias("host"), F.col("actor.user").alias("user"), F.col("actor.process").alias("process"), F.col("actor.session").alias("session"), "message")
+
+
+@query(f"SELECT uuid AS raw_id, {SEC} AS time, severity, message, uuid AS n, CAST(NULL AS STRING) AS nested FROM e WHERE CAST(uuid AS BIGINT) % 9 = 7 UNION ALL SELECT uuid, time, 1, 'noise ' || message, NULL, NULL FROM e WHERE CAST(uuid AS BIGINT) % 9 = 8")
+def n_generic(spark, sf_dir):
+    p = normalize.normalize(lines(spark, sf_dir).where("n % 9 in (7, 8)").drop("n"))
+    return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", "message", F.col("metadata")["n"].alias("n"), F.col("metadata")["nested"].alias("nested"))
+
+
+@query(f"SELECT {VENDORS} AS vendor, tenant_id, count(*) AS n FROM e GROUP BY 1, 2")
+def n_normalize_all(spark, sf_dir):
+    return normalize.good_rows(normalize.normalize(lines(spark, sf_dir).drop("n"))).groupBy("vendor", "tenant_id").agg(F.count("*").alias("n"))
+
+
+def _broken(spark, sf_dir):
+    """Every eleventh line cut after its vendor's mark."""
+    return lines(spark, sf_dir).withColumn("data", F.when(F.col("n") % 11 == 0, F.substring("data", 1, 9)).otherwise(F.col("data"))).withColumn("vendor_type", F.when(F.col("n") % 9 == 0, "cef").when(F.col("n") % 9 == 2, "aws:cloudtrail")).drop("n")
+
+
+BAD = "CAST(uuid AS BIGINT) % 11 = 0 AND CAST(uuid AS BIGINT) % 9 IN (0, 2)"
+
+
+@query(f"SELECT uuid AS raw_id, CASE WHEN CAST(uuid AS BIGINT) % 9 = 0 THEN 'not a CEF line' ELSE 'not a CloudTrail record' END AS error_message, 0 AS retry_count FROM e WHERE {BAD}")
+def n_dead_letters(spark, sf_dir):
+    return normalize.dead_letters(normalize.normalize(_broken(spark, sf_dir))).select("raw_id", "error_message", "retry_count")
+
+
+@query(f"SELECT uuid AS raw_id, 1 AS retry_count FROM e WHERE {BAD} AND CAST(uuid AS BIGINT) % 9 = 0")
+def n_replay(spark, sf_dir):
+    """Cut CEF lines still fail, as they still look like CEF; of cut CloudTrail records only a brace is left, which is text like any other."""
+    letters = normalize.dead_letters(normalize.normalize(_broken(spark, sf_dir)))
+    return normalize.replay_dead_letters(letters)[1].select("raw_id", "retry_count")
+
+
+@query(f"SELECT CASE WHEN CAST(uuid AS BIGINT) % 9 = 0 THEN 'cef' ELSE 'aws:cloudtrail' END AS vendor, count(*) FILTER (WHERE NOT ({BAD})) AS parsed, count(*) FILTER (WHERE {BAD}) AS failed FROM e WHERE CAST(uuid AS BIGINT) % 9 IN (0, 2) GROUP BY 1")
+def n_parse_report(spark, sf_dir):
+    return normalize.parse_report(normalize.normalize(_broken(spark, sf_dir).where("vendor_type is not null")))
+
+
+@query("SELECT src_ip AS ip, true AS ip_ok, false AS mac_ok FROM e GROUP BY 1 UNION ALL SELECT message, false, false FROM e GROUP BY 1")
+def n_address_formats(spark, sf_dir):
+    e = flat_events(spark, sf_dir)
+    both = e.select(F.col("src_ip").alias("ip")).distinct().unionByName(e.select("message").distinct().withColumnRenamed("message", "ip"))
+    return both.select("ip", is_valid_ip(F.col("ip")).alias("ip_ok"), is_valid_mac(F.col("ip")).alias("mac_ok"))
+
+
+@query("SELECT time, tenant_id, severity, class_name, actor_user AS actor_user_uid, src_ip AS src_endpoint_ip, dst_ip AS dst_endpoint_ip, dst_port AS dst_endpoint_port, outcome FROM e")
+def n_flatten(spark, sf_dir):
+    return _flat(spark, sf_dir).select("time", "tenant_id", "severity", "class_name", "actor_user_uid", "src_endpoint_ip", "dst_endpoint_ip", "dst_endpoint_port", F.get_json_object("metadata", "$.outcome").alias("outcome"))
+
+
+# ---------------------------------------------------------------- ingest
+
+
+@query("SELECT tenant_id, count(*) FILTER (WHERE length(message) <= 30 AND CAST(uuid AS BIGINT) % 10 <> 0) AS accepted, count(*) FILTER (WHERE NOT (length(message) <= 30 AND CAST(uuid AS BIGINT) % 10 <> 0)) AS refused FROM e GROUP BY 1")
+def n_validate(spark, sf_dir):
+    lines = flat_events(spark, sf_dir).select("tenant_id", F.when(F.col("uuid").cast("long") % 10 != 0, F.concat("message", F.lit("\n"))).alias("data"))
+    return ingest.ingest_report(ingest.validate_raw(lines, 30, strip_newline=True))
+
+
+@query("SELECT uuid, message AS event, 'host-' || CAST(uuid AS BIGINT) % 10 AS host, date_trunc('second', time) AS time, CAST(uuid AS BIGINT) % 6 <> 0 AS accepted FROM (SELECT uuid, time, CASE WHEN CAST(uuid AS BIGINT) % 6 <> 0 THEN message END AS message FROM e)")
+def s_hec(spark, sf_dir):
+    n = F.col("uuid").cast("long")
+    body = F.to_json(F.struct(F.unix_seconds(F.col("time").cast("timestamp")).alias("time"), F.concat(F.lit("host-"), (n % 10).cast("string")).alias("host"), F.when(n % 6 != 0, F.col("message")).alias("event")))
+    decoded = ingest.decode_hec(flat_events(spark, sf_dir).select("uuid", body.alias("body")))
+    return decoded.select("uuid", "event", "host", F.col("time").cast("timestamp_ntz").alias("time"), "accepted")
+
+
+@query("SELECT uuid, CASE WHEN CAST(uuid AS BIGINT) % 5 <> 0 THEN tenant_id END AS tenant_id FROM e")
+def s_tenant_token(spark, sf_dir):
+    e = flat_events(spark, sf_dir)
+    known = e.select(F.sha2("tenant_id", 256).alias("token"), "tenant_id").distinct()
+    asked = e.select("uuid", F.concat(F.lit("Splunk "), F.when(F.col("uuid").cast("long") % 5 != 0, F.sha2("tenant_id", 256)).otherwise(F.lit("none"))).alias("authorization"))
+    return ingest.tenant_from_token(asked, known).select("uuid", "tenant_id")
+
+
+@query("SELECT uuid, CASE WHEN CAST(uuid AS BIGINT) % 4 = 0 THEN TIMESTAMP '2024-02-01' ELSE date_trunc('millisecond', time) END AS time FROM e")
+def s_arrival_time(spark, sf_dir):
+    n = F.col("uuid").cast("long")
+    rows = flat_events(spark, sf_dir).select("uuid", F.when(n % 4 != 0, F.unix_millis(F.col("time").cast("timestamp"))).otherwise(F.lit(0)).alias("ms"), F.lit(AS_OF + timedelta(days=1)).cast("timestamp").alias("arrived"))
+    return ingest.with_arrival(rows, "ms", "arrived").select("uuid", F.col("time").cast("timestamp_ntz").alias("time"))
