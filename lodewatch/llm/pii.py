@@ -109,17 +109,22 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float, stored
     documents of the whole corpus, the same for all sizes. Terms that share fewer than LEAST_SHARED documents with an
     entity say nothing about it.
     """
+    n = docs.count()
     near = stored.put(_near_terms(found), "near")
-    joint = near.select("doc_id", "text_hash", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST_SHARED)
-    joint = stored.put(joint, "joint")
+    pairs = near.select("doc_id", "text_hash", "entity", "term").distinct()
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST_SHARED)
+    n_entity = found.select("doc_id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # a term tells enough only if it stands in at most so many documents; where it stands in more already near entities, it is out
+    most = F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - threshold))
+    n_near = pairs.select("doc_id", "text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    joint = joint.join(n_entity, "entity").withColumn("most", most * (1 + 1e-9)).join(n_near, "term").where("n_near <= most")
+    joint = stored.put(joint.drop("n_near", "most"), "joint")
     terms = stored.put(joint.select("term").distinct(), "terms")
     few = terms.count() <= BROADCAST_TERMS
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
     n_term = words.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    n_entity = found.select("doc_id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n = docs.count()
     share = F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log(n / F.col("n_entity"))
-    telling = joint.join(n_term, "term").join(n_entity, "entity").where((F.col("n_entity") < n) & (share >= threshold)).select("entity", "term")
+    telling = joint.join(n_term, "term").where((F.col("n_entity") < n) & (share >= threshold)).select("entity", "term")
     out = stored.put(near.join(telling, ["entity", "term"], "left_semi").select("doc_id", "text_hash", "start", "end").distinct(), "telling")
     stored.drop(near, joint, terms)
     return out
