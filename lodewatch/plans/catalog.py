@@ -257,8 +257,8 @@ def f_by_source_ip(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, greatest(2.0 * len(list_filter(['license', 'public'], lambda w: len(list_filter(t, lambda x: levenshtein(x, w) <= 2)) > 0)),
-  1.0 * len(list_filter(['license', 'public'], lambda w: len(list_filter(s, lambda x: levenshtein(x, w) <= 2)) > 0))) AS score
+    """SELECT doc_id, greatest(2.0::DOUBLE * len(list_filter(['license', 'public'], lambda w: len(list_filter(t, lambda x: levenshtein(x, w) <= 2)) > 0)),
+  1.0::DOUBLE * len(list_filter(['license', 'public'], lambda w: len(list_filter(s, lambda x: levenshtein(x, w) <= 2)) > 0))) AS score
 FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS t, list_filter(regexp_split_to_array(lower(source), '[^a-z0-9_]+'), lambda x: x <> '') AS s FROM documents WHERE lang = 'en') d
 WHERE len(list_filter(t, lambda x: levenshtein(x, 'license') <= 2 OR levenshtein(x, 'public') <= 2)) > 0 OR len(list_filter(s, lambda x: levenshtein(x, 'license') <= 2 OR levenshtein(x, 'public') <= 2)) > 0""",
     events=False,
