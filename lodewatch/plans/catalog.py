@@ -494,7 +494,7 @@ s AS (SELECT *, least(1.0::DOUBLE, (CASE WHEN f3 > 3 THEN 0.3::DOUBLE ELSE 0 END
 """
 
 
-@query("SELECT uuid, hour(time) AS f0, dayofweek(time) AS f1, round(bytes_out / 1000000.0::DOUBLE, 6) AS f2, privilege_escalation AS f8, category_name='authentication' AND outcome='failure' AS f9 FROM e")
+@query("SELECT uuid, CAST(hour(time) AS INTEGER) AS f0, CAST(dayofweek(time) AS INTEGER) AS f1, round(bytes_out / 1000000.0::DOUBLE, 6) AS f2, privilege_escalation AS f8, category_name='authentication' AND outcome='failure' AS f9 FROM e")
 def u_features(spark, sf_dir):
     return ueba.features(flat_events(spark, sf_dir)).select("uuid", "f0", "f1", F.round("f2", 6).alias("f2"), "f8", "f9")
 
