@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,7 +90,16 @@ def components(edges: DataFrame, stored: Stored, a: str = "a", b: str = "b") ->
 
 # ---------------------------------------------------------------- Arrow batches
 
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: workers live on, and what one stage has used must not add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
@@ -104,6 +114,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 yield got
             else:
                 yield from got
+            del got, batch
+        _give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, Stored, arrow_map, distinct, mix, run_hashes, running, sliced, text_bytes, word_spans
 
 #: Buckets of hashed shapes; texts that the scorer is fitted on at most (the first by hash of their id); bytes at once.
-BUCKETS, FIT_ROWS, PART_BYTES = 1_024, 10_000, 2 << 20
+BUCKETS, FIT_ROWS, PART_BYTES = 1_024, 10_000, 1 << 20
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = ord("a")
@@ -90,9 +90,10 @@ def measure(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
     shape = run_hashes(kind, np.maximum(s, e - 2), e) ^ mix(kind[s].astype(np.uint64))
     shape = np.where(same, np.uint64(1), shape % np.uint64(BUCKETS - 2) + np.uint64(2)).astype(np.int64)
-    hashed = np.bincount(row * BUCKETS + shape, minlength=n_rows * BUCKETS).reshape(n_rows, BUCKETS) / per_word[:, None]
+    hashed = np.bincount(row * BUCKETS + shape, minlength=n_rows * BUCKETS).astype(np.float32).reshape(n_rows, BUCKETS)
+    hashed /= per_word[:, None]
     hashed[:, 0] = traits[:, 5]
-    return traits, hashed.astype(np.float32), n
+    return traits, hashed, n
 
 
 def votes(traits: np.ndarray, n: np.ndarray) -> np.ndarray:
