@@ -196,6 +196,14 @@ def within_clusters(cluster: DataFrame, label: DataFrame, docs: DataFrame, k: in
     return stored.put(rows.groupBy("cluster", "i", "j").applyInPandas(_block(percent), f"a {kind}, b {kind}"), "links")
 
 
+def _extended(label: DataFrame, links: DataFrame, stored: Stored) -> DataFrame:
+    """Components (id, component) after further links; the old ones stand in as stars, and stay if there is no new link."""
+    if links.isEmpty():
+        return label
+    stars = label.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return stored.put(components(stars.unionByName(links.select("a", "b")), stored), "components")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each document, links at 100 * shared >= percent * union.
 
@@ -224,7 +232,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     label = stored.put(components(links, stored), "components")
     cluster = stored.put(components(likely, stored), "clusters")
     inner = within_clusters(cluster, label, known, k, percent, stored)
-    label = stored.put(components(links.unionByName(inner), stored), "components")
+    label = _extended(label, inner, stored)
 
     # members of a bucket outside the least one's component, against members of other components and clusters
     named = (
@@ -242,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     cross = stored.put(crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
     more = verified(cross, known, k, percent, stored)
     stored.drop(buckets, named, several, reps)
-    both = stored.put(components(links.unionByName(inner).unionByName(more), stored), "components")
+    both = _extended(label, more, stored)
 
     found = members.join(both.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = found.unionByName(rest.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
