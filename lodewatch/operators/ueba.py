@@ -1,7 +1,8 @@
 """Behaviour scores: each event against its user's profile before it, then the profile with it.
 
-Input: flat events. Profiles are exponentially weighted (alpha 2/31); after HISTORY events the weight of older ones is
-below 1e-12, so a fold over the last HISTORY rows gives the profile without ever holding a user's whole history.
+Input: flat events. Profiles are exponentially weighted (alpha 2/31) over every event of a user: values that aren't positive
+age nothing, so no number of latest rows would do. Users' rows are sorted by time and pass through the fold in batches, with
+the profile carried from one to the next, so a user's history is never held whole.
 """
 
 from __future__ import annotations
@@ -10,25 +11,77 @@ from collections.abc import Callable
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ALPHA, HISTORY = 2.0 / 31, 400
+ALPHA = 2.0 / 31
 ANOMALY, MOST_LOCATIONS, MOST_DEVICES = 0.7, 50, 20
 USER = ("tenant_id", "actor_user")
-_FOLD = """aggregate({values}, named_struct('m', 0D, 's', 1D), (a, x) -> if(x > 0,
-  named_struct('m', {a} * x + (1 - {a}) * a.m, 's', sqrt({a} * pow(x - ({a} * x + (1 - {a}) * a.m), 2) + (1 - {a}) * pow(a.s, 2))), a))"""
-
-
-def ewma(values: str) -> Column:
-    """(m, s) after folding an array of doubles in order, from (0, 1); values that aren't positive are skipped."""
-    return F.expr(_FOLD.format(values=values, a=f"{ALPHA!r}D"))
 
 
 def volume() -> Column:
     return F.coalesce(F.col("bytes_out").cast("double") / 1e6, F.lit(0.0))
 
 
+def login() -> Column:
+    return F.when(F.col("category_name") == "authentication", 1.0).otherwise(0.0)
+
+
+def _through(own: DataFrame, closing: bool) -> DataFrame:
+    """Adds the profiles _p and _q, structs (m, s) of volumes and logins, before each row; if closing, after each user's last row, which alone stays.
+
+    A profile starts at (0, 1); values that aren't positive are skipped. Only a batch of rows is held at a time.
+    """
+    alpha = ALPHA
+
+    def run(batches):
+        def taken(m, s, x):
+            new = alpha * x + (1 - alpha) * m
+            return new, (alpha * ((x - new) * (x - new)) + (1 - alpha) * (s * s)) ** 0.5
+
+        def with_profiles(rows, found):
+            m, s, lm, ls = (pa.array(x, pa.float64()) for x in found)
+            p, q = (pa.StructArray.from_arrays(list(x), ["m", "s"]) for x in ((m, s), (lm, ls)))
+            return pa.RecordBatch.from_arrays([*rows.columns, p, q], [*rows.schema.names, "_p", "_q"])
+
+        user, m, s, lm, ls, last = None, 0.0, 1.0, 0.0, 1.0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, ends = ([], [], [], []), []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*USER, "_v", "_l")]
+            for i, (tenant, name, v, x) in enumerate(zip(*columns)):
+                if (tenant, name) != user:
+                    if closing and user is not None:
+                        if i:
+                            ends.append(i - 1)
+                            for to, value in zip(found, (m, s, lm, ls)):
+                                to.append(value)
+                        else:
+                            yield with_profiles(last, ([m], [s], [lm], [ls]))
+                    user, m, s, lm, ls = (tenant, name), 0.0, 1.0, 0.0, 1.0
+                if not closing:
+                    for to, value in zip(found, (m, s, lm, ls)):
+                        to.append(value)
+                if v > 0:
+                    m, s = taken(m, s, v)
+                if x > 0:
+                    lm, ls = taken(lm, ls, x)
+            if not closing:
+                yield with_profiles(batch, found)
+            elif ends:
+                yield with_profiles(batch.take(pa.array(ends)), found)
+            last = batch.take(pa.array([batch.num_rows - 1]))
+        if closing and user is not None:
+            yield with_profiles(last, ([m], [s], [lm], [ls]))
+
+    rows = own.withColumns({"_v": volume(), "_l": login()})
+    kind = T.StructType([*rows.schema.fields, *(T.StructField(c, T.StructType([T.StructField("m", T.DoubleType()), T.StructField("s", T.DoubleType())])) for c in ("_p", "_q"))])
+    return rows.repartition(*USER).sortWithinPartitions(*USER, "time", "uuid").mapInArrow(run, kind).drop("_v", "_l")
+
+
 def _deviation(value: Column, mean: Column, std: Column) -> Column:
     return F.when(std == 0, 0.0).otherwise(F.abs((value - mean) / std))
 
@@ -57,10 +110,7 @@ def rule_score() -> Column:
 def score_history(df: DataFrame) -> DataFrame:
     """Every event with its score against the profile before it; events without a user pass with a null score."""
     own, rest = df.where(F.col("actor_user").isNotNull()), df.where(F.col("actor_user").isNull())
-    before = Window.partitionBy(*USER).orderBy("time", "uuid").rowsBetween(-HISTORY, -1)
-    login = F.when(F.col("category_name") == "authentication", 1.0).otherwise(0.0)
-    known = own.withColumns({"_volumes": F.collect_list(volume()).over(before), "_logins": F.collect_list(login).over(before)})
-    known = known.withColumns({"_p": ewma("_volumes"), "_q": ewma("_logins")}).drop("_volumes", "_logins")
+    known = _through(own, closing=False)
     scored = features(known, F.col("_p"), F.col("_q")).withColumn("ueba_score", rule_score()).drop("_p", "_q")
     return scored.unionByName(rest.withColumn("ueba_score", F.lit(None).cast("double")), allowMissingColumns=True)
 
@@ -68,14 +118,10 @@ def score_history(df: DataFrame) -> DataFrame:
 def build_profiles(df: DataFrame) -> DataFrame:
     """(tenant_id, actor_user, avg_volume, std_volume, avg_logins, std_logins, event_count, last_seen, known_locations, known_devices).
 
-    Only a user's last HISTORY rows are folded. Known places are the latest distinct ones, MOST_LOCATIONS and MOST_DEVICES.
+    Every row is folded. Known places are the latest distinct ones, MOST_LOCATIONS and MOST_DEVICES.
     """
     own = df.where(F.col("actor_user").isNotNull())
-    latest = Window.partitionBy(*USER).orderBy(F.desc("time"), F.desc("uuid"))
-    login = F.when(F.col("category_name") == "authentication", 1.0).otherwise(0.0)
-    recent = own.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= HISTORY)
-    folded = recent.groupBy(*USER).agg(F.array_sort(F.collect_list(F.struct("time", "uuid", volume().alias("v"), login.alias("l")))).alias("h"))
-    folded = folded.withColumns({"p": ewma("transform(h, x -> x.v)"), "q": ewma("transform(h, x -> x.l)")}).drop("h")
+    folded = _through(own.select(*USER, "time", "uuid", "bytes_out", "category_name"), closing=True).select(*USER, F.col("_p").alias("p"), F.col("_q").alias("q"))
     counts = own.groupBy(*USER).agg(F.count("*").alias("event_count"), F.max("time").alias("last_seen"))
     out = folded.join(counts, [*USER])
     for c, most, name in (("src_location", MOST_LOCATIONS, "known_locations"), ("device_id", MOST_DEVICES, "known_devices")):
