@@ -1,9 +1,9 @@
 """PII by patterns and information-theoretic sanitisation, in DataFrame and SQL functions only.
 
-Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Words near an entity may reveal it as
+Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Other words may reveal an entity as
 well: the pointwise mutual information of a term and an entity, estimated from the documents of the corpus they stand in,
 relative to the entity's own information, is the share of it that the term discloses (1: whoever reads the term knows the
-entity). Terms near an entity that disclose more of it than a threshold are spans, too, of kind `term`.
+entity). Terms that disclose more of an entity than a threshold are spans, too, of kind `term`, wherever they stand.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = "term"
-#: Characters on either side of an entity where terms are looked for; documents that a term must share with an entity.
-CONTEXT, LEAST_SHARED = 60, 3
+#: Documents that a term must share with an entity.
+LEAST_SHARED = 3
 #: Terms of a corpus are looked up by broadcast up to this number, else by a shuffle.
 BROADCAST_TERMS = 200_000
-_WORD = r"[\p{L}\p{N}]{3,}"
+_WORD = r"[\p{L}\p{N}]+"
 
 
 def _digits(c: Column) -> Column:
@@ -57,10 +57,9 @@ def _holds(kind: Column, match: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, kind, start, end, entity, before, after) for docs (doc_id, text_hash, text), in code points.
+    """(doc_id, text_hash, kind, start, end, entity) for docs (doc_id, text_hash, text), in code points.
 
-    Leftmost, non-overlapping matches of each kind; those that fail the kind's test are dropped. before and after are the
-    text on either side, CONTEXT characters at most and not beyond the kind's next match. Equal rows are reported once.
+    Leftmost, non-overlapping matches of each kind; those that fail the kind's test are dropped. Equal rows are reported once.
     """
     text = F.col("text")
     asks = {"email": text.contains("@"), "ip": text.contains("."), "card": text.rlike("[0-9][\\x20-]?[0-9]"), "phone": text.contains("+")}
@@ -73,63 +72,94 @@ def entities(docs: DataFrame) -> DataFrame:
         found.append(F.struct(F.lit(kind).alias("kind"), matches.alias("matches"), between.alias("between")))
     each = docs.select("doc_id", "text_hash", F.explode(F.array(*found)).alias("x")).where("size(x.matches) > 0").select("doc_id", "text_hash", "x.*")
     parts = each.select(
-        "doc_id", "text_hash", "kind", F.posexplode(F.transform("matches", lambda m, i: F.struct(m.alias("entity"), F.get("between", i).alias("gap"), F.get("between", i + 1).alias("next")))).alias("i", "m")
-    ).select(
-        "doc_id", "text_hash", "kind", "i", "m.entity", F.length("m.gap").alias("gap"), F.right("m.gap", F.lit(CONTEXT)).alias("before"), F.left("m.next", F.lit(CONTEXT)).alias("after")
-    )
-    once = parts.groupBy("doc_id", "text_hash", "kind", "i").agg(*(F.first(c).alias(c) for c in ("entity", "gap", "before", "after")))
+        "doc_id", "text_hash", "kind", F.posexplode(F.transform("matches", lambda m, i: F.struct(m.alias("entity"), F.length(F.get("between", i)).alias("gap")))).alias("i", "m")
+    ).select("doc_id", "text_hash", "kind", "i", "m.entity", "m.gap")
+    once = parts.groupBy("doc_id", "text_hash", "kind", "i").agg(*(F.first(c).alias(c) for c in ("entity", "gap")))
     line = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.length("entity")
     placed = once.withColumn("end", F.sum(F.col("gap") + size).over(line)).withColumn("start", F.col("end") - size)
-    return placed.where(_holds(F.col("kind"), F.col("entity"))).select("doc_id", "text_hash", "kind", "start", "end", "entity", "before", "after")
-
+    return placed.where(_holds(F.col("kind"), F.col("entity"))).select("doc_id", "text_hash", "kind", "start", "end", "entity")
 
-def _placed_words(text: Column) -> Column:
-    """Words of a short text as structs (term, from, size)."""
-    words, gaps = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.split(text, _WORD, -1)
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
-    place = lambda w, i: F.struct(F.lower(w).alias("term"), (total(F.slice(gaps, 1, i + 1)) + total(F.slice(words, 1, i))).alias("from"), F.length(w).alias("size"))
-    return F.transform(words, place)
 
+def _words(docs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, term): each row's distinct words, in small letters."""
+    found = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    return docs.select(*keys, F.explode(F.array_distinct(F.transform(found, F.lower))).alias("term"))
 
-def _near_terms(found: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, entity, term, start, end): words around each entity; a word cut by the edge of the context is left out."""
-    sides = []
-    for side, anchor in (("before", F.col("start") - F.length("before")), ("after", F.col("end"))):
-        one = found.select("doc_id", "text_hash", "entity", anchor.alias("anchor"), F.length(side).alias("width"), F.explode(_placed_words(F.col(side))).alias("x"))
-        edge = (F.col("x.from") == 0) if side == "before" else (F.col("x.from") + F.col("x.size") == F.col("width"))
-        sides.append(one.where(~((F.col("width") == CONTEXT) & edge)).select("doc_id", "text_hash", "entity", "x.term", (F.col("anchor") + F.col("x.from")).alias("start"), (F.col("anchor") + F.col("x.from") + F.col("x.size")).alias("end")))
-    return sides[0].unionByName(sides[1])
 
+def _placed_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, term, start, end) of every word, placed within its row, so that nothing is shuffled.
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float, stored: Stored) -> DataFrame:
-    """(doc_id, text_hash, start, end) of the terms near an entity that disclose at least `threshold` of it.
+    Words are cut into about as many runs as a run has words; what a run starts at is added to the places in it.
+    """
+    keys = ("doc_id", "text_hash")
+    words, gaps = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.split("text", _WORD, -1)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    # each explode keeps what it is given from being worked out again for every element of what follows
+    once = lambda df, *xs: df.select(*keys, F.explode(F.array(F.struct(*xs))).alias("x")).select(*keys, "x.*")
+    own = once(docs, words.alias("words"), gaps.alias("gaps")).where(F.size("words") > 0)
+    sized = once(own, "words", F.transform("words", lambda w, i: F.length(F.get("gaps", i)) + F.length(w)).alias("steps"), F.ceil(F.sqrt(F.size("words"))).cast("int").alias("per"))
+    first = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / F.col("per")).cast("int"))
+    sums = once(sized, "words", "steps", "per", F.transform(first, lambda c: total(F.slice("steps", c * F.col("per") + 1, F.col("per")))).alias("sums"))
+    part = lambda xs, c: F.slice(xs, c * F.col("per") + 1, F.col("per"))
+    runs = sums.select(*keys, F.explode(F.transform("sums", lambda _, c: F.struct(part("words", c).alias("words"), part("steps", c).alias("steps"), total(F.slice("sums", F.lit(1), c)).alias("from")))).alias("x")).select(*keys, "x.*")
+    placed = F.transform("words", lambda w, i: F.struct(F.lower(w).alias("term"), F.length(w).alias("size"), (F.col("from") + total(F.slice("steps", F.lit(1), i + 1))).alias("end")))
+    return runs.select(*keys, F.explode(placed).alias("x")).select(*keys, "x.term", (F.col("x.end") - F.col("x.size")).alias("start"), F.col("x.end").alias("end"))
+
+
+def telling_terms(docs: DataFrame, found: DataFrame, threshold: float, stored: Stored) -> DataFrame:
+    """(term) of the terms that disclose at least `threshold` of an entity.
 
     With N documents, PMI(t, e) = log(N n(t, e) / (n(t) n(e))) and the entity's information is log(N / n(e)); n counts
-    documents of the whole corpus, the same for all sizes. Terms that share fewer than LEAST_SHARED documents with an
-    entity say nothing about it.
+    documents of the whole corpus, wherever in them t and e stand. Terms that share fewer than LEAST_SHARED documents with
+    an entity say nothing about it. As n(t, e) <= n(e), a telling term stands in n(e)^threshold N^(1 - threshold) documents
+    at most: more frequent ones are left out before they are paired.
     """
     n = docs.count()
-    near = stored.put(_near_terms(found), "near")
-    pairs = near.select("doc_id", "text_hash", "entity", "term").distinct()
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST_SHARED)
-    n_entity = found.select("doc_id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # a term tells enough only if it stands in at most so many documents; where it stands in more already near entities, it is out
-    most = F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - threshold))
-    n_near = pairs.select("doc_id", "text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    joint = joint.join(n_entity, "entity").withColumn("most", most * (1 + 1e-9)).join(n_near, "term").where("n_near <= most")
-    joint = stored.put(joint.drop("n_near", "most"), "joint")
-    terms = stored.put(joint.select("term").distinct(), "terms")
-    few = terms.count() <= BROADCAST_TERMS
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    n_term = words.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    pairs = found.select("doc_id", "text_hash", "entity").distinct()
+    most = F.pow(F.col("n_entity"), F.lit(threshold)) * F.pow(F.lit(float(n)), F.lit(1 - threshold)) * (1 + 1e-9)
+    n_entity = pairs.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= LEAST_SHARED) & (F.col("n_entity") < n)).withColumn("most", most)
+    shared = stored.put(pairs.join(n_entity, "entity"), "shared")
+    highest = shared.agg(F.max("most")).first()[0] or 0.0
+    keys = shared.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    of_key = docs["doc_id"].eqNullSafe(keys["_id"]) & (docs["text_hash"] == keys["_hash"])
+    holding = stored.put(_words(docs.join(keys, of_key, "left_semi"), "doc_id", "text_hash").distinct(), "holding")
+    terms = stored.put(holding.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n").between(LEAST_SHARED, highest)).select("term"), "terms")
+    candidates = terms.count()
+    few = candidates <= BROADCAST_TERMS
+    if candidates:
+        words = _words(docs)
+        n_term = words.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= highest)
+    else:
+        n_term = terms.withColumn("n_term", F.lit(0).cast("long"))
+    n_term = stored.put(n_term, "n_term")
+    left, right = shared, holding.join(F.broadcast(n_term) if few else n_term, "term").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    both = left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["text_hash"] == right["_hash"]) & (right["n_term"] <= left["most"]))
+    joint = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST_SHARED)
     share = F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log(n / F.col("n_entity"))
-    telling = joint.join(n_term, "term").where((F.col("n_entity") < n) & (share >= threshold)).select("entity", "term")
-    out = stored.put(near.join(telling, ["entity", "term"], "left_semi").select("doc_id", "text_hash", "start", "end").distinct(), "telling")
-    stored.drop(near, joint, terms)
+    out = stored.put(joint.where(share >= threshold).select("term").distinct(), "telling")
+    stored.drop(shared, holding, terms, n_term)
     return out
 
 
+def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float, stored: Stored) -> DataFrame:
+    """(doc_id, text_hash, start, end) of all places of the telling terms, but for those inside an entity."""
+    telling = telling_terms(docs, found, threshold, stored)
+    n = telling.count()
+    if not n:
+        return found.select("doc_id", "text_hash", "start", "end").limit(0)
+    known = F.broadcast(telling) if n <= BROADCAST_TERMS else telling
+    keys = stored.put(_words(docs, "doc_id", "text_hash").join(known, "term", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "places")
+    own = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (docs["text_hash"] == keys["_hash"]), "left_semi")
+    each = _placed_words(own).join(known, "term", "left_semi")
+    places = each.groupBy("doc_id", "text_hash", "start", "end").agg(F.lit(1).alias("term"))
+    both = places.unionByName(found.select("doc_id", "text_hash", "start", "end", F.lit(0).alias("term")))
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("start", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    covered = F.coalesce(F.max(F.when(F.col("term") == 0, F.col("end"))).over(before) >= F.col("end"), F.lit(False))
+    out = both.withColumn("covered", covered).where("term = 1 and not covered").select("doc_id", "text_hash", "start", "end")
+    return stored.put(out, "telling")
+
+
 def find_spans(docs: DataFrame, text: str, key: str, threshold: float, stored: Stored) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, text_hash, text of every row; spans: doc_id, text_hash, kind, start, end)."""
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
