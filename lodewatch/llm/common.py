@@ -44,6 +44,10 @@ class Stored:
         self.paths[id(out)] = (path, out)
         return out
 
+    def again(self, tables: list[DataFrame]) -> DataFrame:
+        """All rows of tables of one schema that were put here, as one table."""
+        return self.spark.read.schema(tables[0].schema).parquet(*(self.paths[id(t)][0] for t in tables))
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)

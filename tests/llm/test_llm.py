@@ -72,27 +72,46 @@ def test_packing(spark, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
-def test_rounds_are_best_fit_decreasing():
-    rng = np.random.default_rng(1)
-    counts = {int(k): int(n) for k, n in zip(*np.unique(rng.integers(1, 101, 3000), return_counts=True))}
-    moves = packing.best_fit_rounds(counts, 100)
+def packed(spark, lengths, size):
+    pieces = common.Stored(spark).put(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long"), "pieces")
+    rows = packing.pack_pieces(pieces, size, common.Stored(spark)).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(lengths)))
     used = {}
-    for length, first, n, per, start, offset in moves:
-        for i in range(n):
-            used.setdefault(start + i // per, []).append((offset + i % per * length, length))
-    assert sum(map(len, used.values())) == 3000
+    for r in rows:
+        assert r["length"] == lengths[r["doc_id"]]
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for items in used.values():
         items.sort()
-        assert all(a + n == b for (a, n), (b, _) in zip(items, items[1:])) and items[-1][0] + items[-1][1] <= 100
+        assert items[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(items, items[1:])) and items[-1][0] + items[-1][1] <= size
+    return len(used)
+
+
+def best_fit_decreasing(lengths, size):
     gaps, bins = [], 0
-    for length in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+    for length in sorted(lengths, reverse=True):
         at = bisect.bisect_left(gaps, length)
-        gap = gaps.pop(at) if at < len(gaps) else 100
-        bins += gap == 100
+        gap = gaps.pop(at) if at < len(gaps) else size
+        bins += gap == size
         if gap > length:
             bisect.insort(gaps, gap - length)
-    assert len(used) <= bins
-    assert packing.best_fit_rounds({}, 10) == []
+    return bins
+
+
+@pytest.mark.parametrize("kind", ["hot", "alike"])
+def test_rounds_pack_as_best_fit_decreasing_does(spark, kind, monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(packing, "LEAST_PART", 50)  # runs are split
+    lengths = {"hot": np.where(rng.random(1500) < 0.4, 100, rng.geometric(0.05, 1500).clip(1, 100)), "alike": np.full(700, 15)}[kind].tolist()
+    assert packed(spark, lengths, 100) <= 1.02 * best_fit_decreasing(lengths, 100) + 1
+
+
+def test_a_sweep_serves_the_longest_that_fit(spark):
+    rows = lambda xs, kind: spark.createDataFrame(xs, kind)
+    got = packing.sweep(rows([(5, 1), (8, 2), (9, 1)], "length int, n long"), rows([(4, 0, 9), (8, 0, 1), (9, 0, 1), (20, 0, 1)], "gap int, part int, n long"), 10).collect()
+    served = {r["length"]: r["used"] for r in got if r["side"] == 0}
+    assert served == {5: 1, 8: 2, 9: 1} and {r["gap"]: (r["first"], r["used"]) for r in got if r["side"] == 1} == {8: (0, 1), 9: (1, 1), 20: (2, 2)}
+    few = packing.sweep(rows([(5, 1), (8, 2), (9, 1)], "length int, n long"), rows([(8, 0, 1), (9, 0, 1)], "gap int, part int, n long"), 10).collect()
+    assert {r["length"]: r["used"] for r in few if r["side"] == 0} == {8: 1, 9: 1}
 
 
 def test_near_duplicates(spark, empty):
