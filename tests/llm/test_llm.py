@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -201,22 +202,71 @@ def test_leaks(spark, sf, docs):
     assert got[20, 1]["first_word"] == 3 and got[20, 1]["similarity"] == 1.0
     left = decontaminate.without_leaks(documents(spark, rows), bench)
     assert left.columns == documents(spark, rows).columns and left.count() == len(rows) - 2
-    # every document of the tables, by brute force on shingle sets of aligned windows
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
-    items = [(r["item_id"], words(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    want = set()
-    for r in docs.collect():
-        w = words(r["text"])
-        for i, own in items:
-            s = {tuple(own[j : j + 5]) for j in range(len(own) - 4)}
-            for a in range(max(1, len(w) - len(own) + 1)):
-                x = {tuple(w[j : j + 5]) for j in range(a, min(len(w), a + len(own)) - 4)}
-                if len(s & x) >= 0.8 * len(s | x):
-                    want.add((r["doc_id"], i))
-                    break
+    assert decontaminate.find_leaks(documents(spark).where("false"), bench).count() == 0 and decontaminate.find_leaks(documents(spark), bench.where("false")).count() == 0
+    assert decontaminate.without_leaks(documents(spark), bench.where("false")).count() == len(ODD)
+    # every document of the tables, by brute force over all windows with weights
+    items = [(r["item_id"], shingle_list(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = {(r["doc_id"], i) for r in docs.collect() for i in leaked(shingle_list(r["text"]), items)}
     assert {(r["doc_id"], r["item_id"]) for r in QUERIES["op2_decontamination"](spark, sf).collect()} == want
 
 
+def shingle_list(text, k=5):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD))
+    return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+
+
+def leaked(own, items, least=0.8):
+    """Items that a window of their size is similar to, with weights, and how similar the best one is."""
+    out, every = {}, set(own)
+    for i, item in items:
+        if not every & set(item):
+            continue
+        c, n = Counter(item), min(len(item), len(own))
+        for a in range(len(own) - n + 1):
+            both = sum((Counter(own[a : a + n]) & c).values())
+            s = both / (n + len(item) - both)
+            if s >= max(least, out.get(i, 0)):
+                out[i] = s
+    return out
+
+
+def test_all_windows_are_looked_at(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, [words[j] for j in rng.integers(0, 400 if i % 3 else 6, rng.integers(30, 60))]) for i in range(60)]
+    rows = []
+    for i, (_, w) in enumerate(items * 6):
+        w = list(w)
+        half = len(w) // 2
+        if i % 4 == 0:
+            w = w[half:] + w[:half]  # the halves swapped
+        elif i % 4 == 1:
+            w[half] = "other"
+        elif i % 4 == 2:
+            del w[half]
+        rows.append((i, " ".join([*rng.choice(words, 20), *w, *rng.choice(words, 30)])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    plain = [(i, shingle_list(" ".join(w))) for i, w in items]
+    want = {(d, i): s for d, t in rows for i, s in leaked(shingle_list(t), plain).items()}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) and sum(d % 4 == 0 for d, _ in want) > 40
+    assert all(got[x] <= want[x] + 1e-9 for x in got) and sum(abs(got[x] - want[x]) < 1e-9 for x in got) >= 0.99 * len(got)
+
+
+def test_the_index_finds_all_within_the_radius_and_little_else():
+    rng = np.random.default_rng(4)
+    values = [rng.integers(0, 1 << 63, 40, dtype=np.uint64) for _ in range(6000)]
+    many, few = decontaminate.Sized(44, list(range(6000)), values), decontaminate.Sized(44, list(range(50)), values[:50])
+    asked = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    for j in range(40):  # near some of the items
+        asked[j] = many.prints[j] ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, j % 20, replace=False).astype(np.uint64), initial=np.uint64(0))
+    for sized in (many, few):
+        w, i, reached = sized.near(asked)
+        assert {*zip(w.tolist(), i.tolist())} == {*zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(asked[:, None] ^ sized.prints) <= decontaminate.RADIUS)))}
+        assert reached <= 0.2 * len(asked) * len(sized.prints)
+
+
 def test_licenses(spark, docs, empty):
     def plain(text):
         w, places, labels = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD)), [], set()
