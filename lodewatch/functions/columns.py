@@ -8,17 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Address formats.
-IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
+IPV4 = r"^((25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})\.){3}(25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})$"
 IPV6 = r"^([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$"
 MAC = r"^([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$"
 # Names under which rules know the event's fields.
 FIELD_ALIASES = {
-    "event_type": "class_uid", "class_uid": "class_uid", "category_uid": "category_uid", "severity": "severity", "tenant_id": "tenant_id", "message": "message",
+    "event_type": "class_uid", "class_uid": "class_uid", "category": "category_uid", "category_uid": "category_uid", "severity": "severity", "tenant_id": "tenant_id", "message": "message",
     "user": "actor.user", "username": "actor.user", "process": "actor.process", "process_name": "actor.process",
-    "src_ip": "src_endpoint.ip", "source_ip": "src_endpoint.ip", "sourceip": "src_endpoint.ip", "src_port": "src_endpoint.port", "source_port": "src_endpoint.port",
-    "dst_ip": "dst_endpoint.ip", "dest_ip": "dst_endpoint.ip", "destinationip": "dst_endpoint.ip", "dst_port": "dst_endpoint.port", "dest_port": "dst_endpoint.port",
+    "source_ip": "src_endpoint.ip", "src_ip": "src_endpoint.ip", "sourceip": "src_endpoint.ip",
+    "source_port": "src_endpoint.port", "src_port": "src_endpoint.port", "sourceport": "src_endpoint.port",
+    "source_hostname": "src_endpoint.hostname", "src_hostname": "src_endpoint.hostname",
+    "dest_ip": "dst_endpoint.ip", "dst_ip": "dst_endpoint.ip", "destination_ip": "dst_endpoint.ip", "destip": "dst_endpoint.ip",
+    "dest_port": "dst_endpoint.port", "dst_port": "dst_endpoint.port", "destination_port": "dst_endpoint.port", "destport": "dst_endpoint.port",
+    "dest_hostname": "dst_endpoint.hostname", "dst_hostname": "dst_endpoint.hostname",
     "outcome": "metadata.outcome", "result": "metadata.outcome",
 }
+#: Where a flat event row keeps them; what has no place there is null.
+FLAT_PLACES = {
+    "actor.user": "actor_user", "actor.process": "class_name", "src_endpoint.ip": "src_ip", "dst_endpoint.ip": "dst_ip", "dst_endpoint.port": "dst_port", "metadata.outcome": "outcome",
+    "src_endpoint.port": None, "src_endpoint.hostname": None, "dst_endpoint.hostname": None,
+}
 LEVELS = {"informational": 1, "info": 1, "low": 2, "medium": 3, "high": 4, "critical": 5}
 
 
@@ -30,9 +39,14 @@ def is_valid_mac(c: Column) -> Column:
     return F.coalesce(c.rlike(MAC), F.lit(False))
 
 
-def resolve_field(name: str, extra: dict[str, str] | None = None) -> Column:
-    """The event column of a rule's field name; `metadata.x` reads the map; an unknown name is null."""
-    path = (extra or {}).get(name.lower()) or FIELD_ALIASES.get(name.lower())
+def resolve_field(name: str, flat: bool = False) -> Column:
+    """The event column of a rule's field name, by alias, without regard to case and outer blanks; an unknown name is null.
+
+    flat: the event is a flat row, of which `bytes_out` can be named, too. Else `metadata.x` reads the map.
+    """
+    path = FIELD_ALIASES.get(name.strip().lower())
+    if flat:
+        path = FLAT_PLACES.get(path, path) if path else "bytes_out" if name.strip().lower() == "bytes_out" else None
     if path is None:
         return F.lit(None).cast("string")
     head, _, rest = path.partition(".")
@@ -49,11 +63,11 @@ def matches_value(c: Column, value) -> Column:
     return F.coalesce(F.lower(F.trim(c.cast("string"))) == F.lit(text.strip().lower()), F.lit(False))
 
 
-def selection_predicate(selection: dict | None, extra: dict[str, str] | None = None) -> Column:
+def selection_predicate(selection: dict | None, flat: bool = False) -> Column:
     """All of field = value; a list stands for any of its values; nothing to select selects everything."""
     out = F.lit(True)
     for field, value in (selection or {}).items():
-        c = resolve_field(field, extra)
+        c = resolve_field(field, flat)
         one = F.lit(False)
         for v in value if isinstance(value, list) else [value]:
             one = one | matches_value(c, v)

@@ -20,8 +20,8 @@ def nested_top_terms(df: DataFrame, by: list[str], k: int = 1000) -> DataFrame:
     for depth in range(1, len(by) + 1):
         path = by[:depth]
         level = counts.groupBy(*path).agg(F.sum("n").alias("_n"))
-        parent = Window.partitionBy(*path[:-1]) if depth > 1 else Window.partitionBy()
-        kept = level.withColumn("_rank", F.row_number().over(parent.orderBy(F.desc("_n"), F.asc(path[-1])))).where(F.col("_rank") <= k)
+        order = F.desc("_n"), F.asc(path[-1])
+        kept = level.withColumn("_rank", F.row_number().over(Window.partitionBy(*path[:-1]).orderBy(*order))).where(F.col("_rank") <= k) if depth > 1 else level.orderBy(*order).limit(k)
         counts = counts.join(kept.select(*path), path, "left_semi")
     return counts
 
@@ -86,7 +86,7 @@ def merge_buckets(parts: list[DataFrame], key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.sum("doc_count").alias("doc_count"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy(F.desc("doc_count"), F.asc(key))
 
 
-def ip_count_map(df: DataFrame, window: str) -> DataFrame:
-    """(tenant_id, window_start, counts): events of each source address in a tumbling window as a map; no address is `unknown`."""
+def ip_counts(df: DataFrame, window: str) -> DataFrame:
+    """(tenant_id, window_start, ip, n): events of each source address in a tumbling window, as rows; no address is `unknown`."""
     each = df.groupBy("tenant_id", F.window("time", window).alias("w"), F.coalesce("src_ip", F.lit("unknown")).alias("ip")).agg(F.count("*").alias("n"))
-    return each.groupBy("tenant_id", F.col("w.start").alias("window_start")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ip", "n")))).alias("counts"))
+    return each.select("tenant_id", F.col("w.start").alias("window_start"), "ip", "n")

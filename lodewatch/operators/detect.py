@@ -6,18 +6,13 @@ import re
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewatch.functions.columns import LEVELS, resolve_field, selection_predicate
 from lodewatch.functions.times import timeframe
 
 RULES = Path(__file__).resolve().parent.parent / "rules"
-#: Where a flat event row keeps the fields that rules name.
-FLAT = {
-    "user": "actor_user", "username": "actor_user", "src_ip": "src_ip", "source_ip": "src_ip", "sourceip": "src_ip", "dst_ip": "dst_ip", "dest_ip": "dst_ip",
-    "dest_port": "dst_port", "dst_port": "dst_port", "outcome": "outcome", "result": "outcome", "bytes_out": "bytes_out", "process": "class_name", "event_type": "class_uid",
-}
 _CONDITION = re.compile(r"(count|dcount|sum)\s*\(\s*([\w.*]*)\s*\)(?:\s+by\s+([\w.]+))?\s*>\s*(\d+)", re.IGNORECASE)
 
 
@@ -91,11 +86,11 @@ def with_windows(rule: Rule, size: str, slide: str | None = None, above: int | N
 
 
 def _value(rule: Rule, exact: bool) -> Column:
-    chosen = selection_predicate(rule.selection, FLAT)
+    chosen = selection_predicate(rule.selection, flat=True)
     if rule.function == "count":
-        c = F.lit(1) if rule.of in ("", "*") else resolve_field(rule.of, FLAT)
+        c = F.lit(1) if rule.of in ("", "*") else resolve_field(rule.of, flat=True)
         return F.count(F.when(chosen, c))
-    c = F.when(chosen, resolve_field(rule.of, FLAT))
+    c = F.when(chosen, resolve_field(rule.of, flat=True))
     if rule.function == "dcount":
         return F.count_distinct(c) if exact else F.approx_count_distinct(c)
     return F.coalesce(F.sum(c), F.lit(0))
@@ -110,10 +105,10 @@ def run_rules(events: DataFrame, rules: list[Rule], exact: bool = True) -> DataF
     out = None
     for spec in dict.fromkeys(r.spec for r in rules):
         own = [r for r in rules if r.spec == spec]
-        chosen = selection_predicate(own[0].selection, FLAT)
+        chosen = selection_predicate(own[0].selection, flat=True)
         for r in own[1:]:
-            chosen = chosen | selection_predicate(r.selection, FLAT)
-        grouped = events.where(chosen).groupBy("tenant_id", own[0].window().alias("w"), resolve_field(own[0].by, {**FLAT, "tenant_id": "tenant_id"}).cast("string").alias("key"))
+            chosen = chosen | selection_predicate(r.selection, flat=True)
+        grouped = events.where(chosen).groupBy("tenant_id", own[0].window().alias("w"), resolve_field(own[0].by, flat=True).cast("string").alias("key"))
         wide = grouped.agg(*(_value(r, exact).cast("long").alias(f"v{i}") for i, r in enumerate(own)))
         values = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.col(f"v{i}").alias("value"), F.lit(r.above).cast("long").alias("above")) for i, r in enumerate(own)))
         long = wide.select("tenant_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "key", F.explode(values).alias("x"))
@@ -123,23 +118,29 @@ def run_rules(events: DataFrame, rules: list[Rule], exact: bool = True) -> DataF
 
 
 def count_by_source_ip(events: DataFrame, rule: Rule) -> DataFrame:
-    """(tenant_id, window_start, window_end, entries): counts of every source address, where one of them is over the threshold."""
-    each = events.where(selection_predicate(rule.selection, FLAT)).groupBy("tenant_id", rule.window().alias("w"), F.coalesce("src_ip", F.lit("unknown")).alias("src_ip")).agg(F.count("*").alias("n"))
-    return (
-        each.groupBy("tenant_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))
-        .agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "src_ip"))).alias("entries"))
-        .where(F.col("most") > rule.above)
-    )
+    """(tenant_id, window_start, window_end, most, total, sources, top): where a source address is over the threshold.
+
+    top: the three addresses with most events, as structs (src_ip, n), ties by address. Counts stay rows until three are
+    left, so a window with very many addresses is gathered nowhere.
+    """
+    each = events.where(selection_predicate(rule.selection, flat=True)).groupBy("tenant_id", rule.window().alias("w"), F.coalesce("src_ip", F.lit("unknown")).alias("src_ip")).agg(F.count("*").alias("n"))
+    sums = each.groupBy("tenant_id", "w").agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("sources")).where(F.col("most") > rule.above)
+    rank = F.row_number().over(Window.partitionBy("tenant_id", "w").orderBy(F.desc("n"), "src_ip"))
+    first = each.withColumn("rank", rank).where("rank <= 3").groupBy("tenant_id", "w").agg(F.array_sort(F.collect_list(F.struct("rank", "src_ip", "n"))).alias("top"))
+    return sums.join(first, ["tenant_id", "w"]).select("tenant_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "most", "total", "sources", "top")
 
 
 def build_alerts(found: DataFrame, rule: Rule) -> DataFrame:
-    """Alerts from count_by_source_ip: the id is a hash of rule, tenant and window, so a replay makes no second one."""
-    top = F.concat_ws(", ", F.transform(F.slice("entries", 1, 3), lambda e: F.concat(e["src_ip"], F.lit(" ("), (-e["order"]).cast("string"), F.lit(")"))))
-    text = F.lit(rule.description) if rule.description else F.concat(F.lit(f"{rule.title}: "), F.col("total").cast("string"), F.lit(" events, most from "), top)
+    """Alerts from count_by_source_ip: the id is a hash of rule, tenant and window, so a replay makes no second one.
+
+    A rule without a description gets one from its counts.
+    """
+    top = F.concat_ws(", ", F.transform("top", lambda e: F.concat(e["src_ip"], F.lit(" ("), e["n"].cast("string"), F.lit(")"))))
+    made = F.format_string(f"Detected pattern matching rule '{rule.title.replace('%', '%%')}'. Total events: %d, Unique sources: %d. Top contributors: %s.", "total", "sources", top)  # fixed wording
     return found.select(
         F.sha2(F.concat_ws("|", F.lit(rule.id), "tenant_id", F.col("window_start").cast("string")), 256).alias("id"),
-        F.col("window_end").alias("time"), "tenant_id", F.lit(LEVELS.get(rule.level, 3)).alias("severity"), F.lit(rule.title).alias("title"), text.alias("description"),
-        F.lit(rule.id).alias("rule_id"), F.lit("open").alias("status"), "total", F.get("entries", F.lit(0))["src_ip"].alias("top_contributor"), top.alias("top_contributors"),
+        F.col("window_end").alias("time"), "tenant_id", F.lit(LEVELS.get(rule.level, 3)).alias("severity"), F.lit(rule.title).alias("title"), (F.lit(rule.description) if rule.description else made).alias("description"),
+        F.lit(rule.id).alias("rule_id"), F.lit("open").alias("status"), "total", F.get("top", F.lit(0))["src_ip"].alias("top_contributor"), top.alias("top_contributors"),
     )
 
 
@@ -157,8 +158,3 @@ def scan_patterns(events: DataFrame, patterns=SCAN_PATTERNS) -> DataFrame:
         found = found.select("p.pattern", "tenant_id", "src_ip", "window_start", "ports")
         out = found if out is None else out.unionByName(found)
     return out
-
-
-def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    rows = [(r.id, r.title, r.function, r.of, r.by, r.above, r.window_type, r.size, r.slide, LEVELS.get(r.level, 3)) for r in rules]
-    return spark.createDataFrame(rows, "id string, title string, function string, of string, by string, above long, window_type string, size string, slide string, severity int")

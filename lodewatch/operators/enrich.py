@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewatch.functions.columns import is_known_safe
@@ -19,6 +19,14 @@ def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(BROADCAST_INDICATORS + 1).count() <= BROADCAST_INDICATORS else small
 
 
+def read_indicators(spark: SparkSession, path: str) -> DataFrame:
+    """(indicator, kind, reputation, category) from Parquet or, by its ending, CSV with a header or JSON lines; rows without an indicator go."""
+    schema = "indicator string, kind string, reputation int, category string"
+    reader = spark.read.schema(schema)
+    table = reader.csv(path, header=True) if path.endswith(".csv") else reader.json(path) if path.endswith(".json") else reader.parquet(path)
+    return table.where(F.trim("indicator") != "")
+
+
 def enrich_threat_intel(df: DataFrame, intel: DataFrame, on: str | Column, kind: str = "ip", safe_list: bool = True) -> DataFrame:
     """Adds reputation, threat_category and is_threat. Unknown and private addresses are safe (0, `safe`); no address gives nulls."""
     key = F.col(on) if isinstance(on, str) else on

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,12 +30,18 @@ def _allowed(term: str) -> int:
 
 
 def text_search(df: DataFrame, query: str, fields: dict[str, float]) -> DataFrame:
-    """Rows with a word within edit distance 0, 1 or 2 (by length) of a query word; score: the best field's boost times words found."""
+    """Rows with a word within edit distance 0, 1 or 2 (by length) of a query word; score: the best field's boost times words found.
+
+    Each field is cut into words once, and each distinct word of it is compared once with every query word of about its length.
+    """
     terms = [t for t in query.lower().split() if t]
-    has = lambda f, w: F.exists(tokens(F.col(f)), lambda t: F.levenshtein(t, F.lit(w), _allowed(w)) >= 0).cast("int")
-    found = [sum((has(f, w) for w in terms), F.lit(0)) * F.lit(boost) for f, boost in fields.items()]
+    names = {f: f"_words_{i}" for i, f in enumerate(fields)}
+    words = df.withColumns({n: F.array_distinct(tokens(F.col(f))) for f, n in names.items()})
+    near = lambda t, w: F.length(t).between(len(w) - _allowed(w), len(w) + _allowed(w)) & (F.levenshtein(t, F.lit(w), _allowed(w)) >= 0)
+    has = lambda n, w: F.exists(n, lambda t: near(t, w)).cast("int")
+    found = [sum((has(names[f], w) for w in terms), F.lit(0)) * F.lit(boost) for f, boost in fields.items()]
     score = F.greatest(*found) if len(found) > 1 else found[0]
-    return df.withColumn("score", score.cast("double")).where("score > 0")
+    return words.withColumn("score", score.cast("double")).where("score > 0").drop(*names.values())
 
 
 def token_index(df: DataFrame, key: str, field: str) -> DataFrame:
@@ -43,11 +50,11 @@ def token_index(df: DataFrame, key: str, field: str) -> DataFrame:
 
 
 def highlight(c: Column, terms: list[str], size: int = 150, pieces: int = 3) -> Column:
-    """Up to `pieces` fragments of `size` characters that hold a term, with terms in <em>."""
-    either = "|".join(terms)
+    """Up to `pieces` fragments of `size` characters that hold a term, with terms in <em>; terms are taken literally."""
+    either = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
     fragments = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(c) - 1).cast("int")), F.lit(size)), lambda i: F.substring(c, i + 1, F.lit(size)))
-    held = F.filter(fragments, lambda x: x.rlike(rf"(?i)\b({either})\b"))
-    return F.transform(F.slice(held, 1, pieces), lambda x: F.regexp_replace(x, rf"(?i)\b({either})\b", "<em>$1</em>"))
+    held = F.filter(fragments, lambda x: x.rlike(rf"(?i)(?<!\w)({either})(?!\w)"))
+    return F.transform(F.slice(held, 1, pieces), lambda x: F.regexp_replace(x, rf"(?i)(?<!\w)({either})(?!\w)", "<em>$1</em>"))
 
 
 def to_event_struct(df: DataFrame) -> DataFrame:
@@ -77,6 +84,11 @@ def find_alerts(alerts: DataFrame, tenant: str, severity: int | None = None, sta
     return out.orderBy(F.desc_nulls_last("time"), "id").offset(offset).limit(limit)
 
 
+def alert_by_id(alerts: DataFrame, tenant: str, alert_id: str) -> DataFrame:
+    """The tenant's alert of this id; another tenant's isn't found."""
+    return for_tenant(alerts, tenant).where(F.col("id") == F.lit(alert_id)).limit(1)
+
+
 def alert_events(alerts: DataFrame, events: DataFrame, keep_missing: bool = True) -> DataFrame:
     """(alert_id, position, event_id, message, severity): an alert's events of its own tenant, in order; missing ones are null or left out."""
     each = alerts.select(F.col("id").alias("alert_id"), "tenant_id", F.posexplode("event_ids").alias("position", "event_id"))

@@ -7,7 +7,6 @@ streaming frames alike. A parser returns the event columns and parse_error, null
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,16 +37,33 @@ def register_parser(vendor: str, parser: Parser) -> None:
 
 
 def normalize(raw: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """All lines as events with vendor and parse_error; a vendor without a parser goes to the generic one."""
+    """All lines as events with vendor and parse_error; a vendor without a parser goes to the generic one.
+
+    The parsers work one after the other on one scan: each sees the lines of its vendors, and null in place of the others,
+    and its event is kept for its own. A parser that doesn't end in event() has a scan of its own, for its vendors.
+    """
     table = parsers or PARSERS
     known = raw.withColumn("vendor", F.coalesce("vendor_type", detect_vendor(F.col("data"))))
     vendors: dict[Parser, list[str]] = {}
     for v, p in table.items():
         vendors.setdefault(p, []).append(v)
-    rest = ~F.col("vendor").isin(*table)
-    parts = [p(known.where(F.col("vendor").isin(*vs) | (rest if p is generic.parse else F.lit(False)))) for p, vs in vendors.items()]
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    # what all lines get, after the union
+    rest = ~F.col("_line.vendor").isin(*table)
+    lines = known.select(F.struct("raw_id", "data", "arrived", "tenant_id", "vendor", "metadata").alias("_line"), F.lit(None).alias("_event"))
+    apart, done = [], None
+    for p, vs in vendors.items():
+        own = F.col("_line.vendor").isin(*vs) | (rest if p is generic.parse else F.lit(False))
+        seen = lines if done is None else done
+        parsed = p(seen.select("_line.raw_id", F.when(own, F.col("_line.data")).alias("data"), "_line.arrived", "_line.tenant_id", "_line.vendor", "_line.metadata", "_line", "_event"))
+        if "_line" not in parsed.columns:
+            apart.append((p, vs))
+            continue
+        event = F.struct(*(c for c in parsed.columns if c not in ("_line", "_event")))
+        done = parsed.select("_line", (F.when(own, event) if done is None else F.when(own, event).otherwise(F.col("_event"))).alias("_event"))
+    out = done.where("_event is not null").select("_event.*") if done is not None else None
+    for p, vs in apart:
+        found = p(known.where(F.col("vendor").isin(*vs)))
+        out = found if out is None else out.unionByName(found)
+    # what all lines get
     added = F.map_concat(
         F.create_map(F.lit("originalIngestionTime"), F.col("arrived").cast("string")),
         F.when(F.map_contains_key("metadata", "vendor"), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("detectedVendor"), F.col("vendor"))),

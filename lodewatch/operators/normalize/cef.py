@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import actor, cef_severity, endpoint, event, group, text_or_null, with_groups
 
+# Fixed value: the form of the header.
 HEADER = r"^CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
 #: A value runs until the next key or the end.
 PAIR = r"(\w+)=(.*?)(?=\s+\w+=|$)"
@@ -26,7 +27,7 @@ def parse(df: DataFrame) -> DataFrame:
     when = F.coalesce(x("rt"), x("end")).try_cast("bigint")
     meta = F.map_concat(
         F.transform_keys("_ext", lambda k, v: F.concat(F.lit("cef."), k)),
-        F.create_map(*(y for n, i in (("device_vendor", 2), ("device_product", 3), ("device_version", 4), ("signature_id", 5)) for y in (F.lit(n), F.coalesce(part(i), F.lit(""))))),
+        F.create_map(F.lit("parser"), F.lit("cef"), *(y for n, i in (("device_vendor", 2), ("device_product", 3), ("device_version", 4), ("signature_id", 5)) for y in (F.lit(n), F.coalesce(part(i), F.lit(""))))),
     )
     return event(
         df, time=F.timestamp_millis(when), severity=cef_severity(number(part(7))), class_uid=9999, category_uid=99,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import actor, endpoint, event, group, metadata, syslog_severity, with_groups
 
+# Fixed value: the form of the header.
 HEADER = r"%ASA-(\d)-(\d+):\s*(.+)"
 ADDRESS = r"(\S+?):([\d.]+)/(\d+)(?: \(([\d.]+)/(\d+)\))?"
 CONNECTION = rf"(Built|Teardown) (?:inbound |outbound )?(\w+) connection (\d+) for {ADDRESS} to {ADDRESS}"
@@ -19,5 +20,5 @@ def parse(df: DataFrame) -> DataFrame:
     return event(
         df, time=F.lit(None).cast("timestamp"), severity=F.when(F.col("_h").isNotNull(), syslog_severity(head(1).try_cast("int"))).otherwise(1), class_uid=4001, category_uid=4, class_name="network_activity", category_name="network",
         message=F.coalesce(head(3), line), actor=actor(), src=endpoint(F.coalesce(part(7), part(5)), F.coalesce(part(8), part(6)).try_cast("int")), dst=endpoint(F.coalesce(part(12), part(10)), F.coalesce(part(13), part(11)).try_cast("int")),
-        meta=metadata(messageId=head(2), protocol=F.lower(part(2)), action=F.lower(part(1)), connection_id=part(3)),
+        meta=metadata(parser=F.lit("cisco-asa"), vendor=F.lit("cisco"), messageId=head(2), protocol=F.lower(part(2)), action=F.lower(part(1)), connection_id=part(3)),
     )

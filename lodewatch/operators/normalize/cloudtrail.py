@@ -22,6 +22,6 @@ def parse(df: DataFrame) -> DataFrame:
         df, time=F.try_to_timestamp(r("eventTime")), severity=severity, class_uid=3005, category_uid=3, class_name=r("eventName"), category_name="cloud", message=message,
         actor=actor(F.coalesce(r("userIdentity.userName"), r("userIdentity.principalId"), r("userIdentity.arn")), r("userAgent"), r("userIdentity.sessionContext.sessionIssuer.userName")),
         src=endpoint(r("sourceIPAddress")), dst=endpoint(),
-        meta=metadata(eventId=r("eventID"), eventType=r("eventType"), region=r("awsRegion"), accountId=r("recipientAccountId"), requestId=r("requestID"), resourceCount=F.when(r("resources").isNotNull(), F.size(r("resources")))),
+        meta=metadata(parser=F.lit("cloudtrail"), eventId=r("eventID"), eventType=r("eventType"), region=r("awsRegion"), accountId=r("recipientAccountId"), requestId=r("requestID"), resourceCount=F.when(r("resources").isNotNull(), F.size(r("resources")))),
         error=F.when(F.col("_r").isNull() | r("eventName").isNull(), "not a CloudTrail record"),
     )

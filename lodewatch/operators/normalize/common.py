@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EMPTY_MAP = "map<string,string>"
+# Fixed values in this module: the marks of vendors' lines, and the severities of words, numbers and actions.
 
 
 def detect_vendor(line: Column) -> Column:
@@ -100,7 +101,10 @@ def event(
     df: DataFrame, *, time: Column, severity: Column, class_uid: Column | int, category_uid: Column | int, class_name: Column | str, category_name: Column | str, message: Column,
     actor: Column, src: Column, dst: Column, meta: Column, error: Column | None = None,
 ) -> DataFrame:
-    """The event's columns in one order for all parsers. A line without a time of its own has that of its arrival."""
+    """The event's columns in one order for all parsers. A line without a time of its own has that of its arrival.
+
+    Columns that only pass through (_line, _event) stay behind them.
+    """
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     df = df.withColumn("_meta", meta)  # in a step of its own, so that it is worked out once
     meta = F.col("_meta")
@@ -108,5 +112,5 @@ def event(
         "raw_id", F.sha2(F.concat_ws("|", "raw_id", "data"), 256).alias("uuid"), F.coalesce(time, F.col("arrived")).alias("time"), "tenant_id", severity.cast("int").alias("severity"), lit(class_uid).cast("int").alias("class_uid"),
         lit(category_uid).cast("int").alias("category_uid"), lit(class_name).alias("class_name"), lit(category_name).alias("category_name"), actor.alias("actor"), src.alias("src_endpoint"), dst.alias("dst_endpoint"),
         message.alias("message"), F.col("data").alias("raw_data"), F.map_concat(F.map_filter("metadata", lambda k, v: ~F.map_contains_key(meta, k)), meta).alias("metadata"), "vendor", "arrived",
-        (error if error is not None else F.lit(None).cast("string")).alias("parse_error"),
+        (error if error is not None else F.lit(None).cast("string")).alias("parse_error"), *(c for c in ("_line", "_event") if c in df.columns),
     )

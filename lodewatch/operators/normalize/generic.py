@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import actor, endpoint, event, word_severity
+from .common import actor, endpoint, event, metadata, word_severity
 
 # Names under which such lines keep time, severity, message and user.
 TIMES = ("timestamp", "time", "@timestamp", "eventTime", "datetime", "date")
@@ -27,5 +27,5 @@ def parse(df: DataFrame) -> DataFrame:
     return event(
         df, time=time, severity=F.when(is_json, word_severity(first(SEVERITIES))).otherwise(1), class_uid=1000, category_uid=0, class_name="generic", category_name="system",
         message=F.when(is_json, F.coalesce(first(MESSAGES), line)).otherwise(text), actor=actor(first(USERS)), src=endpoint(F.coalesce(F.col("_m")["src_ip"], F.col("_m")["source_ip"])), dst=endpoint(F.coalesce(F.col("_m")["dst_ip"], F.col("_m")["dest_ip"])),
-        meta=F.coalesce(scalars, F.create_map().cast("map<string,string>")), error=F.when(line.isNull() | (F.trim(line) == ""), "empty line"),
+        meta=F.map_concat(F.map_filter(F.coalesce(scalars, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("parser", "format")), metadata(parser=F.lit("generic"), format=F.when(is_json, "json").otherwise("unknown"))), error=F.when(line.isNull() | (F.trim(line) == ""), "empty line"),
     )

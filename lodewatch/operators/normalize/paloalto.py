@@ -18,6 +18,6 @@ def parse(df: DataFrame) -> DataFrame:
     message = F.concat_ws(" ", F.concat(F.lit("Type: "), field(3)), F.concat(F.lit("Action: "), field(30)), F.concat(F.lit("App: "), field(28)))
     return event(
         df, time=F.try_to_timestamp(first, F.lit("yyyy/MM/dd HH:mm:ss")), severity=action_severity(field(30)), class_uid=4001, category_uid=4, class_name="network_activity", category_name="network", message=message,
-        actor=actor(), src=endpoint(field(7), number(field(9))), dst=endpoint(field(8), number(field(10))), meta=metadata(subtype=field(4), application=field(28), action=field(30)),
+        actor=actor(), src=endpoint(field(7), number(field(9))), dst=endpoint(field(8), number(field(10))), meta=metadata(parser=F.lit("paloalto"), vendor=F.lit("paloalto"), subtype=field(4), application=field(28), action=field(30)),
         error=F.when(F.col("_f").isNull() | (F.size("_f") < LEAST_FIELDS), "too few fields"),
     )

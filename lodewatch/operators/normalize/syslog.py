@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import actor, endpoint, event, group, metadata, syslog_severity, with_groups
 
+# The headers of the two RFCs.
 NEW = r"^<(\d+)>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(-|(?:\[[^\]]*\])+)\s*(.*)$"
 OLD = r"^<(\d+)>([A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+):\s*(.*)$"
 ELEMENT, PARAMETER = r"\[([^\s\]]+)([^\]]*)\]", r'(\S+?)="([^"]*)"'
@@ -37,7 +38,7 @@ def parse(df: DataFrame) -> DataFrame:
     once = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["key"] == p["key"]))
     data = F.coalesce(F.map_from_entries(once), F.create_map().cast("map<string,string>"))
     known = new | old
-    meta = F.map_concat(data, metadata(facility=F.when(known, F.shiftright(priority, 3)), msgid=part(7), format=F.when(new, "rfc5424").when(old, "rfc3164").otherwise("generic")))
+    meta = F.map_concat(data, metadata(parser=F.lit("syslog"), facility=F.when(known, F.shiftright(priority, 3)), msgid=part(7), format=F.when(new, "rfc5424").when(old, "rfc3164").otherwise("generic")))
     return event(
         df, time=time, severity=F.when(known, syslog_severity(priority.bitwiseAND(F.lit(7)))).otherwise(1), class_uid=6001, category_uid=6, class_name="syslog", category_name="application",
         message=F.coalesce(part(9), was(5), line), actor=actor(None, F.coalesce(part(5), was(4)), part(6)), src=endpoint(None, None, F.coalesce(part(4), was(3))), dst=endpoint(), meta=meta,

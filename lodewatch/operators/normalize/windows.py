@@ -18,7 +18,7 @@ def parse(df: DataFrame) -> DataFrame:
     last = lambda *names: F.get(F.transform(F.reverse(F.filter("_d", lambda d: d["_Name"].isin(*names))), lambda d: d["_VALUE"]), F.lit(0))
     own = F.filter("_d", lambda d, i: ~F.exists(F.slice("_d", i + 2, F.size("_d")), lambda e: e["_Name"] == d["_Name"]))
     data = F.map_from_entries(F.transform(own, lambda d: F.struct(d["_Name"].alias("key"), d["_VALUE"].alias("value"))))
-    meta = F.map_concat(F.coalesce(data, F.create_map().cast("map<string,string>")), metadata(eventId=x("EventID"), channel=x("Channel"), provider=x("Provider._Name")))
+    meta = F.map_concat(F.coalesce(data, F.create_map().cast("map<string,string>")), metadata(parser=F.lit("windows-event"), vendor=F.lit("microsoft"), eventId=x("EventID"), channel=x("Channel"), provider=x("Provider._Name")))
     return event(
         df, time=F.try_to_timestamp(x("TimeCreated._SystemTime")), severity=windows_severity(x("Level")), class_uid=3001, category_uid=3, class_name="windows_event", category_name="system",
         message=F.concat(F.lit("Windows Event "), F.coalesce(x("EventID"), F.lit("unknown")), F.lit(" from "), F.coalesce(x("Channel"), F.lit("unknown"))),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def by_status(tenants: DataFrame, *statuses: str) -> DataFrame:
@@ -14,6 +16,20 @@ def count_by_status(tenants: DataFrame) -> DataFrame:
     return tenants.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def by_id(tenants: DataFrame, tenant: str) -> DataFrame:
+    return tenants.where(F.col("id") == F.lit(tenant))
+
+
+def all_tenants(tenants: DataFrame) -> DataFrame:
+    return tenants.orderBy("id")
+
+
+def exists(tenants: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, exists) of the ids asked for, each once."""
+    known = tenants.select("id").distinct().withColumn("exists", F.lit(True))
+    return ids.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("exists", F.lit(False)).alias("exists"))
+
+
 def delete_tenants(tenants: DataFrame, ids: list[str]) -> DataFrame:
     return tenants.where(~F.col("id").isin(*ids))
 
@@ -35,25 +51,29 @@ def events_per_second(df: DataFrame, tenants: DataFrame) -> DataFrame:
     return peak.join(tenants.select(F.col("id").alias("tenant_id"), "max_eps"), "tenant_id").withColumn("over", F.col("peak") > F.col("max_eps"))
 
 
-def quota_audit(df: DataFrame, capacity: int, refill: float, unit: str = "second", unit_seconds: int = 1) -> DataFrame:
+def quota_audit(df: DataFrame, capacity: int, refill: float, unit: str = "second") -> DataFrame:
     """(tenant_id, slot, n, level, refused) of a token bucket of `capacity`, refilled by `refill` a second, at one token an event.
 
     A slot takes all its tokens or, if they aren't there, is refused whole and the bucket stays as it was last saved, its
-    refill clock running. Only slots with events count; the fold runs over one row for each slot of a tenant, a day at a
-    time at least being enough to refill any bucket, so a day's slots are all that is ever together.
+    refill clock running. Only slots with events count. Counts are partial before they are shuffled; then a tenant's slots
+    pass in order through one task, in batches, with the bucket carried along: linear in time, and nothing is gathered.
     """
-    slots = df.groupBy("tenant_id", F.date_trunc(unit, "time").alias("slot")).agg(F.count("*").alias("n"))
-    if capacity > refill * 86_400:
-        raise ValueError("a bucket must refill within a day")
-    # after a gap of at least capacity / refill seconds the bucket is full again: such gaps cut the series
-    line = Window.partitionBy("tenant_id").orderBy("slot")
-    gap = F.unix_seconds(F.col("slot").cast("timestamp")) - F.unix_seconds(F.lag("slot").over(line).cast("timestamp"))
-    runs = slots.withColumn("run", F.sum((F.coalesce(gap, F.lit(1 << 40)) * refill >= capacity).cast("int")).over(line))
-    series = runs.groupBy("tenant_id", "run").agg(F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col("slot").cast("timestamp")).alias("s"), "slot", "n"))).alias("h"))
-    step = f"""aggregate(h, named_struct('level', {float(capacity)!r}D, 'at', h[0].s, 'out', cast(array() as array<struct<slot: {dict(slots.dtypes)["slot"]}, n: bigint, level: double, refused: boolean>>)),
-      (a, x) -> named_struct(
-        'level', if(least({float(capacity)!r}D, a.level + (x.s - a.at) * {float(refill)!r}D) >= x.n, least({float(capacity)!r}D, a.level + (x.s - a.at) * {float(refill)!r}D) - x.n, a.level),
-        'at', if(least({float(capacity)!r}D, a.level + (x.s - a.at) * {float(refill)!r}D) >= x.n, x.s, a.at),
-        'out', concat(a.out, array(named_struct('slot', x.slot, 'n', x.n, 'level', least({float(capacity)!r}D, a.level + (x.s - a.at) * {float(refill)!r}D),
-                                               'refused', least({float(capacity)!r}D, a.level + (x.s - a.at) * {float(refill)!r}D) < x.n)))))"""
-    return series.select("tenant_id", F.explode(F.expr(step)["out"]).alias("x")).select("tenant_id", "x.*")
+    slots = df.groupBy("tenant_id", F.date_trunc(unit, "time").alias("slot")).agg(F.count("*").alias("n")).withColumn("_s", F.unix_seconds(F.col("slot").cast("timestamp")))
+
+    def run(batches):
+        tenant, saved, clock, begun = None, float(capacity), 0, False
+        for batch in batches:
+            levels, refused = [], []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("tenant_id", "_s", "n")]
+            for who, at, n in zip(*columns):
+                if not begun or who != tenant:
+                    tenant, saved, clock, begun = who, float(capacity), at, True
+                level = min(float(capacity), saved + (at - clock) * refill)
+                levels.append(level)
+                refused.append(level < n)
+                if level >= n:
+                    saved, clock = level - n, at
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(levels, pa.float64()), pa.array(refused, pa.bool_())], [*batch.schema.names, "level", "refused"])
+
+    kind = T.StructType([*slots.schema.fields, T.StructField("level", T.DoubleType()), T.StructField("refused", T.BooleanType())])
+    return slots.repartition("tenant_id").sortWithinPartitions("tenant_id", "_s").mapInArrow(run, kind).drop("_s")

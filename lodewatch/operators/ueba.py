@@ -29,56 +29,88 @@ def login() -> Column:
     return F.when(F.col("category_name") == "authentication", 1.0).otherwise(0.0)
 
 
+def remember(known: dict, x, most: int) -> bool:
+    """Whether x is new to the known places, which then take it in; of more than `most`, the one that came first goes."""
+    if x in known:
+        return False
+    known[x] = None
+    if len(known) > most:
+        del known[next(iter(known))]
+    return True
+
+
+class _Profile:
+    """What is carried through a user's events. A profile starts at (0, 1); values that aren't positive are skipped."""
+
+    def __init__(self):
+        self.m, self.s, self.lm, self.ls, self.places, self.devices = 0.0, 1.0, 0.0, 1.0, {}, {}
+
+    @staticmethod
+    def _taken(m, s, x):
+        new = ALPHA * x + (1 - ALPHA) * m
+        return new, (ALPHA * ((x - new) * (x - new)) + (1 - ALPHA) * (s * s)) ** 0.5
+
+    def take(self, volume, login, place, device) -> tuple[bool, bool]:
+        """Takes an event in; whether its place and its device are new."""
+        if volume > 0:
+            self.m, self.s = self._taken(self.m, self.s, volume)
+        if login > 0:
+            self.lm, self.ls = self._taken(self.lm, self.ls, login)
+        return remember(self.places, place, MOST_LOCATIONS), remember(self.devices, device, MOST_DEVICES)
+
+    def values(self) -> tuple:
+        return self.m, self.s, self.lm, self.ls
+
+
+_FOUND = T.StructType([T.StructField(c, T.StructType([T.StructField("m", T.DoubleType()), T.StructField("s", T.DoubleType())])) for c in ("_p", "_q")])
+_BEFORE = T.StructType([*_FOUND, *(T.StructField(c, T.BooleanType()) for c in ("_new_place", "_new_device"))])
+_AFTER = T.StructType([*_FOUND, *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("_places", "_devices"))])
+
+
 def _through(own: DataFrame, closing: bool) -> DataFrame:
-    """Adds the profiles _p and _q, structs (m, s) of volumes and logins, before each row; if closing, after each user's last row, which alone stays.
+    """Adds the profiles _p and _q, structs (m, s) of volumes and logins, before each row, and whether its place and device are new.
 
-    A profile starts at (0, 1); values that aren't positive are skipped. Only a batch of rows is held at a time.
+    If closing, only each user's last row stays, with the profile after it and the places and devices known then. Only a
+    batch of rows is held at a time.
     """
-    alpha = ALPHA
 
     def run(batches):
-        def taken(m, s, x):
-            new = alpha * x + (1 - alpha) * m
-            return new, (alpha * ((x - new) * (x - new)) + (1 - alpha) * (s * s)) ** 0.5
-
-        def with_profiles(rows, found):
-            m, s, lm, ls = (pa.array(x, pa.float64()) for x in found)
+        def with_profiles(rows, found, *more):
+            m, s, lm, ls = (pa.array(x, pa.float64()) for x in (zip(*found) if found else ([],) * 4))
             p, q = (pa.StructArray.from_arrays(list(x), ["m", "s"]) for x in ((m, s), (lm, ls)))
-            return pa.RecordBatch.from_arrays([*rows.columns, p, q], [*rows.schema.names, "_p", "_q"])
+            return pa.RecordBatch.from_arrays([*rows.columns, p, q, *more], [*rows.schema.names, *((_AFTER if closing else _BEFORE).fieldNames())])
+
+        def known(profiles):
+            return [pa.array([[x for x in known if x is not None] for known in side], pa.list_(pa.string())) for side in ([p.places for p in profiles], [p.devices for p in profiles])]
 
-        user, m, s, lm, ls, last = None, 0.0, 1.0, 0.0, 1.0, None
+        user, profile, last = None, _Profile(), None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found, ends = ([], [], [], []), []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*USER, "_v", "_l")]
-            for i, (tenant, name, v, x) in enumerate(zip(*columns)):
+            found, new, ends, ended = [], [], [], []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*USER, "_v", "_l", "src_location", "device_id")]
+            for i, (tenant, name, *event) in enumerate(zip(*columns)):
                 if (tenant, name) != user:
                     if closing and user is not None:
                         if i:
                             ends.append(i - 1)
-                            for to, value in zip(found, (m, s, lm, ls)):
-                                to.append(value)
+                            ended.append(profile)
                         else:
-                            yield with_profiles(last, ([m], [s], [lm], [ls]))
-                    user, m, s, lm, ls = (tenant, name), 0.0, 1.0, 0.0, 1.0
+                            yield with_profiles(last, [profile.values()], *known([profile]))
+                    user, profile = (tenant, name), _Profile()
                 if not closing:
-                    for to, value in zip(found, (m, s, lm, ls)):
-                        to.append(value)
-                if v > 0:
-                    m, s = taken(m, s, v)
-                if x > 0:
-                    lm, ls = taken(lm, ls, x)
+                    found.append(profile.values())
+                new.append(profile.take(*event))
             if not closing:
-                yield with_profiles(batch, found)
+                yield with_profiles(batch, found, *(pa.array(x, pa.bool_()) for x in zip(*new)))
             elif ends:
-                yield with_profiles(batch.take(pa.array(ends)), found)
+                yield with_profiles(batch.take(pa.array(ends)), [p.values() for p in ended], *known(ended))
             last = batch.take(pa.array([batch.num_rows - 1]))
         if closing and user is not None:
-            yield with_profiles(last, ([m], [s], [lm], [ls]))
+            yield with_profiles(last, [profile.values()], *known([profile]))
 
     rows = own.withColumns({"_v": volume(), "_l": login()})
-    kind = T.StructType([*rows.schema.fields, *(T.StructField(c, T.StructType([T.StructField("m", T.DoubleType()), T.StructField("s", T.DoubleType())])) for c in ("_p", "_q"))])
+    kind = T.StructType([*rows.schema.fields, *(_AFTER if closing else _BEFORE).fields])
     return rows.repartition(*USER).sortWithinPartitions(*USER, "time", "uuid").mapInArrow(run, kind).drop("_v", "_l")
 
 
@@ -86,8 +118,11 @@ def _deviation(value: Column, mean: Column, std: Column) -> Column:
     return F.when(std == 0, 0.0).otherwise(F.abs((value - mean) / std))
 
 
-def features(df: DataFrame, profile: Column | None = None, logins: Column | None = None) -> DataFrame:
-    """Adds f0 to f9; profile and logins are structs (m, s) before the event, by default those of a new user."""
+def features(df: DataFrame, profile: Column | None = None, logins: Column | None = None, place: Column | None = None, device: Column | None = None) -> DataFrame:
+    """Adds f0 to f9; profile and logins are structs (m, s) before the event, by default those of a new user.
+
+    place and device say whether the event's are new; by default they are if the user's earlier events have none alike.
+    """
     new = F.struct(F.lit(0.0).alias("m"), F.lit(1.0).alias("s"))
     p, q = profile if profile is not None else new, logins if logins is not None else new
     seen = lambda c: F.row_number().over(Window.partitionBy(*USER, c).orderBy("time", "uuid")) == 1
@@ -95,7 +130,7 @@ def features(df: DataFrame, profile: Column | None = None, logins: Column | None
         {
             "f0": F.hour("time"), "f1": F.dayofweek("time") - 1, "f2": volume(),
             "f3": _deviation(volume(), p["m"], p["s"]), "f4": _deviation(F.lit(1.0), q["m"], q["s"]),
-            "f5": seen("src_location"), "f6": seen("device_id"), "f7": F.lit(0.0), "f8": F.col("privilege_escalation"),
+            "f5": place if place is not None else seen("src_location"), "f6": device if device is not None else seen("device_id"), "f7": F.lit(0.0), "f8": F.col("privilege_escalation"),
             "f9": (F.col("category_name") == "authentication") & (F.col("outcome") == "failure"),
         }
     )
@@ -111,24 +146,43 @@ def score_history(df: DataFrame) -> DataFrame:
     """Every event with its score against the profile before it; events without a user pass with a null score."""
     own, rest = df.where(F.col("actor_user").isNotNull()), df.where(F.col("actor_user").isNull())
     known = _through(own, closing=False)
-    scored = features(known, F.col("_p"), F.col("_q")).withColumn("ueba_score", rule_score()).drop("_p", "_q")
+    scored = features(known, *(F.col(c) for c in _BEFORE.fieldNames())).withColumn("ueba_score", rule_score()).drop(*_BEFORE.fieldNames())
     return scored.unionByName(rest.withColumn("ueba_score", F.lit(None).cast("double")), allowMissingColumns=True)
 
 
 def build_profiles(df: DataFrame) -> DataFrame:
     """(tenant_id, actor_user, avg_volume, std_volume, avg_logins, std_logins, event_count, last_seen, known_locations, known_devices).
 
-    Every row is folded. Known places are the latest distinct ones, MOST_LOCATIONS and MOST_DEVICES.
+    Every row is folded. Known places are the last MOST_LOCATIONS and MOST_DEVICES to come in, in order of their names.
     """
     own = df.where(F.col("actor_user").isNotNull())
-    folded = _through(own.select(*USER, "time", "uuid", "bytes_out", "category_name"), closing=True).select(*USER, F.col("_p").alias("p"), F.col("_q").alias("q"))
+    folded = _through(own.select(*USER, "time", "uuid", "bytes_out", "category_name", "src_location", "device_id"), closing=True).select(
+        *USER, F.col("_p.m").alias("avg_volume"), F.col("_p.s").alias("std_volume"), F.col("_q.m").alias("avg_logins"), F.col("_q.s").alias("std_logins"),
+        F.array_sort("_places").alias("known_locations"), F.array_sort("_devices").alias("known_devices"),
+    )
     counts = own.groupBy(*USER).agg(F.count("*").alias("event_count"), F.max("time").alias("last_seen"))
-    out = folded.join(counts, [*USER])
-    for c, most, name in (("src_location", MOST_LOCATIONS, "known_locations"), ("device_id", MOST_DEVICES, "known_devices")):
-        last = own.groupBy(*USER, c).agg(F.max("time").alias("t"))
-        kept = last.withColumn("_n", F.row_number().over(Window.partitionBy(*USER).orderBy(F.desc("t"), c))).where(F.col("_n") <= most)
-        out = out.join(kept.groupBy(*USER).agg(F.array_sort(F.collect_set(c)).alias(name)), [*USER], "left")
-    return out.select(*USER, F.col("p.m").alias("avg_volume"), F.col("p.s").alias("std_volume"), F.col("q.m").alias("avg_logins"), F.col("q.s").alias("std_logins"), "event_count", "last_seen", "known_locations", "known_devices")
+    return folded.join(counts, [*USER]).select(*USER, "avg_volume", "std_volume", "avg_logins", "std_logins", "event_count", "last_seen", "known_locations", "known_devices")
+
+
+def profile_of(profiles: DataFrame, tenant: str, user: str) -> DataFrame:
+    """The profile of a tenant's user."""
+    return profiles.where((F.col("tenant_id") == F.lit(tenant)) & (F.col("actor_user") == F.lit(user)))
+
+
+def put_profiles(profiles: DataFrame, new: DataFrame) -> DataFrame:
+    """The table with new profiles in place of those of the same users."""
+    return profiles.join(new.select(*USER).distinct(), [*USER], "left_anti").unionByName(new)
+
+
+def delete_profiles(profiles: DataFrame, users: DataFrame) -> DataFrame:
+    """The table without the profiles of these (tenant_id, actor_user)."""
+    return profiles.join(users.select(*USER).distinct(), [*USER], "left_anti")
+
+
+def profiles_exist(profiles: DataFrame, users: DataFrame) -> DataFrame:
+    """(tenant_id, actor_user, exists) of the users asked for, each once."""
+    known = profiles.select(*USER).distinct().withColumn("exists", F.lit(True))
+    return users.select(*USER).distinct().join(known, [*USER], "left").select(*USER, F.coalesce("exists", F.lit(False)).alias("exists"))
 
 
 def live_profiles(profiles: DataFrame, as_of: datetime, days: int = 90) -> DataFrame:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodewatch.functions.columns import is_known_safe, is_valid_ip, is_valid_mac, level_to_severity, tier_of
+from lodewatch.functions.columns import is_known_safe, is_valid_ip, is_valid_mac, level_to_severity, selection_predicate, tier_of
 from lodewatch.functions.times import last
 from lodewatch.operators import aggregate, detect, enrich, normalize, search, tenants, ueba
 from lodewatch.operators import events as canned
 from lodewatch.sources import ingest, tiers, views
+from lodewatch.sources.shared import shared_dir
 from lodewatch.sources.views import AS_OF, flat_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,9 +43,8 @@ def own(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one, or a temporary one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tiers-")
-    return f"{base.rstrip('/')}/tiers-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_dir(spark)}/tiers-{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- search
@@ -169,10 +169,15 @@ def a_hourly_rollup(spark, sf_dir):
     return aggregate.hourly_rollup(flat_events(spark, sf_dir).withColumn("score", F.col("bytes_out") / 1000000), exact=True).withColumn("avg_score", F.round("avg_score", 6))
 
 
-@query()
+@query("SELECT tenant_id, category_name, count(*) AS event_count, true AS users_close, true AS ips_close, round(avg(bytes_out / 1000000), 6) AS avg_score FROM e GROUP BY 1, 2")
 def a_merge_rollup(spark, sf_dir):
-    state = aggregate.rollup_state(flat_events(spark, sf_dir).withColumn("score", F.col("bytes_out") / 1000000))
-    return aggregate.merge_rollup(state, ["tenant_id", "category_name"]).withColumn("avg_score", F.round("avg_score", 6))
+    """The distinct counts are estimates, so they are held to within 5 % of exact ones, and not shown."""
+    e = flat_events(spark, sf_dir).withColumn("score", F.col("bytes_out") / 1000000)
+    merged = aggregate.merge_rollup(aggregate.rollup_state(e), ["tenant_id", "category_name"])
+    exact = e.groupBy("tenant_id", "category_name").agg(F.count_distinct("actor_user").alias("users"), F.count_distinct("src_ip").alias("ips"))
+    close = lambda a, b: (F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), F.col(b) * 0.05))
+    both = merged.join(exact, ["tenant_id", "category_name"])
+    return both.select("tenant_id", "category_name", "event_count", close("unique_users", "users").alias("users_close"), close("unique_src_ips", "ips").alias("ips_close"), F.round("avg_score", 6).alias("avg_score"))
 
 
 @query("SELECT severity, count(*) AS n, CAST(sum(bytes_out) AS BIGINT) AS total, min(bytes_out) AS low, max(bytes_out) AS high, round(avg(bytes_out), 6) AS mean FROM e GROUP BY 1")
@@ -192,8 +197,7 @@ def a_bucket_merge(spark, sf_dir):
 
 @query("SELECT tenant_id, time_bucket(INTERVAL 12 HOURS, time, TIMESTAMP '1970-01-01') AS window_start, src_ip, count(*) AS n FROM e WHERE outcome = 'failure' GROUP BY 1, 2, 3")
 def a_ip_count_map(spark, sf_dir):
-    maps = aggregate.ip_count_map(flat_events(spark, sf_dir).where("outcome = 'failure'"), "12 hours")
-    return maps.select("tenant_id", "window_start", F.explode("counts").alias("src_ip", "n"))
+    return aggregate.ip_counts(flat_events(spark, sf_dir).where("outcome = 'failure'"), "12 hours").withColumnRenamed("ip", "src_ip")
 
 
 # ---------------------------------------------------------------- sorting, pages, sets
@@ -225,6 +229,16 @@ def l_tier_union(spark, sf_dir):
     return search.for_tenant(found, T).select("uuid", "time", "tier")
 
 
+@query("SELECT uuid, time FROM e WHERE tenant_id='tenant-1' AND time BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-26' ORDER BY time DESC, uuid LIMIT 200")
+def l_tier_order(spark, sf_dir):
+    """The newest rows of a range that lies in two tiers."""
+    root, e = scratch(spark), flat_events(spark, sf_dir)
+    for tier in ("hot", "warm"):
+        tiers.write_tier(e.where(tier_of(F.col("time"), AS_OF, 7, 21) == tier), root, tier)
+    found = tiers.read_tiers(spark, root, datetime(2024, 1, 20), datetime(2024, 1, 26), AS_OF, 7, 21)
+    return search.newest_first(search.for_tenant(found, T)).limit(200).select("uuid", "time")
+
+
 # ---------------------------------------------------------------- canned event queries
 
 
@@ -259,12 +273,12 @@ def f_by_source_ip(spark, sf_dir):
 @query(
     """SELECT doc_id, greatest(2.0::DOUBLE * len(list_filter(['license', 'public'], lambda w: len(list_filter(t, lambda x: levenshtein(x, w) <= 2)) > 0)),
   1.0::DOUBLE * len(list_filter(['license', 'public'], lambda w: len(list_filter(s, lambda x: levenshtein(x, w) <= 2)) > 0))) AS score
-FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS t, list_filter(regexp_split_to_array(lower(source), '[^a-z0-9_]+'), lambda x: x <> '') AS s FROM documents WHERE lang = 'en') d
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS t, list_filter(regexp_split_to_array(lower(source), '[^a-z0-9_]+'), lambda x: x <> '') AS s FROM documents) d
 WHERE len(list_filter(t, lambda x: levenshtein(x, 'license') <= 2 OR levenshtein(x, 'public') <= 2)) > 0 OR len(list_filter(s, lambda x: levenshtein(x, 'license') <= 2 OR levenshtein(x, 'public') <= 2)) > 0""",
     events=False,
 )
 def f_text_search(spark, sf_dir):
-    return canned.text_search(views.table(spark, sf_dir, "documents").where("lang = 'en'"), "license public", {"text": 2.0, "source": 1.0}).select("doc_id", "score")
+    return canned.text_search(views.table(spark, sf_dir, "documents"), "license public", {"text": 2.0, "source": 1.0}).select("doc_id", "score")
 
 
 @query(
@@ -288,6 +302,14 @@ def f_find_alerts(spark, sf_dir):
     return canned.find_alerts(views.alerts(spark, sf_dir), T, severity=5, status="open").select("id", "severity", "status", "time")
 
 
+@query("SELECT 'alert-' || uuid AS id, tenant_id, severity, message AS description FROM e WHERE tenant_id='tenant-1' AND severity >= 4 AND uuid = (SELECT max(uuid) FROM e WHERE tenant_id='tenant-1' AND severity >= 4)")
+def f_alert_by_id(spark, sf_dir):
+    """Two look-ups of the tenant's alert with the largest id: its own finds it, another tenant's finds nothing."""
+    a = views.alerts(spark, sf_dir)
+    wanted = search.for_tenant(a, T).agg(F.max("id")).first()[0] or ""
+    return canned.alert_by_id(a, T, wanted).unionByName(canned.alert_by_id(a, "tenant-2", wanted)).select("id", "tenant_id", "severity", "description")
+
+
 @query("SELECT severity, count(*) AS n FROM e WHERE tenant_id='tenant-1' AND severity >= 4 AND CAST(uuid AS BIGINT) % 5 = 0 GROUP BY 1")
 def f_count_alerts(spark, sf_dir):
     return search.for_tenant(views.alerts(spark, sf_dir), T).where("status = 'open'").groupBy("severity").agg(F.count("*").alias("n"))
@@ -468,13 +490,40 @@ def d_description(spark, sf_dir):
     return detect.build_alerts(detect.count_by_source_ip(flat_events(spark, sf_dir), rule), rule).select("tenant_id", "time", "top_contributors")
 
 
-@query("SELECT level, CASE level WHEN 'purchase' THEN 3 ELSE 3 END AS severity, count(*) AS n FROM (SELECT class_name AS level FROM e) GROUP BY 1 UNION ALL SELECT 'high', 4, count(*) FROM e")
+@query(
+    """, l AS (SELECT ['informational', 'info', 'LOW', 'Medium', 'high', 'critical', 'other', NULL][CAST(uuid AS BIGINT) % 8 + 1] AS level FROM e)
+SELECT level, CASE lower(level) WHEN 'informational' THEN 1 WHEN 'info' THEN 1 WHEN 'low' THEN 2 WHEN 'medium' THEN 3 WHEN 'high' THEN 4 WHEN 'critical' THEN 5 ELSE 3 END AS severity, count(*) AS n FROM l GROUP BY 1, 2"""
+)
 def d_level(spark, sf_dir):
-    e = flat_events(spark, sf_dir)
-    levels = e.select(F.col("class_name").alias("level")).unionByName(e.select(F.lit("high").alias("level")))
+    names = F.array(*(F.lit(x) for x in ("informational", "info", "LOW", "Medium", "high", "critical", "other", None)))
+    levels = flat_events(spark, sf_dir).select(F.element_at(names, (F.col("uuid").cast("long") % 8 + 1).cast("int")).alias("level"))
     return levels.groupBy("level").agg(F.count("*").alias("n")).withColumn("severity", level_to_severity(F.col("level")))
 
 
+RULE_FIELDS = (
+    ("event_type", 3002), (" Class_UID ", 3002), ("category", 3), ("category_uid", 3), ("severity", 4), ("tenant_id", "tenant-1"), ("user", "user-5"), ("username", "user-5"), ("process", "error"), ("process_name", "error"),
+    ("source_ip", "10.0.1.5"), ("src_ip", "10.0.1.5"), ("sourceip", "10.0.1.5"), ("source_port", 1), ("src_port", 1), ("sourceport", 1), ("source_hostname", "h"), ("src_hostname", "h"),
+    ("dest_ip", "203.0.113.5"), ("dst_ip", "203.0.113.5"), ("destination_ip", "203.0.113.5"), ("destip", "203.0.113.5"), ("dest_port", 5), ("dst_port", 5), ("destination_port", 5), ("destport", 5),
+    ("dest_hostname", "h"), ("dst_hostname", "h"), ("outcome", " FAILURE"), ("result", "failure"), ("message", "nothing"), ("unknown", "x"),
+)
+_COUNTED = {3002: "class_uid = 3002", 3: "category_uid = 3", 4: "severity = 4", "tenant-1": "tenant_id = 'tenant-1'", "user-5": "actor_user = 'user-5'", "error": "class_name = 'error'", "10.0.1.5": "src_ip = '10.0.1.5'", "203.0.113.5": "dst_ip = '203.0.113.5'", 5: "dst_port = 5", " FAILURE": "outcome = 'failure'", "failure": "outcome = 'failure'"}
+
+
+@query("SELECT unnest([" + ", ".join(f"{{'field': '{f}', 'n': count(*) FILTER (WHERE {_COUNTED.get(v, 'false')})}}" for f, v in RULE_FIELDS) + "], recursive := true) FROM e")
+def d_field_names(spark, sf_dir):
+    """How many nested events a rule selects by each name of a field, and flat ones: both must agree."""
+    one = lambda df, flat: df.agg(*(F.count_if(selection_predicate({f: v}, flat)).alias(f"c{i}") for i, (f, v) in enumerate(RULE_FIELDS))).first()
+    nested, flat = one(views.events(spark, sf_dir), False), one(flat_events(spark, sf_dir), True)
+    rows = [(f, nested[i] if nested[i] == flat[i] else -1) for i, (f, _) in enumerate(RULE_FIELDS)]
+    return spark.createDataFrame(rows, "field string, n long")
+
+
+@query(ALERTED + "SELECT tenant_id, w + INTERVAL 12 HOURS AS time, 'Detected pattern matching rule ''100% odd''. Total events: ' || CAST(sum(n) AS BIGINT) || ', Unique sources: ' || count(*) || '. Top contributors: ' || string_agg(CASE WHEN r <= 3 THEN src_ip || ' (' || n || ')' END, ', ' ORDER BY r) || '.' AS description FROM o GROUP BY tenant_id, w HAVING max(n) > 5")
+def d_generated_description(spark, sf_dir):
+    rule = replace(detect.with_windows(_rule("brute-force"), "12 hours"), description="", title="100% odd")
+    return detect.build_alerts(detect.count_by_source_ip(flat_events(spark, sf_dir), rule), rule).select("tenant_id", "time", "description")
+
+
 # ---------------------------------------------------------------- behaviour
 
 RECURSE = """WITH RECURSIVE e AS (""" + E[len("WITH e AS (") : -2] + """),
@@ -530,6 +579,25 @@ def u_profiles(spark, sf_dir):
     return ueba.live_profiles(ueba.build_profiles(flat_events(spark, sf_dir)), AS_OF, 3).select("tenant_id", "actor_user", "event_count", "last_seen", "known_locations", "known_devices")
 
 
+@query(RECURSE.replace("CONCAT('user-', CAST(user_id AS STRING)) AS actor_user", "CONCAT('all-', CAST(user_id % 4 AS STRING)) AS actor_user") + "SELECT r.tenant_id, r.actor_user, n AS event_count, round(m, 6) AS avg_volume, round(lm, 6) AS avg_logins FROM r JOIN (SELECT tenant_id, actor_user, max(n) AS n FROM o GROUP BY 1, 2) USING (tenant_id, actor_user, n)", events=False)
+def u_long_histories(spark, sf_dir):
+    """All of a tenant's events under one user, who so has thousands, and few logins among them."""
+    e = flat_events(spark, sf_dir).withColumn("actor_user", F.concat(F.lit("all-"), F.split_part("tenant_id", F.lit("-"), F.lit(2))))
+    return ueba.build_profiles(e).select("tenant_id", "actor_user", "event_count", *(F.round(c, 6).alias(c) for c in ("avg_volume", "avg_logins")))
+
+
+@query("SELECT tenant_id, actor_user, count(*) FILTER (WHERE time >= TIMESTAMP '2024-01-10') AS event_count, true AS there FROM e GROUP BY 1, 2 HAVING count(*) FILTER (WHERE time >= TIMESTAMP '2024-01-10') > 0 AND actor_user <> 'user-5'")
+def u_profile_table(spark, sf_dir):
+    """Profiles put over older ones, one of them deleted, and looked up."""
+    e = flat_events(spark, sf_dir)
+    old = F.col("time") < F.lit(START).cast("timestamp_ntz")
+    new = ueba.build_profiles(e.where(~old))
+    table = ueba.put_profiles(ueba.build_profiles(e.where(old)).join(new.select("tenant_id", "actor_user"), ["tenant_id", "actor_user"], "left_semi"), new)
+    table = ueba.delete_profiles(table, ueba.profile_of(table, T, "user-5"))
+    asked = ueba.profiles_exist(table, e.select("tenant_id", "actor_user"))
+    return table.join(asked, ["tenant_id", "actor_user"]).select("tenant_id", "actor_user", "event_count", F.col("exists").alias("there")).where("actor_user <> 'user-5'")
+
+
 @query("SELECT e.uuid, coalesce(p.n, 0) AS known, p.n IS NULL AS fresh FROM e LEFT JOIN (SELECT tenant_id, actor_user, count(*) AS n FROM e WHERE time < TIMESTAMP '2024-01-02' GROUP BY 1, 2) p ON e.tenant_id = p.tenant_id AND e.actor_user = p.actor_user")
 def j_profile(spark, sf_dir):
     e = flat_events(spark, sf_dir)
@@ -537,7 +605,7 @@ def j_profile(spark, sf_dir):
     return enrich.with_profile(e, profiles).select("uuid", F.coalesce("event_count", F.lit(0)).alias("known"), ((F.col("avg_volume") == 0) & F.col("event_count").isNull()).alias("fresh"))
 
 
-@query()
+@query("SELECT uuid, round(least(1.0, greatest(0.0, (bytes_out / 1000000.0::DOUBLE) / (1 + bytes_out / 1000000.0::DOUBLE) + CASE WHEN category_name='authentication' AND outcome='failure' THEN 1 ELSE 0 END)), 6) AS ueba_score FROM e")
 def u_model_score(spark, sf_dir):
     model = lambda x: x["f3"] / (1 + x["f3"].abs()) + x["f9"]  # noqa: E731  stands for a model of the user's
     return ueba.score_with_model(ueba.features(flat_events(spark, sf_dir)), model).select("uuid", F.round("ueba_score", 6).alias("ueba_score"))
@@ -559,14 +627,47 @@ def _flat(spark, sf_dir):
 def t_hot_to_warm(spark, sf_dir):
     root = scratch(spark)
     tiers.write_tier(_flat(spark, sf_dir), root, "hot")
-    return tiers.migrate_hot_to_warm(spark.read.parquet(f"{root}/hot"), root, AS_OF, 7).select("time", "tenant_id", "severity", "actor_user_name", F.col("event_month").cast("string").alias("event_month"))
+    tiers.migrate_hot_to_warm(spark, root, AS_OF, 7)
+    return spark.read.parquet(f"{root}/warm").select("time", "tenant_id", "severity", "actor_user_name", F.col("event_month").cast("string").alias("event_month"))
 
 
 @query("SELECT time, tenant_id, severity, CAST(year(time) AS INT) AS year, CAST(month(time) AS INT) AS month FROM e WHERE CAST(time AS DATE) <= DATE '2024-01-10'")
 def t_warm_to_cold(spark, sf_dir):
     root = scratch(spark)
     tiers.write_tier(_flat(spark, sf_dir), root, "warm")
-    return tiers.migrate_warm_to_cold(spark.read.parquet(f"{root}/warm"), root, AS_OF, 21).select("time", "tenant_id", "severity", "year", F.col("month").cast("int").alias("month"))
+    tiers.migrate_warm_to_cold(spark, root, AS_OF, 21)
+    return spark.read.parquet(f"{root}/cold").select("time", "tenant_id", "severity", "year", F.col("month").cast("int").alias("month"))
+
+
+@query("SELECT CASE WHEN CAST(time AS DATE) <= DATE '2024-01-24' THEN 'warm' ELSE 'hot' END AS tier, CAST(time AS DATE)::VARCHAR AS day, count(*) AS n, CAST(sum(dst_port) AS BIGINT) AS ports FROM e GROUP BY 1, 2")
+def t_migrate_twice(spark, sf_dir):
+    """Two migrations into one month, days apart, the second run again after a break: each row is in one tier, once."""
+    root = scratch(spark)
+    tiers.write_tier(_flat(spark, sf_dir), root, "hot")
+    tiers.migrate_hot_to_warm(spark, root, AS_OF - timedelta(days=10), 7)
+    tiers.migrate_hot_to_warm(spark, root, AS_OF, 7, drop=False)
+    tiers.migrate_hot_to_warm(spark, root, AS_OF, 7)
+    each = [spark.read.parquet(f"{root}/{t}").select(F.lit(t).alias("tier"), F.to_date("time").cast("string").alias("day"), "dst_endpoint_port") for t in ("hot", "warm")]
+    return each[0].unionByName(each[1]).groupBy("tier", "day").agg(F.count("*").alias("n"), F.sum("dst_endpoint_port").alias("ports"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS moved, CAST(count(*) AS BIGINT) AS source_rows, CAST(count(*) AS BIGINT) AS copy_rows, true AS same FROM e WHERE CAST(time AS DATE) <= DATE '2024-01-10'")
+def t_migration_report(spark, sf_dir):
+    """From warm to cold, where the month is not old enough as a whole."""
+    root = scratch(spark)
+    tiers.write_tier(_flat(spark, sf_dir), root, "warm")
+    return tiers.migrate_warm_to_cold(spark, root, AS_OF, 21).select("moved", "source_rows", "copy_rows", "same")
+
+
+@query("SELECT 'copy' AS side, count(*) AS source_rows, count(*) AS copy_rows, true AS same FROM e UNION ALL SELECT 'doubled', count(*), count(*), count(*) < 3 FROM e UNION ALL SELECT 'short', count(*), count(*) FILTER (WHERE severity < 5), count(*) FILTER (WHERE severity = 5) = 0 FROM e")
+def t_verify_differing(spark, sf_dir):
+    """A true copy, one in which two rows stand twice in place of two others, and one that is short of rows."""
+    rows, n = _flat(spark, sf_dir).drop("metadata"), F.col("n")
+    numbered = rows.withColumn("n", F.row_number().over(Window.orderBy("time", "message")))
+    doubled = numbered.withColumn("n", F.when(n == 2, 1).otherwise(n)).select("n").join(numbered, "n").select(*rows.columns)
+    sides = {"copy": rows, "doubled": doubled, "short": rows.where("severity < 5")}
+    out = [tiers.verify_migration(rows, copy, rows.columns).withColumn("side", F.lit(name)) for name, copy in sides.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("SELECT count(*) AS source_rows, count(*) AS copy_rows, true AS same FROM e")
@@ -591,7 +692,10 @@ def t_retention(spark, sf_dir):
 
 @query("SELECT CAST(CAST(time AS DATE) AS STRING) AS day, count(*) AS n FROM e WHERE CAST(time AS DATE) >= DATE '2024-01-17' GROUP BY 1")
 def t_expire(spark, sf_dir):
-    return tiers.expire_partitions(flat_events(spark, sf_dir), AS_OF, 14).groupBy(F.to_date("time").cast("string").alias("day")).agg(F.count("*").alias("n"))
+    root = scratch(spark)
+    tiers.write_tier(flat_events(spark, sf_dir), root, "hot")
+    tiers.expire_partitions(spark, root, AS_OF, 14)
+    return spark.read.parquet(f"{root}/hot").groupBy(F.to_date("time").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'day-' || d AS file, CASE WHEN d % 10 = 0 THEN 'missing' ELSE 'changed' END AS violation FROM (SELECT DISTINCT day(time) AS d FROM e) WHERE d % 5 = 0")
@@ -602,6 +706,25 @@ def t_worm_audit(spark, sf_dir):
     return tiers.worm_audit(then, now)
 
 
+@query("SELECT day(time) AS day, 'missing' AS violation FROM e WHERE day(time) <= 3 GROUP BY 1")
+def t_worm_files(spark, sf_dir):
+    """A table's own files before and after its three first days are gone and a day is written again beside them."""
+    root, e = scratch(spark), flat_events(spark, sf_dir)
+    tiers.write_tier(e, root, "hot")
+    tiers.file_manifest(spark.read.parquet(f"{root}/hot")).write.parquet(f"{root}/then")
+    tiers.expire_partitions(spark, root, datetime(2024, 1, 4), 0)
+    tiers.write_tier(e.where(F.dayofmonth("time") == 9), root, "hot", "append")
+    found = tiers.worm_audit(spark.read.parquet(f"{root}/then"), tiers.file_manifest(spark.read.parquet(f"{root}/hot")))
+    return found.select(F.regexp_extract("file", r"event_date=\d+-\d+-(\d+)", 1).cast("long").alias("day"), "violation").distinct()
+
+
+@query("SELECT 'hot' AS tier, count(*) AS rows, true AS sized FROM e")
+def t_files(spark, sf_dir):
+    root = scratch(spark)
+    tiers.write_tier(flat_events(spark, sf_dir), root, "hot")
+    return tiers.tier_files(spark, root).select("tier", "rows", ((F.col("bytes") > F.col("rows")) & (F.col("files") > 0)).alias("sized"))
+
+
 @query("SELECT CASE WHEN date_diff('day', CAST(time AS DATE), DATE '2024-01-31') < 7 THEN 'hot' WHEN date_diff('day', CAST(time AS DATE), DATE '2024-01-31') < 21 THEN 'warm' ELSE 'cold' END AS tier, tenant_id, count(*) AS rows, min(time) AS oldest, max(time) AS newest FROM e GROUP BY 1, 2")
 def t_report(spark, sf_dir):
     return tiers.tier_report(flat_events(spark, sf_dir).withColumn("tier", tier_of(F.col("time"), AS_OF, 7, 21)))
@@ -636,6 +759,16 @@ def x_upsert(spark, sf_dir):
     return canned.upsert(base, update, "id", "updated_at").select("id", "status")
 
 
+@query(TENANTS + "SELECT id, status, true AS there FROM x WHERE id = 'tenant-2' UNION ALL SELECT id, status, true FROM x UNION ALL SELECT 'tenant-9', NULL, false")
+def x_lookups(spark, sf_dir):
+    """One tenant by id, all of them, and which of those asked for exist."""
+    t = views.tenants(spark, sf_dir)
+    asked = t.select("id").unionByName(spark.sql("SELECT 'tenant-9' AS id"))
+    known = tenants.exists(t, asked).withColumnRenamed("exists", "there")
+    rows = tenants.by_id(t, "tenant-2").unionByName(tenants.all_tenants(t)).select("id", "status").join(known, "id")
+    return rows.unionByName(known.where("not there").select("id", F.lit(None).cast("string").alias("status"), "there"))
+
+
 @query(TENANTS + "SELECT id, status FROM x WHERE id NOT IN ('tenant-4', 'tenant-2')")
 def x_delete(spark, sf_dir):
     return tenants.delete_tenants(views.tenants(spark, sf_dir), ["tenant-4", "tenant-2"]).select("id", "status")
@@ -680,8 +813,9 @@ def lines(spark, sf_dir):
     return spark.read.parquet(f"{root}/raw")
 
 
-def _parsed(spark, sf_dir, n):
-    return normalize.normalize(lines(spark, sf_dir).where(f"n % 9 = {n}").drop("n"))
+def _parsed(spark, sf_dir, *vendors):
+    """All lines normalised; those that were found to be a vendor's."""
+    return normalize.normalize(lines(spark, sf_dir).drop("n")).where(F.col("vendor").isin(*vendors))
 
 
 @query(f"SELECT uuid AS raw_id, {VENDORS} AS vendor FROM e")
@@ -691,52 +825,59 @@ def n_detect_vendor(spark, sf_dir):
 
 @query("SELECT uuid AS raw_id, date_trunc('millisecond', time) AS time, CASE severity * 2 WHEN 2 THEN 2 WHEN 4 THEN 3 WHEN 6 THEN 4 ELSE 5 END AS severity, class_name AS message, actor_user AS user, src_ip, dst_ip, dst_port, message AS msg FROM e WHERE CAST(uuid AS BIGINT) % 9 = 0")
 def n_cef(spark, sf_dir):
-    p = _parsed(spark, sf_dir, 0)
+    p = _parsed(spark, sf_dir, "cef")
     return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", "message", F.col("actor.user").alias("user"), F.col("src_endpoint.ip").alias("src_ip"), F.col("dst_endpoint.ip").alias("dst_ip"), F.col("dst_endpoint.port").alias("dst_port"), F.col("metadata")["cef.msg"].alias("msg"))
 
 
 @query("SELECT uuid AS raw_id, [2, 3, 4, 4, 5][severity] AS severity, dst_ip AS from_ip, dst_port AS from_port, src_ip AS to_ip, 'tcp' AS protocol, 'built' AS action FROM e WHERE CAST(uuid AS BIGINT) % 9 = 1")
 def n_asa(spark, sf_dir):
-    p = _parsed(spark, sf_dir, 1)
+    p = _parsed(spark, sf_dir, "cisco:asa")
     return p.select("raw_id", "severity", F.col("src_endpoint.ip").alias("from_ip"), F.col("src_endpoint.port").alias("from_port"), F.col("dst_endpoint.ip").alias("to_ip"), F.col("metadata")["protocol"].alias("protocol"), F.col("metadata")["action"].alias("action"))
 
 
 @query(f"SELECT uuid AS raw_id, {SEC} AS time, CASE WHEN severity >= 4 THEN 4 ELSE 1 END AS severity, actor_user AS user, src_ip, upper(class_name[1]) || class_name[2:] || 'Object on s3.amazonaws.com' || CASE WHEN severity >= 4 THEN ' - Error: AccessDenied (no)' ELSE '' END AS message, '2' AS resources FROM e WHERE CAST(uuid AS BIGINT) % 9 = 2")
 def n_cloudtrail(spark, sf_dir):
-    p = _parsed(spark, sf_dir, 2)
+    p = _parsed(spark, sf_dir, "aws:cloudtrail")
     return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", F.col("actor.user").alias("user"), F.col("src_endpoint.ip").alias("src_ip"), "message", F.col("metadata")["resourceCount"].alias("resources"))
 
 
 @query(f"SELECT uuid AS raw_id, {SEC} AS time, CASE WHEN severity >= 4 THEN 4 ELSE 1 END AS severity, src_ip, dst_ip, dst_port, class_name AS app FROM e WHERE CAST(uuid AS BIGINT) % 9 = 3")
 def n_paloalto(spark, sf_dir):
-    p = _parsed(spark, sf_dir, 3)
+    p = _parsed(spark, sf_dir, "paloalto:firewall")
     return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", F.col("src_endpoint.ip").alias("src_ip"), F.col("dst_endpoint.ip").alias("dst_ip"), F.col("dst_endpoint.port").alias("dst_port"), F.col("metadata")["application"].alias("app"))
 
 
 @query(f"SELECT uuid AS raw_id, {SEC} AS time, [2, 3, 4, 4, 5][CASE severity WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 5 END] AS severity, 'host-' || CAST(uuid AS BIGINT) % 10 AS host, message, actor_user AS user, CAST(dst_port AS STRING) AS port FROM e WHERE CAST(uuid AS BIGINT) % 9 = 4")
 def n_syslog5424(spark, sf_dir):
-    p = _parsed(spark, sf_dir, 4)
+    p = _parsed(spark, sf_dir, "syslog:rfc5424")
     return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", F.col("src_endpoint.hostname").alias("host"), "message", F.col("metadata")["meta@1.user"].alias("user"), F.col("metadata")["meta@1.port"].alias("port"))
 
 
 @query(f"SELECT uuid AS raw_id, {SEC} AS time, [2, 3, 4, 4, 5][severity] AS severity, 'host-' || CAST(uuid AS BIGINT) % 10 AS host, message, 'app' AS process FROM e WHERE CAST(uuid AS BIGINT) % 9 = 5")
 def n_syslog3164(spark, sf_dir):
-    p = _parsed(spark, sf_dir, 5)
+    p = _parsed(spark, sf_dir, "syslog:rfc3164")
     return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", F.col("src_endpoint.hostname").alias("host"), "message", F.col("actor.process").alias("process"))
 
 
 @query(f"SELECT uuid AS raw_id, {SEC} AS time, [5, 4, 3, 1, 2][severity] AS severity, 'host-' || CAST(uuid AS BIGINT) % 10 AS host, actor_user AS user, class_name AS process, uuid AS session, 'Windows Event ' || (4000 + class_uid % 1000) || ' from Security' AS message FROM e WHERE CAST(uuid AS BIGINT) % 9 = 6")
 def n_windows(spark, sf_dir):
-    p = _parsed(spark, sf_dir, 6)
+    p = _parsed(spark, sf_dir, "windows:eventlog")
     return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", F.col("src_endpoint.hostname").alias("host"), F.col("actor.user").alias("user"), F.col("actor.process").alias("process"), F.col("actor.session").alias("session"), "message")
 
 
 @query(f"SELECT uuid AS raw_id, {SEC} AS time, severity, message, uuid AS n, CAST(NULL AS STRING) AS nested FROM e WHERE CAST(uuid AS BIGINT) % 9 = 7 UNION ALL SELECT uuid, time, 1, 'noise ' || message, NULL, NULL FROM e WHERE CAST(uuid AS BIGINT) % 9 = 8")
 def n_generic(spark, sf_dir):
-    p = normalize.normalize(lines(spark, sf_dir).where("n % 9 in (7, 8)").drop("n"))
+    p = _parsed(spark, sf_dir, "json", "unknown")
     return p.select("raw_id", F.col("time").cast("timestamp_ntz").alias("time"), "severity", "message", F.col("metadata")["n"].alias("n"), F.col("metadata")["nested"].alias("nested"))
 
 
+@query("SELECT uuid AS raw_id, ['cef', 'cisco-asa', 'cloudtrail', 'paloalto', 'syslog', 'syslog', 'windows-event', 'generic', 'generic'][CAST(uuid AS BIGINT) % 9 + 1] AS parser, [NULL, NULL, NULL, NULL, 'rfc5424', 'rfc3164', NULL, 'json', 'unknown'][CAST(uuid AS BIGINT) % 9 + 1] AS format, CASE WHEN CAST(uuid AS BIGINT) % 9 IN (1, 3, 6) THEN NULL ELSE " + VENDORS + " END AS detected, true AS stamped FROM e")
+def n_enrichment(spark, sf_dir):
+    """What every line gets after its parser, and what parsers say of themselves."""
+    m = F.col("metadata")
+    return normalize.normalize(lines(spark, sf_dir).drop("n")).select("raw_id", m["parser"].alias("parser"), m["format"].alias("format"), m["detectedVendor"].alias("detected"), (m["originalIngestionTime"] == F.col("arrived").cast("string")).alias("stamped"))
+
+
 @query(f"SELECT {VENDORS} AS vendor, tenant_id, count(*) AS n FROM e GROUP BY 1, 2")
 def n_normalize_all(spark, sf_dir):
     return normalize.good_rows(normalize.normalize(lines(spark, sf_dir).drop("n"))).groupBy("vendor", "tenant_id").agg(F.count("*").alias("n"))
@@ -762,9 +903,11 @@ def n_replay(spark, sf_dir):
     return normalize.replay_dead_letters(letters)[1].select("raw_id", "retry_count")
 
 
-@query(f"SELECT CASE WHEN CAST(uuid AS BIGINT) % 9 = 0 THEN 'cef' ELSE 'aws:cloudtrail' END AS vendor, count(*) FILTER (WHERE NOT ({BAD})) AS parsed, count(*) FILTER (WHERE {BAD}) AS failed FROM e WHERE CAST(uuid AS BIGINT) % 9 IN (0, 2) GROUP BY 1")
+@query(f"SELECT {VENDORS} AS vendor, count(*) FILTER (WHERE NOT ({BAD})) AS parsed, count(*) FILTER (WHERE {BAD}) AS failed FROM e WHERE CAST(uuid AS BIGINT) % 9 IN (0, 2) GROUP BY 1 UNION ALL SELECT {VENDORS}, count(*), 0 FROM e WHERE CAST(uuid AS BIGINT) % 9 NOT IN (0, 2) GROUP BY 1")
 def n_parse_report(spark, sf_dir):
-    return normalize.parse_report(normalize.normalize(_broken(spark, sf_dir).where("vendor_type is not null")))
+    cut = _broken(spark, sf_dir)  # of the vendors that aren't named, only whole lines
+    whole = lines(spark, sf_dir).where("n % 9 not in (0, 2)").drop("n")
+    return normalize.parse_report(normalize.normalize(cut.where("vendor_type is not null").unionByName(whole)))
 
 
 @query("SELECT src_ip AS ip, true AS ip_ok, false AS mac_ok FROM e GROUP BY 1 UNION ALL SELECT message, false, false FROM e GROUP BY 1")

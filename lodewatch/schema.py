@@ -50,30 +50,3 @@ RAW = T.StructType(
         T.StructField("metadata", METADATA),
     ]
 )
-
-ALERT = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("time", T.TimestampType()),
-        T.StructField("tenant_id", T.StringType()),
-        T.StructField("severity", T.IntegerType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("rule_id", T.StringType()),
-        T.StructField("rule_name", T.StringType()),
-        T.StructField("event_ids", T.ArrayType(T.StringType())),
-        T.StructField("status", T.StringType()),
-        T.StructField("acknowledged_at", T.TimestampType()),
-        T.StructField("acknowledged_by", T.StringType()),
-        T.StructField("context", METADATA),
-    ]
-)
-
-ALERT_STATUSES = ("open", "acknowledged", "in_progress", "resolved", "false_positive")
-TENANT_STATUSES = ("active", "suspended", "provisioning", "decommissioning", "archived")
-
-#: The flat row of the warm and cold tiers.
-FLAT_COLUMNS = (
-    "time", "tenant_id", "severity", "class_uid", "class_name", "category_uid", "category_name", "actor_user_uid", "actor_user_name",
-    "src_endpoint_ip", "src_endpoint_port", "dst_endpoint_ip", "dst_endpoint_port", "message", "raw_data", "threat_reputation", "ueba_score", "metadata",
-)

@@ -29,8 +29,12 @@ def decode_hec(df: DataFrame, body: str = "body") -> DataFrame:
 
 
 def tenant_from_token(df: DataFrame, tokens: DataFrame, header: str = "authorization") -> DataFrame:
-    """Adds tenant_id by the collector token of `Splunk <token>`, looked up in tokens (token, tenant_id); unknown ones are null."""
-    return df.withColumn("token", F.regexp_replace(header, "^Splunk ", "")).join(tokens, "token", "left")
+    """Adds tenant_id by the collector token of `Splunk <token>`, looked up in tokens (token, tenant_id); unknown ones are null.
+
+    A token listed twice for one tenant counts once; for several, it belongs to none.
+    """
+    known = tokens.groupBy("token").agg(F.min("tenant_id").alias("tenant_id"), F.max("tenant_id").alias("_other")).where(F.col("tenant_id") == F.col("_other")).drop("_other")
+    return df.withColumn("token", F.regexp_replace(header, "^Splunk ", "")).join(known, "token", "left")
 
 
 def validate_raw(df: DataFrame, most_bytes: int = UDP_BYTES, strip_newline: bool = False, data: str = "data", tenant: str | None = "tenant_id") -> DataFrame:

@@ -1,12 +1,14 @@
 """The three storage tiers as partitioned Parquet, and what moves rows between them.
 
-hot: by day; warm: by month, sorted by tenant and time; cold: by year, month and tenant. Writes replace whole partitions,
-so a job that runs again leaves the same tables.
+hot: by day; warm: by month, sorted by tenant and time; cold: by year, month and tenant. A write replaces whole partitions. A
+migration adds to what the next tier holds, checks it, and only then removes the files it has read: run again after a
+break, or for later days of a month that was begun, it leaves each row in one tier, once.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,17 @@ def read_tiers(spark: SparkSession, root: str, start: datetime, end: datetime, a
     return out
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def split_by_age(df: DataFrame, as_of: datetime, days: int) -> tuple[DataFrame, DataFrame]:
     """(rows at least `days` whole days old, the rest)."""
     cutoff = F.lit((as_of - timedelta(days=days)).date())
@@ -53,25 +66,71 @@ def split_by_age(df: DataFrame, as_of: datetime, days: int) -> tuple[DataFrame,
     return df.where(old), df.where(~old)
 
 
-def migrate_hot_to_warm(hot: DataFrame, root: str, as_of: datetime, days: int = 7) -> DataFrame:
-    """Writes hot rows of that age to warm and returns them as read from there."""
-    old, _ = split_by_age(hot, as_of, days)
-    write_tier(old.drop("event_date"), root, "warm")
-    return hot.sparkSession.read.parquet(f"{root}/warm")
-
-
-def migrate_warm_to_cold(warm: DataFrame, root: str, as_of: datetime, days: int = 90) -> DataFrame:
-    """Writes warm rows of that age to cold, all of them; they stay in warm until its retention ends."""
-    old, _ = split_by_age(warm, as_of, days)
-    write_tier(old.drop("event_month"), root, "cold")
-    return warm.sparkSession.read.parquet(f"{root}/cold")
-
-
-def verify_migration(source: DataFrame, copy: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: rows and a checksum of both sides, and whether they agree; only then may the source's partitions go."""
-    side = lambda df, p: df.agg(F.count("*").alias(f"{p}_rows"), F.bit_xor(F.xxhash64(*keys)).alias(f"{p}_sum"))
-    a, b = side(source, "source"), side(copy, "copy")
-    both = a.join(b, F.lit(True))  # one row each
+def _of_range(spark: SparkSession, root: str, tier: str, schema, first, last) -> DataFrame:
+    """A tier's rows of the days first to last, without its partition columns; an empty table if the tier isn't there yet."""
+    if not _there(spark, f"{root}/{tier}"):
+        return spark.createDataFrame([], schema)
+    t = spark.read.parquet(f"{root}/{tier}").where(F.to_date("time").between(first, last))
+    if tier == "warm":
+        t = t.where(F.col("event_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}"))
+    elif tier == "cold":
+        t = t.where(F.col("year").between(first.year, last.year))
+    return t.select(*schema.fieldNames())
+
+
+def migrate(spark: SparkSession, root: str, source: str, target: str, as_of: datetime, days: int, drop: bool = True) -> DataFrame:
+    """Moves a tier's rows of at least `days` whole days to the next tier; one row: moved, source_rows, copy_rows, same, removed.
+
+    Rows are compared as a multiset over all columns, so what an earlier run has copied isn't copied again, and rows of
+    other runs, in the same month as well, stay. The check is that of verify_migration, over the days moved; the source's
+    files go only if it agrees, and only those that were read; younger rows in them are written to the source anew first.
+    """
+    table = spark.read.parquet(f"{root}/{source}")
+    schema = table.drop(*(k for k in LAYOUT[source] if k != "tenant_id")).schema
+    old, _ = split_by_age(table, as_of, days)
+    limit = (as_of - timedelta(days=days)).date()
+    if source == "hot":
+        old = old.where(F.col("event_date") <= limit)
+    elif source == "warm":
+        old = old.where(F.col("event_month") <= f"{limit:%Y-%m}")
+    with_file = old.select(*schema.fieldNames(), F.col("_metadata.file_path").alias("_file"))
+    files = [unquote(r["_file"]) for r in with_file.select("_file").distinct().collect()]  # of the partitions that have come of age
+    first, last = with_file.agg(F.min(F.to_date("time")), F.max(F.to_date("time"))).first()
+    report = "moved long, source_rows long, copy_rows long, same boolean, removed long"
+    if not files:
+        return spark.createDataFrame([(0, 0, 0, True, 0)], report)
+    frozen = spark.read.option("basePath", f"{root}/{source}").schema(table.schema).parquet(*files)  # later files aren't looked at
+    rows = split_by_age(frozen, as_of, days)[0].select(*schema.fieldNames())
+    before = _of_range(spark, root, target, schema, first, last)
+    held = before.count()
+    write_tier(rows.exceptAll(before), root, target, "append")
+    after = _of_range(spark, root, target, schema, first, last)
+    # every row of the source is there, so the copy is what is there less what isn't the source's
+    checked = verify_migration(rows, after.exceptAll(after.exceptAll(rows)), schema.fieldNames()).first()
+    moved, removed = after.count() - held, 0
+    if drop and checked["same"]:
+        young = split_by_age(frozen, as_of, days)[1].select(*schema.fieldNames())
+        if not young.isEmpty():  # rows of a month that isn't old enough as a whole
+            write_tier(young, root, source, "append")
+        _remove(spark, files)
+        removed = len(files)
+    return spark.createDataFrame([(moved, checked["source_rows"], checked["copy_rows"], checked["same"], removed)], report)
+
+
+def migrate_hot_to_warm(spark: SparkSession, root: str, as_of: datetime, days: int = 7, drop: bool = True) -> DataFrame:
+    """migrate() from hot to warm."""
+    return migrate(spark, root, "hot", "warm", as_of, days, drop)
+
+
+def migrate_warm_to_cold(spark: SparkSession, root: str, as_of: datetime, days: int = 90, drop: bool = True) -> DataFrame:
+    """migrate() from warm to cold."""
+    return migrate(spark, root, "warm", "cold", as_of, days, drop)
+
+
+def verify_migration(source: DataFrame, copy: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: rows of both sides, and whether their counts and the sums of their rows' hashes agree."""
+    side = lambda df, p: df.agg(F.count("*").alias(f"{p}_rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias(f"{p}_sum"))
+    both = side(source, "source").join(side(copy, "copy"), F.lit(True))  # one row each
     return both.select("source_rows", "copy_rows", ((F.col("source_rows") == F.col("copy_rows")) & F.col("source_sum").eqNullSafe(F.col("copy_sum"))).alias("same"))
 
 
@@ -91,7 +150,17 @@ def apply_retention(df: DataFrame, tenants: DataFrame, as_of: datetime, default_
     return out.where(F.to_date("time") >= F.date_sub(F.lit(as_of.date()), F.coalesce("retention_days", F.lit(default_days)))).drop("retention_days")
 
 
-def expire_partitions(df: DataFrame, as_of: datetime, days: int) -> DataFrame:
+def expire_partitions(spark: SparkSession, root: str, as_of: datetime, days: int, tier: str = "hot") -> list[str]:
+    """Removes a tier's day partitions (hot) or months (warm) that end before the last `days` days, and says which."""
+    key = LAYOUT[tier][0]
+    limit = (as_of - timedelta(days=days)).date()
+    values = [str(r[0]) for r in spark.read.parquet(f"{root}/{tier}").select(F.col(key).cast("string")).distinct().collect() if r[0] is not None]
+    gone = sorted(v for v in values if v < (limit.isoformat() if tier == "hot" else f"{limit:%Y-%m}"))
+    _remove(spark, [f"{root}/{tier}/{key}={v}" for v in gone])
+    return gone
+
+
+def within_days(df: DataFrame, as_of: datetime, days: int) -> DataFrame:
     """Rows of days within the last `days`."""
     return df.where(F.to_date("time") >= F.lit((as_of - timedelta(days=days)).date()))
 
@@ -111,3 +180,14 @@ def worm_audit(then: DataFrame, now: DataFrame) -> DataFrame:
 def tier_report(df: DataFrame) -> DataFrame:
     """(tier, tenant_id, rows, oldest, newest) of rows with a tier."""
     return df.groupBy("tier", "tenant_id").agg(F.count("*").alias("rows"), F.min("time").alias("oldest"), F.max("time").alias("newest"))
+
+
+def tier_files(spark: SparkSession, root: str) -> DataFrame:
+    """(tier, files, bytes, rows) of the tiers under a root."""
+    out = None
+    for tier in LAYOUT:
+        if _there(spark, f"{root}/{tier}"):
+            own = file_manifest(spark.read.parquet(f"{root}/{tier}")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("rows").alias("rows"))
+            own = own.select(F.lit(tier).alias("tier"), "files", "bytes", "rows")
+            out = own if out is None else out.unionByName(own)
+    return out if out is not None else spark.createDataFrame([], "tier string, files long, bytes long, rows long")

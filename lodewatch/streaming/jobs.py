@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodewatch.operators import detect, enrich, normalize
-from lodewatch.operators.ueba import ALPHA, MOST_DEVICES, MOST_LOCATIONS
+from lodewatch.operators.ueba import ALPHA, MOST_DEVICES, MOST_LOCATIONS, remember
 from lodewatch.schema import EVENT, RAW
 
 DISORDER = "5 seconds"
@@ -56,19 +56,30 @@ def write_json(df: DataFrame, checkpoint: str, servers: str, topic: str, key: st
     return writer.option("kafka.acks", "all").option("kafka.enable.idempotence", "true").option("kafka.compression.type", "lz4").option("checkpointLocation", checkpoint).trigger(processingTime="60 seconds")
 
 
-def once(df: DataFrame, path: str, key: str) -> None:
-    """Appends the rows whose key isn't in the table yet: a batch that is run again adds nothing."""
+def once(df: DataFrame, path: str, key: str, time: str = "time") -> None:
+    """Appends the rows whose key isn't in the table yet: a batch that is run again adds nothing.
+
+    The table is partitioned by day, and only the days that the batch's rows fall into are looked through, so a batch costs
+    the same however long the table's history is. Rows without a time have a partition of their own.
+    """
     spark = df.sparkSession
-    rows = df.dropDuplicates([key])
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-    rows.write.mode("append").parquet(path)
+    rows = df.dropDuplicates([key]).withColumn("day", F.to_date(time)).persist()
+    try:
+        days = [r["day"] for r in rows.select("day").distinct().collect()]  # a batch's few days
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        new = rows
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            there = F.col("day").isin([d for d in days if d is not None])
+            there = there | F.col("day").isNull() if None in days else there
+            new = rows.join(spark.read.parquet(path).where(there).select(key), key, "left_anti")
+        new.write.mode("append").partitionBy("day").parquet(path)
+    finally:
+        rows.unpersist()
 
 
-def write_once(df: DataFrame, path: str, checkpoint: str, key: str = "id"):
-    return df.writeStream.foreachBatch(lambda batch, _: once(batch, path, key)).option("checkpointLocation", checkpoint)
+def write_once(df: DataFrame, path: str, checkpoint: str, key: str = "id", time: str = "time"):
+    return df.writeStream.foreachBatch(lambda batch, _: once(batch, path, key, time)).option("checkpointLocation", checkpoint)
 
 
 def write_normalized(raw: DataFrame, events_path: str, letters_path: str, checkpoint: str):
@@ -78,7 +89,7 @@ def write_normalized(raw: DataFrame, events_path: str, letters_path: str, checkp
         done = normalize.normalize(batch).persist()
         try:
             once(normalize.good_rows(done), events_path, "uuid")
-            once(normalize.dead_letters(done), letters_path, "id")
+            once(normalize.dead_letters(done), letters_path, "id", "failed_at")
         finally:
             done.unpersist()
 
@@ -89,6 +100,8 @@ def write_normalized(raw: DataFrame, events_path: str, letters_path: str, checkp
 
 SCORED = "uuid string, time timestamp, tenant_id string, actor_user string, ueba_score double"
 PROFILE = "m double, s double, lm double, ls double, places array<string>, devices array<string>, n long, last_seen timestamp"
+#: A profile that no event has touched for so long is forgotten.
+EXPIRES_MS = 90 * 24 * 3600 * 1000
 
 
 def _fold(m: float, s: float, x: float) -> tuple[float, float]:
@@ -99,36 +112,37 @@ def _fold(m: float, s: float, x: float) -> tuple[float, float]:
 def _scored(rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
     """Rows of one user in time order, each against the profile before it."""
     m, s, lm, ls, places, devices, n, last = state
-    places, devices, scores = list(places), list(devices), []
+    places, devices, scores = dict.fromkeys(places), dict.fromkeys(devices), []
     for r in rows.itertuples(index=False):
         volume, login = (r.bytes_out or 0) / 1e6, r.category_name == "authentication"
         f3, f4 = (abs((volume - m) / s) if s else 0.0), (abs((1 - lm) / ls) if ls else 0.0)
-        score = 0.3 * (f3 > 3) + 0.2 * (f4 > 3) + 0.2 * (r.src_location not in places) + 0.15 * (r.device_id not in devices) + 0.3 * bool(r.privilege_escalation) + 0.15 * (login and r.outcome == "failure")
+        new_place, new_device = remember(places, r.src_location, MOST_LOCATIONS), remember(devices, r.device_id, MOST_DEVICES)
+        score = 0.3 * (f3 > 3) + 0.2 * (f4 > 3) + 0.2 * new_place + 0.15 * new_device + 0.3 * bool(r.privilege_escalation) + 0.15 * (login and r.outcome == "failure")
         scores.append(min(1.0, score))
         if volume > 0:
             m, s = _fold(m, s, volume)
         if login:
             lm, ls = _fold(lm, ls, 1.0)
-        for known, x, most in ((places, r.src_location, MOST_LOCATIONS), (devices, r.device_id, MOST_DEVICES)):
-            if x not in known:
-                known.append(x)
-                del known[:-most]
         n, last = n + 1, r.time
-    return rows.assign(ueba_score=scores), (m, s, lm, ls, places, devices, n, last)
+    return rows.assign(ueba_score=scores), (m, s, lm, ls, list(places), list(devices), n, last)
 
 
 def _score_user(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = pd.concat(list(batches)).sort_values(["time", "uuid"])
     start = state.get if state.exists else (0.0, 1.0, 0.0, 1.0, [], [], 0, None)
     scored, after = _scored(rows, start)
     state.update(after)
+    state.setTimeoutDuration(EXPIRES_MS)
     yield scored[["uuid", "time", "tenant_id", "actor_user", "ueba_score"]]
 
 
 def score_stream(events: DataFrame) -> DataFrame:
-    """Scores of flat events by (tenant, user): each against the profile in state, which then takes it in."""
+    """Scores of flat events by (tenant, user): each against the profile in state, which then takes it in and expires unused after EXPIRES_MS."""
     rows = events.where(F.col("actor_user").isNotNull()).withColumn("time", F.col("time").cast("timestamp"))
-    return rows.groupBy("tenant_id", "actor_user").applyInPandasWithState(_score_user, SCORED, PROFILE, "append", "NoTimeout")
+    return rows.groupBy("tenant_id", "actor_user").applyInPandasWithState(_score_user, SCORED, PROFILE, "append", "ProcessingTimeTimeout")
 
 
 def detection_job(events: DataFrame, intel: DataFrame, alerts_path: str, scored_path: str, checkpoint: str, threshold: float = 0.7):
@@ -147,5 +161,3 @@ def detection_job(events: DataFrame, intel: DataFrame, alerts_path: str, scored_
 
     return scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
-
-Sink = Callable[[DataFrame, int], None]

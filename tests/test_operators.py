@@ -54,7 +54,7 @@ def test_conditions_of_rules():
 
 def test_selection(spark):
     df = spark.createDataFrame([(3002, " Failure "), (3002, None), (1, "failure")], "class_uid int, outcome string")
-    chosen = lambda s: df.where(columns.selection_predicate(s, detect.FLAT)).count()
+    chosen = lambda s: df.where(columns.selection_predicate(s, flat=True)).count()
     assert (chosen({"class_uid": 3002, "outcome": "failure"}), chosen({}), chosen(None), chosen({"class_uid": [1, 3002]}), chosen({"nothing": "x"})) == (1, 3, 3, 3, 0)
 
 
