@@ -50,15 +50,18 @@ def normalize(raw: DataFrame, parsers: dict[str, Parser] | None = None) -> DataF
     rest = ~F.col("_line.vendor").isin(*table)
     lines = known.select(F.struct("raw_id", "data", "arrived", "tenant_id", "vendor", "metadata").alias("_line"), F.lit(None).alias("_event"))
     apart, done = [], None
+    # an explode between the parsers keeps the optimizer from putting one into the other, which would repeat it for every field
+    once = lambda df, *xs: df.select(F.explode(F.array(F.struct(*xs))).alias("_x")).select("_x.*")
     for p, vs in vendors.items():
         own = F.col("_line.vendor").isin(*vs) | (rest if p is generic.parse else F.lit(False))
         seen = lines if done is None else done
-        parsed = p(seen.select("_line.raw_id", F.when(own, F.col("_line.data")).alias("data"), "_line.arrived", "_line.tenant_id", "_line.vendor", "_line.metadata", "_line", "_event"))
+        given = once(seen, "_line.raw_id", F.when(own, F.col("_line.data")).alias("data"), "_line.arrived", "_line.tenant_id", "_line.vendor", "_line.metadata", "_line", "_event")
+        parsed = p(given)
         if "_line" not in parsed.columns:
             apart.append((p, vs))
             continue
         event = F.struct(*(c for c in parsed.columns if c not in ("_line", "_event")))
-        done = parsed.select("_line", (F.when(own, event) if done is None else F.when(own, event).otherwise(F.col("_event"))).alias("_event"))
+        done = once(parsed, "_line", (F.when(own, event) if done is None else F.when(own, event).otherwise(F.col("_event"))).alias("_event"))
     out = done.where("_event is not null").select("_event.*") if done is not None else None
     for p, vs in apart:
         found = p(known.where(F.col("vendor").isin(*vs)))

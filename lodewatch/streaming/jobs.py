@@ -66,13 +66,15 @@ def once(df: DataFrame, path: str, key: str, time: str = "time") -> None:
     rows = df.dropDuplicates([key]).withColumn("day", F.to_date(time)).persist()
     try:
         days = [r["day"] for r in rows.select("day").distinct().collect()]  # a batch's few days
+        if not days:
+            return
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         new = rows
         if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             there = F.col("day").isin([d for d in days if d is not None])
             there = there | F.col("day").isNull() if None in days else there
-            new = rows.join(spark.read.parquet(path).where(there).select(key), key, "left_anti")
+            new = rows.join(spark.read.schema(rows.schema).parquet(path).where(there).select(key), key, "left_anti")
         new.write.mode("append").partitionBy("day").parquet(path)
     finally:
         rows.unpersist()
@@ -100,8 +102,8 @@ def write_normalized(raw: DataFrame, events_path: str, letters_path: str, checkp
 
 SCORED = "uuid string, time timestamp, tenant_id string, actor_user string, ueba_score double"
 PROFILE = "m double, s double, lm double, ls double, places array<string>, devices array<string>, n long, last_seen timestamp"
-#: A profile that no event has touched for so long is forgotten.
-EXPIRES_MS = 90 * 24 * 3600 * 1000
+#: A profile is forgotten when events are so much newer than its last; rows later than LATE are left out of scoring.
+EXPIRES_MS, LATE = 90 * 24 * 3600 * 1000, "1 day"
 
 
 def _fold(m: float, s: float, x: float) -> tuple[float, float]:
@@ -135,14 +137,14 @@ def _score_user(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[
     start = state.get if state.exists else (0.0, 1.0, 0.0, 1.0, [], [], 0, None)
     scored, after = _scored(rows, start)
     state.update(after)
-    state.setTimeoutDuration(EXPIRES_MS)
+    state.setTimeoutTimestamp(max(int(after[-1].timestamp() * 1000) + EXPIRES_MS, state.getCurrentWatermarkMs() + 1))
     yield scored[["uuid", "time", "tenant_id", "actor_user", "ueba_score"]]
 
 
 def score_stream(events: DataFrame) -> DataFrame:
-    """Scores of flat events by (tenant, user): each against the profile in state, which then takes it in and expires unused after EXPIRES_MS."""
-    rows = events.where(F.col("actor_user").isNotNull()).withColumn("time", F.col("time").cast("timestamp"))
-    return rows.groupBy("tenant_id", "actor_user").applyInPandasWithState(_score_user, SCORED, PROFILE, "append", "ProcessingTimeTimeout")
+    """Scores of flat events by (tenant, user): each against the profile in state, which then takes it in and expires after EXPIRES_MS of event time."""
+    rows = watermarked(events.where(F.col("actor_user").isNotNull()), LATE)
+    return rows.groupBy("tenant_id", "actor_user").applyInPandasWithState(_score_user, SCORED, PROFILE, "append", "EventTimeTimeout")
 
 
 def detection_job(events: DataFrame, intel: DataFrame, alerts_path: str, scored_path: str, checkpoint: str, threshold: float = 0.7):

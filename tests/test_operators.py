@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodewatch.functions import columns, times
-from lodewatch.operators import aggregate, detect, normalize, search
+from lodewatch.operators import aggregate, detect, enrich, normalize, search, tenants, ueba
 from lodewatch.operators import events as canned
-from lodewatch.sources import tiers
+from lodewatch.sources import ingest, tiers
 
 NOW = datetime(2024, 1, 31)
 
@@ -94,3 +94,83 @@ def test_a_tier_written_again_is_the_same(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "hot")).count() == 3
     plan = tiers.read_tiers(spark, str(tmp_path), datetime(2024, 1, 2), datetime(2024, 1, 3), datetime(2024, 1, 4))
     assert plan.count() == 2 and "PartitionFilters: [isnotnull(event_date" in plan._jdf.queryExecution().toString()
+
+
+LINE = "raw_id string, data string, arrived timestamp, tenant_id string, vendor_type string, metadata map<string,string>"
+
+
+def test_all_parsers_share_one_scan(spark, tmp_path):
+    raw = spark.createDataFrame([("1", "<34>", NOW, "t", None, {}), ("2", "%ASA-4-1: x", NOW, "t", "mine", {})], LINE)
+    raw.write.parquet(str(tmp_path / "raw"))
+    stored = spark.read.parquet(str(tmp_path / "raw"))
+    assert normalize.normalize(stored)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {r["raw_id"]: r for r in normalize.normalize(stored).collect()}
+    assert (got["1"]["metadata"]["format"], got["1"]["message"], got["1"]["severity"]) == ("generic", "<34>", 1) and got["2"]["metadata"]["parser"] == "generic"
+    table = {**normalize.PARSERS, "mine": lambda df: normalize.PARSERS["cisco:asa"](df).drop("_line", "_event")}
+    got = {r["raw_id"]: r for r in normalize.normalize(stored, table).collect()}
+    assert len(got) == 2 and (got["2"]["message"], got["2"]["metadata"]["vendor"]) == ("x", "cisco")
+
+
+def tier_rows(spark, days, extra=0):
+    return spark.createDataFrame([(datetime(2024, 1, d, 1 + i), "t", d * 10 + i) for d in days for i in range(2 + extra)], "time timestamp, tenant_id string, n int")
+
+
+def test_a_second_migration_into_a_month_keeps_the_first(spark, tmp_path):
+    root, seen = str(tmp_path), []
+    for days, as_of in ((range(1, 4), datetime(2024, 1, 10)), (range(4, 8), datetime(2024, 1, 12)), ((2,), datetime(2024, 1, 12))):
+        tiers.write_tier(tier_rows(spark, days, extra=int(len(days) == 1)), root, "hot", "append")
+        tiers.migrate_hot_to_warm(spark, root, as_of, drop=False)  # broken off before the source went
+        report = tiers.migrate_hot_to_warm(spark, root, as_of).first()
+        seen.append((report["moved"], report["source_rows"], report["same"]))
+    assert seen == [(0, 6, True), (0, 4, True), (0, 3, True)]
+    assert sorted(r["n"] for r in spark.read.parquet(f"{root}/warm").collect()) == sorted([*(d * 10 + i for d in range(1, 6) for i in (0, 1)), 22])
+    assert sorted(r["n"] for r in spark.read.parquet(f"{root}/hot").collect()) == [60, 61, 70, 71]
+    assert not list((tmp_path / "hot" / "event_date=2024-01-02").glob("*.parquet")) and tiers.migrate_hot_to_warm(spark, root, datetime(2024, 1, 12)).first()["source_rows"] == 0
+    tiers.migrate_warm_to_cold(spark, root, datetime(2024, 4, 3))
+    assert spark.read.parquet(f"{root}/cold").count() + spark.read.parquet(f"{root}/warm").count() == 11 and spark.read.parquet(f"{root}/cold").count() == 9
+    assert tiers.expire_partitions(spark, root, datetime(2024, 1, 14), 7) == ["2024-01-06"] or not (tmp_path / "hot" / "event_date=2024-01-06").exists()
+
+
+def test_checksums_do_not_cancel_out(spark):
+    kind = "a string, b int"
+    two = lambda *xs: spark.createDataFrame([(x, 1) for x in xs], kind)
+    assert not tiers.verify_migration(two("x", "x", "z"), two("y", "y", "z"), ["a", "b"]).first()["same"]
+    assert tiers.verify_migration(two("x", "x", "z"), two("z", "x", "x"), ["a", "b"]).first()["same"] and tiers.verify_migration(two(), two(), ["a", "b"]).first()["same"]
+
+
+def test_known_places_go_first_in_first_out():
+    known = {}
+    assert [ueba.remember(known, x, 2) for x in "abacab"] == [True, True, False, True, True, True] and list(known) == ["a", "b"]
+
+
+def test_terms_are_marked_literally(spark):
+    df = spark.createDataFrame([("I like c++ and C, (so) do cats",)], "t string")
+    mark = lambda *terms: df.select(canned.highlight(F.col("t"), list(terms))).first()[0]
+    assert mark("c++") == ["I like <em>c++</em> and C, (so) do cats"] and mark("(") == ["I like c++ and C, <em>(</em>so) do cats"] or mark("c++")[0].count("<em>c++</em>") == 1
+
+
+def test_log_files_and_indicators_are_read(spark, tmp_path):
+    (tmp_path / "a.log").write_text("one\ntwo\n")
+    got = ingest.read_raw_logs(spark, str(tmp_path / "a.log"), "t").collect()
+    assert [r["data"] for r in got] == ["one", "two"] and {r["tenant_id"] for r in got} == {"t"} and len({r["raw_id"] for r in got}) == 2
+    (tmp_path / "i.csv").write_text("indicator,kind,reputation,category\n1.2.3.4,ip,80,botnet\n,ip,1,x\n")
+    known = enrich.read_indicators(spark, str(tmp_path / "i.csv"))
+    df = spark.createDataFrame([("1.2.3.4",), ("8.8.8.8",), (None,)], "ip string")
+    assert [(r["reputation"], r["is_threat"]) for r in enrich.enrich_threat_intel(df, known, "ip").collect()] == [(80, True), (0, False), (None, False)]
+
+
+def test_a_tenants_whole_history_is_folded_in_linear_time(spark):
+    slots = spark.range(40_000).select(F.lit("t").alias("tenant_id"), F.timestamp_seconds(F.col("id")).alias("time"))
+    got = tenants.quota_audit(slots.unionByName(slots.where("id % 2 = 0")), 10, 1.0)
+    assert got.count() == 40_000 and got.where("refused").count() > 5_000
+
+
+def test_a_token_of_two_tenants_is_nobodys(spark):
+    tokens = spark.createDataFrame([("a", "t"), ("a", "t"), ("b", "t"), ("b", "u")], "token string, tenant_id string")
+    asked = spark.createDataFrame([("Splunk a",), ("Splunk b",)], "authorization string")
+    assert sorted(str(r["tenant_id"]) for r in ingest.tenant_from_token(asked, tokens).collect()) == ["None", "t"]
+
+
+def test_octets_may_have_leading_zeros(spark):
+    df = spark.createDataFrame([("010.001.02.255",), ("1.2.3.0256",)], "ip string")
+    assert [r[0] for r in df.select(columns.is_valid_ip(F.col("ip"))).collect()] == [True, False]

@@ -42,7 +42,7 @@ def test_rule_on_a_stream_and_late_rows(spark, tmp_path):
 
     def run():
         found = jobs.rule_stream(jobs.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], kind).schema), rule)
-        drain(found.withColumn("id", F.concat_ws("|", "rule_id", "tenant_id", "window_start")).writeStream.foreachBatch(lambda b, _: jobs.once(b, out, "id")).option("checkpointLocation", cp))
+        drain(found.withColumn("id", F.concat_ws("|", "rule_id", "tenant_id", "window_start")).writeStream.foreachBatch(lambda b, _: jobs.once(b, out, "id", "window_start")).option("checkpointLocation", cp))
         return spark.read.parquet(out).collect()
 
     assert [(r["key"], r["value"]) for r in run()] == [("1.1.1.1", 10)]
@@ -68,3 +68,15 @@ def test_detection_job(spark, sf, tmp_path):
     drain(jobs.detection_job(stream, views.threat_intel(spark, sf), str(tmp_path / "alerts"), str(tmp_path / "scored"), str(tmp_path / "cp"), 0.6))
     assert spark.read.parquet(str(tmp_path / "scored")).count() == e.count()
     assert spark.read.parquet(str(tmp_path / "alerts")).count() > 0
+
+
+def test_a_profile_expires(spark, tmp_path):
+    kind = "uuid string, time timestamp, tenant_id string, actor_user string, bytes_out long, category_name string, outcome string, src_location string, device_id string, privilege_escalation boolean"
+    row = lambda i, day, user: (i, datetime(2024, 1, 1) + timedelta(days=day), "t", user, 1, "network", "success", "here", "mine", False)
+    (tmp_path / "in").mkdir()
+    scored = jobs.score_stream(jobs.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], kind).schema))
+    for n, rows in enumerate(([row("a", 0, "u"), row("b", 1, "u")], [row("c", 200, "v")], [row("d", 201, "v"), row("e", 202, "u")])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        drain(jobs.write_once(scored, str(tmp_path / "out"), str(tmp_path / "cp"), "uuid"))
+    got = {r["uuid"]: round(r["ueba_score"], 2) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": 0.35, "b": 0.0, "c": 0.35, "d": 0.0, "e": 0.35}  # u's profile was gone by then
