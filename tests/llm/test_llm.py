@@ -267,6 +267,44 @@ def test_the_index_finds_all_within_the_radius_and_little_else():
         assert reached <= 0.2 * len(asked) * len(sized.prints)
 
 
+def plain_labels(w):
+    """All labels of a text's words, by the definition: merged diagonals, the best of neighbouring ones, words in order."""
+    labels, k, near = set(), licenses.K, licenses.NEAR
+    for phrase, label in licenses.PHRASES:
+        p = phrase.split()
+        labels |= {label} if any(w[i : i + len(p)] == p for i in range(len(w))) else set()
+    for text, label in licenses.PASSAGES:
+        p = text.split()
+        of, hits = len(p) - k + 1, {}
+        places = {}
+        for j in range(of):
+            places.setdefault(tuple(p[j : j + k]), []).append(j)
+        for i in range(len(w) - k + 1):
+            for j in places.get(tuple(w[i : i + k]), ()):
+                hits.setdefault(i - j, []).append((i, j))
+        found = []
+        for d in sorted(hits):
+            own = [x for e in range(d - near, d + near + 1) for x in hits.get(e, ())]
+            held = len({j for _, j in own})
+            if held >= licenses.LEAST * of:
+                found.append((d, held, min(i for i, _ in own), max(i for i, _ in own) + k))
+        runs = []
+        for x in found:
+            if runs and x[0] - runs[-1][-1][0] <= near:
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        for run in runs:
+            _, _, start, end = min(run, key=lambda x: (-x[1], x[3] - x[2], x[0]))
+            at = n = 0
+            for word in p:
+                ahead = w[start:end][at : at + 2 * near + 1]
+                if word in ahead:
+                    at, n = at + ahead.index(word) + 1, n + 1
+            labels |= {label} if n >= licenses.LEAST * len(p) else set()
+    return ",".join(sorted(labels))
+
+
 def test_licenses(spark, docs, empty):
     def plain(text):
         w, places, labels = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD)), [], set()
@@ -275,14 +313,34 @@ def test_licenses(spark, docs, empty):
             found = [i for i in range(len(w)) if w[i : i + len(p)] == p]
             places += found
             labels |= {label} if found else set()
-        return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
-
-    rows = documents(spark, ODD + [(30, "MIT License, mit license; CC BY. GNU general public license gnu GENERAL public license"), (31, "Permission is hereby granted, free of charge, to any other person obtaining a copy of this software and associated documentation files")])
-    got = licenses.scan_licenses(rows.select("doc_id", "text").union(docs.select("doc_id", "text")))
-    shown = sorted(str((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])) for r in got.collect())
-    assert shown == sorted(str((r["doc_id"], *plain(r["text"]))) for r in rows.select("doc_id", "text").union(docs.select("doc_id", "text")).collect())
-    assert got.where("doc_id = 31").first()["labels"] == "mit"
-    assert "Python" not in got._jdf.queryExecution().toString() and licenses.scan_licenses(empty).count() == 0
+        return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), plain_labels(w)
+
+    isc, mit = licenses.PASSAGES[3][0], licenses.PASSAGES[1][0]
+    rng = np.random.default_rng(2)
+    odd = [
+        "MIT License, mit license; CC BY. GNU general public license gnu GENERAL public license",
+        "Permission is hereby granted, free of charge, to any other person obtaining a copy of this software and associated documentation files",
+        f"to use a to use b to use c to use {isc}",
+        "the license " * 9,
+        f"{'the software ' * 4}{mit}",
+        f"{isc} {isc} and {mit} {mit}",
+        " ".join(reversed(isc.split())),
+    ]
+    for text, _ in licenses.PASSAGES:
+        for cut in (0.05, 0.12, 0.3):
+            w = [x for x in text.split() if rng.random() > cut / 2]
+            for _ in range(int(len(w) * cut / 2)):
+                w.insert(int(rng.integers(len(w))), "zz")
+            odd.append("before it " + " ".join(w) + " after it")
+    rows = documents(spark, ODD + [(9030 + i, t) for i, t in enumerate(odd)])
+    both = rows.select("doc_id", "text").union(docs.select("doc_id", "text"))
+    got = licenses.scan_licenses(both)
+    found = got.collect()
+    shown = sorted(str((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"])) for r in found)
+    assert shown == sorted(str((r["doc_id"], *plain(r["text"]))) for r in both.collect())
+    by_id = {r["doc_id"]: (r["labels"], r["score"]) for r in found if r["doc_id"] and r["doc_id"] > 9000}
+    assert (by_id[9031][0], by_id[9032], by_id[9033], by_id[9034], by_id[9036][0]) == ("mit", ("isc", 1.0), ("", 0.0), ("mit", 1.0), "")
+    assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString() and licenses.scan_licenses(empty).count() == 0
 
 
 def luhn(digits):
