@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import Stored, arrow_map, components
 
-#: Rows that the centres are fitted on at most (the first by hash of their id), rows meant for a cell, centres at most, rows of a block.
-FIT_ROWS, CELL_ROWS, MOST_CELLS, BLOCK_ROWS = 20_000, 2_000, 1_024, 2_000
+#: Rows that the centres are fitted on at most (the first by hash of their class), rows meant for a cell, centres at most (four
+#: rows of the sample each), rows of a block.
+FIT_ROWS, CELL_ROWS, MOST_CELLS, BLOCK_ROWS = 20_000, 2_000, 5_000, 2_000
 
 
 def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -68,7 +69,6 @@ def clean_vectors(df: DataFrame, key: str, vector: str, label: str) -> DataFrame
 
 def _visits(centres: dict[int, np.ndarray], reach: float):
     """Adds the cells of each vector: its own first, then those that it visits."""
-    gaps = {d: np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 0)) for d, c in centres.items()}
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -76,12 +76,15 @@ def _visits(centres: dict[int, np.ndarray], reach: float):
             cells: list = [None] * len(dims)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                near = _vectors(batch.column("unit").take(pa.array(at))) @ centres[int(d)].T
-                home = near.argmax(1)
-                open_to = near[np.arange(len(at)), home][:, None] - near <= (reach + 1e-9) * gaps[int(d)][home] + 1e-9
-                open_to[np.arange(len(at)), home] = False
-                for row, h, o in zip(at, home, open_to):
-                    cells[row] = [int(h), *np.flatnonzero(o).tolist()]
+                own = centres[int(d)]
+                for part in np.array_split(at, -(-len(at) // 256)):
+                    near = _vectors(batch.column("unit").take(pa.array(part))) @ own.T
+                    home = near.argmax(1)
+                    gaps = np.sqrt(np.maximum(2 - 2 * (own[home] @ own.T), 0))  # between unit centres
+                    open_to = near[np.arange(len(part)), home][:, None] - near <= (reach + 1e-9) * gaps + 1e-7
+                    open_to[np.arange(len(part)), home] = False
+                    for row, h, o in zip(part, home, open_to):
+                        cells[row] = [int(h), *np.flatnonzero(o).tolist()]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
         return run
@@ -124,15 +127,17 @@ def near_vectors(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector
     """(vec_id, n_links, component_id, kept): one row a vector; links are pairs of equal label and length with cosine >= least.
 
     Vectors that are null, empty, zero or hold null or non-finite parts, and those with a null label, are linked with
-    nothing. Equal vectors of a label are one class with a multiplicity, so copies aren't expanded into pairs. Ids must be
-    whole numbers; rows with a null id have a null component and are kept. Other columns are left out.
+    nothing. Equal vectors of a label are one class with a multiplicity, so copies aren't expanded into pairs. Ids may be of
+    any type with an order; rows of one id with several vectors count each for itself. Rows with a null id have a null
+    component and are kept. Other columns are left out; an empty table gives no rows.
     """
     spark = df.sparkSession
     stored = Stored(spark)
     rows = stored.put(clean_vectors(df, key, vector, label), "vectors")
     usable = rows.where("vec_id is not null and unit is not null")
-    classes = usable.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = stored.put(classes, "classes")
+    classes = usable.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # a class has a number of its own, as an id may stand for several vectors; it is stored, so it stays
+    reps = stored.put(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     dims = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect()}
     sample = reps.orderBy(F.xxhash64("rep")).limit(FIT_ROWS).select("dim", "unit").collect()
     centres = {}
@@ -156,10 +161,10 @@ def near_vectors(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector
     found = stored.put(found, "found")
     links = components(found.where("a is not null").select("a", "b"), stored)
     counts = found.where("vec_id is not null").groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("n"))
+    linked = stored.put(reps.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "label", "dim", "unit", "least", "copies", F.coalesce("component", "rep").alias("component")), "linked")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = stored.put(
-        reps.join(counts, "rep", "left")
-        .join(links.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("label", "dim", "unit", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
+        linked.join(counts, "rep", "left").join(smallest, "component").select("label", "dim", "unit", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "by_class",
     )
     linked = usable.join(by_class, ["label", "dim", "unit"]).select("vec_id", "n_links", "component_id")

@@ -190,6 +190,9 @@ def test_vectors(spark):
                     todo.append(j)
             assert got[i]["component_id"] == min(seen) and got[i]["kept"] == (min(seen) == i)
     assert embeddings.near_vectors(df.where("false")).count() == 0
+    twice = spark.createDataFrame([("a", [1.0, 0.0], 1), ("a", [0.0, 1.0], 1), ("b", [0.0, 1.001], 1), ("c", [1.0, 1.0], 1)], "vec_id string, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_vectors(twice).collect())
+    assert got == [("a", 0, "a"), ("a", 1, "a"), ("b", 1, "a"), ("c", 0, "c")]
 
 
 def test_leaks(spark, sf, docs):
