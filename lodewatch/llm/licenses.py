@@ -140,6 +140,7 @@ def license_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     one = ["row_id", "doc_id", "text_hash", "n_words", "template", "label", "phrase", "of"]
     # a diagonal holds each place of a template once, so its places are no more than the template has
     diagonals = hits.groupBy(*one, (F.col("at") - 1 - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"))
+    diagonals = stored.put(diagonals, "diagonals")  # the texts are scanned once for phrases and passages
     known = F.col("template").isNull() | F.col("phrase")
     exact = diagonals.where(known & (F.col("template").isNull() | (F.size("places") == F.col("of"))))
     exact = exact.select(*one, F.col("diagonal").cast("long").alias("start"), (F.col("diagonal") + F.col("of") + K - 1).cast("long").alias("end"), F.lit(1.0).alias("share"))
