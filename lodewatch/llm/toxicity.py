@@ -6,8 +6,9 @@ goes to shared continuation counts (after how many beginnings a piece stands, in
 seen are judged by how they begin, and rare ones hardly count. A text's passages are compared by their length-normalised
 log-likelihoods under both models; the most toxic short and long passage and the whole text give a calibrated score.
 
-Pieces are hashed to a fixed number of slots: rare ones may share a slot, which the discount absorbs, and the model's
-size is the same for any corpus (about 40 MB), while the counts that are gathered for it grow with the corpus.
+Every occurrence of every pair is counted, under 31-bit hashes of its context and piece. The counts are then folded into
+slots whose number follows the vocabulary (twice as many as pieces, four times as many as pairs, and LEAST_BITS and
+LEAST_PAIRS at least, which is about 40 MB), so that few share one; counts and model grow with the corpus.
 """
 
 from __future__ import annotations
@@ -19,35 +20,35 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SYMBOLS, Stored, arrow_map, run_hashes, running, sliced, text_bytes, word_spans
 
-#: Slots of contexts and pieces, and of the pairs left after discounting; the discount; a pair's occurrences that count in one text.
-BITS, PAIR_SLOTS, DISCOUNT, PER_TEXT = 20, 2_097_143, 3.0, 3
+#: Bits of a context's and a piece's hash; least bits of their slots, and slots of the pairs left after discounting; the discount.
+HASHED, LEAST_BITS, LEAST_PAIRS, DISCOUNT = 31, 20, 2_097_143, 3.0
 #: Where a word is cut; words in a short and a long passage; bytes of text at once.
 CUTS, PASSAGES, PART_BYTES = (0, 4, 6, 8), (4, 64), 8 << 20
 #: Labelled rows at most for the calibration of the score (three weights and a constant), the first by hash of their id.
 CALIBRATION_ROWS = 50_000
-_MASK = (1 << BITS) - 1
+_MASK = (1 << HASHED) - 1
 
 
 def word_pairs(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each cut (index of the words that reach it, context slot << BITS | piece slot); and the row starts of the words."""
+    """For each cut (index of the words that reach it, context << HASHED | piece); and the row starts of the words."""
     raw, at = text_bytes(texts)
     if not len(raw):
         return [], np.zeros(len(at), np.int64)
     raw = LOWER[raw]
     s, e = word_spans(raw, at, SYMBOLS)
-    sums, out, shift = running(raw), [], np.uint64(64 - BITS)
+    sums, out, shift = running(raw), [], np.uint64(64 - HASHED)
     for cut, end in zip(CUTS, (*CUTS[1:], 1 << 40)):
         reach = np.flatnonzero(e - s >= cut)
         first, last = s[reach], e[reach]
         context = run_hashes(raw, first, first + cut - 1, sums) >> shift if cut else np.zeros(len(reach), np.uint64)
         piece = run_hashes(raw, first + cut, np.minimum(last, first + end - 1), sums) >> shift
-        out.append((reach, ((context << np.uint64(BITS)) | piece).astype(np.int64)))
+        out.append((reach, ((context << np.uint64(HASHED)) | piece).astype(np.int64)))
     return out, np.searchsorted(s, at)
 
 
-def _pair_slot(context, piece):
+def _pair_slot(context, piece, slots: int):
     """The same on arrays and on Spark columns; products stay below 2**63."""
-    return (context * 805306457 + piece * 402653189) % PAIR_SLOTS
+    return (context * 805306457 + piece * 402653189) % slots
 
 
 def count_pairs(rows: DataFrame) -> DataFrame:
@@ -57,18 +58,14 @@ def count_pairs(rows: DataFrame) -> DataFrame:
         def run(batch: pa.RecordBatch):
             for part in sliced(batch, "text", PART_BYTES):
                 cuts, at = word_pairs(part.column("text"))
-                row_of_word = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                bad_word = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False) == 1, np.diff(at))
                 pairs = np.concatenate([p for _, p in cuts]) if cuts else np.zeros(0, np.int64)
-                row = np.concatenate([row_of_word[i] for i, _ in cuts]) if cuts else pairs
-                order = np.lexsort((row, pairs))
-                pairs, row = pairs[order], row[order]
-                new = np.ones(len(pairs), bool)
-                new[1:] = (pairs[1:] != pairs[:-1]) | (row[1:] != row[:-1])
-                start = np.flatnonzero(new)
-                n = np.minimum(np.diff(np.append(start, len(pairs))), PER_TEXT)
-                pairs, bad = pairs[start], part.column("toxic").to_numpy(zero_copy_only=False)[row[start]] == 1
-                first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else start
-                toxic, both = (np.add.reduceat(n * bad, first), np.add.reduceat(n, first)) if len(first) else (first, first)
+                bad = np.concatenate([bad_word[i] for i, _ in cuts]) if cuts else pairs
+                order = np.argsort(pairs, kind="stable")
+                pairs, bad = pairs[order], bad[order].astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else pairs
+                toxic = np.add.reduceat(bad, first) if len(first) else first
+                both = np.diff(np.append(first, len(pairs)))
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[first]), pa.array(toxic), pa.array(both - toxic)], ["pair", "toxic", "ordinary"])
 
         return run
@@ -79,22 +76,25 @@ def count_pairs(rows: DataFrame) -> DataFrame:
 def train(rows: DataFrame, stored: Stored) -> dict[str, np.ndarray]:
     """The model's arrays (t: toxic, o: ordinary) from labelled rows (text, toxic). Only slots come to the driver."""
     pairs = stored.put(count_pairs(rows), "pairs")
-    piece, context = F.expr(f"pair & {_MASK}"), F.expr(f"shiftright(pair, {BITS})")
+    piece, context = F.expr(f"pair & {_MASK}L"), F.expr(f"shiftright(pair, {HASHED})")
+    n = pairs.agg(F.approx_count_distinct(piece).alias("pieces"), F.approx_count_distinct(context).alias("contexts"), F.count_if((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT)).alias("kept")).first()
+    bits, slots = min(HASHED, max(LEAST_BITS, (2 * max(n["pieces"], n["contexts"])).bit_length())), max(LEAST_PAIRS, 4 * n["kept"] | 1)
+    piece, context = F.shiftright(piece, HASHED - bits), F.shiftright(context, HASHED - bits)
     over = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) for c in ("toxic", "ordinary")}
     by_piece = pairs.groupBy(piece.alias("slot")).agg(F.count("*").alias("contexts")).toPandas()
     by_context = pairs.groupBy(context.alias("slot")).agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"), F.sum(over["toxic"]).alias("t_over"), F.sum(over["ordinary"]).alias("o_over")).toPandas()
-    kept = pairs.where((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT)).groupBy(_pair_slot(context, piece).alias("slot")).agg(F.sum(over["toxic"]).alias("t"), F.sum(over["ordinary"]).alias("o")).toPandas()
+    kept = pairs.where((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT)).groupBy(_pair_slot(context, piece, slots).alias("slot")).agg(F.sum(over["toxic"]).alias("t"), F.sum(over["ordinary"]).alias("o")).toPandas()
     stored.drop(pairs)
-    share = np.full(1 << BITS, 0.5)
+    share = np.full(1 << bits, 0.5)
     share[by_piece["slot"]] += by_piece["contexts"]
-    model = {"share": (share / share.sum()).astype(np.float32)}
+    model = {"share": (share / share.sum()).astype(np.float32), "bits": np.array(bits)}
     for c in ("t", "o"):
-        total, left = np.zeros(1 << BITS), np.ones(1 << BITS)
+        total, left = np.zeros(1 << bits), np.ones(1 << bits)
         total[by_context["slot"]] = by_context[c]
         left[by_context["slot"]] = by_context[c] - by_context[f"{c}_over"]
         model[f"left_{c}"] = np.where(total > 0, left / np.maximum(total, 1), 1).astype(np.float32)
         model[f"per_{c}"] = (1 / np.maximum(total, 1)).astype(np.float32)
-        pair = np.zeros(PAIR_SLOTS, np.float32)
+        pair = np.zeros(slots, np.float32)
         pair[kept["slot"]] = kept[c]
         model[f"pair_{c}"] = pair
     return model
@@ -104,8 +104,9 @@ def log_ratios(cuts: list[tuple[np.ndarray, np.ndarray]], n_words: int, model: d
     """log P(word | toxic) - log P(word | ordinary) of each word."""
     out = np.zeros(n_words)
     for reach, pairs in cuts:
-        u, w = pairs >> BITS, pairs & _MASK
-        p, share = _pair_slot(u, w), model["share"][w]
+        off = HASHED - int(model["bits"])
+        u, w = pairs >> HASHED >> off, (pairs & _MASK) >> off
+        p, share = _pair_slot(u, w, len(model["pair_t"])), model["share"][w]
         toxic, plain = (model[f"pair_{c}"][p] * model[f"per_{c}"][u] + model[f"left_{c}"][u] * share for c in ("t", "o"))
         out[reach] += np.log(np.maximum(toxic, 1e-12) / np.maximum(plain, 1e-12))
     return out

@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -388,6 +389,38 @@ def test_languages(spark, sf, empty):
     assert langid.identify_languages(empty).count() == 0
 
 
+def test_counts_and_probabilities_are_those_of_a_plain_model(spark):
+    rng = np.random.default_rng(9)
+    rows = [(" ".join(rng.choice(["kind", "kindness", "cruel", "cruelly", "of", "überall", "x" * 12], rng.integers(0, 60))), int(rng.random() < 0.4)) for _ in range(60)] + [("", 1), (None, 0)]
+    counts, cuts = Counter(), toxicity.CUTS
+    for text, label in rows:
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text or ""):
+            raw = w.encode()
+            for cut, end in zip(cuts, (*cuts[1:], 10**6)):
+                if len(raw) > cut:
+                    counts[(raw[:cut], raw[cut:end]), label] += 1
+    got = toxicity.count_pairs(spark.createDataFrame(rows, "text string, toxic int")).collect()
+    assert sorted((r["toxic"], r["ordinary"]) for r in got) == sorted((counts[p, 1], counts[p, 0]) for p in {p for p, _ in counts})
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"), common.Stored(spark))
+    pairs, total = {p for p, _ in counts}, 1 << int(model["bits"])
+    follow = Counter(piece for _, piece in pairs)
+    words = ["kind", "kindness", "cruelly", "unseen"]
+
+    def probability(context, piece, label):
+        own = {p: counts[p, label] for p in pairs if p[0] == context}
+        n = sum(own.values())
+        over = sum(max(c - toxicity.DISCOUNT, 0) for c in own.values())
+        shared = (follow[piece] + 0.5) / (len(pairs) + 0.5 * total)
+        return max(own.get((context, piece), 0) - toxicity.DISCOUNT, 0) / max(n, 1) + ((n - over) / n if n else 1) * shared
+
+    want = []
+    for w in words:
+        raw = w.encode()
+        want.append(sum(math.log(probability(raw[:c], raw[c:e], 1) / probability(raw[:c], raw[c:e], 0)) for c, e in zip(cuts, (*cuts[1:], 10**6)) if len(raw) > c))
+    found, at = toxicity.word_pairs(pa.array([" ".join(words)]))
+    assert np.allclose(toxicity.log_ratios(found, int(at[-1]), model), want, atol=1e-3)
+
+
 def test_toxicity(spark, empty):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
