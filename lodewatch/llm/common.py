@@ -59,11 +59,16 @@ class Stored:
             return
 
 
+#: Edges from which on the neighbours' minima are stored before they are joined.
+MANY_EDGES = 1_000_000
+
+
 def components(edges: DataFrame, stored: Stored, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable over undirected edges (a, b), for every id with an edge.
 
-    Alternating large-star and small-star steps; each is a grouped minimum (combined before the shuffle) joined back,
-    so a hub with very many edges isn't gathered anywhere, and only two numbers a round come to the driver.
+    Alternating large-star and small-star steps; each is a grouped minimum (combined before the shuffle) joined back, and only
+    two numbers a round come to the driver. Minima of many edges are stored first: a join of two plain shuffles is one that
+    adaptive execution splits where a hub's edges fill a partition.
     Null ends, self-loops and repeated edges are ignored; no edges give no rows.
     """
     now = stored.put(
@@ -74,12 +79,14 @@ def components(edges: DataFrame, stored: Stored, a: str = "a", b: str = "b") ->
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
+        if seen[0] > MANY_EDGES:
+            least = stored.put(least, "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = stored.put(small, "edges")
         then = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        stored.drop(now)
+        stored.drop(now, *([least] if seen[0] > MANY_EDGES else []))
         now, done = after, tuple(then) == tuple(seen)
         seen = then
         if done:

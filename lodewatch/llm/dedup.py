@@ -7,7 +7,8 @@ precisely enough to drop nearly all false candidates; the rest are verified on t
 Documents with equal sets are one class from the start. In a bucket every class is first compared with the bucket's least
 one, so a large group of copies costs one pair each. Links make components, and likely pairs make (larger) clusters. Then
 
-* within a cluster that still has several components, all sets are compared exactly, block by block;
+* within a cluster that still has several components, all sets outside its largest one are compared exactly with all others,
+  block by block;
 * across clusters, members of a bucket outside the least one's component are compared with those of other components.
 
 So every pair that shares a bucket is compared, or connected already, or told apart by its sketches.
@@ -30,6 +31,8 @@ SKETCH_LONGS, DIFFER = 8, 135
 PART_BYTES = 1 << 20
 #: Documents of a block when a cluster is compared exactly.
 BLOCK_DOCS = 256
+#: Members of a band that are compared in one task with those outside its least one's component; more are split.
+BAND_DOCS = 1_000
 #: Candidate ids are sent to all executors up to this number (12 bytes each), else the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 
@@ -56,6 +59,11 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8).reshape(n, bits), axis=1).view(">i8").astype(np.int64)
 
 
+def _set_ids(values: np.ndarray, own: np.ndarray) -> list[pa.Array]:
+    """set_a and set_b, which tell sets apart: sum and XOR of the values of each (non-empty) row."""
+    return [pa.array(x.astype(np.int64)) for x in (np.add.reduceat(values, own[:-1]), np.bitwise_xor.reduceat(mix(values), own[:-1]))]
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands, odd) of each row (doc_id, text); without shingles the last four are null."""
 
@@ -77,10 +85,9 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                             h = mix(h * np.uint64(31) + samples[b * ROWS + r])
                         banded[:, b] = h
                     odd = odd_sketch(samples)
-                    set_a, set_b = np.add.reduceat(values, own[:-1]), np.bitwise_xor.reduceat(mix(values), own[:-1])
                     take = pa.array(back, mask=back < 0)
                     lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())).take(take) for x in (banded, odd)]
-                    sets = [pa.array(x.astype(np.int64)).take(take) for x in (set_a, set_b)]
+                    sets = [x.take(take) for x in _set_ids(values, own)]
                 else:
                     lists, sets = [pa.nulls(len(n), pa.list_(pa.int64()))] * 2, [pa.nulls(len(n), pa.int64())] * 2
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *sets, *lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "odd"])
@@ -92,18 +99,22 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles): the sorted distinct 64-bit hashes of each row's shingles as bytes."""
+    """(doc_id, set_a, set_b, shingles): the sorted distinct 64-bit hashes of each row's shingles as bytes. Rows without words are left out."""
 
     def make():
         def run(batch: pa.RecordBatch):
             for part in sliced(batch, "text", PART_BYTES):
                 values, starts = distinct(*shingles(*word_hashes(part.column("text")), k))
-                raw = values.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(starts[:-1], starts[1:])], pa.binary())], ["doc_id", "shingles"])
+                some = np.flatnonzero(np.diff(starts))
+                if not len(some):
+                    continue
+                raw, own = values.tobytes(), np.append(starts[:-1][some], starts[-1])
+                sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(own[:-1], own[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), *_set_ids(values, own), sets], ["doc_id", "set_a", "set_b", "shingles"])
 
         return run
 
-    return arrow_map(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles binary")
+    return arrow_map(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_a long, set_b long, shingles binary")
 
 
 def _similar(percent: int):
@@ -132,19 +143,26 @@ def _sketches_allow(percent: int) -> Column:
     return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (differ <= DIFFER)
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, k: int, stored: Stored) -> DataFrame:
-    """shingle_sets of the documents with these ids; the ids are broadcast if they are few, else the texts are shuffled."""
-    few = ids.count() <= BROADCAST_IDS
-    return stored.put(shingle_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k), "sets")
+def sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int, stored: Stored) -> DataFrame:
+    """(rep, shingles) of the classes with these numbers, each read from a document of the class.
 
-
-def verified(likely: DataFrame, docs: DataFrame, k: int, percent: int, stored: Stored) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough."""
-    ids = stored.put(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    sets = sets_of(ids, docs, k, stored)
-    joined = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = stored.put(arrow_map(joined.select("a", "b", "x", "y"), _similar(percent), f"a {kind}, b {kind}").distinct(), "links")
+    reps: rep, least, set_a, set_b. The documents' ids are broadcast if they are few, else the texts are shuffled to them.
+    """
+    wanted = stored.put(reps.join(ids.select("rep"), "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), "set_a", "set_b"), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    near = F.broadcast if few else lambda df: df
+    texts = docs.join(near(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    # an id may have several texts, and a text may stand several times under it
+    sets = shingle_sets(texts, k).join(near(wanted), ["doc_id", "set_a", "set_b"]).select("rep", "shingles")
+    return stored.put(sets.groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def verified(likely: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, stored: Stored) -> DataFrame:
+    """Those pairs (a, b) of classes whose full sets are similar enough."""
+    ids = stored.put(likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))).distinct(), "ids")
+    sets = sets_of(ids, reps, docs, k, stored)
+    joined = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    out = stored.put(arrow_map(joined.select("a", "b", "x", "y"), _similar(percent), "a long, b long").distinct(), "links")
     stored.drop(sets, ids)
     return out
 
@@ -179,21 +197,28 @@ def _block(percent: int):
     return run
 
 
-def within_clusters(cluster: DataFrame, label: DataFrame, docs: DataFrame, k: int, percent: int, stored: Stored) -> DataFrame:
-    """Links between different components of a cluster; cluster and label: (id, component)."""
+def within_clusters(cluster: DataFrame, label: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, stored: Stored) -> DataFrame:
+    """Links between different components of a cluster; cluster and label: (id, component).
+
+    What is in the cluster's largest component isn't compared with itself: blocks of it come after all others' and meet only these.
+    """
     sizes = cluster.select(F.col("id").alias("rep"), F.col("component").alias("cluster")).join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    sizes = sizes.withColumn("component", F.coalesce("component", "rep"))
-    mixed = sizes.groupBy("cluster").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("n > 2 and c0 <> c1")
-    chosen = stored.put(sizes.join(mixed.select("cluster", F.expr(f"(n + {BLOCK_DOCS - 1}) div {BLOCK_DOCS}").alias("blocks")), "cluster"), "chosen")
-    sets = sets_of(chosen.select(F.col("rep").alias("doc_id")).distinct(), docs, k, stored).dropDuplicates(["doc_id"])
-    full = chosen.join(sets, chosen["rep"] == sets["doc_id"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    each = full.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    sizes = stored.put(sizes.withColumn("component", F.coalesce("component", "rep")), "sizes")
+    parts = sizes.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("several")).where("n > 2 and several > 1")
+    blocks = lambda n: F.expr(f"({n} + {BLOCK_DOCS - 1}) div {BLOCK_DOCS}")
+    grid = mixed.select("cluster", F.col("main.component").alias("largest"), blocks("n - main.n").alias("first"), blocks("main.n").alias("then"))
+    chosen = sizes.join(grid, "cluster").withColumn("outside", F.col("component") != F.col("largest"))
+    own = F.when(F.col("outside"), F.pmod(F.xxhash64("rep"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("rep"), F.col("then")))
+    meets = F.when(F.col("outside"), F.col("first") + F.col("then")).otherwise(F.col("first"))
+    chosen = stored.put(chosen.select("cluster", "rep", "component", own.alias("own"), meets.alias("meets")), "chosen")
+    sets = sets_of(chosen, reps, docs, k, stored)
+    each = chosen.join(sets, "rep").withColumn("other", F.explode(F.expr("sequence(0L, meets - 1)")))
     i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     # a block pair (i, j) compares block i with block j; within a block, with itself
     sides = F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).when(F.col("own") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
     rows = each.select("cluster", i, j, F.explode(sides).alias("side"), "rep", "component", "shingles")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored.put(rows.groupBy("cluster", "i", "j").applyInPandas(_block(percent), f"a {kind}, b {kind}"), "links")
+    return stored.put(rows.groupBy("cluster", "i", "j").applyInPandas(_block(percent), "a long, b long"), "links")
 
 
 def _extended(label: DataFrame, links: DataFrame, stored: Stored) -> DataFrame:
@@ -209,18 +234,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
 
     Words are runs without white space, A-Z folded; a text of fewer than k words is one shingle; one without words, or null,
     has none and is linked with nothing. Rows with a null id are linked with nothing, have a null component and are kept.
-    Repeated ids share a component. An empty table gives no rows; columns other than key and text are left out.
+    Ids may be of any type with an order. Rows of one id share a component, whatever their texts. An empty table gives no rows;
+    columns other than key and text are left out.
     """
     stored = Stored(docs.sparkSession)
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     known = docs.where("doc_id is not null")
     sig = stored.put(sketch(docs, k), "sketches")
     full = sig.where("doc_id is not null and n_shingles > 0")
-    classes = stored.put(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = stored.put(classes.join(full.drop("set_a", "set_b").dropDuplicates(["doc_id"]), F.col("rep") == F.col("doc_id")).select("rep", "n_shingles", "bands", "odd"), "reps")
-    members = stored.put(full.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "n_shingles", "rep"), "members")
+    # a class of equal sets has a number of its own, as an id may stand for several texts; it is stored, so it stays
+    of_set = ["set_a", "set_b"]
+    some = full.groupBy(of_set).agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "odd")))
+    reps = stored.put(some.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    members = stored.put(full.select("doc_id", "n_shingles", *of_set).join(reps.select("rep", *of_set), of_set).drop(*of_set), "members")
+    several_texts = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").select("doc_id", "a")
+    same_id = stored.put(members.join(several_texts, "doc_id").where("rep > a").select("a", F.col("rep").alias("b")).distinct(), "same_id")
     rest = stored.put(sig.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles"), "rest")
-    stored.drop(sig, classes)
+    stored.drop(sig)
 
     banded = reps.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "least")
@@ -228,10 +258,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("odd").alias(f"odd_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     star = buckets.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     likely = stored.put(star.join(side("a"), "a").join(side("b"), "b").where(_sketches_allow(percent)).select("a", "b"), "likely")
-    links = verified(likely, known, k, percent, stored)
-    label = stored.put(components(links, stored), "components")
+    links = verified(likely, reps, known, k, percent, stored)
+    label = stored.put(components(links.unionByName(same_id), stored), "components")
     cluster = stored.put(components(likely, stored), "clusters")
-    inner = within_clusters(cluster, label, known, k, percent, stored)
+    inner = within_clusters(cluster, label, reps, known, k, percent, stored)
     label = _extended(label, inner, stored)
 
     # members of a bucket outside the least one's component, against members of other components and clusters
@@ -241,17 +271,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
         .select("band", "rep", "least", F.coalesce("component", "rep").alias("component"), F.coalesce("cluster", "rep").alias("cluster"))
     )
     named = stored.put(named, "named")
-    mixed = named.groupBy("band").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1")).where("c0 <> c1").select("band")
+    mixed = named.groupBy("band").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1"), F.count("*").alias("n")).where("c0 <> c1")
+    mixed = mixed.select("band", F.expr(f"(n + {BAND_DOCS - 1}) div {BAND_DOCS}").alias("parts"))
     several = stored.put(named.join(mixed, "band").join(reps.select("rep", "odd", "n_shingles"), "rep"), "several")
     heads = several.where("rep = least").select("band", F.col("component").alias("head"))
-    outside = several.join(heads, "band").where("component <> head").select("band", F.col("rep").alias("a"), F.col("component").alias("p"), F.col("cluster").alias("q"), F.col("odd").alias("odd_a"), F.col("n_shingles").alias("n_a"))
-    others = several.where("rep <> least").select("band", F.col("rep").alias("b"), "component", "cluster", F.col("odd").alias("odd_b"), F.col("n_shingles").alias("n_b"))
-    crossed = outside.join(others, (outside["band"] == others["band"]) & (F.col("p") != F.col("component")) & (F.col("q") != F.col("cluster")) & _sketches_allow(percent))
+    outside = several.join(heads, "band").where("component <> head")
+    outside = outside.select(
+        "band", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.col("rep").alias("a"), F.col("component").alias("p"), F.col("cluster").alias("q"), F.col("odd").alias("odd_a"), F.col("n_shingles").alias("n_a")
+    )
+    others = several.where("rep <> least").select(
+        "band", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), F.col("rep").alias("b"), "component", "cluster", F.col("odd").alias("odd_b"), F.col("n_shingles").alias("n_b")
+    )
+    crossed = outside.join(others, ["band", "part"]).where((F.col("p") != F.col("component")) & (F.col("q") != F.col("cluster")) & _sketches_allow(percent))
     cross = stored.put(crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
-    more = verified(cross, known, k, percent, stored)
-    stored.drop(buckets, named, several, reps)
+    more = verified(cross, reps, known, k, percent, stored)
+    stored.drop(buckets, named, several)
     both = _extended(label, more, stored)
 
-    found = members.join(both.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # grouped minima are stored before they are joined, so that a hot component or class can be split where it is joined
+    linked = stored.put(reps.select("rep", "least").join(both.withColumnRenamed("id", "rep"), "rep"), "linked")
+    smallest = stored.put(linked.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    named_by = stored.put(linked.join(smallest, "component").select("rep", F.col("component_id").alias("joined")), "ids")
+    alone = reps.select("rep", "least").join(named_by, "rep", "left").select("rep", F.coalesce("joined", "least").alias("component_id"))
+    found = members.join(stored.put(alone, "component_ids"), "rep").select("doc_id", "n_shingles", "component_id")
     out = found.unionByName(rest.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -162,7 +162,8 @@ def near_vectors(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector
     links = components(found.where("a is not null").select("a", "b"), stored)
     counts = found.where("vec_id is not null").groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("n"))
     linked = stored.put(reps.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "label", "dim", "unit", "least", "copies", F.coalesce("component", "rep").alias("component")), "linked")
-    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    # stored, so that a hot component can be split where it is joined
+    smallest = stored.put(linked.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     by_class = stored.put(
         linked.join(counts, "rep", "left").join(smallest, "component").select("label", "dim", "unit", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "by_class",

@@ -130,6 +130,16 @@ def test_near_duplicates(spark, empty):
     assert dedup.near_duplicates(empty).count() == 0
 
 
+def test_one_id_with_several_texts_loses_no_link(spark):
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    near = lambda words: " ".join(words[:39] + ["other"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (2, near(b)), (9, near(a)), (7, " ".join(a)), (7, ""), (4, " ".join(c)), (4, " ".join(c))]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in dedup.near_duplicates(documents(spark, rows), k=4).collect())
+    assert got == [(2, 37, 2, True), (4, 37, 4, True), (4, 37, 4, True), (7, 0, 7, True), *[(7, 37, 2, False)] * 3, (9, 37, 2, False)]
+    text = spark.createDataFrame([(str(i), t) for i, t in rows], "doc_id string, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in dedup.near_duplicates(text, k=4).collect() if r["n_shingles"]} == {(x, "4" if x == "4" else "2") for x in "2479"}
+
+
 def test_many_near_copies_are_grouped_as_by_brute_force(spark):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
@@ -157,7 +167,9 @@ def test_many_near_copies_are_grouped_as_by_brute_force(spark):
     assert got == {i: find(i) for i in range(700)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [1_000_000, 0])
+def test_components(spark, many, monkeypatch):
+    monkeypatch.setattr(common, "MANY_EDGES", many)
     stored = common.Stored(spark)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 100)]
     got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(pairs, "a long, b long"), stored).collect()}
