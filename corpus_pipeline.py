@@ -19,12 +19,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least id; shingles of five words, 0.8."""
+    """One document of each group of near-duplicates stays, the one with the least id; shingles of five words, 0.8.
+
+    Rows of one id are one group, of which one row stays. Texts without words and rows without an id all stay.
+    """
     stored = Stored(spark)
-    found = dedup.near_duplicates(docs, k=5, percent=80)
+    found = stored.put(dedup.near_duplicates(docs, k=5, percent=80), "found")
     dropped = stored.put(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    few = dropped.count() <= BROADCAST_DROPPED
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    again = stored.put(again.select("doc_id"), "again")
+    near = F.broadcast if dropped.count() <= BROADCAST_DROPPED else lambda df: df
+    left = docs.join(near(dropped), "doc_id", "left_anti").select(*docs.columns)
+    repeated = again.count()
+    if not repeated:
+        return left
+    near = F.broadcast if repeated <= BROADCAST_DROPPED else lambda df: df
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    mark = left.join(near(again.withColumnRenamed("doc_id", "again")), F.col("again") == F.col("doc_id"), "left")
+    several = mark.where(F.col("again").isNotNull() & worded).groupBy("again").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row"))
+    return mark.where(F.col("again").isNull() | ~worded).select(*docs.columns).unionByName(several.select("row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
