@@ -467,3 +467,95 @@ def test_pipeline(spark, sf):
         left.append(docs.select("doc_id").distinct().count())
     assert left[0] > left[1] > left[2] >= left[3] == left[4] == left[5]
     assert QUERIES["pipeline"](spark, sf).select("doc_id").distinct().count() == left[5]
+
+
+def test_pipeline_keeps_one_row_of_repeated_ids(spark, sf):
+    import corpus_pipeline
+
+    words = [" ".join(f"{x}{i}" for i in range(40)) for x in "abc"]
+    rows = [(1, words[0]), (1, words[0]), (2, words[0] + " more"), (3, None), (3, ""), (3, ""), (None, words[1]), (None, words[1]), (5, words[2]), (5, ""), (6, words[1])]
+    docs = documents(spark, rows)
+    got = corpus_pipeline.dedup_stage(spark, docs, sf)
+    assert got.columns == docs.columns
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    kept = [rows[0], *rows[3:11]]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(kept, key=key)
+
+
+def test_pipeline_on_odd_rows(spark, sf):
+    import corpus_pipeline
+
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    for rows in (documents(spark, [*ODD, (90, bench), (91, "write to jo.doe@example.com or call +1 202 555 0143 about the plan today and tomorrow")]), documents(spark).where("false")):
+        docs, n = rows, rows.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, docs = docs, common.Stored(spark).put(stage(spark, docs, sf), name)
+            assert docs.columns == rows.columns and docs.count() <= before.count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.select("doc_id").collect()} and (n == 0) == (not packed)
+        assert "jo.doe" not in " ".join(r["text"] or "" for r in docs.collect())
+
+
+def _words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
+
+
+def test_each_pipeline_stage_does_what_a_plain_version_does(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs, texts = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.Stored(spark).put(stage(spark, docs, sf), name)
+        texts.append({r["doc_id"]: r["text"] for r in docs.collect()} if name != "packing" else docs.collect())
+    quality_out, dedup_out, clean, sanitised, packed = texts
+
+    # near-duplicates: all pairs by sets of five words
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := _words(t)) else set() for i, t in quality_out.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for at, i in enumerate(ids):
+        for j in ids[:at]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert dedup_out == {i: quality_out[i] for i in ids if find(i) == i}
+
+    # decontamination: no item stands in what is kept, and nothing goes that shares no five words with any item
+    items = [_words(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    known = {tuple(w[j : j + 5]) for w in items for j in range(max(1, len(w) - 4))}
+    for i, t in dedup_out.items():
+        if not sets[i] & known:
+            assert clean[i] == t
+        if any(f" {' '.join(w)} " in f" {' '.join(_words(t))} " for w in items if len(w) >= 5):
+            assert i not in clean
+
+    # PII: ids stay, patterns go, texts without any stay as they are unless a term in them was found to reveal one
+    assert clean.keys() == sanitised.keys()
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    assert any(mail.search(t or "") for t in clean.values()) and not any(mail.search(t or "") for t in sanitised.values())
+
+    # packing: every text's ids, in pieces that fill sequences without gaps
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    lengths = {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in sanitised.items()}
+    got, rows = Counter(), {}
+    for r in packed:
+        got[r["doc_id"]] += r["length"]
+        rows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert dict(got) == lengths
+    for places in rows.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(rows) <= 1.02 * -(-sum(lengths.values()) // 2048) + 1
