@@ -88,11 +88,12 @@ def _words(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def _placed_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, term, start, end) of every word, placed within its row, so that nothing is shuffled.
+    """(doc_id, text_hash, start, end) of every word that is in its row's array `telling`, placed within its row, so that nothing is shuffled.
 
-    Words are cut into about as many runs as a run has words; what a run starts at is added to the places in it.
+    Words are cut into about as many runs as a run has words; what a run starts at is added to the places in it. Other words
+    are measured but make no rows.
     """
-    keys = ("doc_id", "text_hash")
+    keys = ("doc_id", "text_hash", "telling")
     words, gaps = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.split("text", _WORD, -1)
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     # each explode keeps what it is given from being worked out again for every element of what follows
@@ -103,8 +104,9 @@ def _placed_words(docs: DataFrame) -> DataFrame:
     sums = once(sized, "words", "steps", "per", F.transform(first, lambda c: total(F.slice("steps", c * F.col("per") + 1, F.col("per")))).alias("sums"))
     part = lambda xs, c: F.slice(xs, c * F.col("per") + 1, F.col("per"))
     runs = sums.select(*keys, F.explode(F.transform("sums", lambda _, c: F.struct(part("words", c).alias("words"), part("steps", c).alias("steps"), total(F.slice("sums", F.lit(1), c)).alias("from")))).alias("x")).select(*keys, "x.*")
-    placed = F.transform("words", lambda w, i: F.struct(F.lower(w).alias("term"), F.length(w).alias("size"), (F.col("from") + total(F.slice("steps", F.lit(1), i + 1))).alias("end")))
-    return runs.select(*keys, F.explode(placed).alias("x")).select(*keys, "x.term", (F.col("x.end") - F.col("x.size")).alias("start"), F.col("x.end").alias("end"))
+    told = F.filter(F.transform("words", lambda w, i: F.struct(F.lower(w).alias("term"), F.length(w).alias("size"), i.alias("i"))), lambda x: F.array_contains("telling", x["term"]))
+    placed = F.transform(told, lambda x: F.struct(x["size"].alias("size"), (F.col("from") + total(F.slice("steps", F.lit(1), x["i"] + 1))).alias("end")))
+    return runs.select(*keys, F.explode(placed).alias("x")).select("doc_id", "text_hash", (F.col("x.end") - F.col("x.size")).alias("start"), F.col("x.end").alias("end"))
 
 
 def telling_terms(docs: DataFrame, found: DataFrame, threshold: float, stored: Stored) -> DataFrame:
@@ -149,9 +151,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float, stored
     if not n:
         return found.select("doc_id", "text_hash", "start", "end").limit(0)
     known = F.broadcast(telling) if n <= BROADCAST_TERMS else telling
-    keys = stored.put(_words(docs, "doc_id", "text_hash").join(known, "term", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "places")
-    own = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (docs["text_hash"] == keys["_hash"]), "left_semi")
-    each = _placed_words(own).join(known, "term", "left_semi")
+    # a row's telling terms are no more than its distinct words
+    told = _words(docs, "doc_id", "text_hash").join(known, "term").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("term").alias("telling"))
+    told = stored.put(told, "places")
+    each = _placed_words(docs.join(told, docs["doc_id"].eqNullSafe(told["_id"]) & (docs["text_hash"] == told["_hash"])))
     places = each.groupBy("doc_id", "text_hash", "start", "end").agg(F.lit(1).alias("term"))
     both = places.unionByName(found.select("doc_id", "text_hash", "start", "end", F.lit(0).alias("term")))
     before = Window.partitionBy("doc_id", "text_hash").orderBy("start", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
