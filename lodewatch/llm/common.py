@@ -14,7 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodewatch.sources.shared import shared_dir
@@ -95,6 +95,34 @@ def components(edges: DataFrame, stored: Stored, a: str = "a", b: str = "b") ->
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own)
 
 
+# ---------------------------------------------------------------- order
+
+
+def in_order(df: DataFrame, stored: Stored, order: list[str], at: str = "at") -> DataFrame:
+    """The rows sorted by `order` (nulls first) over all partitions, with a long that ascends with it; not gapless. Stored, so the places stay.
+
+    Ranges take in all columns of `order`, so one frequent value of the first is spread over many.
+    """
+    return stored.put(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ordered")
+
+
+def numbered(df: DataFrame, stored: Stored, group: list[str], order: list[str]) -> DataFrame:
+    """The rows with `i`, their place from 0 within their group by `order` (which begins with the group's columns), and `n`, the group's rows.
+
+    No group meets in one task: places within ranges are shifted by the counts of the ranges before, one row a group and range.
+    """
+    rows = in_order(df, stored, order).withColumn("range", F.shiftright("at", 33))
+    runs = rows.groupBy("range", *group).agg(F.min("at").alias("first"), F.count("*").alias("here"))
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    before = F.coalesce(F.sum("here").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("range", *(F.col(c).alias(f"of_{c}") for c in group), (before - F.col("first")).alias("shift"), F.sum("here").over(whole).alias("n"))
+    same = F.col("range") == F.col("in_range")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    out = rows.join(runs.withColumnRenamed("range", "in_range"), same).withColumn("i", F.col("at") + F.col("shift"))
+    return out.drop("at", "range", "in_range", "shift", *(f"of_{c}" for c in group))
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 ARROW_BYTES = 4 << 20

@@ -77,13 +77,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .merkle import merkle_audit
+
+    more = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1)
+    return merkle_audit(_table(spark, sf_dir, "documents"), changed={"n_chars": more})
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_toxicity, op4_embeddings, op5_licenses, op6_language, op7_quality, op8_minhash, op9_pii, op10_token_counts, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_toxicity, op4_embeddings, op5_licenses, op6_language, op7_quality, op8_minhash, op9_pii, op10_token_counts, op13_merkle, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_embeddings": """
@@ -108,5 +117,32 @@ links AS (SELECT p.doc_id AS a, q.doc_id AS b FROM e p JOIN e q ON p.g = q.g AND
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON doc_id = a
+""",
+    "op13_merkle": """
+WITH RECURSIVE bits AS (SELECT doc_id, text, lang, source, n_chars, CAST(doc_id AS VARCHAR) AS d FROM documents),
+crc AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(d) + 1), lambda i: CAST(ascii(d[i]) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc FROM bits),
+parts AS (SELECT doc_id, lang, crc % 7 = 0 AND n_chars IS NOT NULL AS hit,
+  CASE WHEN doc_id IS NULL THEN '-' ELSE len(d) || ':' || d END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS a,
+  CASE WHEN n_chars IS NULL THEN '-' ELSE len(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS b, len(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) AS c,
+  CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS e FROM crc),
+leaves AS MATERIALIZED (SELECT doc_id, lang, sha256(a || b || e) AS leaf, CASE WHEN hit THEN sha256(a || c || e) ELSE sha256(a || b || e) END AS found FROM parts),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes AS (SELECT 0 AS level, lang, i, n, leaf AS h FROM placed
+  UNION ALL SELECT level + 1, lang, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY level, lang, i // 2, n),
+subroots AS MATERIALIZED (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, i, n, h FROM subroots
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2, n),
+steps AS (SELECT p.lang, p.i, m.level, CASE WHEN s.h IS NULL THEN 'N' WHEN (p.i >> m.level) % 2 = 1 THEN 'L' || s.h ELSE 'R' || s.h END AS step
+  FROM placed p JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) m ON p.lang IS NOT DISTINCT FROM m.lang
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = m.level AND s.i = xor(p.i >> m.level, 1)),
+low AS (SELECT lang, i, list(step ORDER BY level) AS path FROM steps GROUP BY lang, i),
+high AS (SELECT p.lang, list(CASE WHEN s.h IS NULL THEN 'N' WHEN (p.i >> m.level) % 2 = 1 THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY m.level) AS path
+  FROM subroots p JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) m ON true LEFT JOIN tops s ON s.level = m.level AND s.i = xor(p.i >> m.level, 1) GROUP BY p.lang),
+paths AS (SELECT p.doc_id, p.leaf, p.found, r.h AS subroot, t.h AS root, list_concat(coalesce(low.path, []), coalesce(high.path, [])) AS path
+  FROM placed p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang JOIN (SELECT h FROM tops WHERE n = 1) t ON true
+  LEFT JOIN low ON low.lang IS NOT DISTINCT FROM p.lang AND low.i = p.i LEFT JOIN high ON high.lang IS NOT DISTINCT FROM p.lang),
+folded AS (SELECT *, list_reduce(list_prepend(found, path), lambda have, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] ELSE '' END || have || CASE WHEN s[1] = 'R' THEN s[2:] ELSE '' END)) AS folded_root FROM paths)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda s: s[2:]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """,
 }
