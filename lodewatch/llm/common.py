@@ -149,7 +149,10 @@ def send_package(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """mapInArrow with one function a task, made by make(); it may return a batch or yield several. Batches are cut by bytes."""
+    """mapInArrow with one function a task, made by make(); it may return a batch or yield several. Batches are cut by bytes.
+
+    A function with an attribute `ends` carries something from batch to batch, and is called with None after the last one.
+    """
     send_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
@@ -162,6 +165,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             else:
                 yield from got
             del got, batch
+        if getattr(f, "ends", False):
+            yield f(None)
         _give_back()
 
     return df.mapInArrow(run, schema)

@@ -77,6 +77,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repair_damaged
+
+    return repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -92,7 +98,45 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_toxicity, op4_embeddings, op5_licenses, op6_language, op7_quality, op8_minhash, op9_pii, op10_token_counts, op13_merkle, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_toxicity, op4_embeddings, op5_licenses, op6_language, op7_quality, op8_minhash, op9_pii, op10_token_counts, op12_conversations, op13_merkle, pipeline)}
+
+#: CRC-32 of an ASCII text d.
+CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(d) + 1), lambda i: CAST(ascii(d[i]) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+
+def _conversations_sql() -> str:
+    """Turn by turn, the cheapest repair that leads to each of four states, as {c: cost, a: edits, r: repaired lines}."""
+    add = lambda s, cost, edit, line="''": f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}', 'r': {s}.r || {line}}}"
+    line = lambda role: f"chr(10) || '{role}:' || text"
+    never = "{'c': 1000000000, 'a': '', 'r': ''}"
+    only = lambda condition, s: f"CASE WHEN {condition} THEN {s} ELSE {never} END"
+    put = lambda s, role: add(s, 2, "I", f"chr(10) || '{role}:'")
+    least = lambda *s: f"list_min([{', '.join(s)}])"
+    stays, more = "fault IN ('t', '-')", "(fault = 't')::INT"
+    keep = lambda s, initial: only(f"{stays} AND initial = '{initial}'", add(s, more, "K", "chr(10) || role || ':' || text"))
+    rerole = lambda s, role: only(stays, add(s, f"2 + {more}", "R", line(role)))
+    return f"""
+WITH RECURSIVE source AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS d FROM conversations),
+kinds AS (SELECT *, {CRC32} % 20 AS kind FROM source),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+turns AS MATERIALIZED (SELECT *, left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS previous,
+  CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '-' END AS fault FROM placed),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (previous || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+states AS (SELECT conv_id, n, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': ''}} AS nothing, {{'c': CAST(1000000000 AS BIGINT), 'a': '', 'r': ''}} AS s, {{'c': CAST(1000000000 AS BIGINT), 'a': '', 'r': ''}} AS u, {{'c': CAST(1000000000 AS BIGINT), 'a': '', 'r': ''}} AS b FROM counts
+  UNION ALL SELECT conv_id, n, i, {add('nothing', 3, 'D')}, {least(add('s', 3, 'D'), keep('nothing', 's'))},
+    {least(add('u', 3, 'D'), *(f(x, y) for x in ('nothing', 's', 'b') for f, y in ((keep, 'u'), (rerole, 'user'))))}, {least(add('b', 3, 'D'), keep('u', 'a'), rerole('u', 'assistant'))}
+  FROM (SELECT x.* EXCLUDE (b), {least('x.b', put('x.u', 'assistant'))} AS b FROM (
+    SELECT p.conv_id, p.n, t.i, p.nothing, p.s, p.b, {least('p.u', put('p.nothing', 'user'), put('p.s', 'user'), put('p.b', 'user'))} AS u, t.role, t.text, t.initial, t.fault
+    FROM states p JOIN turns t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1) x)),
+ends AS (SELECT conv_id, {least('nothing', add('s', 4, 'II', "chr(10) || 'user:' || chr(10) || 'assistant:'"), put('u', 'assistant'), 'b')} AS e FROM states WHERE i = n)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(e.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON o.conv_id IS NOT DISTINCT FROM ends.conv_id
+"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "op4_embeddings": """
@@ -118,10 +162,10 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l
 least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON doc_id = a
 """,
+    "op12_conversations": _conversations_sql(),
     "op13_merkle": """
 WITH RECURSIVE bits AS (SELECT doc_id, text, lang, source, n_chars, CAST(doc_id AS VARCHAR) AS d FROM documents),
-crc AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(d) + 1), lambda i: CAST(ascii(d[i]) AS BIGINT))),
-  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc FROM bits),
+crc AS (SELECT *, """ + CRC32 + """ AS crc FROM bits),
 parts AS (SELECT doc_id, lang, crc % 7 = 0 AND n_chars IS NOT NULL AS hit,
   CASE WHEN doc_id IS NULL THEN '-' ELSE len(d) || ':' || d END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS a,
   CASE WHEN n_chars IS NULL THEN '-' ELSE len(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS b, len(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) AS c,
