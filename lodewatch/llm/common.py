@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -106,21 +107,26 @@ def in_order(df: DataFrame, stored: Stored, order: list[str], at: str = "at") ->
     return stored.put(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ordered")
 
 
-def numbered(df: DataFrame, stored: Stored, group: list[str], order: list[str]) -> DataFrame:
-    """The rows with `i`, their place from 0 within their group by `order` (which begins with the group's columns), and `n`, the group's rows.
+def places(rows: DataFrame, group: list[str], at: str = "at", i: str = "i", n: str = "n") -> DataFrame:
+    """The rows of in_order() with `i`, their place from 0 within their group, and `n`, the group's rows. The order must begin with the group's columns.
 
     No group meets in one task: places within ranges are shifted by the counts of the ranges before, one row a group and range.
     """
-    rows = in_order(df, stored, order).withColumn("range", F.shiftright("at", 33))
-    runs = rows.groupBy("range", *group).agg(F.min("at").alias("first"), F.count("*").alias("here"))
+    rows = rows.withColumn("range", F.shiftright(at, 33))
+    runs = rows.groupBy("range", *group).agg(F.min(at).alias("first"), F.count("*").alias("here"))
     whole = Window.partitionBy(*(group or [F.lit(0)]))
     before = F.coalesce(F.sum("here").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select("range", *(F.col(c).alias(f"of_{c}") for c in group), (before - F.col("first")).alias("shift"), F.sum("here").over(whole).alias("n"))
+    runs = runs.select(F.col("range").alias("in_range"), *(F.col(c).alias(f"of_{c}") for c in group), (before - F.col("first")).alias("shift"), F.sum("here").over(whole).alias(n))
     same = F.col("range") == F.col("in_range")
     for c in group:
         same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
-    out = rows.join(runs.withColumnRenamed("range", "in_range"), same).withColumn("i", F.col("at") + F.col("shift"))
-    return out.drop("at", "range", "in_range", "shift", *(f"of_{c}" for c in group))
+    out = rows.join(runs, same).withColumn(i, F.col(at) + F.col("shift"))
+    return out.drop("range", "in_range", "shift", *(f"of_{c}" for c in group))
+
+
+def numbered(df: DataFrame, stored: Stored, group: list[str], order: list[str]) -> DataFrame:
+    """places() of the rows sorted by `order`."""
+    return places(in_order(df, stored, order), group).drop("at")
 
 
 # ---------------------------------------------------------------- Arrow batches
@@ -158,15 +164,13 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
     def run(batches):
         f = make()
-        for batch in batches:
+        for batch in chain(batches, [None] if getattr(f, "ends", False) else []):
             got = f(batch)
             if isinstance(got, pa.RecordBatch):
                 yield got
             else:
                 yield from got
             del got, batch
-        if getattr(f, "ends", False):
-            yield f(None)
         _give_back()
 
     return df.mapInArrow(run, schema)

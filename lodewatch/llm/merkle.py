@@ -94,8 +94,8 @@ def merkle_audit(df: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "
     tops = stored.put(tops.select(F.lit("").alias("g"), "i", "n", "h", F.col("g").alias("own")), "tops")
     roots, root_passes = _tree(tops, stored)
     root_paths = _paths(root_passes, stored)
-    ends = _with_above(_levels(tops), root_paths).select(F.col("own").alias("g"), F.col("h").alias("subroot"), F.col("path").alias("to_root"))
-    ends = stored.put(ends.crossJoin(F.broadcast(roots.select(F.col("h").alias("root")))), "ends")  # one row
+    ends = _with_above(_levels(tops), root_paths).join(roots.withColumnRenamed("h", "root"), "g")
+    ends = stored.put(ends.select(F.col("own").alias("g"), F.col("h").alias("subroot"), F.col("path").alias("to_root"), "root"), "ends")
     rows = _with_above(_levels(nodes), above).join(ends, "g").withColumn("path", F.concat("path", "to_root"))
     sibling = lambda s: F.substr(s, F.lit(2))
     side = lambda s, where: F.when(F.left(s, F.lit(1)) == where, sibling(s)).otherwise("")

@@ -77,6 +77,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    found = archive_pages(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture", "place")
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversations import repair_damaged
 
@@ -98,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_toxicity, op4_embeddings, op5_licenses, op6_language, op7_quality, op8_minhash, op9_pii, op10_token_counts, op12_conversations, op13_merkle, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_toxicity, op4_embeddings, op5_licenses, op6_language, op7_quality, op8_minhash, op9_pii, op10_token_counts, op11_warc, op12_conversations, op13_merkle, pipeline)}
 
 #: CRC-32 of an ASCII text d.
 CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(d) + 1), lambda i: CAST(ascii(d[i]) AS BIGINT))),
@@ -161,6 +168,18 @@ links AS (SELECT p.doc_id AS a, q.doc_id AS b FROM e p JOIN e q ON p.g = q.g AND
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON doc_id = a
+""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(trim(coalesce(url, '')), '[\\p{Z}\\p{C}]+', '%20', 'g') AS url FROM pages),
+q AS (SELECT *, sha256(html) AS digest, strlen(html) AS size, lower(url) AS low, regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''), '#.*$', '') AS bare FROM p),
+f AS (SELECT digest, min(page_id) AS first_id FROM q WHERE size >= 100 GROUP BY digest),
+k AS (SELECT q.*, CASE WHEN size >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to,
+  strftime(to_timestamp(1704067200 + coalesce(page_id, 0) % 31536000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured,
+  CASE WHEN NOT contains(low, '://') THEN low ELSE array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(bare, '^(?:[^/?@]*@)?([^/?:]*)', 1), '^www[0-9]*\\.', ''), '.')), ',')
+    || regexp_replace(regexp_extract(bare, '^(?:[^/?@]*@)?[^/?:]*(:[0-9]+)?', 1), '^:(80|443)$', '') || ')' || CASE WHEN regexp_matches(bare, '^[^/?]*/') THEN '' ELSE '/' END || regexp_replace(bare, '^[^/?]*', '') END AS url_key
+  FROM q LEFT JOIN f ON q.digest = f.digest)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, url_key, captured,
+  row_number() OVER (PARTITION BY url_key ORDER BY captured, page_id NULLS FIRST) - 1 AS capture, row_number() OVER (ORDER BY url_key, captured, page_id NULLS FIRST) - 1 AS place FROM k
 """,
     "op12_conversations": _conversations_sql(),
     "op13_merkle": """
