@@ -36,6 +36,8 @@ def timeframe(text: str | int | None, default: str = "5 minutes") -> str:
 
 
 def tiers_for_range(start: datetime, end: datetime, as_of: datetime, hot_days: int = 7, warm_days: int = 90) -> list[str]:
-    """The storage tiers that a range can touch."""
-    hot, warm = as_of - timedelta(days=hot_days), as_of - timedelta(days=warm_days)
-    return [t for t, touched in (("hot", end > hot), ("warm", start <= hot and end > warm), ("cold", start <= warm)) if touched]
+    """The storage tiers that a range's rows belong to, by whole days of age as in tier_of(); none if it ends before it starts."""
+    if end < start:
+        return []
+    youngest, oldest = (as_of.date() - end.date()).days, (as_of.date() - start.date()).days
+    return [t for t, touched in (("hot", youngest < hot_days), ("warm", youngest < warm_days and oldest >= hot_days), ("cold", oldest >= warm_days)) if touched]

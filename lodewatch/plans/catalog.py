@@ -651,6 +651,68 @@ def t_migrate_twice(spark, sf_dir):
     return each[0].unionByName(each[1]).groupBy("tier", "day").agg(F.count("*").alias("n"), F.sum("dst_endpoint_port").alias("ports"))
 
 
+@query("SELECT 'warm' AS tier, message, 2 * count(*) AS n FROM e WHERE CAST(time AS DATE) <= DATE '2024-01-24' GROUP BY message UNION ALL SELECT 'hot', message, count(*) FROM e WHERE CAST(time AS DATE) > DATE '2024-01-24' GROUP BY message")
+def t_late_equal_rows(spark, sf_dir):
+    """Days that are migrated, and then all their rows arrive once more and are migrated, too: each row as often as it was written."""
+    root, rows = scratch(spark), _flat(spark, sf_dir)
+    tiers.write_tier(rows, root, "hot")
+    tiers.migrate_hot_to_warm(spark, root, AS_OF, 7)
+    tiers.write_tier(tiers.split_by_age(rows, AS_OF, 7)[0], root, "hot", "append")
+    tiers.migrate_hot_to_warm(spark, root, AS_OF, 7)
+    found = tiers.read_tiers(spark, root, datetime(2024, 1, 1), AS_OF, AS_OF, 7, 90)
+    return found.groupBy("tier", "message").agg(F.count("*").alias("n"))
+
+
+class _Stop(Exception):
+    pass
+
+
+@query("SELECT s.step, CASE WHEN CAST(time AS DATE) <= DATE '2024-01-24' THEN 'warm' ELSE 'hot' END AS tier, count(*) AS n, CAST(sum(dst_port) AS BIGINT) AS ports FROM e, (VALUES ('planned'), ('staged warm'), ('committed'), ('published')) s(step) GROUP BY 1, 2")
+def t_broken_runs(spark, sf_dir):
+    """A migration that breaks off after each of its steps, and is run again."""
+    rows, out = _flat(spark, sf_dir).select("time", "tenant_id", "dst_endpoint_port"), None
+    for step in ("planned", "staged warm", "committed", "published"):
+        root = scratch(spark)
+        tiers.write_tier(rows, root, "hot")
+
+        def stop(at, step=step):
+            if at == step:
+                raise _Stop
+
+        try:
+            tiers.migrate(spark, root, "hot", "warm", AS_OF, 7, reached=stop)
+        except _Stop:
+            pass
+        tiers.migrate_hot_to_warm(spark, root, AS_OF, 7)
+        found = tiers.read_tiers(spark, root, datetime(2024, 1, 1), AS_OF, AS_OF, 7, 90)
+        found = found.groupBy("tier").agg(F.count("*").alias("n"), F.sum("dst_endpoint_port").alias("ports")).withColumn("step", F.lit(step))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_TIER_NOON = "CASE WHEN date_diff('day', CAST(time AS DATE), DATE '2024-01-28') < 7 THEN 'hot' WHEN date_diff('day', CAST(time AS DATE), DATE '2024-01-28') < 21 THEN 'warm' ELSE 'cold' END"
+
+
+@query(f"SELECT uuid, {_TIER_NOON} AS tier FROM e WHERE time BETWEEN TIMESTAMP '2024-01-21 13:00:00' AND TIMESTAMP '2024-01-21 20:00:00' OR time BETWEEN TIMESTAMP '2024-01-07 13:00:00' AND TIMESTAMP '2024-01-07 20:00:00'")
+def t_range_at_noon(spark, sf_dir):
+    """Hours of the days at which tiers meet, asked for at noon."""
+    root, e, noon = scratch(spark), flat_events(spark, sf_dir), datetime(2024, 1, 28, 12)
+    for tier in ("hot", "warm", "cold"):
+        tiers.write_tier(e.where(tier_of(F.col("time"), noon, 7, 21) == tier), root, tier)
+    days = [tiers.read_tiers(spark, root, datetime(2024, 1, d, 13), datetime(2024, 1, d, 20), noon, 7, 21) for d in (21, 7)]
+    return days[0].unionByName(days[1]).select("uuid", "tier")
+
+
+@query("SELECT CAST(time AS DATE)::VARCHAR AS day, CASE WHEN day(time) <= 22 THEN 'warm' ELSE 'hot' END AS tier, count(*) AS n FROM e WHERE time BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-24' GROUP BY 1, 2")
+def t_late_migration(spark, sf_dir):
+    """A range of days that are of age for the warm tier, of which the last two haven't been migrated yet."""
+    root = scratch(spark)
+    tiers.write_tier(flat_events(spark, sf_dir), root, "hot")
+    tiers.migrate_hot_to_warm(spark, root, AS_OF - timedelta(days=2), 7)
+    found = tiers.read_tiers(spark, root, datetime(2024, 1, 20), datetime(2024, 1, 24), AS_OF, 7, 90)
+    return found.groupBy(F.to_date("time").cast("string").alias("day"), "tier").agg(F.count("*").alias("n"))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS moved, CAST(count(*) AS BIGINT) AS source_rows, CAST(count(*) AS BIGINT) AS copy_rows, true AS same FROM e WHERE CAST(time AS DATE) <= DATE '2024-01-10'")
 def t_migration_report(spark, sf_dir):
     """From warm to cold, where the month is not old enough as a whole."""

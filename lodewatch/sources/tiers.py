@@ -1,19 +1,22 @@
 """The three storage tiers as partitioned Parquet, and what moves rows between them.
 
-hot: by day; warm: by month, sorted by tenant and time; cold: by year, month and tenant. A write replaces whole partitions. A
-migration adds to what the next tier holds, checks it, and only then removes the files it has read: run again after a
-break, or for later days of a month that was begun, it leaves each row in one tier, once.
+hot: by day; warm: by month, sorted by tenant and time; cold: by year, month and tenant. A write replaces whole partitions. A row's
+tier follows from its age in whole days. Migrations are logged by file (see `moves`): broken off anywhere and run again,
+each row is in one tier, as often as it was written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodewatch.functions.times import tiers_for_range
+from lodewatch.sources import moves
 
 LAYOUT = {"hot": ["event_date"], "warm": ["event_month"], "cold": ["year", "month", "tenant_id"]}
 _ADDED = {
@@ -31,10 +34,17 @@ def write_tier(df: DataFrame, root: str, tier: str, mode: str = "overwrite") ->
 
 
 def read_tiers(spark: SparkSession, root: str, start: datetime, end: datetime, as_of: datetime, hot_days: int = 7, warm_days: int = 90) -> DataFrame:
-    """Rows from start to end out of the tiers that the range touches, with their tier. Filters reach the partitions."""
-    out = None
-    for tier in tiers_for_range(start, end, as_of, hot_days, warm_days):
-        t = spark.read.parquet(f"{root}/{tier}")
+    """Rows from start to end out of the tiers that the range touches, with their tier. Filters reach the partitions.
+
+    Rows become of age by whole days, and stay in the younger tier until they are migrated, so younger tiers are looked into as well: where
+    nothing is late, no partition of theirs passes the filter. Tiers that aren't there yet have no rows.
+    """
+    touched, out = tiers_for_range(start, end, as_of, hot_days, warm_days), None
+    running = moves.moves(spark, root)
+    for tier in list(LAYOUT)[: max((list(LAYOUT).index(t) + 1 for t in touched), default=0)]:
+        t = moves.visible(spark, root, tier, running)
+        if t is None:
+            continue
         kind = t.schema["time"].dataType
         t = t.where(F.col("time").between(F.lit(start).cast(kind), F.lit(end).cast(kind)))
         if tier == "hot":
@@ -45,6 +55,8 @@ def read_tiers(spark: SparkSession, root: str, start: datetime, end: datetime, a
             t = t.where(F.col("year").between(start.year, end.year))
         t = t.drop(*(k for k in LAYOUT[tier] if k != "tenant_id")).withColumn("tier", F.lit(tier))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no tier under {root}")
     return out
 
 
@@ -62,59 +74,86 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
 def split_by_age(df: DataFrame, as_of: datetime, days: int) -> tuple[DataFrame, DataFrame]:
     """(rows at least `days` whole days old, the rest)."""
     cutoff = F.lit((as_of - timedelta(days=days)).date())
-    old = F.to_date("time") <= cutoff
+    old = F.coalesce(F.to_date("time") <= cutoff, F.lit(False))
     return df.where(old), df.where(~old)
 
 
-def _of_range(spark: SparkSession, root: str, tier: str, schema, first, last) -> DataFrame:
-    """A tier's rows of the days first to last, without its partition columns; an empty table if the tier isn't there yet."""
-    if not _there(spark, f"{root}/{tier}"):
-        return spark.createDataFrame([], schema)
-    t = spark.read.parquet(f"{root}/{tier}").where(F.to_date("time").between(first, last))
-    if tier == "warm":
-        t = t.where(F.col("event_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}"))
-    elif tier == "cold":
-        t = t.where(F.col("year").between(first.year, last.year))
-    return t.select(*schema.fieldNames())
+_REPORT = "moved long, source_rows long, copy_rows long, same boolean, removed long"
 
 
-def migrate(spark: SparkSession, root: str, source: str, target: str, as_of: datetime, days: int, drop: bool = True) -> DataFrame:
+def migrate(spark: SparkSession, root: str, source: str, target: str, as_of: datetime, days: int, drop: bool = True, reached: Callable[[str], None] = lambda step: None) -> DataFrame:
     """Moves a tier's rows of at least `days` whole days to the next tier; one row: moved, source_rows, copy_rows, same, removed.
 
-    Rows are compared as a multiset over all columns, so what an earlier run has copied isn't copied again, and rows of
-    other runs, in the same month as well, stay. The check is that of verify_migration, over the days moved; the source's
-    files go only if it agrees, and only those that were read; younger rows in them are written to the source anew first.
+    A run notes the files that hold such rows, writes those rows for the next tier and the younger rows of the same files for the
+    source, both aside, and checks counts and sums of hashes against what it has read. Only then is it committed: its files become
+    part of the tiers and those it has read go. A run that breaks off earlier leaves nothing, one that breaks off later is finished by
+    the next; so every row is in one tier, as often as it was written, equal rows that arrive late included. With drop=False
+    the old files stay until the next run, but aren't read any more. Rows without a time stay where they are.
+
+    A run that finishes an earlier one counts that one's rows as source_rows and copy_rows, and none as moved. `reached` is told each step.
     """
-    table = spark.read.parquet(f"{root}/{source}")
-    schema = table.drop(*(k for k in LAYOUT[source] if k != "tenant_id")).schema
-    old, _ = split_by_age(table, as_of, days)
-    limit = (as_of - timedelta(days=days)).date()
-    if source == "hot":
-        old = old.where(F.col("event_date") <= limit)
-    elif source == "warm":
-        old = old.where(F.col("event_month") <= f"{limit:%Y-%m}")
-    with_file = old.select(*schema.fieldNames(), F.col("_metadata.file_path").alias("_file"))
-    files = [unquote(r["_file"]) for r in with_file.select("_file").distinct().collect()]  # of the partitions that have come of age
-    first, last = with_file.agg(F.min(F.to_date("time")), F.max(F.to_date("time"))).first()
-    report = "moved long, source_rows long, copy_rows long, same boolean, removed long"
-    if not files:
-        return spark.createDataFrame([(0, 0, 0, True, 0)], report)
-    frozen = spark.read.option("basePath", f"{root}/{source}").schema(table.schema).parquet(*files)  # later files aren't looked at
-    rows = split_by_age(frozen, as_of, days)[0].select(*schema.fieldNames())
-    before = _of_range(spark, root, target, schema, first, last)
-    held = before.count()
-    write_tier(rows.exceptAll(before), root, target, "append")
-    after = _of_range(spark, root, target, schema, first, last)
-    # every row of the source is there, so the copy is what is there less what isn't the source's
-    checked = verify_migration(rows, after.exceptAll(after.exceptAll(rows)), schema.fieldNames()).first()
-    moved, removed = after.count() - held, 0
-    if drop and checked["same"]:
-        young = split_by_age(frozen, as_of, days)[1].select(*schema.fieldNames())
-        if not young.isEmpty():  # rows of a month that isn't old enough as a whole
-            write_tier(young, root, source, "append")
-        _remove(spark, files)
-        removed = len(files)
-    return spark.createDataFrame([(moved, checked["source_rows"], checked["copy_rows"], checked["same"], removed)], report)
+    report = {"moved": 0, "source_rows": 0, "copy_rows": 0, "same": True, "removed": 0}
+    for earlier, gone in moves.recover(spark, root):
+        for k in ("source_rows", "copy_rows"):
+            report[k] += earlier.report()[k]
+        report["removed"] += gone
+    store = moves.Store(spark, root)
+    if next(store.files(f"{root}/{source}"), None):
+        table = spark.read.parquet(f"{root}/{source}")
+        limit = (as_of - timedelta(days=days)).date()
+        old = split_by_age(table, as_of, days)[0]
+        if source == "hot":
+            old = old.where(F.col("event_date") <= limit)
+        elif source == "warm":
+            old = old.where(F.col("event_month") <= f"{limit:%Y-%m}")
+        move = moves.Move(store)
+        old.select(F.col("_metadata.file_path").alias("file")).distinct().write.parquet(f"{move.at}/reads")
+        move.mark("planned")
+        reached("planned")
+        names = [r["file"] for r in move.reads().toLocalIterator()]
+        if not names:
+            move.roll_back()
+        else:
+            own = _stage(spark, table, move, names, source, target, as_of, days, reached)
+            for k in ("source_rows", "copy_rows"):
+                report[k] += own[k]
+            report["same"] = own["same"]
+            if own["same"]:
+                report["moved"] = own["copy_rows"]
+                move.mark("committed", own)
+                reached("committed")
+                move.publish()
+                reached("published")
+                if drop:
+                    report["removed"] += move.drop()
+            else:
+                move.roll_back()
+    return spark.createDataFrame([tuple(report.values())], _REPORT)
+
+
+def _stage(spark, table: DataFrame, move: moves.Move, names: list[str], source: str, target: str, as_of: datetime, days: int, reached) -> dict:
+    """Writes a run's rows aside; source_rows, copy_rows, and whether what was written is what was read."""
+    columns = [c for c in table.columns if c not in LAYOUT[source] or c == "tenant_id"]
+    # only the files noted, so those that come meanwhile aren't looked at
+    rows = spark.read.option("basePath", f"{move.store.root}/{source}").schema(table.schema).parquet(*map(unquote, names))
+    counts, same = {}, True
+    for tier, part in zip((target, source), split_by_age(rows, as_of, days)):
+        part = part.select(*columns)
+        if tier == source and part.isEmpty():
+            continue
+        write_tier(part, f"{move.at}/staged", tier, "append")
+        reached(f"staged {tier}")
+        found = verify_migration(part, spark.read.schema(_with_keys(part, tier)).parquet(move.staged(tier)), columns).first()
+        same = same and found["same"]
+        if tier == target:
+            counts = {"source_rows": found["source_rows"], "copy_rows": found["copy_rows"]}
+    return {**counts, "same": same}
+
+
+def _with_keys(rows: DataFrame, tier: str) -> T.StructType:
+    """The schema of rows in a tier's layout."""
+    keys = {"event_date": T.DateType(), "event_month": T.StringType(), "year": T.IntegerType(), "month": T.StringType()}
+    return T.StructType([*rows.schema.fields, *(T.StructField(k, keys[k]) for k in LAYOUT[tier] if k in keys)])
 
 
 def migrate_hot_to_warm(spark: SparkSession, root: str, as_of: datetime, days: int = 7, drop: bool = True) -> DataFrame:
@@ -129,7 +168,8 @@ def migrate_warm_to_cold(spark: SparkSession, root: str, as_of: datetime, days:
 
 def verify_migration(source: DataFrame, copy: DataFrame, columns: list[str]) -> DataFrame:
     """One row: rows of both sides, and whether their counts and the sums of their rows' hashes agree."""
-    side = lambda df, p: df.agg(F.count("*").alias(f"{p}_rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias(f"{p}_sum"))
+    plain = lambda df, c: F.array_sort(F.map_entries(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c)
+    side = lambda df, p: df.agg(F.count("*").alias(f"{p}_rows"), F.sum(F.xxhash64(*(plain(df, c) for c in columns)).cast("decimal(38,0)")).alias(f"{p}_sum"))
     both = side(source, "source").join(side(copy, "copy"), F.lit(True))  # one row each
     return both.select("source_rows", "copy_rows", ((F.col("source_rows") == F.col("copy_rows")) & F.col("source_sum").eqNullSafe(F.col("copy_sum"))).alias("same"))
 
@@ -152,6 +192,7 @@ def apply_retention(df: DataFrame, tenants: DataFrame, as_of: datetime, default_
 
 def expire_partitions(spark: SparkSession, root: str, as_of: datetime, days: int, tier: str = "hot") -> list[str]:
     """Removes a tier's day partitions (hot) or months (warm) that end before the last `days` days, and says which."""
+    moves.recover(spark, root)
     key = LAYOUT[tier][0]
     limit = (as_of - timedelta(days=days)).date()
     values = [str(r[0]) for r in spark.read.parquet(f"{root}/{tier}").select(F.col(key).cast("string")).distinct().collect() if r[0] is not None]

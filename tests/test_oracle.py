@@ -4,8 +4,11 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lodewatch.operators import aggregate
 from lodewatch.plans import catalog
+from lodewatch.sources import views
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,8 +40,9 @@ def test_same_rows(spark, sf, name):
 
 
 def test_rollup_estimates_are_close(spark, sf):
-    for r in catalog.QUERIES["a_merge_rollup"](spark, sf).collect():
-        assert r["event_count"] >= r["unique_users"] > 0
+    e = views.flat_events(spark, sf).withColumn("score", F.lit(1.0))
+    for r in aggregate.merge_rollup(aggregate.rollup_state(e), ["tenant_id", "category_name"]).collect():
+        assert r["event_count"] >= r["unique_users"] > 0 and r["unique_src_ips"] > 0 and r["avg_score"] == 1.0
 
 
 def test_entry(spark):
