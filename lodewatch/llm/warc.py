@@ -65,12 +65,12 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {k: batch.column(k)[i].as_py() for k in batch.schema.names}
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> DataFrame:
     """(file, records, bytes) of archives under `folder` with a record for each page, in the order of (url_key, captured, page_id) within each.
 
     Pages have page_id, url, url_key, captured, html, digest and first_id (of the page with the same payload that a revisit refers to, else null). Each record is a
     gzip member of its own. Every attempt of a task writes files under new names, and only those that its rows name are ever read, so a lost or repeated
-    task leaves nothing behind but files that nobody reads. Archives are closed at ARCHIVE_BYTES. The result must be stored: working it out again writes again.
+    task leaves nothing behind but files that nobody reads. Archives are closed beyond `most` bytes. The result must be stored: working it out again writes again.
     """
 
     def make():
@@ -97,7 +97,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 state["out"].write(data)
                 state["records"] += 1
                 state["bytes"] += len(data)
-                if state["bytes"] >= ARCHIVE_BYTES:
+                if state["bytes"] >= most:
                     done += close()
             if batch is None:
                 done += close()
