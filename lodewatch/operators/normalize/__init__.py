@@ -1,7 +1,7 @@
 """Vendor log lines to events: detection, one parser for each vendor, and the split of what can't be parsed.
 
-Every parser is stateless column work on (raw_id, data, arrived, tenant_id, vendor, metadata), so it serves batch and
-streaming frames alike. A parser returns the event columns and parse_error, null where the line was understood.
+Every parser is an expression over (raw_id, data, arrived, tenant_id, vendor, metadata), so it serves batch and streaming
+frames alike. Its event has parse_error, null where the line was understood.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cef, cisco_asa, cloudtrail, generic, paloalto, syslog, windows
-from .common import detect_vendor
+from .common import LineParser, detect_vendor
 
-__all__ = ["PARSERS", "dead_letters", "detect_vendor", "flatten_events", "good_rows", "normalize", "parse_report", "register_parser", "replay_dead_letters"]
+__all__ = ["PARSERS", "LineParser", "dead_letters", "detect_vendor", "flatten_events", "good_rows", "normalize", "parse_report", "register_parser", "replay_dead_letters"]
 
 Parser = Callable[[DataFrame], DataFrame]
 PARSERS: dict[str, Parser] = {
@@ -39,31 +39,28 @@ def register_parser(vendor: str, parser: Parser) -> None:
 def normalize(raw: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """All lines as events with vendor and parse_error; a vendor without a parser goes to the generic one.
 
-    The parsers work one after the other on one scan: each sees the lines of its vendors, and null in place of the others,
-    and its event is kept for its own. A parser that doesn't end in event() has a scan of its own, for its vendors.
+    One scan and one expression: a line's vendor chooses the parser whose expression is worked out, and no other is. A parser that is a
+    function of a DataFrame (not a LineParser) has a scan of its own, for its vendors. Without a generic parser, lines of other vendors are left out.
     """
     table = parsers or PARSERS
     known = raw.withColumn("vendor", F.coalesce("vendor_type", detect_vendor(F.col("data"))))
     vendors: dict[Parser, list[str]] = {}
     for v, p in table.items():
         vendors.setdefault(p, []).append(v)
-    rest = ~F.col("_line.vendor").isin(*table)
-    lines = known.select(F.struct("raw_id", "data", "arrived", "tenant_id", "vendor", "metadata").alias("_line"), F.lit(None).alias("_event"))
-    apart, done = [], None
-    # an explode between the parsers keeps the optimizer from putting one into the other, which would repeat it for every field
-    once = lambda df, *xs: df.select(F.explode(F.array(F.struct(*xs))).alias("_x")).select("_x.*")
-    for p, vs in vendors.items():
-        own = F.col("_line.vendor").isin(*vs) | (rest if p is generic.parse else F.lit(False))
-        seen = lines if done is None else done
-        given = once(seen, "_line.raw_id", F.when(own, F.col("_line.data")).alias("data"), "_line.arrived", "_line.tenant_id", "_line.vendor", "_line.metadata", "_line", "_event")
-        parsed = p(given)
-        if "_line" not in parsed.columns:
-            apart.append((p, vs))
-            continue
-        event = F.struct(*(c for c in parsed.columns if c not in ("_line", "_event")))
-        done = once(parsed, "_line", (F.when(own, event) if done is None else F.when(own, event).otherwise(F.col("_event"))).alias("_event"))
-    out = done.where("_event is not null").select("_event.*") if done is not None else None
-    for p, vs in apart:
+    own = {p: vs for p, vs in vendors.items() if isinstance(p, LineParser)}
+    apart = {p: vs for p, vs in vendors.items() if p not in own}
+    out = None
+    if own:
+        event, catches = None, generic.parse in own
+        for p, vs in own.items():
+            if p is not generic.parse:
+                event = F.when(F.col("vendor").isin(*vs), p.event()) if event is None else event.when(F.col("vendor").isin(*vs), p.event())
+        if catches:
+            event = generic.parse.event() if event is None else event.otherwise(generic.parse.event())
+        here = ~F.col("vendor").isin(*(v for vs in apart.values() for v in vs)) if catches and apart else F.lit(True) if catches else F.col("vendor").isin(*(v for vs in own.values() for v in vs))
+        # through a generator, so that no filter on an event's columns works the expression out a second time
+        out = known.where(here).select(F.inline(F.array(event)))
+    for p, vs in apart.items():
         found = p(known.where(F.col("vendor").isin(*vs)))
         out = found if out is None else out.unionByName(found)
     # what all lines get

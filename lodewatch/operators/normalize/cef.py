@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import actor, cef_severity, endpoint, event, group, text_or_null, with_groups
+from .common import LineParser, actor, cef_severity, endpoint, event, group, groups, let, text_or_null
 
 # Fixed value: the form of the header.
 HEADER = r"^CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
@@ -13,25 +13,32 @@ HEADER = r"^CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*
 PAIR = r"(\w+)=(.*?)(?=\s+\w+=|$)"
 
 
-def parse(df: DataFrame) -> DataFrame:
-    df = with_groups(df, "_g", F.col("data"), HEADER, 8)
-    part = lambda n: group("_g", n)
-    extension = F.coalesce(part(8), F.lit(""))
-    keys, values = F.regexp_extract_all(extension, F.lit(PAIR), F.lit(1)), F.transform(F.regexp_extract_all(extension, F.lit(PAIR), F.lit(2)), lambda v: F.trim(v))
-    df = df.withColumn("_keys", keys).withColumn("_values", values)
-    # of equal keys the last one counts
-    last = F.filter(F.arrays_zip(F.col("_keys").alias("k"), F.col("_values").alias("v")), lambda x, i: F.array_position(F.slice("_keys", i + 2, F.greatest(F.size("_keys"), F.lit(1))), x["k"]) == 0)
-    df = df.withColumn("_ext", F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value")))))
-    x = lambda k: text_or_null(F.col("_ext")[k])
+def _extension(text: Column) -> Column:
+    """The pairs as a map; of equal keys the last one counts."""
+
+    def of(pairs: Column) -> Column:
+        last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+        return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"))))
+
+    found = lambda n: F.regexp_extract_all(text, F.lit(PAIR), F.lit(n))
+    return let(F.arrays_zip(found(1).alias("k"), F.transform(found(2), lambda v: F.trim(v)).alias("v")), of)
+
+
+def _of(g: Column, ext: Column) -> Column:
+    part = lambda n: group(g, n)
+    x = lambda k: text_or_null(ext[k])
     number = lambda c: c.try_cast("int")
     when = F.coalesce(x("rt"), x("end")).try_cast("bigint")
     meta = F.map_concat(
-        F.transform_keys("_ext", lambda k, v: F.concat(F.lit("cef."), k)),
+        F.transform_keys(ext, lambda k, v: F.concat(F.lit("cef."), k)),
         F.create_map(F.lit("parser"), F.lit("cef"), *(y for n, i in (("device_vendor", 2), ("device_product", 3), ("device_version", 4), ("signature_id", 5)) for y in (F.lit(n), F.coalesce(part(i), F.lit(""))))),
     )
     return event(
-        df, time=F.timestamp_millis(when), severity=cef_severity(number(part(7))), class_uid=9999, category_uid=99,
+        time=F.timestamp_millis(when), severity=cef_severity(number(part(7))), class_uid=9999, category_uid=99,
         class_name=part(6), category_name="unknown", message=part(6),
         actor=actor(F.coalesce(x("suser"), x("duser")), x("sproc")), src=endpoint(x("src"), number(x("spt")), x("shost"), x("smac")), dst=endpoint(x("dst"), number(x("dpt")), x("dhost"), x("dmac")),
-        meta=meta, error=F.when(F.col("_g").isNull(), "not a CEF line"),
+        meta=meta, error=F.when(g.isNull(), "not a CEF line"),
     )
+
+
+parse = LineParser(lambda: let(groups(F.col("data"), HEADER, 8), lambda g: let(_extension(F.coalesce(group(g, 8), F.lit(""))), lambda ext: _of(g, ext))))

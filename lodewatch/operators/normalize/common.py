@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,15 +69,30 @@ def text_or_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def with_groups(df: DataFrame, name: str, line: Column, pattern: str, n: int) -> DataFrame:
-    """Adds an array of a pattern's groups 1 to n, null where the line doesn't fit; they are taken out once."""
-    parts = F.array(*(F.regexp_extract(line, pattern, i) for i in range(1, n + 1)))
-    return df.withColumn(name, F.when(line.rlike(pattern), F.transform(parts, lambda p: F.nullif(p, F.lit("")))))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Stands between a line's groups; a line that holds it itself is taken apart group by group.
+_MARK = "\x1f"
+
+
+def groups(line: Column, pattern: str, n: int) -> Column:
+    """The array of a pattern's groups 1 to n, empty ones as null; null where the line doesn't fit. The pattern runs once.
+
+    The line is rewritten to its groups with marks between them, which are then split.
+    """
+    whole = rf"^[\s\S]*?(?:{pattern})[\s\S]*\z"
+    marked = F.regexp_replace(line, whole, "".join(f"{_MARK}${i}" for i in range(1, n + 1)))
+    parts = let(marked, lambda m: F.when(m.startswith(_MARK), F.slice(F.split(m, _MARK), 2, n)))
+    one_by_one = F.when(line.rlike(pattern), F.array(*(F.regexp_extract(line, pattern, i) for i in range(1, n + 1))))
+    return F.transform(F.when(line.contains(_MARK), one_by_one).otherwise(parts), lambda p: F.nullif(p, F.lit("")))
 
 
-def group(name: str, n: int) -> Column:
+def group(found: Column, n: int) -> Column:
     """Group n of the array, null where it isn't there."""
-    return F.get(F.col(name), F.lit(n - 1))
+    return F.get(found, F.lit(n - 1))
 
 
 def endpoint(ip: Column | None = None, port: Column | None = None, host: Column | None = None, mac: Column | None = None) -> Column:
@@ -98,19 +116,32 @@ def metadata(**pairs: Column) -> Column:
 
 
 def event(
-    df: DataFrame, *, time: Column, severity: Column, class_uid: Column | int, category_uid: Column | int, class_name: Column | str, category_name: Column | str, message: Column,
+    *, time: Column, severity: Column, class_uid: Column | int, category_uid: Column | int, class_name: Column | str, category_name: Column | str, message: Column,
     actor: Column, src: Column, dst: Column, meta: Column, error: Column | None = None,
-) -> DataFrame:
-    """The event's columns in one order for all parsers. A line without a time of its own has that of its arrival.
-
-    Columns that only pass through (_line, _event) stay behind them.
-    """
+) -> Column:
+    """The event as a struct, with its fields in one order for all parsers. A line without a time of its own has that of its arrival."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    df = df.withColumn("_meta", meta)  # in a step of its own, so that it is worked out once
-    meta = F.col("_meta")
-    return df.select(
-        "raw_id", F.sha2(F.concat_ws("|", "raw_id", "data"), 256).alias("uuid"), F.coalesce(time, F.col("arrived")).alias("time"), "tenant_id", severity.cast("int").alias("severity"), lit(class_uid).cast("int").alias("class_uid"),
+    col = F.col
+    return F.struct(
+        col("raw_id").alias("raw_id"), F.sha2(F.concat_ws("|", "raw_id", "data"), 256).alias("uuid"), F.coalesce(time, col("arrived")).alias("time"), col("tenant_id").alias("tenant_id"), severity.cast("int").alias("severity"), lit(class_uid).cast("int").alias("class_uid"),
         lit(category_uid).cast("int").alias("category_uid"), lit(class_name).alias("class_name"), lit(category_name).alias("category_name"), actor.alias("actor"), src.alias("src_endpoint"), dst.alias("dst_endpoint"),
-        message.alias("message"), F.col("data").alias("raw_data"), F.map_concat(F.map_filter("metadata", lambda k, v: ~F.map_contains_key(meta, k)), meta).alias("metadata"), "vendor", "arrived",
-        (error if error is not None else F.lit(None).cast("string")).alias("parse_error"), *(c for c in ("_line", "_event") if c in df.columns),
+        message.alias("message"), col("data").alias("raw_data"), let(meta, lambda m: F.map_concat(F.map_filter(col("metadata"), lambda k, v: ~F.map_contains_key(m, k)), m)).alias("metadata"), col("vendor").alias("vendor"), col("arrived").alias("arrived"),
+        (error if error is not None else F.lit(None).cast("string")).alias("parse_error"),
     )
+
+
+class LineParser:
+    """A parser as an expression: event() is the struct of a line (raw_id, data, arrived, tenant_id, vendor, metadata). Called, it parses all lines of a table."""
+
+    def __init__(self, make: Callable[[], Column]):
+        self._make, self._made = make, (None, None)
+
+    def event(self) -> Column:
+        """The expression, put together once for a Spark context."""
+        context = SparkContext._active_spark_context
+        if self._made[0] is not context or context is None:
+            self._made = (context, self._make())
+        return self._made[1]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.select(F.inline(F.array(self.event())))
