@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import SYMBOLS, arrow_map, mix, shingles, sliced, word_hashes
 
 #: At similarity 0.8 about 10 of 64 bits differ, give or take 3, more where shingles repeat.
-BLOCKS, BLOCK_BITS, RADIUS, PART_BYTES = 4, 16, 19, 4 << 20
+BLOCKS, BLOCK_BITS, RADIUS, PART_BYTES = 4, 16, 19, 1 << 20
 #: Bytes of item texts compared in one pass over the documents; more items take more passes. Windows looked up at once.
 PASS_BYTES, WINDOWS = 8 << 20, 256
 _BITS = np.arange(64, dtype=np.uint64)
