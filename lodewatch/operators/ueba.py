@@ -1,8 +1,10 @@
 """Behaviour scores: each event against its user's profile before it, then the profile with it.
 
 Input: flat events. Profiles are exponentially weighted (alpha 2/31) over every event of a user: values that aren't positive
-age nothing, so no number of latest rows would do. Users' rows are sorted by time and pass through the fold in batches, with
-the profile carried from one to the next, so a user's history is never held whole.
+age nothing, so no number of latest rows would do. An event takes (1, m, m^2, s^2) to the next by a linear map, so a run of
+events is one map as well, of five numbers. A user's history, in order over all partitions, is cut in pieces of 2^PIECE_BITS events; the maps of
+pieces follow from running sums, their products from a scan of the pieces, and the profile before each event from its piece's
+start and running sums again. So one user's events are many tasks' work, and no step goes row by row in Python.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lodewatch.sources.shared import Scratch, in_order
 
 ALPHA = 2.0 / 31
 ANOMALY, MOST_LOCATIONS, MOST_DEVICES = 0.7, 50, 20
@@ -39,79 +42,152 @@ def remember(known: dict, x, most: int) -> bool:
     return True
 
 
-class _Profile:
-    """What is carried through a user's events. A profile starts at (0, 1); values that aren't positive are skipped."""
+#: Events of a user that are one piece, and pieces that are one part of the scan, as powers of two. Sums within a piece are scaled by BETA^-n, so a piece must be short enough for doubles.
+PIECE_BITS, PART_BITS = 10, 10
+BETA = 1 - ALPHA
+_BEFORE = ("_p", "_q", "_new_place", "_new_device")
 
-    def __init__(self):
-        self.m, self.s, self.lm, self.ls, self.places, self.devices = 0.0, 1.0, 0.0, 1.0, {}, {}
 
-    @staticmethod
-    def _taken(m, s, x):
-        new = ALPHA * x + (1 - ALPHA) * m
-        return new, (ALPHA * ((x - new) * (x - new)) + (1 - ALPHA) * (s * s)) ** 0.5
+def _power(n: Column) -> Column:
+    return F.pow(F.lit(BETA), n)
 
-    def take(self, volume, login, place, device) -> tuple[bool, bool]:
-        """Takes an event in; whether its place and its device are new."""
-        if volume > 0:
-            self.m, self.s = self._taken(self.m, self.s, volume)
-        if login > 0:
-            self.lm, self.ls = self._taken(self.lm, self.ls, login)
-        return remember(self.places, place, MOST_LOCATIONS), remember(self.devices, device, MOST_DEVICES)
 
-    def values(self) -> tuple:
-        return self.m, self.s, self.lm, self.ls
+def _map(b, m, v0, v1, v2, logins) -> Column:
+    """What a run of events does to a profile: m -> m + b m0, s^2 -> v0 + v1 m0 + v2 m0^2 + b s0^2, logins more."""
+    return F.struct(b.alias("b"), m.alias("m"), v0.alias("v0"), v1.alias("v1"), v2.alias("v2"), logins.alias("logins"))
 
 
-_FOUND = T.StructType([T.StructField(c, T.StructType([T.StructField("m", T.DoubleType()), T.StructField("s", T.DoubleType())])) for c in ("_p", "_q")])
-_BEFORE = T.StructType([*_FOUND, *(T.StructField(c, T.BooleanType()) for c in ("_new_place", "_new_device"))])
-_AFTER = T.StructType([*_FOUND, *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("_places", "_devices"))])
+def _then(f: Column, g: Column) -> Column:
+    """The map of one run and then another."""
+    return _map(
+        f["b"] * g["b"], g["m"] + g["b"] * f["m"], g["v0"] + g["v1"] * f["m"] + g["v2"] * f["m"] * f["m"] + g["b"] * f["v0"],
+        g["v1"] * f["b"] + 2 * g["v2"] * f["m"] * f["b"] + g["b"] * f["v1"], g["v2"] * f["b"] * f["b"] + g["b"] * f["v2"], f["logins"] + g["logins"],
+    )
 
 
-def _through(own: DataFrame, closing: bool) -> DataFrame:
-    """Adds the profiles _p and _q, structs (m, s) of volumes and logins, before each row, and whether its place and device are new.
+def _same() -> Column:
+    return _map(F.lit(1.0), *(F.lit(0.0),) * 4, F.lit(0).cast("long"))
 
-    If closing, only each user's last row stays, with the profile after it and the places and devices known then. Only a
-    batch of rows is held at a time.
-    """
 
-    def run(batches):
-        def with_profiles(rows, found, *more):
-            m, s, lm, ls = (pa.array(x, pa.float64()) for x in (zip(*found) if found else ([],) * 4))
-            p, q = (pa.StructArray.from_arrays(list(x), ["m", "s"]) for x in ((m, s), (lm, ls)))
-            return pa.RecordBatch.from_arrays([*rows.columns, p, q, *more], [*rows.schema.names, *((_AFTER if closing else _BEFORE).fieldNames())])
+def _profile(f: Column, start_m: Column, start_v: Column) -> Column:
+    return F.struct((f["m"] + f["b"] * start_m).alias("m"), (f["v0"] + f["v1"] * start_m + f["v2"] * start_m * start_m + f["b"] * start_v).alias("v"), f["logins"].alias("logins"))
+
+
+def _running(rows: DataFrame) -> DataFrame:
+    """Adds, for each row, its count of positive values within its piece before it (_k), and the mean that they have from nothing (_m)."""
+    before = Window.partitionBy(*USER, "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_k", F.coalesce(F.sum((F.col("_v") > 0).cast("long")).over(before), F.lit(0)))
+    scaled = F.when(F.col("_v") > 0, F.col("_v") / _power(F.col("_k") + 1))
+    return rows.withColumn("_m", F.coalesce(F.sum(scaled).over(before), F.lit(0.0)) * ALPHA * _power(F.col("_k")))
+
+
+def _piece_maps(rows: DataFrame) -> DataFrame:
+    """(user, _piece, map) of every piece."""
+    taken, k, d = F.col("_v") > 0, F.col("_k"), F.col("_v") - F.col("_m")
+    sums = _running(rows).groupBy(*USER, "_piece").agg(
+        F.coalesce(F.sum(F.when(taken, d * d / _power(k + 1))), F.lit(0.0)).alias("q"), F.coalesce(F.sum(F.when(taken, d)), F.lit(0.0)).alias("d"), F.count_if(taken).alias("n"),
+        F.coalesce(F.sum(F.when(taken, F.col("_v") / _power(k + 1))), F.lit(0.0)).alias("x"), F.sum(F.col("_l").cast("long")).alias("logins"),
+    )
+    b = _power(F.col("n"))
+    return sums.select(*USER, "_piece", _map(b, ALPHA * b * F.col("x"), ALPHA * BETA**2 * b * F.col("q"), -2 * ALPHA * BETA * b * F.col("d"), BETA * b * (1 - b), F.col("logins")).alias("map"))
 
-        def known(profiles):
-            return [pa.array([[x for x in known if x is not None] for known in side], pa.list_(pa.string())) for side in ([p.places for p in profiles], [p.devices for p in profiles])]
 
-        user, profile, last = None, _Profile(), None
+def _starts(pieces: DataFrame, by: list[str], key: str, start: Column) -> DataFrame:
+    """(by, key, profile): the profile before each piece of a group, from the one that the group starts with. Groups are arrays of pieces, folded by expressions."""
+    state = F.struct(start.alias("now"), F.array().cast("array<struct<key: bigint, profile: struct<m: double, v: double, logins: bigint>>>").alias("out"))
+
+    def step(acc, x):
+        out = F.concat(acc["out"], F.array(F.struct(x[key].alias("key"), acc["now"].alias("profile"))))
+        now, f = acc["now"], x["map"]
+        after = _profile(f, now["m"], now["v"])
+        return F.struct(F.struct(after["m"].alias("m"), after["v"].alias("v"), (now["logins"] + f["logins"]).alias("logins")).alias("now"), out.alias("out"))
+
+    gathered = pieces.groupBy(*by, *(["start"] if "start" in pieces.columns else [])).agg(F.array_sort(F.collect_list(F.struct(key, "map"))).alias("pieces"))
+    found = gathered.select(*by, F.explode(F.aggregate("pieces", state, step, lambda acc: acc["out"])).alias("x"))
+    return found.select(*by, F.col("x.key").alias(key), F.col("x.profile").alias("profile"))
+
+
+def _piece_starts(maps: DataFrame) -> DataFrame:
+    """(user, _piece, profile): a scan of the pieces' maps in parts of 2^PART_BITS pieces."""
+    maps = maps.withColumn("_part", F.shiftright("_piece", PART_BITS))
+    whole = maps.groupBy(*USER, "_part").agg(F.array_sort(F.collect_list(F.struct("_piece", "map"))).alias("pieces"))
+    whole = whole.select(*USER, "_part", F.aggregate("pieces", _same(), lambda acc, x: _then(acc, x["map"])).alias("map"))
+    new = F.struct(F.lit(0.0).alias("m"), F.lit(1.0).alias("v"), F.lit(0).cast("long").alias("logins"))
+    parts = _starts(whole, [*USER], "_part", new).withColumnRenamed("profile", "start")
+    return _starts(maps.join(parts, [*USER, "_part"]), [*USER, "_part"], "_piece", F.col("start")).drop("_part")
+
+
+def _arrivals(rows: DataFrame, value: str, most: int) -> DataFrame:
+    """(user, value, _at) of the rows whose value is none of the user's last `most` arrivals: those that a list of that length, first in first out, takes in.
+
+    For users with no more values than that these are the first rows of each. Only the others' changes of value are gone through in order, batch by batch.
+    """
+    first = rows.groupBy(*USER, F.col(value).alias("value")).agg(F.min("_at").alias("_at"))
+    many = first.groupBy(*USER).count().where(F.col("count") > most).select(*USER)
+    if many.isEmpty():
+        return first
+    own = rows.join(many, [*USER], "left_semi").select(*USER, F.col(value).alias("value"), "_at")
+    own = own.withColumn("_last", F.lag(F.struct("value")).over(Window.partitionBy(*USER).orderBy("_at"))).where("_last is null or not (_last.value <=> value)").drop("_last")
+
+    def run(batches):
+        user, known = None, {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found, new, ends, ended = [], [], [], []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*USER, "_v", "_l", "src_location", "device_id")]
-            for i, (tenant, name, *event) in enumerate(zip(*columns)):
+            keep = []
+            for i, (tenant, name, x) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
                 if (tenant, name) != user:
-                    if closing and user is not None:
-                        if i:
-                            ends.append(i - 1)
-                            ended.append(profile)
-                        else:
-                            yield with_profiles(last, [profile.values()], *known([profile]))
-                    user, profile = (tenant, name), _Profile()
-                if not closing:
-                    found.append(profile.values())
-                new.append(profile.take(*event))
-            if not closing:
-                yield with_profiles(batch, found, *(pa.array(x, pa.bool_()) for x in zip(*new)))
-            elif ends:
-                yield with_profiles(batch.take(pa.array(ends)), [p.values() for p in ended], *known(ended))
-            last = batch.take(pa.array([batch.num_rows - 1]))
-        if closing and user is not None:
-            yield with_profiles(last, [profile.values()], *known([profile]))
-
-    rows = own.withColumns({"_v": volume(), "_l": login()})
-    kind = T.StructType([*rows.schema.fields, *(_AFTER if closing else _BEFORE).fields])
-    return rows.repartition(*USER).sortWithinPartitions(*USER, "time", "uuid").mapInArrow(run, kind).drop("_v", "_l")
+                    user, known = (tenant, name), {}
+                if remember(known, x, most):
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    changes = own.repartition(*USER).sortWithinPartitions(*USER, "_at").mapInArrow(run, own.schema)
+    return first.join(many, [*USER], "left_anti").unionByName(changes)
+
+
+def _known(arrivals: DataFrame, most: int, name: str) -> DataFrame:
+    """(user, name): the values that the list holds at the end, its last `most` arrivals, in order of their names."""
+    latest = arrivals.withColumn("_n", F.row_number().over(Window.partitionBy(*USER).orderBy(F.desc("_at")))).where(F.col("_n") <= most)
+    return latest.groupBy(*USER).agg(F.array_sort(F.collect_list("value")).alias(name))
+
+
+def _ordered(own: DataFrame, scratch: Scratch) -> DataFrame:
+    rows = in_order(own.withColumns({"_v": volume(), "_l": login()}), scratch, [*USER, "time", "uuid"])
+    return rows.withColumn("_piece", F.shiftright("_at", PIECE_BITS))
+
+
+def _profiles(rows: DataFrame, extra: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Adds the profiles _p and _q, structs (m, s) of volumes and logins, before each row of _ordered(), and the columns of `extra` by piece."""
+    starts = scratch.put(_piece_starts(scratch.put(_piece_maps(rows), "maps")), "starts")
+    if extra is not None:
+        starts = starts.join(extra, [*USER, "_piece"], "left")
+    rows = _running(rows.join(starts, [*USER, "_piece"]))
+    before = Window.partitionBy(*USER, "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    m = F.col("_m") + _power(F.col("_k")) * F.col("profile.m")
+    rows = rows.withColumn("_mean", m)
+    # with the mean before it known, an event adds ALPHA BETA^2 (x - m)^2 to what is left of the variance
+    added = F.when(F.col("_v") > 0, ALPHA * BETA**2 * F.pow(F.col("_v") - F.col("_mean"), F.lit(2.0)) / _power(F.col("_k") + 1))
+    rows = rows.withColumns({"_var": _power(F.col("_k")) * (F.col("profile.v") + F.coalesce(F.sum(added).over(before), F.lit(0.0))), "_logins": F.col("profile.logins") + F.coalesce(F.sum(F.col("_l").cast("long")).over(before), F.lit(0))})
+    return rows.withColumns({"_p": F.struct(F.col("_mean").alias("m"), F.sqrt(F.greatest("_var", F.lit(0.0))).alias("s")), "_q": _login_profile(F.col("_logins"))})
+
+
+def _login_profile(n: Column) -> Column:
+    """After n logins, each of which counts 1."""
+    b = _power(n)
+    return F.struct((1 - b).alias("m"), F.sqrt(b + BETA * b * (1 - b)).alias("s"))
+
+
+_SCRATCH_COLUMNS = ("_v", "_l", "_at", "_piece", "_k", "_m", "_mean", "_var", "_logins", "profile", "_places", "_devices")
+
+
+def _with_profiles(own: DataFrame) -> DataFrame:
+    """Adds _p and _q before each row, and whether its place and its device are new."""
+    scratch = Scratch(own.sparkSession)
+    rows = _ordered(own, scratch)
+    by_piece = lambda c, most, name: _arrivals(rows, c, most).groupBy(*USER, F.shiftright("_at", PIECE_BITS).alias("_piece")).agg(F.collect_list("_at").alias(name))  # noqa: E731  at most a piece's rows
+    new = by_piece("src_location", MOST_LOCATIONS, "_places").join(by_piece("device_id", MOST_DEVICES, "_devices"), [*USER, "_piece"], "full")
+    there = lambda name: F.coalesce(F.array_contains(name, F.col("_at")), F.lit(False))
+    out = _profiles(rows, scratch.put(new, "arrivals"), scratch).withColumns({"_new_place": there("_places"), "_new_device": there("_devices")})
+    return out.drop(*_SCRATCH_COLUMNS)
 
 
 def _deviation(value: Column, mean: Column, std: Column) -> Column:
@@ -145,23 +221,28 @@ def rule_score() -> Column:
 def score_history(df: DataFrame) -> DataFrame:
     """Every event with its score against the profile before it; events without a user pass with a null score."""
     own, rest = df.where(F.col("actor_user").isNotNull()), df.where(F.col("actor_user").isNull())
-    known = _through(own, closing=False)
-    scored = features(known, *(F.col(c) for c in _BEFORE.fieldNames())).withColumn("ueba_score", rule_score()).drop(*_BEFORE.fieldNames())
+    scored = features(_with_profiles(own), *(F.col(c) for c in _BEFORE)).withColumn("ueba_score", rule_score()).drop(*_BEFORE)
     return scored.unionByName(rest.withColumn("ueba_score", F.lit(None).cast("double")), allowMissingColumns=True)
 
 
 def build_profiles(df: DataFrame) -> DataFrame:
     """(tenant_id, actor_user, avg_volume, std_volume, avg_logins, std_logins, event_count, last_seen, known_locations, known_devices).
 
-    Every row is folded. Known places are the last MOST_LOCATIONS and MOST_DEVICES to come in, in order of their names.
+    Every row counts. Known places are the last MOST_LOCATIONS and MOST_DEVICES to come in, in order of their names.
     """
-    own = df.where(F.col("actor_user").isNotNull())
-    folded = _through(own.select(*USER, "time", "uuid", "bytes_out", "category_name", "src_location", "device_id"), closing=True).select(
-        *USER, F.col("_p.m").alias("avg_volume"), F.col("_p.s").alias("std_volume"), F.col("_q.m").alias("avg_logins"), F.col("_q.s").alias("std_logins"),
-        F.array_sort("_places").alias("known_locations"), F.array_sort("_devices").alias("known_devices"),
-    )
-    counts = own.groupBy(*USER).agg(F.count("*").alias("event_count"), F.max("time").alias("last_seen"))
-    return folded.join(counts, [*USER]).select(*USER, "avg_volume", "std_volume", "avg_logins", "std_logins", "event_count", "last_seen", "known_locations", "known_devices")
+    own = df.where(F.col("actor_user").isNotNull()).select(*USER, "time", "uuid", "bytes_out", "category_name", "src_location", "device_id")
+    scratch = Scratch(df.sparkSession)
+    rows = _ordered(own, scratch)
+    maps = scratch.put(_piece_maps(rows), "maps")
+    parts = maps.withColumn("_part", F.shiftright("_piece", PART_BITS))
+    joined = lambda df, by, key: df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(key, "map"))).alias("all")).select(*by, F.aggregate("all", _same(), lambda acc, x: _then(acc, x["map"])).alias("map"))
+    whole = joined(joined(parts, [*USER, "_part"], "_piece"), [*USER], "_part")
+    end, q = _profile(F.col("map"), F.lit(0.0), F.lit(1.0)), _login_profile(F.col("map.logins"))
+    folded = whole.select(*USER, end["m"].alias("avg_volume"), F.sqrt(F.greatest(end["v"], F.lit(0.0))).alias("std_volume"), q["m"].alias("avg_logins"), q["s"].alias("std_logins"))
+    counts = rows.groupBy(*USER).agg(F.count("*").alias("event_count"), F.max("time").alias("last_seen"))
+    places, devices = _known(_arrivals(rows, "src_location", MOST_LOCATIONS), MOST_LOCATIONS, "known_locations"), _known(_arrivals(rows, "device_id", MOST_DEVICES), MOST_DEVICES, "known_devices")
+    found = folded.join(counts, [*USER]).join(places, [*USER], "left").join(devices, [*USER], "left")
+    return scratch.put(found.select(*USER, "avg_volume", "std_volume", "avg_logins", "std_logins", "event_count", "last_seen", "known_locations", "known_devices"), "profiles")
 
 
 def profile_of(profiles: DataFrame, tenant: str, user: str) -> DataFrame:
