@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,11 +22,21 @@ def find_by_ids(df: DataFrame, tenant: str, ids: DataFrame) -> DataFrame:
     return for_tenant(df, tenant).join(ids.select("uuid").distinct(), "uuid", "left_semi")
 
 
+#: Letters, marks and digits of all scripts, and the underscore.
+WORD = r"\p{L}\p{M}\p{N}_"
+
+
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\W+"), lambda t: t != "")
+    """Runs of WORD characters, in lower case."""
+    return F.filter(F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), f"[^{WORD}]+"), lambda t: t != "")
+
+
+def query_words(query: str) -> list[str]:
+    """The same of a search's words."""
+    return "".join(x if x == "_" or unicodedata.category(x)[0] in "LMN" else " " for x in query.lower()).split()
 
 
-def _allowed(term: str) -> int:
+def edits_allowed(term: str) -> int:
     return 0 if len(term) < 3 else 1 if len(term) <= 5 else 2
 
 
@@ -34,27 +45,39 @@ def text_search(df: DataFrame, query: str, fields: dict[str, float]) -> DataFram
 
     Each field is cut into words once, and each distinct word of it is compared once with every query word of about its length.
     """
-    terms = [t for t in query.lower().split() if t]
+    terms = query_words(query)
+    if not terms:
+        return df.withColumn("score", F.lit(0.0)).where(F.lit(False))
     names = {f: f"_words_{i}" for i, f in enumerate(fields)}
     words = df.withColumns({n: F.array_distinct(tokens(F.col(f))) for f, n in names.items()})
-    near = lambda t, w: F.length(t).between(len(w) - _allowed(w), len(w) + _allowed(w)) & (F.levenshtein(t, F.lit(w), _allowed(w)) >= 0)
+    near = lambda t, w: F.length(t).between(len(w) - edits_allowed(w), len(w) + edits_allowed(w)) & (F.levenshtein(t, F.lit(w), edits_allowed(w)) >= 0)
     has = lambda n, w: F.exists(n, lambda t: near(t, w)).cast("int")
     found = [sum((has(names[f], w) for w in terms), F.lit(0)) * F.lit(boost) for f, boost in fields.items()]
     score = F.greatest(*found) if len(found) > 1 else found[0]
     return words.withColumn("score", score.cast("double")).where("score > 0").drop(*names.values())
 
 
+#: The fields of an event that are searched, and what they count.
+EVENT_FIELDS = {"message": 2.0, "category_name": 1.0, "class_name": 1.0, "actor_user": 1.0, "src_hostname": 1.0, "dst_hostname": 1.0}
+
+
+def search_events(df: DataFrame, tenant: str, query: str, offset: int = 0, size: int = 100) -> DataFrame:
+    """A page of a tenant's flat events that hold a query's words in any of EVENT_FIELDS, newest first; fields that the rows lack hold nothing."""
+    own = for_tenant(df, tenant)
+    return page(text_search(own, query, {f: b for f, b in EVENT_FIELDS.items() if f in own.columns}), offset, size)
+
+
 def token_index(df: DataFrame, key: str, field: str) -> DataFrame:
     """(token, key, n): write it sorted by token, and repeated searches read a few of its files instead of every text."""
     return df.select(F.col(key), F.explode(tokens(F.col(field))).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
 
 
 def highlight(c: Column, terms: list[str], size: int = 150, pieces: int = 3) -> Column:
-    """Up to `pieces` fragments of `size` characters that hold a term, with terms in <em>; terms are taken literally."""
+    """Up to `pieces` fragments of `size` characters that hold a term as a whole word, with terms in <em>; terms are taken literally."""
     either = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
     fragments = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(c) - 1).cast("int")), F.lit(size)), lambda i: F.substring(c, i + 1, F.lit(size)))
-    held = F.filter(fragments, lambda x: x.rlike(rf"(?i)(?<!\w)({either})(?!\w)"))
-    return F.transform(F.slice(held, 1, pieces), lambda x: F.regexp_replace(x, rf"(?i)(?<!\w)({either})(?!\w)", "<em>$1</em>"))
+    held = F.filter(fragments, lambda x: x.rlike(rf"(?iu)(?<![{WORD}])({either})(?![{WORD}])"))
+    return F.transform(F.slice(held, 1, pieces), lambda x: F.regexp_replace(x, rf"(?iu)(?<![{WORD}])({either})(?![{WORD}])", "<em>$1</em>"))
 
 
 def to_event_struct(df: DataFrame) -> DataFrame:

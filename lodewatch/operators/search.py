@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import json
+import operator
 from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodewatch.functions.times import resolve_time
 
@@ -28,18 +30,41 @@ def in_range(df: DataFrame, earliest: datetime, latest: datetime, column: str =
     return df.where(F.col(column).between(F.lit(earliest).cast(df.schema[column].dataType), F.lit(latest).cast(df.schema[column].dataType)))
 
 
-def compare(field: str, op: str, value) -> Column:
-    """field op value with = == != > < >= <= contains; numbers and numeric-looking text are numbers, and nulls match nothing."""
-    c = F.col(field)
-    if op == "contains":
-        return F.contains(c.cast("string"), F.lit(str(value)))
+def _number(value):
+    """value as a number if it is or looks like one."""
     if isinstance(value, str):
         try:
-            value = float(value) if "." in value else int(value)
+            return float(value) if "." in value or "e" in value.lower() else int(value)
         except ValueError:
-            pass
-    v = F.lit(value)
-    return {"=": c == v, "==": c == v, "!=": c != v, ">": c > v, "<": c < v, ">=": c >= v, "<=": c <= v}[op]
+            return None
+    return value if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+
+
+_OPERATORS = {"=": operator.eq, "==": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
+
+
+def compare(field: str, op: str, value, df: DataFrame | None = None) -> Column:
+    """field op value with = == != > < >= <= contains; numbers and numeric-looking text are numbers, and nulls match nothing.
+
+    Text against a number is read as one where it is one; other text only differs. With df, whose column's type is then known, a value
+    that can't be of that type only differs, too, so no comparison is an error. Comparisons of numbers reach the scan.
+    """
+    c, number = F.col(field), _number(value)
+    if op == "contains":
+        return F.contains(c.cast("string"), F.lit(str(value)))
+    with_op = _OPERATORS[op]
+    differs = c.isNotNull() if op == "!=" else F.lit(False)
+    kind = df.select(c).schema[0].dataType if df is not None else None
+    if isinstance(kind, T.NumericType):
+        return with_op(c, F.lit(number)) if number is not None else differs
+    if kind is not None and not isinstance(kind, T.StringType):
+        v = F.lit(str(value)).try_cast(kind) if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)) else F.lit(None)
+        return F.coalesce(with_op(c, v), differs) if isinstance(kind, T.AtomicType) else differs
+    if number is None:
+        return with_op(c, F.lit(value))
+    as_number = F.coalesce(with_op(c.cast("string").try_cast("double"), F.lit(float(number))), differs)
+    # the type is a constant, so only one of the two is left when the plan is made
+    return as_number if kind is not None else F.when(F.typeof(c) == "string", as_number).otherwise(with_op(c, F.lit(number)))
 
 
 def all_of(*conditions: Column) -> Column:

@@ -14,6 +14,7 @@ from lodewatch.functions.columns import is_known_safe, is_valid_ip, is_valid_mac
 from lodewatch.functions.times import last
 from lodewatch.operators import aggregate, detect, enrich, normalize, search, tenants, ueba
 from lodewatch.operators import events as canned
+from lodewatch.operators import textindex
 from lodewatch.sources import ingest, tiers, views
 from lodewatch.sources.shared import shared_dir
 from lodewatch.sources.views import AS_OF, flat_events
@@ -81,6 +82,18 @@ def q_compare(spark, sf_dir):
     return own(spark, sf_dir).where(search.all_of(search.compare("severity", ">=", "2"), search.compare("class_name", "!=", "purchase"), search.compare("bytes_out", "<", 300000000))).select("uuid", "severity", "class_name")
 
 
+@query("SELECT event_id, count(*) FILTER (v > 50) AS above, count(*) FILTER (coalesce(v, -1) <> 7 AND x IS NOT NULL) AS not_seven, count(*) FILTER (v = 7) AS seven, CAST(0 AS BIGINT) AS never, count(*) FILTER (ts >= TIMESTAMP '2024-01-10') AS later FROM (SELECT event_id, ts, x, TRY_CAST(x AS DOUBLE) AS v FROM (SELECT event_id, ts, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN json_extract_string(props, '$.k') WHEN 2 THEN json_extract_string(props, '$.k') || '.5' END AS x FROM events)) GROUP BY 1", events=False)
+def q_compare_types(spark, sf_dir):
+    """A text column of words, numbers and nulls against numbers; a number and a time against text that is neither, or is a time."""
+    rows, k = views.table(spark, sf_dir, "events"), F.get_json_object("props", "$.k")
+    rows = rows.withColumn("x", F.when(F.col("event_id") % 4 == 0, F.col("event_type")).when(F.col("event_id") % 4 == 1, k).when(F.col("event_id") % 4 == 2, F.concat(k, F.lit(".5"))))
+    one = lambda *xs: F.count_if(search.compare(*xs, df=rows))
+    return rows.groupBy("event_id").agg(
+        F.count_if(search.compare("x", ">", "50")).alias("above"), F.count_if(search.compare("x", "!=", 7)).alias("not_seven"), one("x", "=", "7").alias("seven"),
+        (one("value", ">", "many") + one("ts", "=", "soon") + F.count_if(search.compare("x", "=", "<none>"))).alias("never"), one("ts", ">=", "2024-01-10 00:00:00").alias("later"),
+    )
+
+
 @query("SELECT uuid, message FROM e WHERE tenant_id='tenant-1' AND contains(message, 'error by')")
 def q_contains(spark, sf_dir):
     return own(spark, sf_dir).where(search.compare("message", "contains", "error by")).select("uuid", "message")
@@ -270,17 +283,43 @@ def f_by_source_ip(spark, sf_dir):
     return _events(spark, sf_dir, "src_ip = '10.0.1.5'")
 
 
-@query(
-    """SELECT doc_id, greatest(2.0::DOUBLE * len(list_filter(['license', 'public'], lambda w: len(list_filter(t, lambda x: levenshtein(x, w) <= 2)) > 0)),
-  1.0::DOUBLE * len(list_filter(['license', 'public'], lambda w: len(list_filter(s, lambda x: levenshtein(x, w) <= 2)) > 0))) AS score
-FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS t, list_filter(regexp_split_to_array(lower(source), '[^a-z0-9_]+'), lambda x: x <> '') AS s FROM documents) d
-WHERE len(list_filter(t, lambda x: levenshtein(x, 'license') <= 2 OR levenshtein(x, 'public') <= 2)) > 0 OR len(list_filter(s, lambda x: levenshtein(x, 'license') <= 2 OR levenshtein(x, 'public') <= 2)) > 0""",
-    events=False,
-)
+#: Letters of `documents` that take several bytes, and capitals in their place, as DuckDB counts edits in bytes.
+LETTERS = ("äöüßáéíóúñèêàçâîôû", "ABCDEFGHIJKLMNOPQR")
+WORDS = f"list_filter(regexp_split_to_array(translate(lower(coalesce({{}}, '')), '{LETTERS[0]}', '{LETTERS[1]}'), '[^\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{N}}}}_]+'), lambda x: x <> '')"
+
+
+def _text_sql(terms: dict[str, int], fields: dict[str, float], table: str, key: str) -> str:
+    """terms: with the edit distance that each allows."""
+    near = " + ".join(f"CAST(len(list_filter(w, lambda x: levenshtein(x, '{t.translate(str.maketrans(*LETTERS))}') <= {d})) > 0 AS INT)" for t, d in terms.items())
+    each = " UNION ALL ".join(f"SELECT {key}, {boost}::DOUBLE AS boost, {WORDS.format(f)} AS w FROM {table}" for f, boost in fields.items())
+    return f"SELECT {key}, max(boost * ({near})) AS score FROM ({each}) GROUP BY {key} HAVING max(boost * ({near})) > 0"
+
+
+@query(_text_sql({"license": 2, "public": 2}, {"text": 2.0, "source": 1.0}, "documents", "doc_id"), events=False)
 def f_text_search(spark, sf_dir):
     return canned.text_search(views.table(spark, sf_dir, "documents"), "license public", {"text": 2.0, "source": 1.0}).select("doc_id", "score")
 
 
+@query(_text_sql({"über": 1, "wörter": 2, "ß": 0}, {"text": 2.0, "lang": 1.0}, "documents", "doc_id"), events=False)
+def f_unicode_search(spark, sf_dir):
+    """Words with letters beyond ASCII, in a query with signs between them."""
+    return canned.text_search(views.table(spark, sf_dir, "documents"), "Über, WÖRTER/ß", {"text": 2.0, "lang": 1.0}).select("doc_id", "score")
+
+
+@query(_text_sql({"über": 1, "license": 2, "public": 2, "ß": 0}, {"text": 2.0, "source": 1.0}, "documents", "doc_id"), events=False)
+def f_index_search(spark, sf_dir):
+    """The same through a posting index of both fields."""
+    root = scratch(spark)
+    textindex.write_index(views.table(spark, sf_dir, "documents"), "doc_id", ["text", "source"], root)
+    return textindex.search_index(spark, root, "license über public ß", {"text": 2.0, "source": 1.0}).withColumnRenamed("key", "doc_id")
+
+
+@query("SELECT e.uuid, time, score FROM e JOIN (" + _text_sql({"error": 1, "user": 1, "auth": 1, "27": 0}, {"message": 2.0, "category_name": 1.0, "class_name": 1.0, "actor_user": 1.0}, "e", "uuid") + ") USING (uuid) WHERE tenant_id='tenant-1' ORDER BY time DESC, e.uuid LIMIT 500")
+def f_event_search(spark, sf_dir):
+    """The newest of a tenant's events that hold words of a query in any of their text fields."""
+    return canned.search_events(flat_events(spark, sf_dir), T, "error user auth 27", size=500).select("uuid", "time", "score")
+
+
 @query(
     """SELECT doc_id, list_transform(list_filter(list_transform(generate_series(0, greatest(0, len(text) - 1), 150), lambda i: substring(text, CAST(i + 1 AS BIGINT), 150)),
   lambda x: regexp_matches(x, '(?i)\\b(license)\\b'))[1:3], lambda x: regexp_replace(x, '(?i)\\b(license)\\b', '<em>\\1</em>', 'g')) AS marked
