@@ -23,15 +23,32 @@ from lodewatch.sources.shared import shared_dir
 # ---------------------------------------------------------------- tables in the shared folder
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clear(spark: SparkSession, root: str) -> None:
+    try:
+        _delete(spark, root)
+    except Exception:  # the session has ended before the interpreter
+        return
+
+
 class Stored:
-    """Parquet tables in the shared folder: they cut lineage and outlive a lost executor. drop() removes one early."""
+    """Parquet tables in the shared folder: they cut lineage and outlive a lost executor. drop() removes one early.
+
+    The files go when the program ends; until then only their folder's name is kept, and no table with its plans.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}", {}
-        atexit.register(self.clear)
+        self.n = 0
+        atexit.register(_clear, spark, self.root)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{name}-{self.n}"
+        self.n += 1
         schema = df.schema
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
@@ -42,22 +59,9 @@ class Stored:
         """All rows of tables of one schema that were put here, as one table."""
         return self.spark.read.schema(tables[0].schema).parquet(*(self.paths[id(t)][0] for t in tables))
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path, _ = self.paths.pop(id(t))
-            self._delete(path)
-            self.paths[f"gone-{path}"] = (None, None)
-
-    def clear(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the session has ended before the interpreter
-            return
+            _delete(self.spark, self.paths.pop(id(t))[0])
 
 
 #: Edges from which on the neighbours' minima are stored before they are joined.

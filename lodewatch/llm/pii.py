@@ -130,8 +130,9 @@ def telling_terms(docs: DataFrame, found: DataFrame, threshold: float, stored: S
     candidates = terms.count()
     few = candidates <= BROADCAST_TERMS
     if candidates:
-        words = _words(docs)
-        n_term = words.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= highest)
+        # every word is counted before the candidates are looked up, so what goes on grows with the vocabulary
+        n_term = _words(docs).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= LEAST_SHARED)
+        n_term = n_term.join(F.broadcast(terms) if few else terms, "term").where(F.col("n_term") <= highest)
     else:
         n_term = terms.withColumn("n_term", F.lit(0).cast("long"))
     n_term = stored.put(n_term, "n_term")
