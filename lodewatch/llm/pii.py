@@ -114,10 +114,12 @@ def telling_terms(docs: DataFrame, found: DataFrame, threshold: float, stored: S
 
     With N documents, PMI(t, e) = log(N n(t, e) / (n(t) n(e))) and the entity's information is log(N / n(e)); n counts
     documents of the whole corpus, wherever in them t and e stand. Terms that share fewer than LEAST_SHARED documents with
-    an entity say nothing about it. As n(t, e) <= n(e), a telling term stands in n(e)^threshold N^(1 - threshold) documents
+    an entity say nothing about it. Rows of one id and text are one document in all counts. As n(t, e) <= n(e), a telling term stands in n(e)^threshold N^(1 - threshold) documents
     at most: more frequent ones are left out before they are paired.
     """
-    n = docs.count()
+    rows = docs.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
+    n = rows.count()
+    again = stored.put(rows.where("times > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "times"), "again")
     pairs = found.select("doc_id", "text_hash", "entity").distinct()
     most = F.pow(F.col("n_entity"), F.lit(threshold)) * F.pow(F.lit(float(n)), F.lit(1 - threshold)) * (1 + 1e-9)
     n_entity = pairs.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= LEAST_SHARED) & (F.col("n_entity") < n)).withColumn("most", most)
@@ -132,6 +134,11 @@ def telling_terms(docs: DataFrame, found: DataFrame, threshold: float, stored: S
     if candidates:
         # every word is counted before the candidates are looked up, so what goes on grows with the vocabulary
         n_term = _words(docs).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= LEAST_SHARED)
+        if not again.isEmpty():
+            repeated = docs.join(again, docs["doc_id"].eqNullSafe(again["_id"]) & (docs["text_hash"] == again["_hash"])).drop("times")
+            each = _words(repeated, "doc_id", "text_hash").groupBy("doc_id", "text_hash", "term").agg((F.count("*") - 1).alias("more"))
+            more = each.groupBy("term").agg(F.sum("more").alias("more"))
+            n_term = n_term.join(more, "term", "left").select("term", (F.col("n_term") - F.coalesce("more", F.lit(0))).alias("n_term"))
         n_term = n_term.join(F.broadcast(terms) if few else terms, "term").where(F.col("n_term") <= highest)
     else:
         n_term = terms.withColumn("n_term", F.lit(0).cast("long"))
@@ -141,7 +148,7 @@ def telling_terms(docs: DataFrame, found: DataFrame, threshold: float, stored: S
     joint = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST_SHARED)
     share = F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log(n / F.col("n_entity"))
     out = stored.put(joint.where(share >= threshold).select("term").distinct(), "telling")
-    stored.drop(shared, holding, terms, n_term)
+    stored.drop(shared, holding, terms, n_term, again)
     return out
 
 

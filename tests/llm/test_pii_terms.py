@@ -38,3 +38,16 @@ def test_terms_count_in_whole_documents_and_are_cut_everywhere(spark, rows):
     assert got == want and len(want[0]) >= 3 and len(want[50]) == 1 and want[51] == [(2, 4)]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, threshold=0.8).collect()}
     assert not any("mithson" in clean[i] or "李明" in clean[i] for i in (*range(6), 50, 51)) and clean[51] == "😀 [term] again"
+
+
+def test_repeated_rows_change_no_term(spark, rows):
+    """Four documents share a name with an address, one row of them stands ten times, and so does one without."""
+    docs = spark.createDataFrame(rows + [rows[0]] * 9 + [rows[-1]] * 30, "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("term")] for r in pii.scan_pii(docs, threshold=0.8).collect()}
+    assert got == spans(rows, threshold=0.8)
+
+
+def test_no_python_runs(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for found in (pii.scan_pii(docs), pii.sanitise(docs)):
+        assert not any(x in found._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
