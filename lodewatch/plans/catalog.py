@@ -14,7 +14,7 @@ from lodewatch.functions.columns import is_known_safe, is_valid_ip, is_valid_mac
 from lodewatch.functions.times import last
 from lodewatch.operators import aggregate, detect, enrich, normalize, search, tenants, ueba
 from lodewatch.operators import events as canned
-from lodewatch.operators import textindex
+from lodewatch.operators import ruleindex, textindex
 from lodewatch.sources import ingest, tiers, views
 from lodewatch.sources.shared import shared_dir
 from lodewatch.sources.views import AS_OF, flat_events
@@ -563,6 +563,25 @@ def d_generated_description(spark, sf_dir):
     return detect.build_alerts(detect.count_by_source_ip(flat_events(spark, sf_dir), rule), rule).select("tenant_id", "time", "description")
 
 
+def _many(n: int) -> list[detect.Rule]:
+    """Rules in threes for each of n users: logins by address, all events of two categories by port, and bytes of one outcome."""
+    out = []
+    for i in range(n):
+        user = f"user-{i}"
+        out.append(detect.Rule(f"logins-{i}", "x", {"user": user.upper(), "class_uid": 3002}, by="source_ip", above=1, size="1 days"))
+        out.append(detect.Rule(f"ports-{i}", "x", {"username": user, "category": [3, 4.0, "none"]}, "dcount", "dst_port", "tenant_id", 2, size="1 days"))
+        out.append(detect.Rule(f"bytes-{i}", "x", {"user": [user, "nobody"], "result": "Success "}, "sum", "bytes_out", "user", 100_000_000, size="12 hours"))
+    return out
+
+
+@query("""SELECT 'logins-' || u AS rule_id, tenant_id, date_trunc('day', time) AS window_start, src_ip AS key, count(*) AS value FROM m WHERE class_uid = 3002 GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'ports-' || u, tenant_id, date_trunc('day', time), tenant_id, count(DISTINCT dst_port) FROM m WHERE category_uid IN (3, 4) GROUP BY ALL HAVING count(DISTINCT dst_port) > 2
+UNION ALL SELECT 'bytes-' || u, tenant_id, time_bucket(INTERVAL 12 HOURS, time), actor_user, CAST(sum(bytes_out) AS BIGINT) FROM m WHERE outcome = 'success' GROUP BY ALL HAVING sum(bytes_out) > 100000000""".replace("FROM m", "FROM (SELECT *, split_part(actor_user, '-', 2) AS u FROM e WHERE CAST(split_part(actor_user, '-', 2) AS INT) < 350)"))
+def d_rule_index(spark, sf_dir):
+    """More than a thousand rules over all events, by an index of their values."""
+    return ruleindex.run_many_rules(flat_events(spark, sf_dir), _many(350)).select("rule_id", "tenant_id", "window_start", "key", "value")
+
+
 # ---------------------------------------------------------------- behaviour
 
 RECURSE = """WITH RECURSIVE e AS (""" + E[len("WITH e AS (") : -2] + """),
