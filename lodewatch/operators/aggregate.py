@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -72,6 +73,23 @@ def merge_rollup(state: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def add_to_rollup(events: DataFrame, path: str, increment: str) -> None:
+    """Adds events to a kept rollup: their states by hour, in a folder of their own by increment and day. Only these events are read.
+
+    The same increment written again replaces itself. Late events are an increment as any other: their hours are merged on reading.
+    """
+    state = rollup_state(events).withColumn("event_day", F.to_date("event_hour"))
+    state.hint("rebalance", "event_day").write.mode("overwrite").partitionBy("event_day").parquet(f"{path}/increment={increment}")
+
+
+def read_rollup(spark: SparkSession, path: str, keys: list[str], first: date | None = None, last: date | None = None) -> DataFrame:
+    """A kept rollup by `keys` (event_hour and the others of ROLLUP_KEYS), over the days from first to last; only their folders are read."""
+    state = spark.read.parquet(path)
+    if first is not None or last is not None:
+        state = state.where(F.col("event_day").between(F.lit(first or date.min), F.lit(last or date.max)))
+    return merge_rollup(state, keys)
+
+
 def merge_aggregates(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """Partial rows (keys, n, total, low, high) merged: counts and sums add, extremes stay extremes, the mean is sum by count."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodewatch.functions.times import resolve_time
+from lodewatch.sources.moves import Store
 
 DEFAULT_LIMIT, MOST_ROWS = 100, 10_000
 FUNCTIONS = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "dcount": F.count_distinct}
@@ -147,3 +148,37 @@ def decode_cursor(cursor: str | None) -> dict:
         return {"lastId": found.get("lastId"), "lastTimestamp": found.get("lastTimestamp"), "offset": int(found.get("offset", 0))}
     except (ValueError, TypeError, AttributeError):
         return {"lastId": None, "lastTimestamp": None, "offset": 0}
+
+
+def newest_page(spark: SparkSession, path: str, tenant: str, size: int, cursor: str | None = None, where: Column | None = None) -> tuple[list, str | None]:
+    """(rows, cursor of the next page or None) of a tenant's rows in a tier that is partitioned by day, newest first.
+
+    Days are read from the newest on, one at a time, until the page is full; a cursor knows its day, so the next page begins there and
+    no later day is read again. A page's rows, MOST_ROWS at most, are at the driver.
+    """
+    after, rows, size = _day_cursor(cursor), [], clamp(size)
+    days = sorted((n.partition("=")[2] for n in Store(spark, path).names(path) if n.startswith("event_date=") and not n.endswith("__")), reverse=True)
+    table = for_tenant(spark.read.parquet(path), tenant)
+    for day in days:
+        if after and day > after["day"]:
+            continue
+        own = table.where(F.col("event_date") == F.lit(day).cast("date"))
+        if where is not None:
+            own = own.where(where)
+        if after and day == after["day"]:
+            t = F.lit(after["time"]).cast(table.schema["time"].dataType)
+            own = own.where((F.col("time") < t) | ((F.col("time") == t) & (F.col("uuid") > after["id"])))
+        rows += newest_first(own).limit(size + 1 - len(rows)).collect()
+        if len(rows) > size:
+            last = rows[size - 1]
+            found = {"day": str(last["event_date"]), "time": last["time"].isoformat(sep=" "), "id": last["uuid"]}
+            return rows[:size], base64.b64encode(json.dumps(found).encode()).decode()
+    return rows, None
+
+
+def _day_cursor(cursor: str | None) -> dict | None:
+    try:
+        found = json.loads(base64.b64decode(cursor or "", validate=True))
+        return {k: str(found[k]) for k in ("day", "time", "id")}
+    except (ValueError, TypeError, KeyError):
+        return None

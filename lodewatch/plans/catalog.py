@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from lodewatch.functions.times import last
 from lodewatch.operators import aggregate, detect, enrich, normalize, search, tenants, ueba
 from lodewatch.operators import events as canned
 from lodewatch.operators import ruleindex, textindex
-from lodewatch.sources import ingest, tiers, views
+from lodewatch.sources import ingest, moves, seals, tiers, views
 from lodewatch.sources.shared import shared_dir
 from lodewatch.sources.views import AS_OF, flat_events
 
@@ -193,6 +193,19 @@ def a_merge_rollup(spark, sf_dir):
     return both.select("tenant_id", "category_name", "event_count", close("unique_users", "users").alias("users_close"), close("unique_src_ips", "ips").alias("ips_close"), F.round("avg_score", 6).alias("avg_score"))
 
 
+@query("SELECT tenant_id, severity, count(*) AS event_count, true AS users_close, round(avg(bytes_out / 1000000), 6) AS avg_score FROM e WHERE day(time) BETWEEN 5 AND 20 GROUP BY 1, 2")
+def a_kept_rollup(spark, sf_dir):
+    """A rollup kept in three increments, the last one late events of all days and the second one written twice; read for some days."""
+    root, e = scratch(spark), flat_events(spark, sf_dir).withColumn("score", F.col("bytes_out") / 1000000)
+    late, n = F.col("uuid").cast("long") % 10 == 0, F.dayofmonth("time")
+    for name, part in (("a", e.where(~late & (n <= 12))), ("b", e.where(~late & (n > 12))), ("b", e.where(~late & (n > 12))), ("late", e.where(late))):
+        aggregate.add_to_rollup(part, root, name)
+    found = aggregate.read_rollup(spark, root, ["tenant_id", "severity"], date(2024, 1, 5), date(2024, 1, 20))
+    exact = e.where(n.between(5, 20)).groupBy("tenant_id", "severity").agg(F.count_distinct("actor_user").alias("users"))
+    close = F.abs(F.col("unique_users") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.05)
+    return found.join(exact, ["tenant_id", "severity"]).select("tenant_id", "severity", "event_count", close.alias("users_close"), F.round("avg_score", 6).alias("avg_score"))
+
+
 @query("SELECT severity, count(*) AS n, CAST(sum(bytes_out) AS BIGINT) AS total, min(bytes_out) AS low, max(bytes_out) AS high, round(avg(bytes_out), 6) AS mean FROM e GROUP BY 1")
 def a_merge_aggregates(spark, sf_dir):
     part = lambda df: df.groupBy("severity").agg(F.count("*").alias("n"), F.sum("bytes_out").alias("total"), F.min("bytes_out").alias("low"), F.max("bytes_out").alias("high"))
@@ -252,6 +265,17 @@ def l_tier_order(spark, sf_dir):
     return search.newest_first(search.for_tenant(found, T)).limit(200).select("uuid", "time")
 
 
+@query("SELECT uuid, time, page FROM (SELECT uuid, time, (row_number() OVER (ORDER BY time DESC, uuid) - 1) // 70 AS page FROM e WHERE tenant_id='tenant-1') WHERE page < 3")
+def l_page_days(spark, sf_dir):
+    """Three pages of a tier by day, each from the cursor of the one before."""
+    root, cursor, found = scratch(spark), None, []
+    tiers.write_tier(flat_events(spark, sf_dir), root, "hot")
+    for n in range(3):
+        rows, cursor = search.newest_page(spark, f"{root}/hot", T, 70, cursor)
+        found += [(r["uuid"], r["time"], n) for r in rows]
+    return spark.createDataFrame(found, "uuid string, time timestamp_ntz, page long")
+
+
 # ---------------------------------------------------------------- canned event queries
 
 
@@ -838,6 +862,35 @@ def t_worm_files(spark, sf_dir):
     return found.select(F.regexp_extract("file", r"event_date=\d+-\d+-(\d+)", 1).cast("long").alias("day"), "violation").distinct()
 
 
+@query("SELECT DISTINCT day(time) AS day, v.violation FROM e, (VALUES (3, 'missing'), (5, 'changed'), (7, 'manifest'), (7, 'changed')) v(day, violation) WHERE day(time) = v.day")
+def t_worm_digests(spark, sf_dir):
+    """A sealed manifest of a tier's bytes; then a day's files go, another's are rewritten at their size, and a third's rows of the manifest are edited. A new day is no violation."""
+    root = scratch(spark)
+    path, e = f"{root}/hot", flat_events(spark, sf_dir)
+    tiers.write_tier(e.where(F.dayofmonth("time") <= 9), root, "hot")
+    seals.seal(seals.contents(spark, path)).write.parquet(f"{root}/then")
+    store = moves.Store(spark, root)
+    store.remove(f"{path}/event_date=2024-01-03")
+    for file in list(store.files(path)):
+        if "event_date=2024-01-05" in file:
+            store.edit(f"{path}/{file}")
+    tiers.write_tier(e.where(F.dayofmonth("time") == 10), root, "hot", "append")
+    then = spark.read.parquet(f"{root}/then")
+    then = then.withColumn("digest", F.when(F.col("folder").contains("event_date=2024-01-07"), F.sha2("digest", 256)).otherwise(F.col("digest")))
+    return seals.audit(then, seals.contents(spark, path)).select(F.regexp_extract("file", r"event_date=\d+-\d+-(\d+)", 1).cast("long").alias("day"), "violation").distinct()
+
+
+@query("SELECT tenant_id, true AS files, count(*) AS rows FROM e GROUP BY 1")
+def t_tenant_bytes(spark, sf_dir):
+    """Bytes of the cold tier by tenant, from its folders, held against the sizes of the files that the tenants' rows stand in."""
+    root = scratch(spark)
+    tiers.write_tier(flat_events(spark, sf_dir), root, "cold")
+    cold = spark.read.parquet(f"{root}/cold")
+    read = cold.groupBy("tenant_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("rows"))
+    read = read.groupBy("tenant_id").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    return seals.tenant_bytes(spark, f"{root}/cold").join(read, "tenant_id").select("tenant_id", ((F.col("bytes") == F.col("size")) & (F.col("files") == F.col("n"))).alias("files"), "rows")
+
+
 @query("SELECT 'hot' AS tier, count(*) AS rows, true AS sized FROM e")
 def t_files(spark, sf_dir):
     root = scratch(spark)

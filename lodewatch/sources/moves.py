@@ -36,21 +36,40 @@ class Store:
     def names(self, path: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(path))) if self.there(path) else []
 
-    def files(self, path: str) -> Iterator[str]:
-        """Paths of data files below a folder, relative to it; listed bit by bit."""
+    def sizes(self, path: str) -> Iterator[tuple[str, int]]:
+        """Paths of data files below a folder, relative to it, and their bytes; listed bit by bit."""
         if not self.there(path):
             return
         top, found = str(self.fs.getFileStatus(self._path(path)).getPath().toUri().getPath()), self.fs.listFiles(self._path(path), True)
         while found.hasNext():
-            at = str(found.next().getPath().toUri().getPath())
+            status = found.next()
+            at = str(status.getPath().toUri().getPath())
             if at.rpartition("/")[2].startswith("part-"):
-                yield at[len(top) + 1 :]
+                yield at[len(top) + 1 :], status.getLen()
+
+    def files(self, path: str) -> Iterator[str]:
+        return (at for at, _ in self.sizes(path))
 
     def move(self, source: str, to: str) -> None:
         self.fs.mkdirs(self._path(to).getParent())
         if not self.fs.rename(self._path(source), self._path(to)) and not self.there(to):
             raise OSError(f"{source} can't be moved to {to}")
 
+    def edit(self, path: str) -> None:
+        """Changes one byte in the middle of a small file, for audits to find."""
+        data = bytearray(self._bytes(path))
+        data[len(data) // 2] ^= 1
+        out = self.fs.create(self._path(path), True)
+        out.write(data)
+        out.close()
+
+    def _bytes(self, path: str) -> bytes:
+        stream = self.fs.open(self._path(path))
+        try:
+            return bytes(self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream))
+        finally:
+            stream.close()
+
     def put(self, path: str, value: dict) -> None:
         """A small file that is there whole or not at all."""
         out = self.fs.create(self._path(f"{path}.new"), True)
@@ -60,13 +79,7 @@ class Store:
             raise OSError(f"{path} can't be written")
 
     def get(self, path: str) -> dict:
-        stream = self.fs.open(self._path(path))
-        try:
-            size = self.fs.getFileStatus(self._path(path)).getLen()
-            data = self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream) if size else b"{}"
-        finally:
-            stream.close()
-        return json.loads(bytes(data).decode())
+        return json.loads(self._bytes(path).decode() or "{}")
 
 
 class Move:
