@@ -158,10 +158,7 @@ def license_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 
 def _verified(spans: DataFrame, docs: DataFrame, stored: Stored) -> DataFrame:
-    """Spans in whose words at least LEAST of the template's stand in its order; share becomes that, if it is less.
-
-    Each word of the template is looked for after the one found before, within 2 * NEAR words; where it isn't, it is left out.
-    """
+    """Spans in whose words at least LEAST of the template's stand in its order, as their longest common subsequence; share becomes that, if it is less."""
     keys = stored.put(spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "keys")
     few = keys.count() <= BROADCAST_ROWS
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["text_hash"] == F.col("_hash"))
@@ -170,14 +167,28 @@ def _verified(spans: DataFrame, docs: DataFrame, stored: Stored) -> DataFrame:
     own = spans.join(held, spans["doc_id"].eqNullSafe(held["_id"]) & (spans["text_hash"] == held["_hash"])).join(template, F.col("template") == F.col("_template"))
     own = own.withColumn("_span", F.slice("_words", F.col("start").cast("int") + 1, F.greatest(F.lit(1), (F.col("end") - F.col("start")).cast("int"))))
 
-    def step(done, word):
-        at = F.array_position(F.slice(F.col("_span"), done["at"] + 1, F.lit(2 * NEAR + 1)), word).cast("int")
-        return F.struct((done["at"] + at).alias("at"), (done["n"] + F.when(at > 0, 1).otherwise(0)).alias("n"))
-
-    in_order = F.aggregate("_wanted", F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), step)["n"] / F.size("_wanted")
+    in_order = F.size(_common("_wanted", F.col("_span"))) / F.size("_wanted")
     return own.withColumn("share", F.least("share", in_order)).where(F.col("share") >= LEAST).select(*spans.columns)
 
 
+def _common(wanted: str, span: Column) -> Column:
+    """An array as long as the longest common subsequence: its k-th element is the least place in the span at which one of k words can end.
+
+    A word of the template at a place p can follow what ends before p, and so ends one word more at p; its places are taken from the last,
+    so it is used once.
+    """
+
+    def taken(ends, p):
+        k = F.size(F.filter(ends, lambda e: e < p))
+        return F.concat(F.slice(ends, F.lit(1), k), F.array(p), F.slice(ends, k + 2, F.size(ends)))
+
+    def step(ends, word):
+        places = F.filter(F.transform(span, lambda x, i: F.when(x == word, i + 1)), lambda p: p.isNotNull())
+        return F.aggregate(F.reverse(places), ends, taken)
+
+    return F.aggregate(wanted, F.array().cast("array<int>"), step)
+
+
 def _report(spans: DataFrame, key: str) -> DataFrame:
     base, real = F.col("phrase"), F.col("template").isNotNull()
     joined = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
