@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime, timedelta
@@ -16,7 +15,7 @@ from lodewatch.operators import aggregate, detect, enrich, normalize, search, te
 from lodewatch.operators import events as canned
 from lodewatch.operators import ruleindex, textindex
 from lodewatch.sources import ingest, moves, seals, tiers, views
-from lodewatch.sources.shared import shared_dir
+from lodewatch.sources.shared import Scratch
 from lodewatch.sources.views import AS_OF, flat_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,8 +43,8 @@ def own(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share."""
-    return f"{shared_dir(spark)}/tiers-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share; it goes when the program ends."""
+    return Scratch(spark).root
 
 
 # ---------------------------------------------------------------- search
