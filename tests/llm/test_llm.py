@@ -414,36 +414,93 @@ def test_languages(spark, sf, empty):
     assert langid.identify_languages(empty).count() == 0
 
 
-def test_counts_and_probabilities_are_those_of_a_plain_model(spark):
+def word_pieces(word):
+    """(cut, beginning, piece) by the definition: after 4, 6 and 8 bytes, or behind the letter that a cut falls in."""
+    raw = word.encode()
+    starts = [next(j for j in range(min(c, len(raw)), len(raw) + 1) if j == len(raw) or raw[j] & 0xC0 != 0x80) for c in toxicity.CUTS] + [len(raw)]
+    return [(i, raw[: toxicity.CUTS[i] and a], raw[a:b]) for i, (a, b) in enumerate(zip(starts, starts[1:])) if b > a]
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_model(rows):
+    """(counts, log ratio of a word) from (text, label), by the definition of the smoothed probabilities."""
+    counts = Counter((p, label) for text, label in rows for w in plain_words(text) for p in word_pieces(w))
+    pairs = {p for p, _ in counts}
+    follow, own = Counter((cut, piece) for cut, _, piece in pairs), {}
+    for p in pairs:
+        own.setdefault(p[:2], []).append(p)
+
+    def probability(p, label):
+        n = sum(counts[q, label] for q in own.get(p[:2], []))
+        over = sum(max(counts[q, label] - toxicity.DISCOUNT, 0) for q in own.get(p[:2], []))
+        level = [k for k in follow if k[0] == p[0]]
+        shared = (follow[p[0], p[2]] + toxicity.UNSEEN) / (sum(follow[k] for k in level) + toxicity.UNSEEN * (len(level) + 1))
+        return max(counts[p, label] - toxicity.DISCOUNT, 0) / max(n, 1) + ((n - over) / n if n else 1) * shared
+
+    seen = {}
+
+    def ratio(word):
+        if word not in seen:
+            seen[word] = sum(math.log(max(probability(p, 1), 1e-12) / max(probability(p, 0), 1e-12)) for p in word_pieces(word))
+        return seen[word]
+
+    return counts, ratio
+
+
+def plain_passages(text, ratio):
+    r = [ratio(w) for w in plain_words(text)]
+    means = lambda size: [sum(r[i : i + size]) / size for i in range(len(r) - size + 1)]
+    return [max(means(min(size, len(r)))) if r else 0.0 for size in toxicity.PASSAGES] + [sum(r) / len(r) if r else 0.0]
+
+
+VOCABULARY = ["kind", "Kindness", "cruel", "cruelly", "of", "überall", "größeres", "abcéfg", "漢字かな", "x" * 12, "é" * 5]
+
+
+def random_texts(n, most):
     rng = np.random.default_rng(9)
-    rows = [(" ".join(rng.choice(["kind", "kindness", "cruel", "cruelly", "of", "überall", "x" * 12], rng.integers(0, 60))), int(rng.random() < 0.4)) for _ in range(60)] + [("", 1), (None, 0)]
-    counts, cuts = Counter(), toxicity.CUTS
-    for text, label in rows:
-        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text or ""):
-            raw = w.encode()
-            for cut, end in zip(cuts, (*cuts[1:], 10**6)):
-                if len(raw) > cut:
-                    counts[(raw[:cut], raw[cut:end]), label] += 1
-    got = toxicity.count_pairs(spark.createDataFrame(rows, "text string, toxic int")).collect()
+    labels = [int(x) for x in rng.random(n) < 0.4]
+    return [(" ".join(rng.choice(VOCABULARY, rng.integers(0, most), p=np.roll(np.arange(1, 12), 4 * y) / 66)), y) for y in labels]
+
+
+def test_counts_and_probabilities_are_those_of_a_plain_model(spark):
+    rows = random_texts(60, 60) + [("", 1), (None, 0)]
+    counts, ratio = plain_model(rows)
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    got = toxicity.count_pairs(df).collect()
     assert sorted((r["toxic"], r["ordinary"]) for r in got) == sorted((counts[p, 1], counts[p, 0]) for p in {p for p, _ in counts})
-    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"), common.Stored(spark))
-    pairs, total = {p for p, _ in counts}, 1 << int(model["bits"])
-    follow = Counter(piece for _, piece in pairs)
-    words = ["kind", "kindness", "cruelly", "unseen"]
-
-    def probability(context, piece, label):
-        own = {p: counts[p, label] for p in pairs if p[0] == context}
-        n = sum(own.values())
-        over = sum(max(c - toxicity.DISCOUNT, 0) for c in own.values())
-        shared = (follow[piece] + 0.5) / (len(pairs) + 0.5 * total)
-        return max(own.get((context, piece), 0) - toxicity.DISCOUNT, 0) / max(n, 1) + ((n - over) / n if n else 1) * shared
-
-    want = []
-    for w in words:
-        raw = w.encode()
-        want.append(sum(math.log(probability(raw[:c], raw[c:e], 1) / probability(raw[:c], raw[c:e], 0)) for c, e in zip(cuts, (*cuts[1:], 10**6)) if len(raw) > c))
-    found, at = toxicity.word_pairs(pa.array([" ".join(words)]))
-    assert np.allclose(toxicity.log_ratios(found, int(at[-1]), model), want, atol=1e-3)
+    stored = common.Stored(spark)
+    model = toxicity.train(df, stored)
+    texts = [*VOCABULARY, "unseen", "kindest", "crueller", "größe", "漢字", " ".join(VOCABULARY * 7), "", None, "..."]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (toxicity.MODEL_ROWS, 0):
+        found = {r["doc_id"]: r for r in toxicity.compare(asked, model, stored, model_rows=most).collect()}
+        assert len(found) == len(texts)
+        for i, text in enumerate(texts):
+            assert [found[i][c] for c in toxicity.FEATURES] == pytest.approx(plain_passages(text, ratio), abs=1e-4)
+
+
+@pytest.mark.parametrize("block", [32 << 20, 300])
+def test_scores_are_those_of_a_plain_model_by_broadcast_and_by_join(spark, monkeypatch, block):
+    """The same from a model that is broadcast and from one that is joined, in one block of texts and in many; repeated rows and null keys stay."""
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", block)
+    texts = random_texts(120, 40)
+    rows = [(i, t) for i, (t, _) in enumerate(texts)] + [(3, texts[3][0])] * 5 + [(None, "cruel"), (500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, y) for i, (_, y) in enumerate(texts)]
+    taught = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    _, ratio = plain_model([(t, taught[i]) for i, t in rows if i in taught and t is not None])
+    x = [plain_passages(t, ratio) for _, t in rows]
+    learnt = [k for k, (i, _) in enumerate(rows) if i in taught]
+    w = toxicity.calibrate(np.array([x[k] for k in learnt]), np.array([float(taught[rows[k][0]]) for k in learnt]))
+    want = sorted((str(i), round(1 / (1 + math.exp(-(np.dot(w[:3], v) + w[3]))), 2)) for (i, _), v in zip(rows, x))
+    for most in (toxicity.MODEL_ROWS, 0):
+        found = toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), model_rows=most).collect()
+        got = sorted((str(r["doc_id"]), r["score"]) for r in found)
+        assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=0.011)
+        assert all(r["held_out"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
 
 
 def test_toxicity(spark, empty):
@@ -453,7 +510,7 @@ def test_toxicity(spark, empty):
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.93 * len(got)
     odd = toxicity.score_toxicity(documents(spark), labels).collect()
     assert len(odd) == len(ODD) and all(0 <= r["score"] <= 1 for r in odd)
-    assert toxicity.score_toxicity(empty, labels).count() == 0
+    assert toxicity.score_toxicity(empty, labels).count() == toxicity.score_toxicity(empty, labels, model_rows=-1).count() == 0
     none = toxicity.score_toxicity(documents(spark), labels.where("false")).collect()
     assert {r["predicted"] for r in none} == {0}
 
