@@ -36,11 +36,12 @@ def register_parser(vendor: str, parser: Parser) -> None:
     PARSERS[vendor] = parser
 
 
-def normalize(raw: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
+def normalize(raw: DataFrame, parsers: dict[str, Parser] | None = None, carry: str | None = None) -> DataFrame:
     """All lines as events with vendor and parse_error; a vendor without a parser goes to the generic one.
 
     One scan and one expression: a line's vendor chooses the parser whose expression is worked out, and no other is. A parser that is a
     function of a DataFrame (not a LineParser) has a scan of its own, for its vendors. Without a generic parser, lines of other vendors are left out.
+    carry: a column of `raw` that stays beside the event; only a LineParser can carry one.
     """
     table = parsers or PARSERS
     known = raw.withColumn("vendor", F.coalesce("vendor_type", detect_vendor(F.col("data"))))
@@ -59,7 +60,7 @@ def normalize(raw: DataFrame, parsers: dict[str, Parser] | None = None) -> DataF
             event = generic.parse.event() if event is None else event.otherwise(generic.parse.event())
         here = ~F.col("vendor").isin(*(v for vs in apart.values() for v in vs)) if catches and apart else F.lit(True) if catches else F.col("vendor").isin(*(v for vs in own.values() for v in vs))
         # through a generator, so that no filter on an event's columns works the expression out a second time
-        out = known.where(here).select(F.inline(F.array(event)))
+        out = known.where(here).select(*([carry] if carry else []), F.inline(F.array(event)))
     for p, vs in apart.items():
         found = p(known.where(F.col("vendor").isin(*vs)))
         out = found if out is None else out.unionByName(found)
@@ -86,12 +87,20 @@ def dead_letters(normalized: DataFrame) -> DataFrame:
 def replay_dead_letters(letters: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
     """(events that parse now, letters that still fail with retry_count one higher); letters at `most` retries stay as they are."""
     due = letters.where(F.col("retry_count") < most)
-    raw = due.select("raw_id", F.col("raw_event").alias("data"), F.col("failed_at").alias("arrived"), "tenant_id", F.lit(None).cast("string").alias("vendor_type"), F.create_map().cast("map<string,string>").alias("metadata"))
-    again = normalize(raw)
-    failed = again.where("parse_error is not null").select(F.sha2(F.concat_ws("|", "raw_id", "raw_data"), 256).alias("id"), F.col("parse_error").alias("_error"))
-    still = due.join(failed, "id").withColumn("retry_count", F.col("retry_count") + 1).withColumn("error_message", F.col("_error")).drop("_error")
+    raw = lambda rows: rows.select("raw_id", F.col("raw_event").alias("data"), F.col("failed_at").alias("arrived"), "tenant_id", F.lit(None).cast("string").alias("vendor_type"), F.create_map().cast("map<string,string>").alias("metadata"), F.struct(*due.columns).alias("_letter"))
+    apart = {v: p for v, p in PARSERS.items() if not isinstance(p, LineParser)}
+    theirs = detect_vendor(F.col("raw_event")).isin(*apart)
+    # a letter goes through its parser, so that nothing is parsed a second time and joined
+    again = normalize(raw(due.where(~theirs) if apart else due), {v: p for v, p in PARSERS.items() if v not in apart}, "_letter")
+    failed = again.where("parse_error is not null").select("_letter.*", F.col("parse_error").alias("_error"))
+    good = good_rows(again.drop("_letter"))
+    if apart:  # such a parser gives no letter back: letters are found by their id
+        more = normalize(raw(due.where(theirs)).drop("_letter"), apart)
+        bad = more.where("parse_error is not null").select(F.sha2(F.concat_ws("|", "raw_id", "raw_data"), 256).alias("id"), F.col("parse_error").alias("_error")).dropDuplicates(["id"])
+        failed, good = failed.unionByName(due.where(theirs).join(bad, "id")), good.unionByName(good_rows(more))
+    still = failed.withColumn("retry_count", F.col("retry_count") + 1).withColumn("error_message", F.col("_error")).drop("_error")
     still = still.withColumn("error_context", F.map_concat(F.map_filter("error_context", lambda k, v: k != "last_retry"), F.create_map(F.lit("last_retry"), F.col("retry_count").cast("string"))))
-    return good_rows(again), still.unionByName(letters.where(F.col("retry_count") >= most))
+    return good, still.unionByName(letters.where(F.col("retry_count") >= most))
 
 
 def parse_report(normalized: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodewatch.operators import normalize
 from lodewatch.plans import catalog
 
 
@@ -13,3 +14,24 @@ def test_a_row_in_place_of_another_is_noticed_where_rows_stand_several_times(spa
     n = 2 * e.count()
     assert {(r["side"], r["source_rows"], r["copy_rows"], r["same"]) for r in found.where("side <> 'short'").collect()} == {("copy", n, n, True), ("doubled", n, n, False)}
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _letters(spark, n):
+    rows = [(f"id-{i}", f"CEF:{i}") for i in range(n)]
+    raw = spark.createDataFrame(rows, "raw_id string, data string").select("*", F.lit("2024-01-01").cast("timestamp").alias("arrived"), F.lit("t").alias("tenant_id"), F.lit(None).cast("string").alias("vendor_type"), F.create_map().cast("map<string,string>").alias("metadata"))
+    return normalize.dead_letters(normalize.normalize(raw))
+
+
+def test_a_replay_parses_once_and_keeps_equal_letters(spark, tmp_path):
+    _letters(spark, 3).unionByName(_letters(spark, 2)).write.parquet(str(tmp_path / "letters"))
+    letters = spark.read.parquet(str(tmp_path / "letters"))
+    good, still = normalize.replay_dead_letters(letters.where("retry_count < 3"))
+    assert sorted((r["raw_id"], r["retry_count"], r["error_context"]["vendor"], r["error_context"]["last_retry"]) for r in still.collect()) == [(f"id-{i}", 1, "cef", "1") for i in (0, 0, 1, 1, 2)]
+    assert good.count() == 0 and "Join" not in still._jdf.queryExecution().executedPlan().toString()
+
+
+def test_letters_of_a_parser_of_tables_are_found_by_their_id(spark, monkeypatch):
+    letters = _letters(spark, 2).unionByName(_letters(spark, 1)).localCheckpoint()
+    whole = normalize.PARSERS["cef"]
+    monkeypatch.setitem(normalize.PARSERS, "cef", lambda df: whole(df))
+    assert sorted((r["raw_id"], r["retry_count"]) for r in normalize.replay_dead_letters(letters)[1].collect()) == [("id-0", 1), ("id-0", 1), ("id-1", 1)]
