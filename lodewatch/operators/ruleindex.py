@@ -35,13 +35,15 @@ def _atom(name: Column | str, text: Column, number: Column) -> tuple[Column, Col
     return F.concat(start, F.lit("=t"), F.lower(F.trim(text))), F.concat(start, F.lit("=n"), (number + F.lit(0.0)).cast("string")), F.concat(start, F.lit("=0"))
 
 
-def _event_atoms(names: list[str], columns: dict[str, Column]) -> Column:
-    out = []
-    for n in names:
-        text = columns[n].cast("string")
-        t, d, none = _atom(n, text, text.try_cast("double"))
-        out += [t, d, F.when(text.isNull(), none)]
-    return F.array_compact(F.array(F.lit(ALL), *out))
+def _event_atoms(kinds: dict[str, set[str]], columns: dict[str, Column], every: bool) -> Column:
+    """The atoms of an event of the kinds (t, n, 0) that each name's rules ask for; every: with what all events hold."""
+    out = [F.lit(ALL)] if every else []
+    for name in sorted(kinds):
+        text = columns[name].cast("string")
+        atoms = dict(zip("tn0", _atom(name, text, text.try_cast("double"))))
+        atoms["0"] = F.when(text.isNull(), atoms["0"])
+        out += [atoms[k] for k in "tn0" if k in kinds[name]]
+    return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
 
 def _rule_rows(rules: list[Rule]) -> list[tuple]:
@@ -89,15 +91,18 @@ def rule_index(events: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def matching(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """(tenant_id, time, rule, values): each event with each rule whose selection it meets; values: the rules' fields as text, in the order of _names()."""
-    names = _names(rules)
-    columns = {n: resolve_field("bytes_out" if n == "bytes_out" else next((a for a, path in FIELD_ALIASES.items() if path == n), n), flat=True) for n in names}
-    index = rule_index(events, rules)
-    anchored = {_name(list(rules[i].selection)[k]) for i, k in _anchors(_rule_rows(rules)).items()}
-    own = events.select("tenant_id", "time", F.array(*(columns[n].cast("string") for n in names)).alias("values"), _event_atoms(names, columns).alias("atoms"), _event_atoms(sorted(anchored), columns).alias("look_up"))
-    asked = own.select("tenant_id", "time", "values", "atoms", F.explode("look_up").alias("atom"))
+    names, rows = _names(rules), _rule_rows(rules)
+    columns = {n: resolve_field("bytes_out" if n == "bytes_out" else next((a for a, path in FIELD_ALIASES.items() if path == n), n), flat=True).cast("string") for n in names}
+    at = _anchors(rows)
+    look_up, others = defaultdict(set), defaultdict(set)
+    for i, k, name, kind, *_ in rows:
+        (look_up if at[i] == k else others)[name].add(kind)
+    kept = {n: F.col("values")[k] for k, n in enumerate(names)}
+    own = events.select("tenant_id", "time", F.array(*(columns[n] for n in names)).alias("values"), F.explode(_event_atoms(look_up, columns, any(not r.selection for r in rules))).alias("atom"))
     small = sum(len(r.selection) + sum(len(v) for v in r.selection.values() if isinstance(v, list)) + 1 for r in rules) <= BROADCAST_ENTRIES
-    found = asked.join(F.broadcast(index) if small else index, "atom")
-    return found.where(F.forall("rest", lambda some: F.exists(some, lambda a: F.array_contains(F.col("atoms"), a)))).select("tenant_id", "time", "rule", "values")
+    index = rule_index(events, rules)
+    found = own.join(F.broadcast(index) if small else index, "atom").withColumn("atoms", _event_atoms(others, kept, False))
+    return found.where(F.forall("rest", lambda some: F.arrays_overlap("atoms", some))).select("tenant_id", "time", "rule", "values")
 
 
 def _names(rules: list[Rule]) -> list[str]:
@@ -110,19 +115,31 @@ def run_many_rules(events: DataFrame, rules: list[Rule], exact: bool = True) ->
 
     Sums are of numbers with six places after the point.
     """
-    parts = []
-    for spec in dict.fromkeys((r.window_type, r.size, r.slide) for r in rules):
-        own = [r for r in rules if (r.window_type, r.size, r.slide) == spec]
-        place = {n: k for k, n in enumerate(_names(own))}
-        about = [(i, r.id, r.function, place[_name(r.by)], None if r.of in ("", "*") else place[_name(r.of)], r.above) for i, r in enumerate(own)]
-        about = events.sparkSession.createDataFrame(about, "rule int, rule_id string, function string, by_place int, of_place int, above long")
-        rows = matching(events, own).join(F.broadcast(about) if len(own) <= BROADCAST_ENTRIES else about, "rule")
-        rows = rows.select("tenant_id", "time", "rule_id", "rule", "function", "above", F.get("values", F.col("by_place")).alias("key"), F.col("of_place").isNull().alias("all"), F.get("values", F.col("of_place")).alias("of"))
-        by = ["rule", "rule_id", "above", "tenant_id", own[0].window().alias("w"), "key"]
-        plain = F.when(F.first("function") == "sum", F.coalesce(F.sum(F.col("of").try_cast("decimal(38,6)")), F.lit(0)).cast("long")).otherwise(F.count_if(F.col("all") | F.col("of").isNotNull()))
-        different = F.count_distinct("of") if exact else F.approx_count_distinct("of")
-        for kinds, value in ((("count", "sum"), plain), (("dcount",), different)):
-            if any(r.function in kinds for r in own):
-                parts.append(rows.where(F.col("function").isin(*kinds)).groupBy(*by).agg(value.cast("long").alias("value")))
+    specs = list(dict.fromkeys((r.window_type, r.size, r.slide) for r in rules))
+    # windows that don't overlap are worked out side by side on one matching; of the others, each kind has one of its own
+    plain_specs = [s for s in specs if s[0] not in ("sliding", "session")]
+    parts = [_counted(events, [r for r in rules if (r.window_type, r.size, r.slide) in group], exact) for group in ([plain_specs] if plain_specs else []) + [[s] for s in specs if s not in plain_specs]]
     found = reduce(DataFrame.unionByName, parts).where("value > above")
     return found.select("rule_id", "tenant_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "key", "value")
+
+
+def _counted(events: DataFrame, rules: list[Rule], exact: bool) -> DataFrame:
+    """(rule, rule_id, above, tenant_id, w, key, value) of rules with one window, or with any that don't overlap: all in one aggregation."""
+    place = {n: k for k, n in enumerate(_names(rules))}
+    windows = list({(r.window_type, r.size, r.slide): r.window() for r in rules}.items())
+    kinds = [s for s, _ in windows]
+    about = [(i, r.id, r.function, place[_name(r.by)], None if r.of in ("", "*") else place[_name(r.of)], r.above, kinds.index((r.window_type, r.size, r.slide))) for i, r in enumerate(rules)]
+    about = events.sparkSession.createDataFrame(about, "rule int, rule_id string, function string, by_place int, of_place int, above long, kind int")
+    rows = matching(events, rules).join(F.broadcast(about) if len(rules) <= BROADCAST_ENTRIES else about, "rule")
+    rows = rows.select("tenant_id", "time", "rule_id", "rule", "function", "above", "kind", F.get("values", F.col("by_place")).alias("key"), F.col("of_place").isNull().alias("all"), F.get("values", F.col("of_place")).alias("of"))
+    if len(windows) > 1:
+        for k, (_, w) in enumerate(windows):
+            rows = rows.withColumn(f"w{k}", w)
+        rows = rows.withColumn("w", F.element_at(F.array(*(F.col(f"w{k}") for k in range(len(windows)))), F.col("kind") + 1))
+    different = F.when(F.col("function") == "dcount", F.col("of"))
+    value = F.when(F.first("function") == "dcount", F.count_distinct(different) if exact else F.approx_count_distinct(different)).when(
+        F.first("function") == "sum", F.coalesce(F.sum(F.when(F.col("function") == "sum", F.col("of").try_cast("decimal(38,6)"))), F.lit(0)).cast("long")
+    )
+    value = value.otherwise(F.count_if(F.col("all") | F.col("of").isNotNull()))
+    by = ["rule", "rule_id", "above", "tenant_id", F.col("w") if len(windows) > 1 else windows[0][1].alias("w"), "key"]
+    return rows.groupBy(*by).agg(value.cast("long").alias("value"))

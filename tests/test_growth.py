@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from lodewatch.operators import normalize
+from lodewatch.operators import detect, normalize, ruleindex
 from lodewatch.plans import catalog
+from lodewatch.sources import views
 
 
 def test_a_row_in_place_of_another_is_noticed_where_rows_stand_several_times(spark, sf, tmp_path):
@@ -35,3 +36,14 @@ def test_letters_of_a_parser_of_tables_are_found_by_their_id(spark, monkeypatch)
     whole = normalize.PARSERS["cef"]
     monkeypatch.setitem(normalize.PARSERS, "cef", lambda df: whole(df))
     assert sorted((r["raw_id"], r["retry_count"]) for r in normalize.replay_dead_letters(letters)[1].collect()) == [("id-0", 1), ("id-0", 1), ("id-1", 1)]
+
+
+def test_rules_of_all_windows_side_by_side_share_one_matching(spark, sf):
+    e = views.flat_events(spark, sf)
+    rules = [
+        detect.Rule("a", "t", {"user": "user-1"}, above=0, size="1 days"), detect.Rule("b", "t", {"user": ["user-2", "user-3"], "severity": [1, 2.0]}, "dcount", "dst_port", above=0, size="1 days"),
+        detect.Rule("c", "t", {"outcome": "success"}, "sum", "bytes_out", "user", 0, size="12 hours"), detect.Rule("d", "t", {}, "count", "user", above=3, size="6 hours"),
+    ]
+    found = ruleindex.run_many_rules(e, rules)
+    assert sorted(map(str, found.collect())) == sorted(map(str, detect.run_rules(e, rules).collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
