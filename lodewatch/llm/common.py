@@ -138,7 +138,7 @@ def numbered(df: DataFrame, stored: Stored, group: list[str], order: list[str])
 ARROW_BYTES = 4 << 20
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: workers live on, and what one stage has used must not add to the next one's."""
     pa.default_memory_pool().release_unused()
     try:
@@ -175,7 +175,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             else:
                 yield from got
             del got, batch
-        _give_back()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

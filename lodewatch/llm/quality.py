@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Stored, arrow_map, distinct, mix, run_hashes, running, sliced, text_bytes, word_spans
+from .common import SPACES, Stored, arrow_map, distinct, give_back, mix, run_hashes, running, sliced, text_bytes, word_spans
 
 #: Buckets of hashed shapes; texts that the scorer is fitted on at most (the first by hash of their id); bytes at once.
 BUCKETS, FIT_ROWS, PART_BYTES = 1_024, 10_000, 1 << 20
@@ -156,7 +156,8 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> np.ndarray:
     w, b, look, look_b, t = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0, 1.0
     if not len(y):
         return np.append(w, 3.0)
-    rate = np.float32(4.0 / (float((x**2).sum(1).mean()) + 1))
+    squares = np.concatenate([(x[i : i + 500] ** 2).sum(1) for i in range(0, len(x), 500)])
+    rate = np.float32(4.0 / (float(squares.mean()) + 1))
     for _ in range(rounds):
         miss = 1 / (1 + np.exp(-np.clip(x @ look + np.float32(look_b), -30, 30))) - y
         new, new_b = look - rate * (miss @ x / np.float32(len(y)) + np.float32(1e-5) * look), look_b - float(rate) * float(miss.mean())
@@ -175,14 +176,22 @@ def train_quality(docs: DataFrame, stored: Stored) -> tuple[np.ndarray, dict[str
     def make():
         def run(batch: pa.RecordBatch):
             for part in sliced(batch, "text", PART_BYTES):
-                raw = [r.tobytes() for r in measure(part.column("text"))[1]]
-                yield pa.RecordBatch.from_arrays([part.column("pattern"), pa.array(raw, pa.binary())], ["pattern", "x"])
+                hashed = measure(part.column("text"))[1]
+                at = [np.flatnonzero(r) for r in hashed]
+                places, values = [i.astype(np.uint16).tobytes() for i in at], [r[i].tobytes() for r, i in zip(hashed, at)]
+                yield pa.RecordBatch.from_arrays([part.column("pattern"), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["pattern", "at", "x"])
 
         return run
 
-    rows = arrow_map(docs.join(F.broadcast(sample), "doc_id").select("pattern", "text"), make, "pattern string, x binary").limit(2 * FIT_ROWS).collect()
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, BUCKETS)
-    scorer = fit_scorer(x, np.array([posterior[r["pattern"]] for r in rows]))
+    # only what isn't zero comes to the driver, which holds one matrix
+    rows = arrow_map(docs.join(F.broadcast(sample), "doc_id").select("pattern", "text"), make, "pattern string, at binary, x binary").limit(2 * FIT_ROWS).collect()
+    x, y = np.zeros((len(rows), BUCKETS), np.float32), np.array([posterior[r["pattern"]] for r in rows])
+    for own, r in zip(x, rows):
+        own[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float32)
+    del rows
+    scorer = fit_scorer(x, y)
+    del x
+    give_back()
     stored.drop(patterns)
     return scorer, posterior
 

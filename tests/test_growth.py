@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from lodewatch.llm import quality
+from lodewatch.llm.common import Stored
 from lodewatch.operators import detect, normalize, ruleindex
 from lodewatch.plans import catalog
 from lodewatch.sources import views
@@ -47,3 +49,13 @@ def test_rules_of_all_windows_side_by_side_share_one_matching(spark, sf):
     found = ruleindex.run_many_rules(e, rules)
     assert sorted(map(str, found.collect())) == sorted(map(str, detect.run_rules(e, rules).collect()))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_the_quality_fit_brings_only_what_is_not_zero_to_the_driver(spark, sf, monkeypatch):
+    found, real = [], quality.arrow_map
+    monkeypatch.setattr(quality, "arrow_map", lambda *xs: found.append(real(*xs)) or found[-1])
+    stored = Stored(spark)
+    stored.drop = lambda *tables: None  # for the plan to run again
+    quality.train_quality(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(50), stored)
+    sent = [c for c, kind in found[-1].dtypes if kind == "binary"]
+    assert 0 < found[-1].agg(F.sum(sum(F.octet_length(c) for c in sent))).first()[0] < 50 * quality.BUCKETS * 4 / 2
