@@ -28,7 +28,7 @@ WORD = r"\p{L}\p{M}\p{N}_"
 
 def tokens(c: Column) -> Column:
     """Runs of WORD characters, in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), f"[^{WORD}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), f"[^{WORD}]+"), "")
 
 
 def query_words(query: str) -> list[str]:

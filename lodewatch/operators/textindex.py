@@ -1,6 +1,6 @@
 """A posting index over text fields, with look-ups of words that are nearly the same.
 
-root/postings: (token, field, key, n), root/variants: (variant, token), both in folders by a hash bucket and sorted within. A variant is what is left
+root/postings: (token, field, key, n), root/variants: (variant, tokens), both in folders by a hash bucket and sorted within. A variant is what is left
 of a token's first PREFIX characters after up to two deletions: words within an edit distance of d share one with at most d
 deletions on either side. So a search computes the few variants of its words, reads their buckets, verifies the tokens found by their
 edit distance, and reads the postings' buckets of those that pass; no text is read again and no word compared with all others.
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from lodewatch.operators.events import edits_allowed, query_words, tokens
 
 PREFIX = 7
+#: Tokens in a row of variants.
+TOKENS_A_ROW = 1_000
 
 
 def variants(word: str, deletions: int) -> set[str]:
@@ -46,12 +48,14 @@ def _write(df: DataFrame, path: str, by: str, buckets: int) -> None:
 
 def write_index(df: DataFrame, key: str, fields: list[str], root: str, buckets: int = 64) -> None:
     """Indexes text fields by token: rows with equal keys are one. Null and empty texts have no tokens."""
-    named = lambda f: F.transform(tokens(F.col(f)), lambda t: F.struct(F.lit(f).alias("field"), t.alias("token")))
-    each = F.explode(F.flatten(F.array(*map(named, fields))))
-    postings = df.select(F.col(key).alias("key"), each.alias("x")).groupBy("x.token", "x.field", "key").agg(F.count("*").alias("n"))
-    _write(postings, f"{root}/postings", "token", buckets)
-    words = df.sparkSession.read.parquet(f"{root}/postings").select("token").distinct()
-    _write(words.select(F.explode(variants_of(F.col("token"))).alias("variant"), "token"), f"{root}/variants", "variant", buckets)
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields)))
+    split = df.select(F.col(key).alias("key"), each.alias("x")).select("key", "x.field", F.explode(tokens(F.col("x.text"))).alias("token"))
+    _write(split.groupBy("token", "field", "key").agg(F.count("*").alias("n")), f"{root}/postings", "token", buckets)
+    words = df.sparkSession.read.parquet(f"{root}/postings").select("token").distinct().withColumn("head", F.substring("token", 1, PREFIX))
+    # tokens of one beginning have the same variants and go with them together, a bounded number a row
+    part = F.expr(f"(row_number() over (partition by head order by token) - 1) div {TOKENS_A_ROW}")
+    heads = words.withColumn("part", part).groupBy("head", "part").agg(F.collect_list("token").alias("tokens"))
+    _write(heads.select(F.explode(variants_of(F.col("head"))).alias("variant"), "tokens"), f"{root}/variants", "variant", buckets)
     df.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{root}/about")
 
 
@@ -67,7 +71,8 @@ def near_tokens(spark: SparkSession, root: str, query: str) -> DataFrame:
     asked = [(v, t, terms.count(t), edits_allowed(t)) for t in dict.fromkeys(terms) for v in sorted(variants(t, edits_allowed(t)))]
     found = _within(spark.read.parquet(f"{root}/variants"), "variant", [a[0] for a in asked], buckets)
     table = spark.createDataFrame(asked, "variant string, term string, times int, allowed int")
-    return found.join(F.broadcast(table), "variant").where(F.levenshtein("token", "term") <= F.col("allowed")).select("term", "times", "token").distinct()
+    found = found.join(F.broadcast(table), "variant").select("term", "times", "allowed", F.explode("tokens").alias("token"))
+    return found.where(F.levenshtein("token", "term") <= F.col("allowed")).select("term", "times", "token").distinct()
 
 
 def search_index(spark: SparkSession, root: str, query: str, fields: dict[str, float]) -> DataFrame:

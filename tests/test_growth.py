@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodewatch.llm import quality
 from lodewatch.llm.common import Stored
-from lodewatch.operators import detect, normalize, ruleindex
+from lodewatch.operators import detect, normalize, ruleindex, textindex
 from lodewatch.plans import catalog
 from lodewatch.sources import views
 
@@ -59,3 +59,13 @@ def test_the_quality_fit_brings_only_what_is_not_zero_to_the_driver(spark, sf, m
     quality.train_quality(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(50), stored)
     sent = [c for c, kind in found[-1].dtypes if kind == "binary"]
     assert 0 < found[-1].agg(F.sum(sum(F.octet_length(c) for c in sent))).first()[0] < 50 * quality.BUCKETS * 4 / 2
+
+
+def test_words_of_one_beginning_share_their_variants(spark, tmp_path, monkeypatch):
+    df = spark.range(60).select("id", F.concat(F.lit("abcdefg"), F.col("id").cast("string"), F.lit(" (x)")).alias("text"))
+    for most, rows in ((1_000, 1), (25, 3)):
+        monkeypatch.setattr(textindex, "TOKENS_A_ROW", most)
+        root = str(tmp_path / str(most))
+        textindex.write_index(df, "id", ["text"], root, buckets=8)
+        assert spark.read.parquet(f"{root}/variants").count() == rows * len(textindex.variants("abcdefg", 2)) + len(textindex.variants("x", 0))
+        assert {r["key"] for r in textindex.search_index(spark, root, "abcdefg", {"text": 1.0}).collect()} == set(range(60))
